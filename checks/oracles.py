@@ -89,3 +89,159 @@ oracle(
     """select root_dir, source_path, size from v_docs
 where doc_id not in (select doc_id from labels)""",
 )
+
+# --- rules and classification ---------------------------------------------
+
+SP = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trimmed(x):
+    return f"regexp_replace(regexp_replace({x}, '^{SP}+', ''), '{SP}+$', '')"
+
+
+def lines_of(source, key="file_key"):
+    """(key, line_no, line) of whole texts."""
+    return f"""(select {key}, i line_no, regexp_replace(ls[i], '\\r$', '') line
+  from (select {key}, string_split(text, chr(10)) ls from {source}),
+  lateral (select unnest(range(1, len(ls) + 1)) i))"""
+
+
+def rule_ctes(files):
+    return f"""
+l as (select file_key, cast(line_no as int) line_no, line, strpos(line, '=') eq,
+  starts_with(line, '#') or starts_with(line, '//') or {trimmed('line')} = '' comment,
+  starts_with(line, '!') bang from {lines_of(files)}),
+r as (select file_key, line_no, {trimmed('line[1:eq-1]')} folder, string_split(line[eq+1:], ',') ks
+  from l where not comment and not bang and eq > 0 and {trimmed('line[1:eq-1]')} <> ''),
+m as (select file_key, line_no, folder, cast(i-1 as int) matcher_idx, {trimmed('ks[i]')} k
+  from r, lateral (select unnest(range(1, len(ks)+1)) i)),
+c as (select *, starts_with(k, 'regex(') o, ends_with(k, ')') e from m),
+v as (select file_key, line_no, matcher_idx, case when o then k[7:len(k)-1] else k end raw, o is_regex
+  from c where k <> '' and (not o or e))"""
+
+
+oracle(
+    "rules_load",
+    f"""with {rule_ctes('v_rulefiles')}
+select r.file_key, r.line_no rule_idx, matcher_idx, folder, raw, coalesce(is_regex, false) is_regex
+from r left join v using (file_key, line_no)""",
+)
+oracle(
+    "rules_list",
+    f"""with {rule_ctes('v_rulefiles')}
+select r.file_key, r.line_no rule_idx, folder,
+  coalesce(string_agg(case when is_regex then 'regex(' || raw || ')' else raw end, ', ' order by matcher_idx), '') matchers
+from r left join v using (file_key, line_no) group by all""",
+)
+oracle(
+    "rules_ignores",
+    f"""with {rule_ctes('v_rulefiles')}
+select file_key, line_no, {trimmed('line[2:]')} pattern from l where bang""",
+)
+oracle(
+    "rules_warnings",
+    f"""with src as (select file_key, text from v_rulefiles union all select -doc_id-1, text from documents),
+{rule_ctes('src')}
+select file_key, line_no, -1 matcher_idx, concat('line ', line_no, ' ignored: missing ''=''') message
+  from l where not comment and not bang and eq = 0
+union all select file_key, line_no, -1, concat('line ', line_no, ' ignored: empty folder name')
+  from l where not comment and not bang and eq > 0 and {trimmed('line[1:eq-1]')} = ''
+union all select file_key, line_no, matcher_idx, concat('line ', line_no, ': ',
+    case when k = '' then concat('empty matcher in folder "', folder, '"')
+      else concat('malformed regex matcher "', replace(replace(k, '\\', '\\\\'), '"', '\\"'), '"') end)
+  from c where k = '' or (o and not e)""",
+)
+ORACLES["rules_inline"] = """
+with k as (select p_partkey, p_type folder, list_concat(string_split(p_name, ' '), ['']) ws, p_brand from part),
+m as (select p_partkey, folder, cast(2*(i-1) as int) matcher_idx, ws[i] raw, false is_regex
+  from k, lateral (select unnest(range(1, len(ws))) i)
+  union all select p_partkey, folder, cast(2*(len(ws)-2)+1 as int), '^' || p_brand || '$', true from k)
+select p_partkey, 0 rule_idx, matcher_idx, folder, raw, is_regex from m"""
+
+CLASSIFIED = f"""
+with f as (select *, {base()} name from v_part),
+d as (select *, case when contains(name,'ring') or contains(name,'rod') then 'Pipes'
+  when regexp_matches(name,'^cold.*[.]pdf$') then 'Papers' when contains(name,'*') then 'Misc'
+  when contains(name,'hot') then 'Hot' else 'Rest' end folder from f)
+select root_dir, source_path, size, 'move' op_type, concat(root_dir,'/',folder,'/',name) dest_path from d"""
+oracle("classify_case", CLASSIFIED)
+oracle("classify_join", CLASSIFIED)
+oracle(
+    "classify_table",
+    f"""
+with f as (select *, {base()} name from v_part),
+n as (select distinct name from f),
+hit as (select name, min(struct_pack(a := rule_idx, b := matcher_idx, c := folder)) h from n, v_partrules
+  where case when is_regex then regexp_matches(name, raw) else contains(name, raw) end group by name),
+s as (select max(struct_pack(a := rule_idx, b := matcher_idx, c := folder)) h from v_partrules where raw = '*'),
+d as (select f.*, coalesce(hit.h.c, (select h.c from s)) folder from f left join hit using (name))
+select root_dir, source_path, size, case when folder is null then 'skip' else 'move' end op_type,
+  case when folder is not null then concat(root_dir,'/',folder,'/',name) end dest_path from d""",
+)
+
+# --- filters and ignore rules ---------------------------------------------
+
+oracle(
+    "filter_hidden",
+    f"""select root_dir, source_path, size from v_mix
+where len(list_filter(string_split({rel()}, '/'), lambda s: starts_with(s, '.'))) = 0""",
+)
+oracle(
+    "filter_depth",
+    f"select root_dir, source_path, size from v_mix where len(string_split({rel()}, '/')) - 1 <= 2",
+)
+oracle(
+    "filter_quarantine",
+    f"select root_dir, source_path, size from v_mix where not ({QUARANTINED})",
+)
+oracle(
+    "filter_ignore",
+    f"""select root_dir, source_path, size from v_line
+where not starts_with({rel()}, 'A/F/') and not regexp_matches({rel()}, '^R/[^/]*/li_1[^/]*[.]dat(/|$)')""",
+)
+oracle(
+    "filter_ignore_join",
+    f"""
+with f as (select root_dir, source_path, size, string_split({rel()}, '/') ps from v_mix),
+e as (select source_path, array_to_string(ps[1:i], '/') rel, ps[i] name, i < len(ps) is_dir
+  from f, lateral (select unnest(range(1, len(ps) + 1)) i)),
+p as (select pattern, regexp_replace(pattern, '^/', '') lit,
+  starts_with(pattern, '/') or contains(pattern, '/') is_path,
+  concat('^', replace(replace(replace(pattern, '.', '[.]'), '*', '[^/]*'), '?', '[^/]'), '$') rx from v_mixrules),
+hidden as (select distinct source_path from e, p where case
+  when is_path then rel = lit or (is_dir and starts_with(rel, lit || '/'))
+  else regexp_matches(name, rx) or (is_dir and starts_with(name, lit)) end)
+select root_dir, source_path, size from f where source_path not in (select source_path from hidden)""",
+)
+oracle(
+    "ignore_explain",
+    f"""
+with e as (select root_dir, source_path, size from v_mix union all select root_dir, source_path, size from v_part),
+x as (select *, {rel()} rel, {base()} name from e),
+r as (select *, case when ends_with(name, '.tmp') then '*.tmp' when name = 'promo' then 'promo'
+  when rel = 'src1' then '/src1' when regexp_matches(rel, '^src2/[^/]*[.]txt$') then 'src2/*.txt'
+  when regexp_matches(name, '^doc_1.[.]txt$') then 'doc_1?.txt' when name = 'build' then 'build'
+  when regexp_matches(rel, '^s[^/]*/e[^/]/[^/]*$') then 's*/e?/*' end pattern from x)
+select root_dir, source_path, size, pattern, case when pattern is not null then 'config' end source from r""",
+)
+
+
+def ignore_lines():
+    return f"""
+d as (select file_ord, line_no, regexp_replace({trimmed('line')}, '/$', '') pattern, source
+  from (select doc_id file_ord, source, cast(line_no as int) line_no, line
+    from {lines_of('documents', 'doc_id')} join documents using (doc_id))
+  where {trimmed('line')} <> '' and not starts_with({trimmed('line')}, '#') and not starts_with({trimmed('line')}, '//'))"""
+
+
+FIRST = """select h.a file_ord, h.b line_no, pattern, source from
+  (select source, pattern, min(struct_pack(a := file_ord, b := line_no)) h from {src} group by all)"""
+
+oracle(
+    "ignore_load",
+    f"""with {rule_ctes('v_rulefiles')}, {ignore_lines()},
+a as (select 0 file_ord, line_no, regexp_replace({trimmed('line[2:]')}, '/$', '') pattern, 'config' source
+  from l where bang and {trimmed('line[2:]')} <> '' union all select * from d)
+{FIRST.format(src='a')}""",
+)
+ORACLES["ignore_dedupe"] = f"with {ignore_lines()} {FIRST.format(src='d')}"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import manifest, table, view, with_content
 from shelfmark.functions import paths
-from shelfmark.operators import dedupe, filters
+from shelfmark.operators import classify, dedupe, filters, ignore
 from shelfmark.session import materialize
+from shelfmark.sources.ignore_files import config_ignores, first_occurrences, parse_ignore_files
+from shelfmark.sources.rule_files import parse_inline, parse_rule_files, rule_listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,3 +84,138 @@ def hash_missing(spark, sf_dir):
     )
     files = docs.select("root_dir", "source_path", "size")
     return dedupe.missing_hashes(files, known)
+
+
+# --- rules and classification ---------------------------------------------
+
+RULE_TEXT = """\
+Pipes=ring,rod
+Papers=regex(^cold.*[.]pdf$)
+Misc=*
+Hot=hot
+Rest=*
+"""
+
+
+def fixture_rules(spark) -> DataFrame:
+    one = spark.range(1).select(F.lit(RULE_TEXT).alias("text"))
+    return parse_rule_files(one).rules
+
+
+@query
+def rules_load(spark, sf_dir):
+    return parse_rule_files(view(spark, sf_dir, "v_rulefiles"), keys=["file_key"]).rules
+
+
+@query
+def rules_warnings(spark, sf_dir):
+    """Every line of every document read as a rule file."""
+    files = view(spark, sf_dir, "v_rulefiles").select("file_key", "text")
+    docs = table(spark, sf_dir, "documents").select(
+        (-F.col("doc_id") - 1).alias("file_key"), "text"
+    )
+    return parse_rule_files(files.unionByName(docs), keys=["file_key"]).warnings
+
+
+@query
+def rules_ignores(spark, sf_dir):
+    return parse_rule_files(view(spark, sf_dir, "v_rulefiles"), keys=["file_key"]).ignores
+
+
+@query
+def rules_inline(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(
+            F.lit("  "), "p_type", F.lit(" = "), F.replace("p_name", F.lit(" "), F.lit(",, ")),
+            F.lit(",regex(^"), "p_brand", F.lit("$)"),
+        ).alias("text"),
+    )
+    return parse_inline(lines, keys=["p_partkey"])
+
+
+@query
+def rules_list(spark, sf_dir):
+    rules = parse_rule_files(view(spark, sf_dir, "v_rulefiles"), keys=["file_key"]).rules
+    return rule_listing(rules, ["file_key"])
+
+
+@query
+def classify_case(spark, sf_dir):
+    rules = fixture_rules(spark).collect()
+    return classify.classify_case(manifest(spark, sf_dir, "v_part"), rules)
+
+
+@query
+def classify_join(spark, sf_dir):
+    return classify.classify_join(manifest(spark, sf_dir, "v_part"), fixture_rules(spark))
+
+
+@query
+def classify_table(spark, sf_dir):
+    """Rule table taken from the data: a keyword rule per part, patterns and fallbacks."""
+    rules = view(spark, sf_dir, "v_partrules")
+    return classify.classify_join(manifest(spark, sf_dir, "v_part"), rules)
+
+
+# --- filters and ignore rules ---------------------------------------------
+
+
+@query
+def filter_hidden(spark, sf_dir):
+    return filters.drop_hidden(manifest(spark, sf_dir, "v_mix"))
+
+
+@query
+def filter_depth(spark, sf_dir):
+    return filters.limit_depth(manifest(spark, sf_dir, "v_mix"), 2)
+
+
+@query
+def filter_quarantine(spark, sf_dir):
+    return filters.drop_quarantined(manifest(spark, sf_dir, "v_mix"))
+
+
+LINE_PATTERNS = ["/A/F", "R/*/li_1*.dat"]
+MIX_PATTERNS = ["build", "/src1", "src2/*.txt"]
+
+
+@query
+def filter_ignore(spark, sf_dir):
+    return ignore.drop_ignored(manifest(spark, sf_dir, "v_line"), LINE_PATTERNS)
+
+
+@query
+def filter_ignore_join(spark, sf_dir):
+    """Rules from data: the folders and file names of flagged documents, and two globs."""
+    rules = view(spark, sf_dir, "v_mixrules")
+    return ignore.drop_ignored_join(manifest(spark, sf_dir, "v_mix"), rules)
+
+
+@query
+def ignore_explain(spark, sf_dir):
+    patterns = ["*.tmp", "promo", "/src1", "src2/*.txt", "doc_1?.txt", "build", "s*/e?/*"]
+    rules = [Row(ord=i, pattern=p, source="config") for i, p in enumerate(patterns)]
+    entries = manifest(spark, sf_dir, "v_mix").unionByName(manifest(spark, sf_dir, "v_part"))
+    return ignore.explain_ignored(entries, rules)
+
+
+def document_ignores(spark, sf_dir) -> DataFrame:
+    """Each document is an ignore file; its lines are patterns."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_ord"), "source", "text"
+    )
+    return parse_ignore_files(docs)
+
+
+@query
+def ignore_load(spark, sf_dir):
+    """Rule-file patterns first, then every document as an ignore file."""
+    found = parse_rule_files(view(spark, sf_dir, "v_rulefiles"), keys=["file_key"]).ignores
+    config = config_ignores(found)
+    return first_occurrences(config.unionByName(document_ignores(spark, sf_dir)))
+
+
+@query
+def ignore_dedupe(spark, sf_dir):
+    return first_occurrences(document_ignores(spark, sf_dir))

@@ -56,6 +56,19 @@ from events where event_type='error'""",
     'Size',p_size,'=',p_size,'=kept, * ',chr(10),
     '! build/ ') text
 from part""",
+    # Rule table from data: a keyword per part, a pattern per large size, fallbacks.
+    "v_partrules": """select p_partkey+1000 rule_idx, 0 matcher_idx, concat('by_type/',lower(p_type)) folder,
+  concat(replace(p_name,' ','_'),'_',p_partkey%7) raw, false is_regex
+from part
+union all select distinct cast(p_size as bigint), 0, concat('by_size/',p_size), concat('_[0-9]*',p_size,'[.]pdf$'), true
+from part where p_size>40
+union all select p_partkey+1000000000000, 0, concat('rest/',lower(p_type)), '*', false
+from part where p_size=50""",
+    # Ignore rules from data: folders, names and paths of some documents.
+    "v_mixrules": """select distinct case doc_id%5 when 0 then concat('/',source) when 1 then concat(source,'/',lang)
+    when 2 then concat('doc_',doc_id,'.txt') when 3 then concat(source,'/doc_',doc_id,'.txt')
+    else concat('doc_',doc_id%97,'?.t*') end pattern
+from documents where n_chars>6000""",
 }
 
 TABLES = (
