@@ -245,3 +245,182 @@ a as (select 0 file_ord, line_no, regexp_replace({trimmed('line[2:]')}, '/$', ''
 {FIRST.format(src='a')}""",
 )
 ORACLES["ignore_dedupe"] = f"with {ignore_lines()} {FIRST.format(src='d')}"
+
+# --- plans and catalogs ---------------------------------------------------
+
+PART_MOVED = f"""p as (select root_dir, source_path, size,
+    case when {base()} like '%ring%' or {base()} like '%rod%' then concat('/data/Pipes/', {base()})
+      when regexp_matches({base()}, '^cold.*[.]pdf$') then concat('/data/Papers/', {base()}) end dest_path
+  from v_part)"""
+
+LINE_MOVED = f"""c as (select *, {base()} name from v_line),
+m as (select *, case when contains(name, '_1.dat') then '/data/ones/' || name
+  when regexp_matches(name, '_[357][.]dat$') then '/data/odd/deep/' || name
+  when contains(name, 'li_12') then '/data/' || name end dest from c),
+p as (select root_dir, source_path, size,
+  case when dest is null then 'skip' when size < 2000000 then 'delete' else 'move' end op_type,
+  case when size >= 2000000 then dest end dest_path from m)"""
+
+oracle(
+    "plan_effective",
+    f"""
+with p as (select root_dir, source_path, size, 'move' op_type,
+    concat(case when {base()} like '%ring%' then '/data/promo/' when {base()} like '%bolt%' then '/data/economy/'
+      when {base()} like '%gear%' then '/out/' end, {base()}) dest_path, {base()} name from v_part)
+select root_dir, source_path, size, op_type, dest_path from p
+where dest_path <> name and dest_path <> source_path""",
+)
+oracle(
+    "plan_summary",
+    f"""with {LINE_MOVED}
+select op_type, count(*) n_ops from p group by 1 union all select 'total', count(*) from p""",
+)
+oracle(
+    "apply_summary",
+    f"""with {LINE_MOVED}
+select count(*) filter (op_type = 'move' and dest_path <> source_path) moved, cast(0 as bigint) renamed,
+  cast(0 as bigint) deduped, count(*) filter (op_type = 'delete') deleted,
+  count(*) filter (op_type = 'skip') skipped from p""",
+)
+oracle(
+    "plan_ordered",
+    f"""with {PART_MOVED}
+select root_dir, source_path, size, case when dest_path is null then 'skip' else 'move' end op_type, dest_path,
+  row_number() over (order by source_path, coalesce(dest_path, '.'), case when dest_path is null then 4 else 0 end, size) op_seq
+from p""",
+)
+oracle(
+    "plan_planners",
+    f"""
+with f as (select *, {rel()} rel, {base()} name from v_mix)
+select root_dir, source_path, size, 'move' op_type, concat('/data/Rest/', name) dest_path from f
+where not regexp_matches(rel, '(^|/)[.]') and not regexp_matches(rel, '(^|/)build[^/]*/')
+  and not starts_with(rel, 'src1/') and not regexp_matches(rel, '^src2/[^/]*[.]txt$')""",
+)
+oracle(
+    "plan_apply",
+    f"""with {LINE_MOVED}
+select root_dir, coalesce(dest_path, source_path) source_path, size from p where op_type <> 'delete'""",
+)
+
+MIX_AFTER = f"""h as (select root_dir, source_path, size, sha256(text) sha256, {QUARANTINED} q from v_mix),
+r as (select *, row_number() over (partition by sha256, q order by split(source_path, '/')) rn from h),
+a as (select root_dir, case when not q and rn > 1 then {quarantine()} else source_path end source_path, size from r)"""
+
+oracle(
+    "dup_purge",
+    f"""with {MIX_AFTER}
+select root_dir, source_path, size from a where not starts_with(source_path, '/data/duplicates/')""",
+)
+oracle(
+    "dup_purge_count",
+    f"""with {MIX_AFTER}
+select root_dir, count(distinct split_part(source_path, '/', 4)) n_entries from a
+where starts_with(source_path, '/data/duplicates/') group by 1""",
+)
+
+
+def dirs_of(source):
+    return f"""(select distinct root_dir, root_dir || '/' || array_to_string(ps[1:i], '/') dir
+  from (select root_dir, string_split({rel()}, '/') ps from {source}),
+  lateral (select unnest(range(1, len(ps))) i))"""
+
+
+oracle(
+    "dirs_emptied",
+    f"""
+with a as (select root_dir, case when not regexp_matches({rel()}, '(^|/)[.]')
+    and regexp_matches({base()}, '^doc_[0-9]*[0-6][.]txt$') then '/data/moved/' || {base()} else source_path end source_path
+  from v_mix)
+select * from {dirs_of('v_mix')} except select * from {dirs_of('a')}""",
+)
+
+# --- reports --------------------------------------------------------------
+
+
+def human(n):
+    steps = "".join(
+        f" when {n} < {1024 ** (i + 2)} then printf('%.1f {u}B', {n} / {float(1024 ** (i + 1))})"
+        for i, u in enumerate("KMGTP")
+    )
+    return f"case when {n} < 1024 then {n} || ' B'{steps} end"
+
+
+oracle(
+    "top_largest",
+    f"""select {rel()} rel_path, size, {human('size')} human_size from v_line
+order by size desc, source_path limit 5""",
+)
+oracle(
+    "human_sizes",
+    f"""
+with f as (select source_path, size from v_line union all select source_path, size from v_docs),
+s as (select source_path, case when size % 3 = 0 then size * 1000003 else size end n from f)
+select source_path, {human('n')} human_size from s""",
+)
+oracle(
+    "walk_order",
+    "select *, row_number() over (order by split(source_path, '/')) walk_seq from v_line",
+)
+oracle(
+    "path_parts",
+    f"""
+with f as (select source_path, root_dir from v_part union all select source_path, root_dir from v_pages)
+select source_path, {base()} base, regexp_replace(source_path, '/[^/]*$', '') parent, {ext()} ext, {stem()} stem,
+  cast(len(string_split({rel()}, '/')) - 1 as int) depth,
+  concat(regexp_replace(source_path, '/[^/]*$', ''), '/', {stem()}, '/x') cleaned from f""",
+)
+oracle(
+    "error_breakdown",
+    """
+with e as (select *, case when msg like '%permission denied%' then 'permission' when lower(msg) like '%file exists%' then 'collision'
+  when msg like '%no such file%' then 'not_found' when msg like '%directory not empty%' then 'dir_not_empty'
+  when msg like '%invalid%' then 'invalid' else 'other' end category from v_err)
+select category, count(*) n_errors, arg_min(msg, seq) example from e group by 1""",
+)
+
+# --- history --------------------------------------------------------------
+
+oracle("txn_append", "select * from v_log")
+oracle(
+    "txn_read",
+    """select txn_seq, id, ttype, irreversible, cast(0 as bigint) op_seq, 'move' op_type, root_dir, source_path,
+  txn_seq * 10 size, dest_path from v_txn""",
+)
+oracle(
+    "history_list",
+    """select txn_seq, id, id compact_id, case when ttype = 1 then 'undo' else 'action' end type,
+  cast(1 as int) n_operations, root_dir from v_txn""",
+)
+LAST = """t as (select distinct txn_seq, id, ttype, irreversible, root_dir, count(*) over (partition by txn_seq) n_operations from v_log),
+lt as (select root_dir, txn_seq, id, ttype, irreversible, n_operations,
+  case when ttype = 1 then 'already_undone' when irreversible then 'irreversible' else 'undoable' end status
+  from t where (root_dir, txn_seq) in (select (root_dir, max(txn_seq)) from t group by root_dir))"""
+oracle("last_txn", f"with {LAST} select * from lt")
+oracle(
+    "undo_plan",
+    f"""with {LAST}
+select txn_seq, op_seq, op_type, root_dir, dest_path source_path, size, source_path dest_path
+from v_log where txn_seq in (select txn_seq from lt where status = 'undoable')""",
+)
+oracle(
+    "undo_log",
+    f"""with {LAST},
+n as (select txn_seq old, (select max(txn_seq) from v_log) + row_number() over (order by txn_seq) new from lt where status = 'undoable')
+select new txn_seq, id, 1 ttype, irreversible, op_seq, op_type, root_dir, source_path, size, dest_path
+from v_log join n on txn_seq = old""",
+)
+
+# --- renames --------------------------------------------------------------
+
+oracle(
+    "rename_map",
+    f"select root_dir, source_path, size, case when trim(new_name, ' \t') = '' then {base()} else new_name end new_name from v_chats",
+)
+oracle(
+    "rename_collisions",
+    f"""
+with r as (select *, row_number() over (partition by {base()} order by split(source_path, '/')) - 1 k from v_conv)
+select root_dir, source_path, size, 'rename' op_type, concat(regexp_replace(source_path, '/[^/]*$', ''), '/',
+  case when k = 0 then {base()} else concat({stem()}, '_v', k, {ext()}) end) dest_path from r""",
+)

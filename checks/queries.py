@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from checks.views import manifest, table, view, with_content
 from shelfmark.functions import paths
-from shelfmark.operators import classify, dedupe, filters, ignore
-from shelfmark.session import materialize
+from shelfmark.operators import catalog, classify, dedupe, filters, history, ignore, rename, report
+from shelfmark.plans import planning
+from shelfmark.session import materialize, new_work_path
+from shelfmark.sources import hash_cache, txn_log
 from shelfmark.sources.ignore_files import config_ignores, first_occurrences, parse_ignore_files
 from shelfmark.sources.rule_files import parse_inline, parse_rule_files, rule_listing
 
@@ -219,3 +221,235 @@ def ignore_load(spark, sf_dir):
 @query
 def ignore_dedupe(spark, sf_dir):
     return first_occurrences(document_ignores(spark, sf_dir))
+
+
+# --- plans and catalogs ---------------------------------------------------
+
+LINE_RULES = """\
+ones=_1.dat
+odd/deep=regex(_[357][.]dat$)
+.=li_12
+"""
+
+
+def line_rules(spark) -> list[Row]:
+    one = spark.range(1).select(F.lit(LINE_RULES).alias("text"))
+    return parse_rule_files(one).rules.collect()
+
+
+def line_plan(spark, sf_dir) -> DataFrame:
+    """Moves of line items by rule; the cheapest of them are deleted instead."""
+    plan = classify.classify_case(manifest(spark, sf_dir, "v_line"), line_rules(spark))
+    cheap = F.expr("op_type = 'move' and size < 2000000")
+    return plan.withColumns(
+        {
+            "op_type": F.when(cheap, "delete").otherwise(F.col("op_type")),
+            "dest_path": F.when(~cheap, F.col("dest_path")),
+        }
+    )
+
+
+def part_plan(spark, sf_dir) -> DataFrame:
+    """Moves by the first two rules only, so that some files match nothing."""
+    rules = [r for r in fixture_rules(spark).collect() if r.folder in ("Pipes", "Papers")]
+    return classify.classify_case(manifest(spark, sf_dir, "v_part"), rules)
+
+
+@query
+def plan_effective(spark, sf_dir):
+    """Folders are named after the types, so some files already are where they belong."""
+    rules = [
+        Row(rule_idx=0, matcher_idx=0, folder="promo", raw="ring", is_regex=False),
+        Row(rule_idx=1, matcher_idx=0, folder="./x/../economy", raw="bolt", is_regex=False),
+        Row(rule_idx=2, matcher_idx=0, folder="../out", raw="gear", is_regex=False),
+    ]
+    return filters.effective(classify.classify_case(manifest(spark, sf_dir, "v_part"), rules))
+
+
+@query
+def plan_summary(spark, sf_dir):
+    return planning.plan_summary(line_plan(spark, sf_dir))
+
+
+@query
+def apply_summary(spark, sf_dir):
+    return planning.apply_summary(line_plan(spark, sf_dir))
+
+
+@query
+def plan_ordered(spark, sf_dir):
+    return planning.numbered(part_plan(spark, sf_dir))
+
+
+@query
+def plan_planners(spark, sf_dir):
+    """Planner interface: filters, then a planner, then plan order."""
+
+    def planner(files: DataFrame) -> DataFrame:
+        return classify.classify(files, fixture_rules(spark))
+
+    visible = filters.drop_hidden(manifest(spark, sf_dir, "v_mix"))
+    return filters.effective(planning.plan(ignore_some(visible), planner))
+
+
+def ignore_some(files: DataFrame) -> DataFrame:
+    return ignore.drop_ignored(files, MIX_PATTERNS)
+
+
+@query
+def plan_apply(spark, sf_dir):
+    files = manifest(spark, sf_dir, "v_line")
+    return catalog.apply_plan(files, materialize(line_plan(spark, sf_dir), "plan"))
+
+
+def deduped_mix(spark, sf_dir) -> DataFrame:
+    hashes = hashed(spark, sf_dir, "v_mix")
+    files = hashes.select("root_dir", "source_path", "size")
+    return catalog.apply_plan(files, materialize(dedupe.dedupe_plan(hashes), "plan"))
+
+
+@query
+def dup_purge(spark, sf_dir):
+    return catalog.purge_duplicates(deduped_mix(spark, sf_dir))
+
+
+@query
+def dup_purge_count(spark, sf_dir):
+    return catalog.purge_count(deduped_mix(spark, sf_dir))
+
+
+@query
+def dirs_emptied(spark, sf_dir):
+    files = manifest(spark, sf_dir, "v_mix")
+    rules = [
+        Row(rule_idx=0, matcher_idx=0, folder="moved", raw="^doc_[0-9]*[0-6][.]txt$", is_regex=True)
+    ]
+    plan = classify.classify_case(filters.drop_hidden(files), rules)
+    return catalog.emptied_directories(files, catalog.apply_plan(files, materialize(plan, "plan")))
+
+
+# --- reports --------------------------------------------------------------
+
+
+@query
+def top_largest(spark, sf_dir):
+    return report.top_largest(manifest(spark, sf_dir, "v_line"))
+
+
+@query
+def human_sizes(spark, sf_dir):
+    files = manifest(spark, sf_dir, "v_line").unionByName(manifest(spark, sf_dir, "v_docs"))
+    scaled = F.expr("case when size % 3 = 0 then size * 1000003 else size end")
+    return files.select("source_path", paths.human_size(scaled).alias("human_size"))
+
+
+@query
+def walk_order(spark, sf_dir):
+    return report.walk_positions(manifest(spark, sf_dir, "v_line"))
+
+
+@query
+def path_parts(spark, sf_dir):
+    """Path expressions over names with many kinds of extension."""
+    files = manifest(spark, sf_dir, "v_part").unionByName(manifest(spark, sf_dir, "v_pages"))
+    path = F.col("source_path")
+    name = paths.base_name(path)
+    crooked = F.concat(path, F.lit("/../"), paths.stem(name), F.lit("/./x//"))
+    return files.select(
+        "source_path",
+        name.alias("base"),
+        paths.parent_dir(path).alias("parent"),
+        paths.extension(name).alias("ext"),
+        paths.stem(name).alias("stem"),
+        paths.depth(paths.relative_path(path, "root_dir")).alias("depth"),
+        paths.clean_path(crooked).alias("cleaned"),
+    )
+
+
+@query
+def error_breakdown(spark, sf_dir):
+    return report.error_breakdown(view(spark, sf_dir, "v_err"))
+
+
+# --- history --------------------------------------------------------------
+
+
+def event_log(spark, sf_dir) -> DataFrame:
+    """Transactions of one operation each, as nested log rows."""
+    ops = view(spark, sf_dir, "v_txn").withColumns(
+        {"op_type": F.lit("move"), "size": F.col("txn_seq") * 10}
+    )
+    return txn_log.nest_operation(ops)
+
+
+def written_event_log(spark, sf_dir) -> DataFrame:
+    """The same, appended in two goes and read back."""
+    path = new_work_path(spark, "txn-json")
+    log = event_log(spark, sf_dir)
+    txn_log.append_json_log(log.filter("TType = 0"), path)
+    txn_log.append_json_log(log.filter("TType = 1"), path)
+    return txn_log.read_json_log(spark, path)
+
+
+@query
+def txn_append(spark, sf_dir):
+    """Flat log: two appends, read back."""
+    path = new_work_path(spark, "txn-log")
+    log = view(spark, sf_dir, "v_log")
+    txn_log.append_log(log.filter("not irreversible"), path)
+    txn_log.append_log(log.filter("irreversible"), path)
+    return txn_log.read_log(spark, path)
+
+
+@query
+def txn_read(spark, sf_dir):
+    return txn_log.flatten_log(written_event_log(spark, sf_dir))
+
+
+@query
+def history_list(spark, sf_dir):
+    return history.history_listing(written_event_log(spark, sf_dir))
+
+
+@query
+def last_txn(spark, sf_dir):
+    return history.last_transactions(history.transactions(view(spark, sf_dir, "v_log")))
+
+
+@query
+def undo_plan(spark, sf_dir):
+    log = view(spark, sf_dir, "v_log")
+    last = history.last_transactions(history.transactions(log))
+    return history.undo_plan(log, last)
+
+
+@query
+def undo_log(spark, sf_dir):
+    log = view(spark, sf_dir, "v_log")
+    last = history.last_transactions(history.transactions(log))
+    return history.undo_log(log, last, txn_log.next_txn_seq(log))
+
+
+# --- renames --------------------------------------------------------------
+
+
+@query
+def rename_map(spark, sf_dir):
+    """Names per turn; blank ones keep the old name."""
+    chats = view(spark, sf_dir, "v_chats")
+    names = chats.select("source_path", "new_name")
+    return rename.mapped_names(chats.select("root_dir", "source_path", "size"), names)
+
+
+@query
+def rename_collisions(spark, sf_dir):
+    """Base names repeat over all conversations."""
+    files = manifest(spark, sf_dir, "v_conv").withColumn("new_name", paths.base_name("source_path"))
+    return rename.rename_plan(files)
+
+
+@query
+def rename_versions(spark, sf_dir):
+    """Names that carry versions themselves and repeat."""
+    files = view(spark, sf_dir, "v_versions")
+    return rename.rename_plan(files)

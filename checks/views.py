@@ -69,6 +69,25 @@ from part where p_size=50""",
     when 2 then concat('doc_',doc_id,'.txt') when 3 then concat(source,'/doc_',doc_id,'.txt')
     else concat('doc_',doc_id%97,'?.t*') end pattern
 from documents where n_chars>6000""",
+    # Flat log: an order is a transaction, its lines are the operations.
+    "v_log": """select l_orderkey txn_seq, concat('txn ',l_orderkey) id,
+  case when l_orderkey%11=3 then 1 else 0 end ttype, l_orderkey%13=5 irreversible,
+  cast(l_linenumber as bigint) op_seq, 'move' op_type, concat('/u/',l_orderkey%997) root_dir,
+  concat('/u/',l_orderkey%997,'/in/',l_orderkey,'_',l_partkey,'_',l_suppkey,'_',l_linenumber) source_path,
+  cast(l_quantity as bigint) size,
+  concat('/u/',l_orderkey%997,'/out/',l_orderkey,'_',l_partkey,'_',l_suppkey,'_',l_linenumber) dest_path
+from lineitem""",
+    "v_chats": """select '/data' root_dir,
+  concat('/data/conv_',conv_id,'/',turn,'_',role,'.txt') source_path,
+  cast({L}(text) as bigint) size,
+  case when role='user' then concat(' ',chr(9)) else concat(role,' ',conv_id,'-',turn,'.md') end new_name
+from conversations""",
+    "v_versions": """select '/data' root_dir,
+  concat('/data/',source,'/',lang,'/doc_',doc_id,'.txt') source_path,
+  cast({L}(text) as bigint) size,
+  concat(lang,case when doc_id%3=0 then '' when doc_id%3=1 then concat('_v',n_chars%40)
+    else concat('_v',n_chars%5,'_v',n_chars%7) end,'.txt') new_name
+from documents""",
 }
 
 TABLES = (
