@@ -329,10 +329,10 @@ def dirs_of(source):
 oracle(
     "dirs_emptied",
     f"""
-with a as (select root_dir, case when not regexp_matches({rel()}, '(^|/)[.]')
-    and regexp_matches({base()}, '^doc_[0-9]*[0-6][.]txt$') then '/data/moved/' || {base()} else source_path end source_path
-  from v_mix)
-select * from {dirs_of('v_mix')} except select * from {dirs_of('a')}""",
+with b as (select root_dir, source_path from v_conv union all select root_dir, source_path from v_pages),
+a as (select root_dir, case when regexp_matches({base()}, '^[0-3]_|^page_[0-9]*[0-4][.]html$') then '/data/moved/x'
+  else source_path end source_path from b)
+select * from {dirs_of('b')} except select * from {dirs_of('a')}""",
 )
 
 # --- reports --------------------------------------------------------------
@@ -424,3 +424,102 @@ with r as (select *, row_number() over (partition by {base()} order by split(sou
 select root_dir, source_path, size, 'rename' op_type, concat(regexp_replace(source_path, '/[^/]*$', ''), '/',
   case when k = 0 then {base()} else concat({stem()}, '_v', k, {ext()}) end) dest_path from r""",
 )
+
+oracle(
+    "rename_versions",
+    # Step i settles the i-th file of every name family; families never meet.
+    """
+with recursive f as (select *, regexp_extract(new_name, '([.][^.]*)$', 1) e, regexp_replace(new_name, '[.][^.]*$', '') s from v_versions),
+g as (select *, row_number() over (partition by fam order by split(source_path, '/')) i
+  from (select *, regexp_replace(s, '(_v[1-9][0-9]*)+$', '') || e fam from f)),
+w as (
+  select fam, cast(0 as bigint) i, cast([] as varchar[]) seen, '' source_path, '' nn from (select distinct fam from g)
+  union all
+  select fam, i, list_append(seen, nn), source_path, nn from (
+    select g.fam, g.i, w.seen, g.source_path, case when not list_contains(w.seen, new_name) then new_name else
+      list_filter(list_transform(range(1, len(w.seen) + 2), lambda k: s || '_v' || k || e), lambda x: not list_contains(w.seen, x))[1] end nn
+    from w join g on g.fam = w.fam and g.i = w.i + 1))
+select root_dir, source_path, size, 'rename' op_type, concat(regexp_replace(source_path, '/[^/]*$', ''), '/', nn) dest_path
+from v_versions join w using (source_path)""",
+)
+
+
+def replaced(x, *steps):
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+TOKENS = replaced(
+    "stem",
+    (r"(\p{Ll})(\p{Lu})", r"\1_\2"),
+    (r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"\1_\2"),
+    (r"(?i)[(]([0-9]+|copy)[)]", ""),
+    (r"(?i)(^|[_ .-])fall[_ ]?s(?:em)?[_ ]?(?:20)?([0-9]{2})-(?:20)?([0-9]{2})", r"\1F\2~~\3"),
+    (r"(?i)(^|[_ .-])winter[_ ]?s(?:em)?[_ ]?(?:20)?([0-9]{2})-(?:20)?([0-9]{2})", r"\1W\2~~\3"),
+    (r"(?i)(^|[_ .-])sem(?:ester)?[_ .-]*0*([0-9]+)", r"\1S\2"),
+    (r"(^|[^0-9])((?:19|20)[0-9]{2})-(?:19|20)([0-9]{2})($|[^0-9])", r"\1\2_\3\4"),
+    (r"[ \t\n._-]+", "_"),
+    (r"(?i)(^|_)copy_of(_|$)", "_"),
+    (r"(?i)^_?microsoft_word(_|$)", "_"),
+    (r"(?i)(^|_)question_paper(_|$)", r"\1QP\2"),
+)
+oracle(
+    "normalize_names",
+    f"""
+with a as (select p_partkey, name, regexp_extract(name, '([.][^.]*)$', 1) ext, regexp_replace(name, '[.][^.]*$', '') stem from v_names),
+t as (select *, list_filter(string_split({TOKENS}, '_'), lambda x: x <> '') ts from a),
+g as (select *, list_position(list_transform(ts, lambda x: lower(x) not in ('department','university','institute',
+  'college','school','faculty','part','chapter','section','introduction')), true) pos from t),
+d as (select *, case when len(ts) > 6 and pos > 1 then ts[pos:] else ts end us from g),
+c as (select *, list_filter(us, lambda x: lower(x) not in ('copy','final','draft','new','document','file','download','backup')
+  and (not regexp_matches(x, '^[0-9]{{6,}}$') or regexp_matches(x, '^(19|20)[0-9]{{2}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$'))) vs from d),
+w as (select *, list_transform(vs, lambda x: case when regexp_matches(x, '^([FW][0-9]{{2}}~~[0-9]{{2}}|S[0-9]+|QP|v[0-9]+)$') then x
+  when lower(x) = 'assignment' then 'Asn' when lower(x) = 'experiment' then 'Exp' when lower(x) = 'laboratory' then 'Lab'
+  when lower(x) in ('semester', 'sem') then 'S' when lower(x) = 'project' then 'Proj' when lower(x) = 'syllabus' then 'Syl'
+  when lower(x) = 'introduction' then 'Intro' when upper(x) in ('OS','DSA','TCP','AI','DBMS','LAB','ID','API','JSON') then upper(x)
+  else upper(x[1]) || lower(x[2:]) end) ws from c),
+j as (select *, replace(array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), '_'), '~~', '-') new from w)
+select p_partkey, name, case when new = '' then name else new || ext end new_name from j""",
+)
+
+# --- hash cache -----------------------------------------------------------
+
+ORACLES["dedupe_incremental"] = ORACLES["dedupe_plan"]
+oracle(
+    "dedupe_stats",
+    """
+with h as (select size, sha256(encode(text)[1:4096]) p, sha256(text) s,
+    doc_id in (select doc_id from labels where toxic = 0) hit from v_docs),
+a as (select *, count(*) over (partition by size) ns, count(*) over (partition by size, p) np,
+  row_number() over (partition by s) rn from h)
+select count(*) files_seen, count(*) filter (ns > 1) partial_hashed,
+  count(*) filter (np > 1 and not hit) full_hashed, count(*) filter (np > 1 and hit) cache_hits,
+  count(*) filter (np > 1 and not hit) cache_misses,
+  cast(coalesce(sum(size) filter (np > 1 and not hit), 0) as bigint) bytes_hashed,
+  count(*) filter (rn > 1) dedupes from a""",
+)
+oracle(
+    "cache_upsert",
+    """
+select source_path, size, doc_id * 1000000 mtime_us, sha256(documents.text) sha256
+from v_docs join documents using (doc_id) where lang = 'en'
+union all
+select source_path, size, (doc_id - 60 * toxic) * 1000000,
+  case when toxic = 0 then sha256(documents.text) else 'stale' end
+from v_docs join documents using (doc_id) join labels using (doc_id) where lang <> 'en'""",
+)
+
+# --- files ----------------------------------------------------------------
+
+SCANNED = """select concat('source=', source, '/lang=', lang) folder, cast(sum(strlen(text) + 1) as bigint) n_bytes
+from documents where not starts_with(source, 'src1') and not (source = 'src2' and lang = 'en') group by 1"""
+ORACLES["manifest_scan"] = SCANNED
+ORACLES["manifest_scan_tree"] = SCANNED
+FOLDER = "concat('source=', source, '/lang=', lang, '/doc_id=', doc_id)"
+ORACLES["hash_files"] = f"""
+select {FOLDER} folder, strlen(text) + 1 size, sha256(encode(text || chr(10))[1:4096]) partial_sha256,
+  sha256(text || chr(10)) sha256 from documents"""
+ORACLES["dedupe_files"] = f"""
+with r as (select *, row_number() over (partition by text order by split({FOLDER}, '/')) rn from documents)
+select {FOLDER} folder, strlen(text) + 1 size, 'dedupe' op_type, true all_cached from r where rn > 1"""

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import manifest, table, view, with_content
-from shelfmark.functions import paths
+from shelfmark.functions import names, paths
 from shelfmark.operators import catalog, classify, dedupe, filters, history, ignore, rename, report
-from shelfmark.plans import planning
+from shelfmark.plans import duplicates, planning
 from shelfmark.session import materialize, new_work_path
-from shelfmark.sources import hash_cache, txn_log
+from shelfmark.sources import content, hash_cache, txn_log
+from shelfmark.sources import manifest as scanning
 from shelfmark.sources.ignore_files import config_ignores, first_occurrences, parse_ignore_files
 from shelfmark.sources.rule_files import parse_inline, parse_rule_files, rule_listing
 
@@ -320,11 +321,16 @@ def dup_purge_count(spark, sf_dir):
 
 @query
 def dirs_emptied(spark, sf_dir):
-    files = manifest(spark, sf_dir, "v_mix")
-    rules = [
-        Row(rule_idx=0, matcher_idx=0, folder="moved", raw="^doc_[0-9]*[0-6][.]txt$", is_regex=True)
-    ]
-    plan = classify.classify_case(filters.drop_hidden(files), rules)
+    """Turns and pages move to one folder; conversations and sites may lose all their files."""
+    files = materialize(
+        manifest(spark, sf_dir, "v_conv").unionByName(manifest(spark, sf_dir, "v_pages")), "files"
+    )
+    pattern = "^[0-3]_|^page_[0-9]*[0-4][.]html$"
+    rules = [Row(rule_idx=0, matcher_idx=0, folder="moved", raw=pattern, is_regex=True)]
+    own_name = F.concat(F.sha1("source_path"), F.lit("_"), paths.base_name("source_path"))
+    plan = classify.classify_case(files, rules).withColumn(
+        "dest_path", F.when(F.col("op_type") == "move", paths.joined_path("root_dir", "moved", own_name))
+    )
     return catalog.emptied_directories(files, catalog.apply_plan(files, materialize(plan, "plan")))
 
 
@@ -453,3 +459,133 @@ def rename_versions(spark, sf_dir):
     """Names that carry versions themselves and repeat."""
     files = view(spark, sf_dir, "v_versions")
     return rename.rename_plan(files)
+
+
+@query
+def normalize_names(spark, sf_dir):
+    return view(spark, sf_dir, "v_names").select(
+        "p_partkey", "name", names.normalized_name("name").alias("new_name")
+    )
+
+
+# --- hash cache -----------------------------------------------------------
+
+
+def docs_with_mtime(spark, sf_dir) -> DataFrame:
+    """Documents as files; every file has its own modification time."""
+    return view(spark, sf_dir, "v_docs").withColumn("mtime", F.timestamp_seconds("doc_id"))
+
+
+def older_cache(spark, sf_dir) -> DataFrame:
+    """A cache that knows labelled documents; toxic ones have changed since."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return docs_with_mtime(spark, sf_dir).join(labels, "doc_id").select(
+        "source_path",
+        "size",
+        (F.col("mtime") - F.make_dt_interval(mins=F.col("toxic"))).alias("mtime"),
+        F.when(F.col("toxic") == 0, F.sha2(F.col("text").cast("binary"), 256))
+        .otherwise("stale")
+        .alias("sha256"),
+    )
+
+
+def incremental(spark, sf_dir) -> DataFrame:
+    """Hashes through the cache; misses hash their text in the scan of the documents."""
+    path = new_work_path(spark, "hash-cache")
+    hash_cache.save_cache(spark, path, older_cache(spark, sf_dir))
+    texts = docs_with_mtime(spark, sf_dir)
+
+    def hash_misses(misses: DataFrame) -> DataFrame:
+        done = texts.select("source_path", dedupe.content_hash(F.col("text").cast("binary")).alias("sha256"))
+        return done.join(misses.select("source_path"), "source_path", "left_semi")
+
+    files = texts.select(
+        "root_dir",
+        "source_path",
+        "size",
+        "mtime",
+        dedupe.prefix_hash(F.col("text").cast("binary")).alias("partial_sha256"),
+    )
+    cache = hash_cache.read_cache(spark, path)
+    return materialize(dedupe.resolve_hashes(files, cache, hash_misses), "resolved")
+
+
+@query
+def dedupe_incremental(spark, sf_dir):
+    return dedupe.dedupe_plan(incremental(spark, sf_dir))
+
+
+@query
+def dedupe_stats(spark, sf_dir):
+    return dedupe.scan_statistics(incremental(spark, sf_dir))
+
+
+@query
+def cache_upsert(spark, sf_dir):
+    path = new_work_path(spark, "hash-cache")
+    hash_cache.save_cache(spark, path, older_cache(spark, sf_dir))
+    fresh = docs_with_mtime(spark, sf_dir).filter("lang = 'en'").select(
+        "source_path", "size", "mtime", F.sha2(F.col("text").cast("binary"), 256).alias("sha256")
+    )
+    hash_cache.save_cache(spark, path, fresh)
+    return hash_cache.read_cache(spark, path).select(
+        "source_path", "size", F.unix_micros("mtime").alias("mtime_us"), "sha256"
+    )
+
+
+# --- files ----------------------------------------------------------------
+
+
+def written_tree(spark, sf_dir, *folders: str) -> str:
+    """Write the documents as text files, one folder level per column."""
+    root = new_work_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("text", *folders).repartition(16, *folders)
+    rows.write.partitionBy(*folders).text(root)
+    return root
+
+
+def bytes_per_folder(files: DataFrame) -> DataFrame:
+    """Spark names the files; folders and bytes are what the table determines."""
+    folder = paths.parent_dir(paths.relative_path("source_path", "root_dir"))
+    return files.groupBy(folder.alias("folder")).agg(F.sum("size").cast("bigint").alias("n_bytes"))
+
+
+@query
+def manifest_scan(spark, sf_dir):
+    scanning.register(spark)
+    root = written_tree(spark, sf_dir, "source", "lang")
+    reader = spark.read.format("file_manifest").option("partitions", 16)
+    files = reader.option("ignore", '["source=src1", "/source=src2/lang=en", "_SUCCESS"]').load(root)
+    return bytes_per_folder(files)
+
+
+@query
+def manifest_scan_tree(spark, sf_dir):
+    root = written_tree(spark, sf_dir, "source", "lang")
+    ignored = ["source=src1", "/source=src2/lang=en", "_SUCCESS"]
+    return bytes_per_folder(scanning.scan_tree(spark, root, ignored))
+
+
+@query
+def hash_files(spark, sf_dir):
+    """Every document a file; hashes of the files by folder."""
+    root = written_tree(spark, sf_dir, "source", "lang", "doc_id")
+    files = scanning.scan_tree(spark, root, ["_SUCCESS"])
+    hashes = content.with_content_hash(content.with_prefix_hash(files))
+    folder = paths.parent_dir(paths.relative_path("source_path", "root_dir"))
+    return hashes.select(folder.alias("folder"), "size", "partial_sha256", "sha256")
+
+
+@query
+def dedupe_files(spark, sf_dir):
+    """The whole funnel over a scanned tree, twice: the second run finds its hashes."""
+    root = written_tree(spark, sf_dir, "source", "lang", "doc_id")
+    files = scanning.scan_tree(spark, root, ["_SUCCESS"])
+    cache = new_work_path(spark, "hash-cache")
+    duplicates.hash_candidates(files, cache)
+    again = duplicates.hash_candidates(files, cache)
+    folder = paths.parent_dir(paths.relative_path("source_path", "root_dir"))
+    plan = dedupe.dedupe_plan(again).select(folder.alias("folder"), "size", "op_type")
+    hits = again.agg(F.count_if("from_cache").alias("hits"), F.count("*").alias("n")).first()
+    return plan.withColumn("all_cached", F.lit(hits.hits == hits.n))

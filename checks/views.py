@@ -88,6 +88,18 @@ from conversations""",
   concat(lang,case when doc_id%3=0 then '' when doc_id%3=1 then concat('_v',n_chars%40)
     else concat('_v',n_chars%5,'_v',n_chars%7) end,'.txt') new_name
 from documents""",
+    "v_names": """select p_partkey, case p_partkey%10
+    when 0 then concat('Copy of ',p_name,' Sem ',p_size,' Final Notes (2).pdf')
+    when 1 then concat(replace(p_name,' ','-'),'_assignment_',p_size,'_FINAL_v',p_size%4,'.docx')
+    when 2 then concat('Department_',lower(p_type),'_Introduction_to_',replace(p_name,' ','_'),'_Lab_Manual_v2.tar.gz')
+    when 3 then concat('dataStructures',p_brand,'QuestionPaper.',p_size,'.txt')
+    when 4 then concat('scan_',p_partkey*7919,'_2024-2025_',p_name,'.pdf')
+    when 5 then concat('FALLSEM20',24+p_size%3,'-',25+p_size%3,'_',p_brand,'_syllabus')
+    when 6 then concat('Microsoft Word - ',p_name,' ',20240100+p_size,' api json.doc')
+    when 7 then concat('Winter_s',20+p_size%5,'-',21+p_size%5,' ',p_name,' ',p_name,' laboratory experiment new.txt')
+    when 8 then concat('invoice ',2000+p_size,'-12-01 paid (copy) os ',p_name)
+    else concat('chapter section part ',p_type,' ID',p_size,' XMLFile Draft document ',p_name,'.') end name
+from part""",
 }
 
 TABLES = (
@@ -125,6 +137,8 @@ def with_views(body: str) -> str:
     used = [v for v in VIEWS if v in body]
     clauses = [f"{v} as ({VIEWS[v].replace('{L}', 'strlen')})" for v in used]
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(clauses) + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(clauses) + ",\n" + body[5:]
     return "with " + ",\n".join(clauses) + "\n" + body

@@ -18,10 +18,10 @@ from shelfmark.schemas import OP_TYPES
 Planner = Callable[[DataFrame], DataFrame]
 
 
-def op_code(op_type: Column | str) -> Column:
+def op_code(op_type: str) -> Column:
     """Number of an operation type, as in the log."""
     names = F.array(*[F.lit(t) for t in OP_TYPES])
-    return (F.array_position(names, op_type) - 1).cast("int")
+    return (F.array_position(names, F.col(op_type)) - 1).cast("int")
 
 
 def op_name(code: Column | str) -> Column:
