@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import materialize
 
+# A window sorts a whole group in one task; up to this many rows that is fine.
+WINDOW_ROWS = 1_000_000
+
 
 def number_rows(
     df: DataFrame,
@@ -17,20 +20,27 @@ def number_rows(
     group_by: Sequence[str] = (),
     counting: Column | None = None,
     name: str = "row_no",
+    largest_group: int | None = None,
 ) -> DataFrame:
     """Add the running count of ``counting`` rows (default: all) within each group.
 
-    A window over the whole group would sort a hot group in one task. Here the
-    table is range-partitioned by (group, order) and written once; each piece is
-    counted on its own, and the counts of the pieces before it are added. A
-    group costs one offset row per piece it touches, at most one per partition.
+    If the largest group is known to be small, this is a window. A window over a
+    hot group would sort it in one task, so otherwise the table is
+    range-partitioned by (group, order) and written once; each piece is counted
+    on its own, and the counts of the pieces before it are added. A group costs
+    one offset row per piece it touches, at most one per partition.
 
     ``order_by`` must be unique within a group.
     """
     spark = df.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(group_by)
     flag = (F.lit(1) if counting is None else F.when(counting, 1).otherwise(0)).cast("long")
+    if groups and largest_group is not None and largest_group <= WINDOW_ROWS:
+        so_far = Window.partitionBy(*groups).orderBy(*order_by)
+        return df.withColumn(
+            name, F.sum(flag).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+        )
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
         df.withColumn("_flag", flag)
         .repartitionByRange(pieces, *groups, *order_by)

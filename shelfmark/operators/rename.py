@@ -95,27 +95,28 @@ def resolve_collisions(named: DataFrame) -> DataFrame:
 
     # An overflow of depth d takes a name of depth d + 1 and may so displace
     # that name's own first proposal: settle depths in turn.
-    repeated = stats.filter("n_files > 1")
     claimed = None
     settled: list[DataFrame] = []
     for depth in range(deepest + 1):
-        here = stats.filter(F.col("depth") == depth)
+        busy = stats.filter(F.col("depth") == depth)
         if claimed is None:
-            busy = here.filter("n_files > 1").withColumn("claimed", F.lit(0))
+            busy = busy.filter("n_files > 1").withColumn("claimed", F.lit(0))
         else:
             busy = (
-                here.join(claimed, "_name", "left")
+                busy.join(claimed, "_name", "left")
                 .withColumn("claimed", F.coalesce("claimed", F.lit(0)))
                 .filter("n_files > 1 or claimed = 1")
             )
         busy = materialize(busy.select("_name", "n_files", "claimed"), "busy-names")
-        if busy.isEmpty():
+        largest = busy.agg(F.max("n_files")).first()[0]
+        if largest is None:
             claimed = None
-            if repeated.filter(F.col("depth") > depth).isEmpty():
-                break
             continue
         overflow, claimed = _settle(
-            rows.filter(F.col("depth") == depth), busy, stats.filter(F.col("depth") == depth + 1)
+            rows.filter(F.col("depth") == depth),
+            busy,
+            stats.filter(F.col("depth") == depth + 1),
+            largest,
         )
         settled.append(overflow)
 
@@ -133,7 +134,9 @@ def resolve_collisions(named: DataFrame) -> DataFrame:
     ).drop("_suffix")
 
 
-def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _settle(
+    rows: DataFrame, busy: DataFrame, below: DataFrame, largest: int
+) -> tuple[DataFrame, DataFrame | None]:
     """Settle the names of one depth.
 
     Returns (source_path, _suffix) of every overflow, and the names of the next
@@ -145,34 +148,35 @@ def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFra
         .withColumn("version", F.lit(None).cast("bigint"))
     )
     # Explicit versions of busy names enter the count as markers at their first proposal.
-    markers = below.join(
-        busy.select(F.col("_name").alias("parent"), "claimed"), "parent"
-    ).filter("version is not null")
-    marks = markers.select(
-        F.col("parent").alias("_name"),
-        F.col("first").alias("_order"),
-        F.lit(None).cast("string").alias("source_path"),
-        "claimed",
-        "version",
-    )
-    counted = materialize(
-        number_rows(
-            proposals.unionByName(marks),
-            ["_order"],
-            group_by=["_name"],
-            counting=F.col("source_path").isNotNull(),
-            name="seen",
+    marks = (
+        below.filter("version is not null")
+        .join(busy.select(F.col("_name").alias("parent"), "claimed"), "parent")
+        .select(
+            F.col("parent").alias("_name"),
+            F.col("first").alias("_order"),
+            F.lit(None).cast("string").alias("source_path"),
+            "claimed",
+            "version",
         )
-        # Unless an overflow of the shorter name took it, the first proposal keeps the name.
-        .withColumn("turn", F.col("seen") - (1 - F.col("claimed"))),
-        "counted",
     )
+    most_marks = marks.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
+    counted = number_rows(
+        proposals.unionByName(marks) if most_marks else proposals,
+        ["_order"],
+        group_by=["_name"],
+        counting=F.col("source_path").isNotNull(),
+        name="seen",
+        largest_group=largest + most_marks,
+    )
+    # Unless an overflow of the shorter name took it, the first proposal keeps the name.
+    counted = counted.withColumn("turn", F.col("seen") - (1 - F.col("claimed")))
+    if not most_marks:
+        return counted.filter("turn > 0").select("source_path", F.col("turn").alias("_suffix")), None
+    counted = materialize(counted, "counted")
     overflow = counted.filter("source_path is not null and turn > 0")
     marked = counted.filter("source_path is null").select(
         "_name", "version", F.greatest("turn", F.lit(0)).alias("before")
     )
-    if marked.isEmpty():
-        return overflow.select("source_path", F.col("turn").alias("_suffix")), None
 
     sizes = busy.select("_name", (F.col("n_files") - 1 + F.col("claimed")).alias("turns"))
     versions = materialize(
@@ -193,22 +197,19 @@ def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFra
         (F.col("version") - F.col("skips") - 1).alias("turn"),
         F.col("version").alias("tie"),
     )
-    shifted = materialize(
-        gaps.groupBy("_name").agg(F.count("*").alias("n_gaps")), "shifted-names"
+    shifted = gaps.groupBy("_name").agg(F.count("*").alias("n_gaps")).join(sizes, "_name")
+    weights = materialize(
+        shifted.select("_name", F.col("turns").alias("n_files"), "n_gaps"), "shifted-names"
     )
-    weights = shifted.join(sizes, "_name").select("_name", F.col("turns").alias("n_files"))
-    split = materialize(
-        attach_groups(
-            overflow.select("_name", "source_path", "turn"),
-            materialize(weights, "shifted-weights").withColumn("gapped", F.lit(True)),
-            ["_name"],
-            spread_by="source_path",
-        ),
-        "overflow",
+    largest_shift = weights.agg(F.max(F.col("n_files") + F.col("n_gaps"))).first()[0]
+    if largest_shift is None:
+        return overflow.select("source_path", F.col("turn").alias("_suffix")), claimed
+    split = attach_groups(
+        overflow.select("_name", "source_path", "turn"), weights, ["_name"], spread_by="source_path"
     )
-    straight = split.filter("gapped is null").select("source_path", F.col("turn").alias("_suffix"))
+    straight = split.filter("n_gaps is null").select("source_path", F.col("turn").alias("_suffix"))
     events = (
-        split.filter("gapped")
+        split.filter("n_gaps is not null")
         .select("_name", "source_path", "turn", F.lit(-1).cast("bigint").alias("tie"))
         .unionByName(gaps)
     )
@@ -219,6 +220,7 @@ def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFra
             group_by=["_name"],
             counting=F.col("source_path").isNull(),
             name="skipped",
+            largest_group=largest_shift,
         )
         .filter("source_path is not null")
         .select("source_path", (F.col("turn") + F.col("skipped")).alias("_suffix"))
