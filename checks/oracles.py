@@ -234,8 +234,7 @@ d as (select file_ord, line_no, regexp_replace({trimmed('line')}, '/$', '') patt
   where {trimmed('line')} <> '' and not starts_with({trimmed('line')}, '#') and not starts_with({trimmed('line')}, '//'))"""
 
 
-FIRST = """select h.a file_ord, h.b line_no, pattern, source from
-  (select source, pattern, min(struct_pack(a := file_ord, b := line_no)) h from {src} group by all)"""
+FIRST = "select min(cast(file_ord as bigint) * 16777216 + line_no) ord, pattern, source from {src} group by all"
 
 oracle(
     "ignore_load",

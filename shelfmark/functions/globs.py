@@ -9,6 +9,8 @@ literal meaning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from shelfmark.functions.regexes import quote
 
 ANYTHING_BUT_SLASH = "[^/]"
@@ -73,19 +75,28 @@ def _parts(pattern: str) -> tuple[bool, str | None, str] | None:
     return is_path, glob_regex(inner), quote(inner)
 
 
-def tree_regex(pattern: str) -> str | None:
-    """Matches a relative file path if the file or a directory above it is hidden."""
-    parts = _parts(pattern)
-    if parts is None:
-        return None
-    is_path, glob, literal = parts
-    if is_path:
-        directory = f"{literal}/"
-        return f"^(?:{glob}(?:/|\\z)|{directory})" if glob is not None else f"^{directory}"
-    directory = f"{literal}[^/]*"
-    if glob is None:
-        return f"(^|/){directory}/"
-    return f"(^|/)(?:(?:{glob}|{directory})/|{glob}\\z)"
+def tree_regexes(patterns: Sequence[str]) -> list[str]:
+    """Match a relative file path if the file or a directory above it is hidden.
+
+    All name patterns share one expression and all path patterns another, so
+    the number of patterns does not grow the query plan.
+    """
+    names: list[str] = []
+    whole: list[str] = []
+    for is_path, glob, literal in filter(None, map(_parts, patterns)):
+        if is_path:
+            whole.append(f"{literal}/")
+            if glob is not None:
+                whole.append(f"{glob}(?:/|\\z)")
+        else:
+            names.append(f"{literal}[^/]*/")
+            if glob is not None:
+                names.append(f"{glob}(?:/|\\z)")
+    return [
+        f"{start}(?:{'|'.join(choices)})"
+        for start, choices in (("(?:^|/)", names), ("^", whole))
+        if choices
+    ]
 
 
 def entry_regex(pattern: str, is_dir: bool) -> str | None:

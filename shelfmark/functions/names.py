@@ -70,15 +70,11 @@ def _separated(stem: Column) -> Column:
 
 
 def _token(token: Column) -> Column:
-    lower = F.lower(token)
-    out = F.when(token.rlike(f"^[FW][0-9]{{2}}{_KEPT_HYPHEN}[0-9]{{2}}$"), token)
-    out = out.when(token.rlike("^(S[0-9]+|QP|v[0-9]+)$"), token)
-    for word, short in ABBREVIATIONS.items():
-        out = out.when(lower == word, short)
-    out = out.when(F.upper(token).isin(ACRONYMS), F.upper(token))
-    return out.otherwise(
-        F.concat(F.upper(F.substring(token, 1, 1)), F.lower(F.substr(token, F.lit(2))))
-    )
+    settled = f"^([FW][0-9]{{2}}{_KEPT_HYPHEN}[0-9]{{2}}|S[0-9]+|QP|v[0-9]+)$"
+    forms = {a.lower(): a for a in ACRONYMS} | ABBREVIATIONS
+    form = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    title = F.concat(F.upper(F.substring(token, 1, 1)), F.lower(F.substr(token, F.lit(2))))
+    return F.when(token.rlike(settled), token).otherwise(F.coalesce(form[F.lower(token)], title))
 
 
 def normalized_name(name: Column | str) -> Column:

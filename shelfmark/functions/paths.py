@@ -41,9 +41,15 @@ def stem(name: Column | str) -> Column:
 def walk_key(path: Column | str) -> Column:
     """Sort key of a depth-first walk that lists each directory in byte order.
 
-    ``a/b`` precedes ``a.txt``, which plain string order gets wrong.
+    ``a/b`` precedes ``a.txt``, which plain string order gets wrong. With the
+    separator below every other character, comparing strings compares part by
+    part; no path holds a NUL. Strings sort faster than arrays of parts.
     """
-    return F.split(_col(path), "/", -1)
+    return F.replace(_col(path), F.lit("/"), F.lit("\0"))
+
+
+def path_of_key(key: Column | str) -> Column:
+    return F.replace(_col(key), F.lit("\0"), F.lit("/"))
 
 
 def relative_path(path: Column | str, root: Column | str) -> Column:
@@ -54,7 +60,8 @@ def relative_path(path: Column | str, root: Column | str) -> Column:
 
 def depth(rel: Column | str) -> Column:
     """Number of directories above the file, counted from the root."""
-    return F.size(F.split(_col(rel), "/", -1)) - 1
+    r = _col(rel)
+    return F.length(r) - F.length(F.replace(r, F.lit("/"), F.lit("")))
 
 
 def clean_path(path: Column | str) -> Column:

@@ -6,18 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode white space that trimming removes.
-SPACE_CLASS = (
-    r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
 def trim_space(text: Column) -> Column:
-    """Trim Unicode white space; ``trim`` alone removes blanks only."""
-    return F.regexp_replace(text, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    """Trim Unicode white space; by default ``trim`` removes blanks only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def numbered_lines(df, text: str, keys: list[str]):
     """One row per line, numbered from 1; a carriage return before the break goes."""
-    return df.select(*keys, F.posexplode(F.split(text, "\r?\n", -1)).alias("_pos", "line")).select(
-        *keys, (F.col("_pos") + 1).alias("line_no"), "line"
+    line = F.col("line")
+    return df.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("_pos", "line")).select(
+        *keys,
+        (F.col("_pos") + 1).alias("line_no"),
+        F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line).alias("line"),
     )

@@ -37,23 +37,27 @@ def plan_conflicts(catalog: DataFrame, plan: DataFrame) -> DataFrame:
     the order of operations.
     """
     ops = effective(plan)
-    sources = ops.select(F.col("source_path").alias("path"))
-    targets = ops.filter(F.col("op_type").isin(*MOVES)).select(F.col("dest_path").alias("path")).distinct()
-    taken = (
-        _after(catalog, plan)
-        .groupBy(F.col("_path").alias("path"))
-        .count()
-        .filter("count > 1")
-        .select("path", F.lit("destination_taken").alias("problem"))
+
+    def tally(df: DataFrame, path: str, role: str) -> DataFrame:
+        ones = [F.lit(int(r == role)).cast("bigint").alias(r) for r in ("n_files", "n_sources", "n_targets")]
+        return df.select(F.col(path).alias("path"), *ones)
+
+    # Every path by the roles it plays: one shuffle, combined map-side.
+    roles = (
+        tally(catalog, "source_path", "n_files")
+        .unionByName(tally(ops, "source_path", "n_sources"))
+        .unionByName(tally(ops.filter(F.col("op_type").isin(*MOVES)), "dest_path", "n_targets"))
+        .groupBy("path")
+        .agg(*[F.sum(r).alias(r) for r in ("n_files", "n_sources", "n_targets")])
     )
-    chained = targets.join(sources, "path", "left_semi").withColumn("problem", F.lit("chained"))
-    repeated = sources.groupBy("path").count().filter("count > 1").select(
-        "path", F.lit("several_operations").alias("problem")
+    stays = (F.col("n_files") > 0) & (F.col("n_sources") == 0)
+    problems = F.array(
+        F.when((F.col("n_targets") > 1) | ((F.col("n_targets") > 0) & stays), "destination_taken"),
+        F.when((F.col("n_targets") > 0) & (F.col("n_sources") > 0), "chained"),
+        F.when(F.col("n_sources") > 1, "several_operations"),
+        F.when((F.col("n_sources") > 0) & (F.col("n_files") == 0), "no_such_file"),
     )
-    unknown = sources.join(
-        catalog.select(F.col("source_path").alias("path")), "path", "left_anti"
-    ).withColumn("problem", F.lit("no_such_file"))
-    return taken.unionByName(chained).unionByName(repeated).unionByName(unknown)
+    return roles.select("path", F.explode(F.array_compact(problems)).alias("problem"))
 
 
 def apply_plan(catalog: DataFrame, plan: DataFrame, check: bool = True) -> DataFrame:

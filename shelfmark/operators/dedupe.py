@@ -62,7 +62,7 @@ def duplicate_groups(hashed: DataFrame) -> DataFrame:
     The survivor is the first in walk order. ``min`` combines map-side, so the
     size of a group (all empty files share one hash) does not matter.
     """
-    first = F.min(F.struct(paths.walk_key("source_path").alias("key"), F.col("source_path")))
+    first = F.min(paths.walk_key("source_path"))
     return (
         hashed.groupBy("sha256")
         .agg(
@@ -71,7 +71,7 @@ def duplicate_groups(hashed: DataFrame) -> DataFrame:
             first.alias("first"),
         )
         .filter("n_files > 1")
-        .select("sha256", "n_files", "total_bytes", F.col("first.source_path").alias("keeper"))
+        .select("sha256", "n_files", "total_bytes", paths.path_of_key("first").alias("keeper"))
     )
 
 

@@ -12,9 +12,9 @@ DEFAULT_MAX_DEPTH = 1024  # fixed value
 
 def drop_hidden(manifest: DataFrame) -> DataFrame:
     """Drop files below a hidden directory, hidden files, and hidden roots."""
-    rel = paths.relative_path("source_path", "root_dir")
+    below = F.concat(F.lit("/"), paths.relative_path("source_path", "root_dir"))
     return manifest.filter(
-        ~rel.rlike("(^|/)[.]") & ~paths.base_name("root_dir").rlike("^[.].")
+        ~below.contains("/.") & ~paths.base_name("root_dir").rlike("^[.].")
     )
 
 

@@ -1,8 +1,8 @@
 """Ignore rules applied to a manifest.
 
 A file is hidden when it, or any directory between it and the root, matches a
-rule. Each rule is one literal regular expression over the relative path, so the
-usual case is a map-only filter.
+rule. Rules known when the plan is built are two literal regular expressions over
+the relative path, so the usual case is a map-only filter.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from shelfmark.functions import globs, paths
 from shelfmark.functions.skew import attach_groups
 from shelfmark.session import materialize
 
-LITERAL_LIMIT = 500
 _GLOB_CHARS = r"[*?\[\\]"
 
 
@@ -26,8 +25,7 @@ def _any(hits: Sequence[Column]) -> Column:
 
 
 def is_ignored(rel: Column, patterns: Sequence[str]) -> Column:
-    regexes = [r for r in map(globs.tree_regex, patterns) if r is not None]
-    return _any([rel.rlike(r) for r in regexes])
+    return _any([rel.rlike(r) for r in globs.tree_regexes(patterns)])
 
 
 def drop_ignored(manifest: DataFrame, patterns: Sequence[str]) -> DataFrame:

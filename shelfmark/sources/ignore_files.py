@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import numbered_lines, trim_space
@@ -12,6 +12,16 @@ from shelfmark.schemas import IGNORE_RULES
 
 CONFIG_SOURCE = "config"  # fixed value: source of patterns from a rule file
 
+# Order of a rule: file number and line number in one bigint.
+LINE_BITS = 24
+
+
+def _ord(file_ord: Column, line_no: Column) -> Column:
+    too_long = F.raise_error(F.lit("ignore file too long")).cast("bigint")
+    return F.when(
+        line_no < (1 << LINE_BITS), F.shiftleft(file_ord.cast("bigint"), LINE_BITS) + line_no
+    ).otherwise(too_long)
+
 
 def parse_ignore_files(files: DataFrame, text: str = "text") -> DataFrame:
     """Parse whole ignore files, one per row with ``file_ord`` and ``source``.
@@ -23,15 +33,18 @@ def parse_ignore_files(files: DataFrame, text: str = "text") -> DataFrame:
     return (
         lines.withColumn("pattern", pattern)
         .filter("pattern <> '' and not startswith(pattern, '#') and not startswith(pattern, '//')")
-        .select("file_ord", "line_no", F.regexp_replace("pattern", r"/\z", "").alias("pattern"), "source")
+        .select(
+            _ord(F.col("file_ord"), F.col("line_no")).alias("ord"),
+            F.regexp_replace("pattern", r"/\z", "").alias("pattern"),
+            "source",
+        )
     )
 
 
 def config_ignores(ignores: DataFrame) -> DataFrame:
     """Patterns of a rule file (``line_no``, ``pattern``) as ignore rules of source ``config``."""
     return ignores.filter("pattern <> ''").select(
-        F.lit(0).cast("bigint").alias("file_ord"),
-        "line_no",
+        _ord(F.lit(0), F.col("line_no")).alias("ord"),
         F.regexp_replace("pattern", r"/\z", "").alias("pattern"),
         F.lit(CONFIG_SOURCE).alias("source"),
     )
@@ -41,8 +54,8 @@ def first_occurrences(rules: DataFrame) -> DataFrame:
     """One row per (source, pattern), ordered by its first occurrence."""
     return (
         rules.groupBy("source", "pattern")
-        .agg(F.min(F.struct("file_ord", "line_no")).alias("first"))
-        .select("first.file_ord", "first.line_no", "pattern", "source")
+        .agg(F.min("ord").alias("ord"))
+        .select("ord", "pattern", "source")
     )
 
 
@@ -65,9 +78,7 @@ def load_ignore_rules(
     rules = found[0]
     for more in found[1:]:
         rules = rules.unionByName(more)
-    # Rule files are far shorter than 2**32 lines.
-    ord_ = F.shiftleft(F.col("file_ord"), 32) + F.col("line_no")
-    return first_occurrences(rules).select(ord_.alias("ord"), "pattern", "source")
+    return first_occurrences(rules)
 
 
 def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:

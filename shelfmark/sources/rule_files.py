@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.functions.regexes import PatternError, to_java
 from shelfmark.functions.text import numbered_lines, trim_space
 
 
@@ -45,43 +47,48 @@ def _lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     )
 
 
-def _matchers(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per matcher of a rule line with its ``problem``, if any."""
-    pieces = lines.filter("kind = 'rule'").select(
-        *keys, "line_no", "folder", F.posexplode(F.split("matchers", ",", -1)).alias("matcher_idx", "piece")
+def _with_matchers(lines: DataFrame) -> DataFrame:
+    """Rule lines with their matchers: array of (matcher_idx, raw, is_regex, problem)."""
+
+    def parsed(piece: Column, at: Column) -> Column:
+        trimmed = trim_space(piece)
+        opened, closed = trimmed.startswith("regex("), trimmed.endswith(")")
+        inner = F.substr(trimmed, F.lit(7), F.length(trimmed) - 7)
+        problem = F.when(trimmed == "", "empty").when(opened & ~closed, "malformed")
+        return F.struct(
+            at.alias("matcher_idx"),
+            F.when(opened & closed, inner).otherwise(trimmed).alias("raw"),
+            (opened & closed).alias("is_regex"),
+            problem.alias("problem"),
+        )
+
+    ruled = lines.filter("kind = 'rule'").withColumn(
+        "matchers", F.transform(F.split("matchers", ",", -1), parsed)
     )
-    piece = F.col("piece")
-    opened, closed = piece.startswith("regex("), piece.endswith(")")
-    inner = F.substr(piece, F.lit(7), F.length(piece) - 7)
-    parsed = pieces.withColumn("piece", trim_space(piece)).select(
-        *keys,
-        "line_no",
-        "folder",
-        "matcher_idx",
-        F.when(opened & closed, inner).otherwise(piece).alias("raw"),
-        (opened & closed).alias("is_regex"),
-        F.when(piece == "", F.lit("empty"))
-        .when(opened & ~closed, F.lit("malformed"))
-        .alias("problem"),
+    # Only lines with a regex matcher visit Python, where its syntax is checked.
+    any_regex = F.exists("matchers", lambda m: m["is_regex"])
+    patterns = F.transform("matchers", lambda m: F.when(m["is_regex"], m["raw"]))
+    checked = F.zip_with(
+        "matchers",
+        _pattern_problems(patterns),
+        lambda m, p: m.withField("problem", F.coalesce(m["problem"], p)),
+    )
+    return ruled.filter(~any_regex).unionByName(
+        ruled.filter(any_regex).withColumn("matchers", checked)
     )
-    # Only regex matchers visit Python, where their syntax is checked.
-    plain = parsed.filter(~F.col("is_regex"))
-    regex = parsed.filter("is_regex").mapInPandas(_check_patterns, parsed.schema)
-    return plain.unionByName(regex)
-
 
-def _check_patterns(batches: Iterator) -> Iterator:
-    from shelfmark.functions.regexes import PatternError, to_java
 
-    def problem(pattern: str) -> str | None:
-        try:
-            to_java(pattern)
-        except PatternError:
-            return "invalid"
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pattern_problems(lists: pd.Series) -> pd.Series:
+    def problem(pattern: str | None) -> str | None:
+        if pattern is not None:
+            try:
+                to_java(pattern)
+            except PatternError:
+                return "invalid"
         return None
 
-    for batch in batches:
-        yield batch.assign(problem=batch["raw"].map(problem))
+    return lists.map(lambda patterns: [problem(p) for p in patterns])
 
 
 def parse_rule_files(files: DataFrame, text: str = "text", keys: list[str] | None = None) -> RuleSet:
@@ -91,20 +98,15 @@ def parse_rule_files(files: DataFrame, text: str = "text", keys: list[str] | Non
     """
     keys = keys or []
     lines = _lines(files, text, keys)
-    matchers = _matchers(lines, keys)
-    valid = matchers.filter("problem is null")
-    rules = (
-        lines.filter("kind = 'rule'")
-        .select(*keys, "line_no", "folder")
-        .join(valid.drop("folder"), [*keys, "line_no"], "left")
-        .select(
-            *keys,
-            F.col("line_no").alias("rule_idx"),
-            "matcher_idx",
-            "folder",
-            "raw",
-            F.coalesce("is_regex", F.lit(False)).alias("is_regex"),
-        )
+    ruled = _with_matchers(lines)
+    valid = F.filter("matchers", lambda m: m["problem"].isNull())
+    rules = ruled.select(*keys, "line_no", "folder", F.explode_outer(valid).alias("m")).select(
+        *keys,
+        F.col("line_no").alias("rule_idx"),
+        "m.matcher_idx",
+        "folder",
+        "m.raw",
+        F.coalesce("m.is_regex", F.lit(False)).alias("is_regex"),
     )
     ignores = lines.filter("kind = 'ignore'").select(*keys, "line_no", "pattern")
 
@@ -132,7 +134,10 @@ def parse_rule_files(files: DataFrame, text: str = "text", keys: list[str] | Non
         )
         .otherwise(F.concat(F.lit("invalid regex "), _go_quoted(F.col("raw"))))
     )
-    dropped = matchers.filter("problem is not null").select(
+    bad = F.filter("matchers", lambda m: m["problem"].isNotNull())
+    dropped = ruled.select(*keys, "line_no", "folder", F.explode(bad).alias("m")).select(
+        *keys, "line_no", "folder", "m.*"
+    ).select(
         *keys,
         "line_no",
         "matcher_idx",
@@ -168,7 +173,12 @@ def parse_inline(df: DataFrame, text: str = "text", keys: list[str] | None = Non
         checked.alias("folder"),
         F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("matchers"),
     )
-    matchers = _matchers(lines, keys).filter("problem is null or problem <> 'empty'")
+    matchers = (
+        _with_matchers(lines)
+        .select(*keys, "folder", F.explode("matchers").alias("m"))
+        .select(*keys, "folder", "m.*")
+        .filter("problem is null or problem <> 'empty'")
+    )
     raw = F.when(
         F.col("problem").isNotNull(),
         F.raise_error(F.concat(F.col("problem"), F.lit(" regex matcher "), _go_quoted(F.col("raw")))).cast("string"),
