@@ -238,9 +238,9 @@ def line_rules(spark) -> list[Row]:
     return parse_rule_files(one).rules.collect()
 
 
-def line_plan(spark, sf_dir) -> DataFrame:
+def line_plan(spark, files) -> DataFrame:
     """Moves of line items by rule; the cheapest of them are deleted instead."""
-    plan = classify.classify_case(manifest(spark, sf_dir, "v_line"), line_rules(spark))
+    plan = classify.classify_case(files, line_rules(spark))
     cheap = F.expr("op_type = 'move' and size < 2000000")
     return plan.withColumns(
         {
@@ -269,12 +269,12 @@ def plan_effective(spark, sf_dir):
 
 @query
 def plan_summary(spark, sf_dir):
-    return planning.plan_summary(line_plan(spark, sf_dir))
+    return planning.plan_summary(line_plan(spark, manifest(spark, sf_dir, "v_line")))
 
 
 @query
 def apply_summary(spark, sf_dir):
-    return planning.apply_summary(line_plan(spark, sf_dir))
+    return planning.apply_summary(line_plan(spark, manifest(spark, sf_dir, "v_line")))
 
 
 @query
@@ -299,8 +299,8 @@ def ignore_some(files: DataFrame) -> DataFrame:
 
 @query
 def plan_apply(spark, sf_dir):
-    files = manifest(spark, sf_dir, "v_line")
-    return catalog.apply_plan(files, materialize(line_plan(spark, sf_dir), "plan"))
+    files = materialize(manifest(spark, sf_dir, "v_line"), "files")
+    return catalog.apply_plan(files, materialize(line_plan(spark, files), "plan"))
 
 
 def deduped_mix(spark, sf_dir) -> DataFrame:
@@ -463,9 +463,7 @@ def rename_versions(spark, sf_dir):
 
 @query
 def normalize_names(spark, sf_dir):
-    return view(spark, sf_dir, "v_names").select(
-        "p_partkey", "name", names.normalized_name("name").alias("new_name")
-    )
+    return names.with_normalized_name(view(spark, sf_dir, "v_names"), "name")
 
 
 # --- hash cache -----------------------------------------------------------

@@ -7,7 +7,7 @@ abbreviations, acronyms, title case, repeats. The extension is never changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -77,24 +77,39 @@ def _token(token: Column) -> Column:
     return F.when(token.rlike(settled), token).otherwise(F.coalesce(form[F.lower(token)], title))
 
 
-def normalized_name(name: Column | str) -> Column:
-    """Normalised base name; a name of clutter only stays as it is."""
-    n = F.col(name) if isinstance(name, str) else name
-    stem, ext = paths.stem(n), paths.extension(n)
-    tokens = F.filter(F.split(_separated(stem), "_", -1), lambda t: t != "")
-    # Long names lose generic words in front of the first specific one.
-    specific = F.array_position(
-        F.transform(tokens, lambda t: ~F.lower(t).isin(GENERIC_PREFIXES)), True
-    ).cast("int")
-    tokens = F.when(
-        (F.size(tokens) > LONG_NAME_TOKENS) & (specific > 1),
-        F.slice(tokens, F.greatest(specific, F.lit(1)), F.greatest(F.size(tokens), F.lit(1))),
-    ).otherwise(tokens)
+def with_normalized_name(df: DataFrame, name: str, out: str = "new_name") -> DataFrame:
+    """Add the normalised base name; a name of clutter only stays as it is.
+
+    Each step is a column of its own, so that no step is evaluated twice.
+    """
     long_number = rf"^[0-9]{{{LONG_NUMBER_DIGITS},}}$"
-    tokens = F.filter(
-        tokens,
-        lambda t: ~F.lower(t).isin(CLUTTER) & (~t.rlike(long_number) | t.rlike(_DATE)),
-    )
-    words = F.array_distinct(F.transform(tokens, _token))
+
+    def kept(token: Column) -> Column:
+        number = token.rlike(long_number) & ~token.rlike(_DATE)
+        return ~F.lower(token).isin(CLUTTER) & ~number
+
+    def is_specific(token: Column) -> Column:
+        return ~F.lower(token).isin(GENERIC_PREFIXES)
+
+    tokens = F.filter(F.split("_separated", "_", -1), lambda t: t != "")
+    # Long names lose generic words in front of the first specific one.
+    first = F.array_position(F.transform("_tokens", is_specific), True).cast("int")
+    is_long = (F.size("_tokens") > LONG_NAME_TOKENS) & (F.col("_first") > 1)
+    # Slicing starts at 1 or later even where it is not used.
+    shortened = F.slice("_tokens", F.greatest("_first", F.lit(1)), F.greatest(F.size("_tokens"), F.lit(1)))
+    words = F.array_distinct(F.transform(F.filter("_tokens", kept), _token))
     joined = F.replace(F.array_join(words, "_"), F.lit(_KEPT_HYPHEN), F.lit("-"))
-    return F.when(joined == "", n).otherwise(F.concat(joined, ext))
+    return (
+        df.withColumn("_separated", _separated(paths.stem(name)))
+        .withColumn("_tokens", tokens)
+        .withColumn("_first", first)
+        .withColumn("_tokens", F.when(is_long, shortened).otherwise(F.col("_tokens")))
+        .withColumn("_joined", joined)
+        .withColumn(
+            out,
+            F.when(F.col("_joined") == "", F.col(name)).otherwise(
+                F.concat("_joined", paths.extension(name))
+            ),
+        )
+        .drop("_separated", "_tokens", "_first", "_joined")
+    )

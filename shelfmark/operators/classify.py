@@ -118,18 +118,16 @@ def classify_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
         ),
         "names",
     )
-    lengths = F.array(*[F.lit(n) for n in facts.lengths]).cast("array<int>")
-    pieces = F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: n <= F.length("name")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("name") - n + 1),
-                lambda at: F.substring(F.col("name"), at, n),
-            ),
-        )
-    )
+    # Every substring of a keyword length; a name's pieces stay in its partition.
+    at, name = F.col("at"), F.col("name")
+    piece = F.array(
+        *[F.when(at + (n - 1) <= F.length(name), F.substring(name, at, F.lit(n))) for n in facts.lengths]
+    ).cast("array<string>")
     by_keyword = (
-        names.select("name", F.explode(F.array_distinct(pieces)).alias("piece"))
+        names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+        .select("name", F.explode(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))).alias("at"))
+        .select("name", F.explode(piece).alias("piece"))
+        .filter("piece is not null")
         .join(first_hit, "piece")
         .groupBy("name")
         .agg(F.min("hit").alias("keyword_hit"))

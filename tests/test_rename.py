@@ -118,5 +118,5 @@ NAMES = {
 
 def test_normalized_names(spark):
     df = spark.createDataFrame([(n,) for n in NAMES], "n string")
-    got = {r.n: r.out for r in df.select("n", names.normalized_name("n").alias("out")).collect()}
+    got = {r.n: r.out for r in names.with_normalized_name(df, "n", "out").collect()}
     assert got == NAMES
