@@ -296,6 +296,7 @@ select root_dir, source_path, size, 'move' op_type, concat('/data/Rest/', name)
 where not regexp_matches(rel, '(^|/)[.]') and not regexp_matches(rel, '(^|/)build[^/]*/')
   and not starts_with(rel, 'src1/') and not regexp_matches(rel, '^src2/[^/]*[.]txt$')""",
 )
+ORACLES["sort_files"] = ORACLES["plan_planners"]
 oracle(
     "plan_apply",
     f"""with {LINE_MOVED}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.views import manifest, table, view, with_content
 from shelfmark.functions import names, paths
 from shelfmark.operators import catalog, classify, dedupe, filters, history, ignore, rename, report
-from shelfmark.plans import duplicates, planning
+from shelfmark.plans import duplicates, planning, sorting
 from shelfmark.session import materialize, new_work_path
 from shelfmark.sources import content, hash_cache, txn_log
 from shelfmark.sources import manifest as scanning
@@ -293,6 +293,14 @@ def plan_planners(spark, sf_dir):
     return filters.effective(planning.plan(ignore_some(visible), planner))
 
 
+@query
+def sort_files(spark, sf_dir):
+    """Rule file with ignore lines, from scan to effective plan."""
+    text = RULE_TEXT + "".join(f"!{p}\n" for p in MIX_PATTERNS)
+    rules = parse_rule_files(spark.range(1).select(F.lit(text).alias("text")))
+    return sorting.sort_plan(manifest(spark, sf_dir, "v_mix"), rules)
+
+
 def ignore_some(files: DataFrame) -> DataFrame:
     return ignore.drop_ignored(files, MIX_PATTERNS)
 

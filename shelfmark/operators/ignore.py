@@ -17,6 +17,7 @@ from shelfmark.functions import globs, paths
 from shelfmark.functions.skew import attach_groups
 from shelfmark.session import materialize
 
+LITERAL_LIMIT = 1000
 _GLOB_CHARS = r"[*?\[\\]"
 
 
@@ -105,6 +106,14 @@ def drop_ignored_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     return kept.filter(~is_ignored(F.col("_rel"), glob_patterns)).select(*manifest.columns)
 
 
+def hide(manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pick the form by the checked size of the rule table."""
+    head = rules.select("pattern").limit(LITERAL_LIMIT + 1).collect()
+    if len(head) <= LITERAL_LIMIT:
+        return drop_ignored(manifest, [r.pattern for r in head])
+    return drop_ignored_join(manifest, rules)
+
+
 def explain_ignored(
     entries: DataFrame, rules: Sequence[Row], is_dir: Column | None = None
 ) -> DataFrame:
