@@ -252,10 +252,10 @@ PART_MOVED = f"""p as (select root_dir, source_path, size,
       when regexp_matches({base()}, '^cold.*[.]pdf$') then concat('/data/Papers/', {base()}) end dest_path
   from v_part)"""
 
-LINE_MOVED = f"""c as (select *, {base()} name from v_line),
-m as (select *, case when contains(name, '_1.dat') then '/data/ones/' || name
-  when regexp_matches(name, '_[357][.]dat$') then '/data/odd/deep/' || name
-  when contains(name, 'li_12') then '/data/' || name end dest from c),
+LINE_MOVED = f"""c as (select *, {base()} name, replace({rel()}, '/', '_') own from v_line),
+m as (select *, case when contains(name, '_1.dat') then '/data/ones/' || own
+  when regexp_matches(name, '_[357][.]dat$') then '/data/odd/deep/' || own
+  when contains(name, 'li_12') then '/data/' || own end dest from c),
 p as (select root_dir, source_path, size,
   case when dest is null then 'skip' when size < 2000000 then 'delete' else 'move' end op_type,
   case when size >= 2000000 then dest end dest_path from m)"""

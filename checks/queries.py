@@ -239,13 +239,18 @@ def line_rules(spark) -> list[Row]:
 
 
 def line_plan(spark, files) -> DataFrame:
-    """Moves of line items by rule; the cheapest of them are deleted instead."""
+    """Moves of line items by rule; the cheapest of them are deleted instead.
+
+    Names may repeat over folders, so a moved file takes its old folders into its name.
+    """
     plan = classify.classify_case(files, line_rules(spark))
     cheap = F.expr("op_type = 'move' and size < 2000000")
+    own_name = F.replace(paths.relative_path("source_path", "root_dir"), F.lit("/"), F.lit("_"))
+    target = F.concat(paths.parent_dir("dest_path"), F.lit("/"), own_name)
     return plan.withColumns(
         {
             "op_type": F.when(cheap, "delete").otherwise(F.col("op_type")),
-            "dest_path": F.when(~cheap, F.col("dest_path")),
+            "dest_path": F.when(~cheap, target),
         }
     )
 

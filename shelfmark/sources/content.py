@@ -17,8 +17,11 @@ def _hashed(files: DataFrame, column: str, first_bytes: int | None) -> DataFrame
             yield batch.assign(**{column: [sha256_of(p, first_bytes) for p in batch["source_path"]]})
 
     schema = T.StructType([*files.schema.fields, T.StructField(column, T.StringType())])
-    # Hashing by path spreads the large files of one folder over all tasks.
-    return files.repartition("source_path").mapInPandas(add_hash, schema)
+    # By path, so that the large files of one folder meet different tasks. The
+    # number is given: rows are small but their files are not, so adaptive
+    # execution must not merge these tasks by the size of the rows.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "source_path").mapInPandas(add_hash, schema)
 
 
 def with_prefix_hash(files: DataFrame) -> DataFrame:
