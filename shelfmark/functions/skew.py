@@ -37,7 +37,9 @@ def attach_groups(
     )
     is_hot = F.col(f"_group.{weight}") * HOT_GROUPS >= total
     hot = F.broadcast(packed.filter(is_hot).withColumnRenamed("_group", "_hot"))
-    cold = packed.filter(~is_hot).withColumnRenamed("_group", "_cold").withColumn("_slot", F.lit(0))
+    # Always 0, but no constant to the optimizer, which would drop a constant from the join key.
+    slot = F.pmod(F.xxhash64(*[f"_key_{k}" for k in keys]), F.lit(1)).cast("int")
+    cold = packed.filter(~is_hot).withColumnRenamed("_group", "_cold").withColumn("_slot", slot)
 
     on_hot = [F.col(k) == F.col(f"_key_{k}") for k in keys]
     done = F.col("_hot").isNotNull()

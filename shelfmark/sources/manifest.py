@@ -65,9 +65,10 @@ def scan_tree(
 
     level = spark.range(1).select(F.lit(root).alias("dir"))
     found = None
-    depth = 0
+    depth, n_dirs = 0, 1
     while True:
-        listed = level.repartition(tasks, "dir").mapInPandas(_list_batches, _LISTED).filter(keep)
+        spread = level.repartition(min(tasks, n_dirs), "dir")
+        listed = spread.mapInPandas(_list_batches, _LISTED).filter(keep)
         listed = materialize(listed, "listed")
         files = listed.filter("not is_dir").select(
             F.lit(root).alias("root_dir"),
@@ -77,8 +78,8 @@ def scan_tree(
         )
         found = files if found is None else found.unionByName(files)
         level = listed.filter("is_dir").select(F.col("source_path").alias("dir"))
-        depth += 1
-        if depth > max(max_depth, 0) or level.isEmpty():
+        depth, n_dirs = depth + 1, level.count()
+        if depth > max(max_depth, 0) or n_dirs == 0:
             return found
 
 

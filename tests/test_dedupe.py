@@ -68,6 +68,22 @@ def test_attach_groups_hot_cold_and_missing(spark):
     assert groups.filter(F.col("n_files") * HOT_GROUPS >= total).count() <= HOT_GROUPS
 
 
+def test_hot_groups_are_spread_without_adaptive_execution(spark):
+    """With plain shuffle joins no partition gets much more than its share."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        rows = spark.range(40000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+        groups = materialize(rows.groupBy("k").agg(F.count("*").alias("n_files")), "g")
+        got = attach_groups(rows, groups, ["k"], spread_by="id")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40000 and len(sizes) == 8 and max(sizes) < 2 * 40000 / 8
+
+
 def test_missing_hash_fails(spark):
     files = spark.createDataFrame([("/r/a", None), ("/r/b", "x")], "source_path string, sha256 string")
     assert paths_of(dedupe.missing_hashes(files.select("source_path"), files)) == ["/r/a"]
