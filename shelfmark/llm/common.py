@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +62,6 @@ def slot_sums(rows: DataFrame, keys: list[str], amount: str) -> DataFrame:
     )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -90,20 +77,82 @@ def chained(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first) * _MIX + second
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x5851F42D4C957F2D
+# Bytes hashed at once; texts are cut at white space.
+STRETCH = 1 << 16
+
+
+class WordHashes:
+    """64-bit hashes of the words of a text, all words of a stretch at once.
+
+    A word is a polynomial in its bytes, taken from running sums: the powers of the
+    base only depend on the place, so a sum between two places, divided by the power
+    of the first, is the hash of what lies between.
+    """
+
+    def __init__(self) -> None:
+        self._powers(STRETCH + 1)
+
+    def _powers(self, n: int) -> None:
+        one = np.ones(1, np.uint64)
+        base = np.full(n - 1, _BASE, np.uint64)
+        inverse = np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)
+        self.power = np.concatenate([one, np.cumprod(base)])
+        self.inverse = np.concatenate([one, np.cumprod(inverse)])
+
+    def _stretches(self, text: bytes):
+        start = 0
+        while len(text) - start > STRETCH:
+            data = np.frombuffer(text, np.uint8, STRETCH, start)
+            spaces = np.flatnonzero(_SPACE[data])
+            if len(spaces):
+                yield data[: spaces[-1] + 1]
+                start += int(spaces[-1]) + 1
+                continue
+            end = start + STRETCH  # one long word: the stretch ends where the word does
+            while end < len(text) and not _SPACE[text[end]]:
+                end += 1
+            yield np.frombuffer(text, np.uint8, end - start, start)
+            start = end
+        if start < len(text):
+            yield np.frombuffer(text, np.uint8, len(text) - start, start)
+
+    def of(self, text: bytes) -> np.ndarray:
+        parts = [self._words(data) for data in self._stretches(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
+
+    def _words(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        if n >= len(self.power):
+            self._powers(n + 1)
+        word = ~_SPACE[data]
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        edges = np.concatenate([[0] if word[0] else [], edges, [n] if word[-1] else []]).astype(np.int64)
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+
+
 def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text.
 
     A-Z are lower-cased. A text of fewer words is one shingle, without words none.
     """
-    words = text.translate(LOWER_BYTES).split() if text else []
-    if not words:
+    codes = hashes.of(text.translate(LOWER_BYTES)) if text else ()
+    if not len(codes):
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = codes[: len(words) - size + 1] + np.uint64(size)
+    size = min(size, len(codes))
+    n = len(codes) - size + 1
+    out = codes[:n] + np.uint64(size)
     for i in range(1, size):
-        out = chained(out, codes[i : len(words) - size + 1 + i])
-    return np.unique(mixed(out))
+        out = (out ^ (out >> np.uint64(31))) * _MIX + codes[i : n + i]
+    out = mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

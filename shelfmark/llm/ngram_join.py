@@ -42,8 +42,8 @@ MATCHES = 3
 # Tokens counted or indexed in a task before it passes them on.
 FLUSH = 2_000_000
 # Tokens and sets of a block of a cluster.
-BLOCK_TOKENS = 1_000_000
-BLOCK_SETS = 2_048
+BLOCK_TOKENS = 500_000
+BLOCK_SETS = 512
 COLUMNS = 2_048
 # Classes of signatures: rare single tokens, combinations of two tokens.
 RARE, COMBINED = 0, 1

@@ -4,21 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import ngram_join
+from shelfmark.llm import exact_dedup, language, mixing, ngram_join, sharding, token_counts, token_output
 from shelfmark.llm.common import table
+from shelfmark.session import new_work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path(TOKENIZER)
+
+
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return ngram_join.jaccard_groups(docs, words=4, num=85, den=100)
+
+
+@query
+def op2_source_mixture(spark, sf_dir):
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.size("positions")).cast("long").alias("taken"),
+    )
+
+
+@query
+def op4_stratified_shards(spark, sf_dir):
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_language_mixture(spark, sf_dir):
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_length_histogram(spark, sf_dir):
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_counts.length_histogram(lengths)
+
+
+@query
+def op8_token_orc(spark, sf_dir):
+    path = new_work_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_output.token_digests(token_output.read_tokens(spark, path))
+
+
+@query
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
