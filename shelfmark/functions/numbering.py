@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import materialize
 
-# A window sorts a whole group in one task; up to this many rows that is fine.
-WINDOW_ROWS = 1_000_000
+# Bits of monotonically_increasing_id that hold the position within a partition.
+POSITION_BITS = 33
 
 
 def number_rows(
@@ -20,47 +20,68 @@ def number_rows(
     group_by: Sequence[str] = (),
     counting: Column | None = None,
     name: str = "row_no",
-    largest_group: int | None = None,
 ) -> DataFrame:
     """Add the running count of ``counting`` rows (default: all) within each group.
 
-    If the largest group is known to be small, this is a window. A window over a
-    hot group would sort it in one task, so otherwise the table is
-    range-partitioned by (group, order) and written once; each piece is counted
-    on its own, and the counts of the pieces before it are added. A group costs
-    one offset row per piece it touches, at most one per partition.
+    The table is range-partitioned by (group, order), sorted and written once: one
+    shuffle and sort (two when only some rows count), and no task holds a whole hot group. The
+    id a row gets at writing is its partition and its position there; the rest are
+    offsets, one row per partition, or per group and partition it touches.
 
-    ``order_by`` must be unique within a group.
+    ``order_by`` should be unique within a group, else equal rows are in any order.
     """
     spark = df.sparkSession
     groups = list(group_by)
-    flag = (F.lit(1) if counting is None else F.when(counting, 1).otherwise(0)).cast("long")
-    if groups and largest_group is not None and largest_group <= WINDOW_ROWS:
-        so_far = Window.partitionBy(*groups).orderBy(*order_by)
-        return df.withColumn(
-            name, F.sum(flag).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
-        )
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flagged = df if counting is None else df.withColumn("_counts", F.coalesce(counting, F.lit(False)))
     ranged = materialize(
-        df.withColumn("_flag", flag)
-        .repartitionByRange(pieces, *groups, *order_by)
-        .withColumn("_piece", F.spark_partition_id()),
+        flagged.repartitionByRange(pieces, *groups, *order_by)
+        .sortWithinPartitions(*groups, *order_by)
+        .withColumn("_at", F.monotonically_increasing_id()),
         "ranged",
     )
-    keys = [*groups, "_piece"]
+    if counting is not None:
+        return _running(ranged, groups, name)
+    ranged = ranged.withColumn("_piece", F.shiftright("_at", POSITION_BITS))
     before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*keys)
-        .agg(F.sum("_flag").alias("_piece_count"))
-        .withColumn("_offset", F.coalesce(F.sum("_piece_count").over(before), F.lit(0)))
-        .drop("_piece_count")
+        ranged.groupBy(*groups, "_piece")
+        .agg(F.count("*").alias("_piece_count"), F.min("_at").alias("_first"))
+        .select(
+            *[F.col(g).alias(f"_of_{g}") for g in groups],
+            F.col("_piece").alias("_of_piece"),
+            (F.coalesce(F.sum("_piece_count").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
+        )
     )
     if not groups:
         offsets = F.broadcast(offsets)  # one row per partition
-    within = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_piece") == F.col("_of_piece")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return ranged.join(offsets, same).select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))
+
+
+def _running(ranged: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """Running count of the flagged rows: in the piece by a window, plus what earlier pieces counted."""
+    keys = [*groups, "_piece"]
+    flag = F.col("_counts").cast("long")
+    ranged = ranged.withColumn("_piece", F.shiftright("_at", POSITION_BITS))
+    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(*keys)
+        .agg(F.sum(flag).alias("_piece_count"))
+        .select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.coalesce(F.sum("_piece_count").over(before), F.lit(0)).alias("_offset"),
+        )
+    )
+    within = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    columns = [c for c in ranged.columns if c not in ("_counts", "_at", "_piece")]
     return (
-        ranged.withColumn(name, F.sum("_flag").over(within))
-        .join(offsets, keys)
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_flag", "_piece", "_offset")
+        ranged.withColumn("_so_far", F.sum(flag).over(within))
+        .join(offsets, same)
+        .select(*columns, (F.col("_so_far") + F.col("_offset")).alias(name))
     )

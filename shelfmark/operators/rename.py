@@ -108,15 +108,13 @@ def resolve_collisions(named: DataFrame) -> DataFrame:
                 .filter("n_files > 1 or claimed = 1")
             )
         busy = materialize(busy.select("_name", "n_files", "claimed"), "busy-names")
-        largest = busy.agg(F.max("n_files")).first()[0]
-        if largest is None:
+        if busy.isEmpty():
             claimed = None
             continue
         overflow, claimed = _settle(
             rows.filter(F.col("depth") == depth),
             busy,
             stats.filter(F.col("depth") == depth + 1),
-            largest,
         )
         settled.append(overflow)
 
@@ -134,9 +132,7 @@ def resolve_collisions(named: DataFrame) -> DataFrame:
     ).drop("_suffix")
 
 
-def _settle(
-    rows: DataFrame, busy: DataFrame, below: DataFrame, largest: int
-) -> tuple[DataFrame, DataFrame | None]:
+def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Settle the names of one depth.
 
     Returns (source_path, _suffix) of every overflow, and the names of the next
@@ -159,18 +155,17 @@ def _settle(
             "version",
         )
     )
-    most_marks = marks.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
+    has_marks = not marks.isEmpty()
     counted = number_rows(
-        proposals.unionByName(marks) if most_marks else proposals,
+        proposals.unionByName(marks) if has_marks else proposals,
         ["_order"],
         group_by=["_name"],
         counting=F.col("source_path").isNotNull(),
         name="seen",
-        largest_group=largest + most_marks,
     )
     # Unless an overflow of the shorter name took it, the first proposal keeps the name.
     counted = counted.withColumn("turn", F.col("seen") - (1 - F.col("claimed")))
-    if not most_marks:
+    if not has_marks:
         return counted.filter("turn > 0").select("source_path", F.col("turn").alias("_suffix")), None
     counted = materialize(counted, "counted")
     overflow = counted.filter("source_path is not null and turn > 0")
@@ -201,8 +196,7 @@ def _settle(
     weights = materialize(
         shifted.select("_name", F.col("turns").alias("n_files"), "n_gaps"), "shifted-names"
     )
-    largest_shift = weights.agg(F.max(F.col("n_files") + F.col("n_gaps"))).first()[0]
-    if largest_shift is None:
+    if weights.isEmpty():
         return overflow.select("source_path", F.col("turn").alias("_suffix")), claimed
     split = attach_groups(
         overflow.select("_name", "source_path", "turn"), weights, ["_name"], spread_by="source_path"
@@ -220,7 +214,6 @@ def _settle(
             group_by=["_name"],
             counting=F.col("source_path").isNull(),
             name="skipped",
-            largest_group=largest_shift,
         )
         .filter("source_path is not null")
         .select("source_path", (F.col("turn") + F.col("skipped")).alias("_suffix"))

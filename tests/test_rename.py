@@ -43,9 +43,7 @@ def test_cases(spark, proposed):
     assert resolved(spark, proposed) == greedy(proposed)
 
 
-@pytest.mark.parametrize("window_rows", [numbering.WINDOW_ROWS, 0])
-def test_random_batches(spark, monkeypatch, window_rows):
-    monkeypatch.setattr(numbering, "WINDOW_ROWS", window_rows)
+def test_random_batches(spark):
     rnd = random.Random(11)
     proposed = []
     for family in range(80):
@@ -59,8 +57,7 @@ def test_random_batches(spark, monkeypatch, window_rows):
     assert resolved(spark, proposed) == greedy(proposed)
 
 
-def test_one_name_holds_most_files(spark, monkeypatch):
-    monkeypatch.setattr(numbering, "WINDOW_ROWS", 100)
+def test_one_name_holds_most_files(spark):
     rnd = random.Random(2)
     proposed = ["n.t"] * 3000 + [f"n_v{i}.t" for i in range(1, 400, 3)] + [f"u{i}" for i in range(500)]
     rnd.shuffle(proposed)
