@@ -8,17 +8,41 @@ digest has another row; their bytes are compared with the text at the locator.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.skew import attach_groups
 from shelfmark.session import materialize, new_work_path
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# All RocksDB instances of an executor, one for each state partition it holds, share a
+# bounded cache and bounded write buffers; the state itself is on disk.
+ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{ROCKSDB}.boundedMemoryUsage": "true",
+    f"{ROCKSDB}.maxMemoryUsageMB": "256",
+    f"{ROCKSDB}.writeBufferSizeMB": "4",
+    f"{ROCKSDB}.changelogCheckpointing.enabled": "true",
+}
 # Members compared with one copy of the text they should equal.
 MEMBERS = 1_000
 
 
+@contextmanager
+def state_settings(spark: SparkSession):
+    """The settings of the state store, for streams and for reading their state."""
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -43,11 +67,8 @@ def update_state(
     ``state`` is a folder all executors share. It survives a lost driver: a later call
     goes on after the last batch that was committed.
     """
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
     path = path.rstrip("/")
-    try:
+    with state_settings(spark):
         stream = (
             spark.readStream.schema(spark.read.parquet(path).schema)
             .option("maxFilesPerTrigger", files_per_batch)
@@ -66,8 +87,6 @@ def update_state(
             .start()
         )
         run.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
@@ -127,7 +146,8 @@ def deduplicate(
     """
     state = state or new_work_path(spark, "dedup-state")
     update_state(spark, path, state, files_per_batch=files_per_batch, digest=digest)
-    groups = materialize(read_state(spark, state), "groups")
+    with state_settings(spark):
+        groups = materialize(read_state(spark, state), "groups")
     rows = _rows(spark.read.parquet(path), digest)
     decided = materialize(
         attach_groups(rows, groups, ["digest", "n_bytes"], spread_by="locator"), "decided"
