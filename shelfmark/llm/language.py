@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Hashed n-grams of a model: 8 bytes each for a language, in the driver and every worker.
 BUCKET_BITS = 17
@@ -22,8 +23,8 @@ SMOOTHING = 0.5
 FULL_ROUNDS, SET_ROUNDS = 8, 6
 # Penalty for a language, times the logarithm of the number of words.
 PENALTY = 2.0
-# Words times languages held at once, unless one document has more.
-AT_ONCE = 1_000_000
+# Bytes times languages worked on at once, unless one document has more.
+AT_ONCE = 4_000_000
 UNDETERMINED = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -151,25 +152,34 @@ def mixtures(data: list[bytes], model: np.ndarray) -> np.ndarray:
     return result
 
 
+def _predictions(texts: list[str | None], languages: list[str], table: np.ndarray):
+    """Language and proportion of each text, some documents at once."""
+    data = [_letters(t) for t in texts]
+    langs = np.full(len(data), UNDETERMINED, object)
+    scores = np.zeros(len(data))
+    some = [i for i, d in enumerate(data) if d and languages]
+    while some:
+        size, n = 0, 0
+        while n < len(some) and (not n or size + len(data[some[n]]) * len(languages) < AT_ONCE):
+            size += len(data[some[n]]) * len(languages)
+            n += 1
+        now, some = some[:n], some[n:]
+        shares = mixtures([data[i] for i in now], table)
+        top = shares.argmax(axis=1)
+        langs[now] = [languages[j] for j in top]
+        scores[now] = np.clip(shares[np.arange(n), top], 0, 1)
+    return langs, scores
+
+
 def _predicted(languages: list[str], model):
+    """Adds the prediction to rows whose text is a column or a field of the struct ``_row``."""
+
     def run(batches):
-        table = model.value
         for batch in batches:
-            data = [_letters(t) for t in batch.column("text").to_pylist()]
-            langs = np.full(len(data), UNDETERMINED, object)
-            scores = np.zeros(len(data))
-            some = [i for i, d in enumerate(data) if d and languages]
-            while some:
-                size, n = 0, 0
-                while n < len(some) and (not n or size + len(data[some[n]]) * len(languages) < 6 * AT_ONCE):
-                    size += len(data[some[n]]) * len(languages)
-                    n += 1
-                now, some = some[:n], some[n:]
-                shares = mixtures([data[i] for i in now], table)
-                top = shares.argmax(axis=1)
-                langs[now] = [languages[j] for j in top]
-                scores[now] = np.clip(shares[np.arange(n), top], 0, 1)
             names = [c for c in batch.schema.names if c != "text"]
+            inside = "text" not in batch.schema.names
+            texts = batch.column("_row").field("text") if inside else batch.column("text")
+            langs, scores = _predictions(texts.to_pylist(), languages, model.value)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(langs, pa.string()), pa.array(scores)],
                 names=[*names, "lang_pred", "score"],
@@ -196,7 +206,26 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     )
 
 
-def identify_held_out(docs: DataFrame) -> DataFrame:
-    """``identify`` with a model of the documents that are not held out (and have an id)."""
-    learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return identify(docs, fit(learned))
+def fit_not_held_out(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """A model of the documents that are not held out (and have an id)."""
+    return fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+
+
+def in_known_language(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], *, least_share: float = 0.5
+) -> DataFrame:
+    """The documents, all columns, of which one language makes up at least ``least_share``.
+
+    What is ``und`` (null text, no letter, nothing learned) goes.
+    """
+    languages, table = model
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = T.StructType(
+        [
+            T.StructField("_row", docs.schema),
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    found = docs.select(F.struct(*docs.columns).alias("_row")).mapInArrow(_predicted(languages, shared), schema)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("_row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import exact_dedup, language, mixing, ngram_join, sharding, token_counts, token_output
+from shelfmark.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, token_counts, token_output
 from shelfmark.llm.common import table
 from shelfmark.session import new_work_path
 
@@ -45,6 +45,11 @@ def op2_source_mixture(spark, sf_dir):
     )
 
 
+@query
+def op3_benchmark_leaks(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_stratified_shards(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8).select(
@@ -60,7 +65,8 @@ def op4_stratified_shards(spark, sf_dir):
 
 @query
 def op5_language_mixture(spark, sf_dir):
-    return language.identify_held_out(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_not_held_out(docs))
 
 
 @query
@@ -69,6 +75,12 @@ def op6_length_histogram(spark, sf_dir):
     return token_counts.length_histogram(lengths)
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 @query
 def op8_token_orc(spark, sf_dir):
     path = new_work_path(spark, "tokens")
@@ -79,3 +91,19 @@ def op8_token_orc(spark, sf_dir):
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+# What user and system turns must hold: the tools that conversations call.
+CHAT_SCHEMAS = """
+    (values ('user', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', 300),
+                          named_struct('name', 'turn', 'type', 'integer', 'required', true, 'max_length', null))),
+           ('system', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', null),
+                            named_struct('name', 'turn', 'type', 'integer', 'required', false, 'max_length', null)))
+    ) as schemas(tool, fields)
+"""
+
+
+@query
+def op10_tool_call_links(spark, sf_dir):
+    calls, results = chat_format.conversation_records(table(spark, sf_dir, "conversations"))
+    return chat_format.link_calls(calls, results, spark.sql(f"select * from {CHAT_SCHEMAS}"))
