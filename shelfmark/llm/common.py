@@ -108,22 +108,32 @@ class WordHashes:
             data = np.frombuffer(text, np.uint8, STRETCH, start)
             spaces = np.flatnonzero(_SPACE[data])
             if len(spaces):
-                yield data[: spaces[-1] + 1]
+                yield start, data[: spaces[-1] + 1]
                 start += int(spaces[-1]) + 1
                 continue
             end = start + STRETCH  # one long word: the stretch ends where the word does
             while end < len(text) and not _SPACE[text[end]]:
                 end += 1
-            yield np.frombuffer(text, np.uint8, end - start, start)
+            yield start, np.frombuffer(text, np.uint8, end - start, start)
             start = end
         if start < len(text):
-            yield np.frombuffer(text, np.uint8, len(text) - start, start)
+            yield start, np.frombuffer(text, np.uint8, len(text) - start, start)
 
     def of(self, text: bytes) -> np.ndarray:
-        parts = [self._words(data) for data in self._stretches(text)]
+        parts = [self._words(data)[0] for _, data in self._stretches(text)]
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
-    def _words(self, data: np.ndarray) -> np.ndarray:
+    def located(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of the words, and where each starts and ends."""
+        hashes, starts, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, data in self._stretches(text):
+            found = self._words(data)
+            hashes.append(found[0])
+            starts.append(found[1] + at)
+            ends.append(found[2] + at)
+        return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         if n >= len(self.power):
             self._powers(n + 1)
@@ -134,7 +144,7 @@ class WordHashes:
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts]), starts, ends
 
 
 def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:

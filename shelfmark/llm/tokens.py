@@ -9,8 +9,9 @@ import re
 
 import numpy as np
 
-# Words, and parts of words, remembered in a worker; then the memory starts anew.
-WORDS = 600_000
+from shelfmark.llm.common import WordHashes
+
+# Parts of words remembered in a worker; then the memory starts anew.
 PIECES = 1_000_000
 # Bytes of text encoded at once, unless one text is longer.
 AT_ONCE = 4_000_000
@@ -80,11 +81,12 @@ class Encoder:
             self.ends = np.zeros(self.whole.get_vocab_size(), bool)
             for token, i in self.whole.get_vocab().items():
                 self.ends[i] = token.endswith("</w>")
+        self.hashes = WordHashes()
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.halves = [_Grown(np.int32), _Grown(np.int32)]
+        self.words = np.empty(0, np.uint64)  # hashes of known words, sorted
+        self.halves = np.empty((0, 2), np.int32)  # their pieces
         self.pieces: dict[str, int] = {}
         self.flat, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
         self._add_pieces([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
@@ -95,7 +97,7 @@ class Encoder:
         self.lengths.add(lengths)
         self.flat.add(ids)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _pieces_of(self, words: list[bytes]) -> np.ndarray:
         """A word is two pieces: letters and marks, or the whole word and nothing."""
         texts = [w.decode("utf-8", "replace") for w in words]
         parts = [_SIMPLE.fullmatch(t.lower()) for t in texts]
@@ -113,26 +115,34 @@ class Encoder:
             found = [e.ids for e in self.whole.encode_batch(odd, add_special_tokens=False)]
             lengths = np.array([len(x) for x in found], np.int64)
             self._add_pieces(odd, np.array([i for x in found for i in x], np.uint32), lengths)
-        for half, which in zip(self.halves, (0, 1)):
-            half.add(np.fromiter((self.pieces[pair[which]] for pair in pairs), np.int32, len(pairs)))
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        number = self.pieces.__getitem__
+        flat = map(number, itertools.chain.from_iterable(pairs))
+        return np.fromiter(flat, np.int32, 2 * len(pairs)).reshape(-1, 2)
 
     def _piece_numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the pieces of the texts, two for each word, and the words of each text."""
-        split = [t.split() for t in texts]
+        """Numbers of the pieces of the texts, two for each word, and the words of each text.
+
+        Known words are found by a 64-bit hash, new ones are read from the texts.
+        """
         if len(self.pieces) > PIECES:
             self._forget()
-        elif len(self.words) > WORDS:
-            self.words, self.halves = {}, [_Grown(np.int32), _Grown(np.int32)]
-        known = self.words
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(list(new))
-        counts = np.array([len(ws) for ws in split], np.int64)
-        numbers = np.fromiter(
-            map(known.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum())
-        )
-        return np.stack([half.data[numbers] for half in self.halves], axis=1).ravel(), counts
+        joined = b" ".join(texts)
+        hashes, starts, ends = self.hashes.located(joined)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.words, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self.words):
+            known = self.words[np.minimum(at, len(self.words) - 1)] == distinct
+        new = first[~known]
+        if len(new):
+            words = [joined[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
+            halves = self._pieces_of(words)
+            self.words = np.insert(self.words, at[~known], distinct[~known])
+            self.halves = np.insert(self.halves, at[~known], halves, axis=0)
+            at = np.searchsorted(self.words, distinct)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        counts = np.diff(np.searchsorted(starts, begins))
+        return self.halves[at[place]].ravel(), counts
 
     def _groups(self, texts: list[bytes | None]):
         some, size = [], 0
