@@ -12,7 +12,7 @@ from shelfmark.llm.tokens import encoder
 from shelfmark.session import materialize
 
 # Lengths that share a block; suffix sums run over blocks, then within them.
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
