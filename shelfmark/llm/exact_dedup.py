@@ -25,6 +25,7 @@ STATE_SETTINGS = {
     f"{ROCKSDB}.maxMemoryUsageMB": "256",
     f"{ROCKSDB}.writeBufferSizeMB": "4",
     f"{ROCKSDB}.changelogCheckpointing.enabled": "true",
+    f"{ROCKSDB}.allowFAllocate": "false",  # no disk ahead of need, whatever the number of partitions
 }
 # Members compared with one copy of the text they should equal.
 MEMBERS = 1_000
