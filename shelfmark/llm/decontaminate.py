@@ -65,7 +65,7 @@ def simhash(shingles: Column) -> Column:
     )
     return F.aggregate(
         F.transform(
-            F.sequence(F.lit(0), F.lit(63)),
+            F.sequence(F.lit(63), F.lit(0)),
             lambda b: F.aggregate(
                 hashed, F.lit(0), lambda n, x: n + F.when(F.getbit(x.h, b) == 1, x.w).otherwise(-x.w)
             ),
