@@ -179,6 +179,23 @@ select root_dir, source_path, size, case when folder is null then 'skip' else 'm
   case when folder is not null then concat(root_dir,'/',folder,'/',name) end dest_path from d""",
 )
 
+
+def in_both_forms(key):
+    return f"select * from (select unnest(['auto', 'join']) form), ({ORACLES[key]})"
+
+
+ORACLES["classify_auto_large"] = in_both_forms("classify_table")
+oracle(
+    "classify_auto",
+    f"""
+with f as (select *, {base()} name, case root_dir when '/' then '' when '/data/' then '/data' else root_dir end r,
+  case root_dir when '/' then '' when '/data/' then '' else 's3://bkt' end up from v_roots),
+d as (select *, case when contains(name, '_1') then r || '/a/b/' || name when contains(name, '7.t') then up || '/up/' || name
+  when regexp_matches(name, '[13579][.]txt$') then r || '/odd/' || name end dest from f)
+select root_dir, source_path, size, case when dest is null then 'skip' else 'move' end op_type, dest dest_path, form
+from d, (select unnest(['auto', 'join']) form)""",
+)
+
 # --- filters and ignore rules ---------------------------------------------
 
 oracle(
@@ -213,6 +230,18 @@ hidden as (select distinct source_path from e, p where case
   else regexp_matches(name, rx) or (is_dir and starts_with(name, lit)) end)
 select root_dir, source_path, size from f where source_path not in (select source_path from hidden)""",
 )
+ORACLES["ignore_auto"] = in_both_forms("filter_ignore_join")
+oracle(
+    "roots_quarantine",
+    "select root_dir, source_path, size from v_roots where doc_id % 7 <> 2",
+)
+oracle(
+    "roots_rename",
+    f"""
+with f as (select *, {base()} name, row_number() over (partition by new_name order by string_split(source_path, '/')) n from v_roots),
+d as (select *, case n when 1 then new_name else replace(new_name, '.txt', '_v' || (n - 1) || '.txt') end final from f)
+select root_dir, source_path, size, 'rename' op_type, left(source_path, len(source_path) - len(name)) || final dest_path from d""",
+)
 oracle(
     "ignore_explain",
     f"""
@@ -234,7 +263,7 @@ d as (select file_ord, line_no, regexp_replace({trimmed('line')}, '/$', '') patt
   where {trimmed('line')} <> '' and not starts_with({trimmed('line')}, '#') and not starts_with({trimmed('line')}, '//'))"""
 
 
-FIRST = "select min(cast(file_ord as bigint) * 16777216 + line_no) ord, pattern, source from {src} group by all"
+FIRST = "select min(cast(file_ord as bigint) * 4294967296 + line_no) ord, pattern, source from {src} group by all"
 
 oracle(
     "ignore_load",

@@ -161,9 +161,51 @@ def classify_table(spark, sf_dir):
     return classify.classify_join(manifest(spark, sf_dir, "v_part"), rules)
 
 
+def both_forms(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Results of two forms of an operator, which must be the same rows."""
+    return one.withColumn("form", F.lit("auto")).unionByName(other.withColumn("form", F.lit("join")))
+
+
+@query
+def classify_auto(spark, sf_dir):
+    """Few rules: the form picked by size is the literal one."""
+    files = view(spark, sf_dir, "v_roots")
+    rules = [
+        Row(rule_idx=i, matcher_idx=0, folder=folder, raw=raw, is_regex=is_regex)
+        for i, (folder, raw, is_regex) in enumerate([("a/./b", "_1", False), ("../up", "7.t", False), ("odd", "[13579][.]txt$", True)])
+    ]
+    rules = spark.createDataFrame(rules, "rule_idx int, matcher_idx int, folder string, raw string, is_regex boolean")
+    return both_forms(classify.classify(files, rules), classify.classify_join(files, rules))
+
+
+@query
+def classify_auto_large(spark, sf_dir):
+    """A rule table from data: the form picked by size depends on the scale, the rows do not."""
+    files, rules = manifest(spark, sf_dir, "v_part"), view(spark, sf_dir, "v_partrules")
+    return both_forms(classify.classify(files, rules), classify.classify_join(files, rules))
+
+
 # --- filters and ignore rules ---------------------------------------------
 
 
+@query
+def roots_quarantine(spark, sf_dir):
+    return filters.drop_quarantined(manifest(spark, sf_dir, "v_roots"))
+
+
+@query
+def roots_rename(spark, sf_dir):
+    return rename.rename_plan(view(spark, sf_dir, "v_roots").select("root_dir", "source_path", "size", "new_name"))
+
+
+@query
+def ignore_auto(spark, sf_dir):
+    """Padded patterns, in both forms."""
+    rules = view(spark, sf_dir, "v_mixrules").select(F.concat(F.lit("\t "), "pattern", F.lit("\u00a0")).alias("pattern"))
+    files = manifest(spark, sf_dir, "v_mix")
+    return both_forms(ignore.hide(files, rules), ignore.drop_ignored_join(files, rules))
+
+
 @query
 def filter_hidden(spark, sf_dir):
     return filters.drop_hidden(manifest(spark, sf_dir, "v_mix"))

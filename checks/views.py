@@ -61,14 +61,21 @@ from part""",
   concat(replace(p_name,' ','_'),'_',p_partkey%7) raw, false is_regex
 from part
 union all select distinct cast(p_size as bigint), 0, concat('by_size/',p_size), concat('_[0-9]*',p_size,'[.]pdf$'), true
-from part where p_size>40
+from part
 union all select p_partkey+1000000000000, 0, concat('rest/',lower(p_type)), '*', false
-from part where p_size=50""",
+from part""",
     # Ignore rules from data: folders, names and paths of some documents.
-    "v_mixrules": """select distinct case doc_id%5 when 0 then concat('/',source) when 1 then concat(source,'/',lang)
+    "v_mixrules": """select distinct case when n_chars<=6000 then concat('gone_',doc_id,'.txt') else case doc_id%5 when 0 then concat('/',source) when 1 then concat(source,'/',lang)
     when 2 then concat('doc_',doc_id,'.txt') when 3 then concat(source,'/doc_',doc_id,'.txt')
-    else concat('doc_',doc_id%97,'?.t*') end pattern
-from documents where n_chars>6000""",
+    else concat('doc_',doc_id%97,'?.t*') end end pattern
+from documents""",
+    # Roots with a scheme, with a slash at the end, and the root of all.
+    "v_roots": """select case doc_id%3 when 0 then '/data/' when 1 then 's3://bkt/data' else '/' end root_dir,
+  concat(case doc_id%3 when 0 then '/data/' when 1 then 's3://bkt/data/' else '/' end,
+    case when doc_id%7=2 then 'duplicates/' when doc_id%7=3 then concat('duplicates/',lang,'/') else concat(source,'/') end,
+    'doc_',doc_id,'.txt') source_path,
+  cast({L}(text) as bigint) size, doc_id, concat(lang,doc_id%50,'.txt') new_name
+from documents""",
     # Flat log: an order is a transaction, its lines are the operations.
     "v_log": """select l_orderkey txn_seq, concat('txn ',l_orderkey) id,
   case when l_orderkey%11=3 then 1 else 0 end ttype, l_orderkey%13=5 irreversible,

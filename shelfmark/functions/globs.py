@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from shelfmark.functions.regexes import quote
+from shelfmark.functions.text import SPACES
 
 ANYTHING_BUT_SLASH = "[^/]"
 
@@ -67,7 +68,7 @@ def glob_regex(glob: str) -> str | None:
 
 
 def _parts(pattern: str) -> tuple[bool, str | None, str] | None:
-    pattern = pattern.strip()
+    pattern = pattern.strip(SPACES)
     if not pattern:
         return None
     inner = pattern.removeprefix("/")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +63,14 @@ def depth(rel: Column | str) -> Column:
 
 
 def clean_path(path: Column | str) -> Column:
-    """Lexical cleaning of ``.``, ``..``, repeated and trailing slashes."""
+    """Lexical cleaning of ``.``, ``..``, repeated and trailing slashes.
+
+    A scheme and authority (``s3://bucket``) stay as they are; what follows is cleaned.
+    """
     p = _col(path)
-    rooted = p.startswith("/")
+    head = F.when(p.contains("://"), F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)).otherwise("")
+    rest = F.substr(p, F.length(head) + 1)
+    rooted = rest.startswith("/")
 
     def step(acc: Column, part: Column) -> Column:
         can_pop = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != "..")
@@ -75,26 +78,25 @@ def clean_path(path: Column | str) -> Column:
         up = F.when(can_pop, popped).when(rooted, acc).otherwise(F.concat(acc, F.array(part)))
         return F.when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
 
-    parts = F.filter(F.split(p, "/", -1), lambda x: (x != "") & (x != "."))
+    parts = F.filter(F.split(rest, "/", -1), lambda x: (x != "") & (x != "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), step)
-    joined = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
-    dirty = (p == "") | p.rlike(r"//|(^|/)[.]{1,2}(/|\z)|./\z")
+    slash = F.when(rooted & ((head == "") | (F.size(folded) > 0)), "/").otherwise("")
+    joined = F.concat(head, slash, F.array_join(folded, "/"))
+    dirty = (p == "") | rest.rlike(r"//|(^|/)[.]{1,2}(/|\z)|./\z") | ((head != "") & (rest == "/"))
     return F.when(~dirty, p).otherwise(F.when(joined == "", F.lit(".")).otherwise(joined))
 
 
-def joined_path(root: Column | str, folder: str, name: Column | str) -> Column:
-    """``root/folder/name`` for a folder known when the plan is built.
+def joined_path(root: Column | str, folder: Column | str, name: Column | str) -> Column:
+    """``root/folder/name``, cleaned. A folder given as ``str`` is the folder itself, not a column."""
+    r, f = _col(root), F.lit(folder) if isinstance(folder, str) else folder
+    inner = F.concat(f, F.lit("/"), _col(name))
+    return clean_path(F.when(r == "", inner).otherwise(F.concat(r, F.lit("/"), inner)))
 
-    The folder is cleaned once here; only a folder that climbs out of the root
-    needs cleaning per row.
-    """
-    inner = posixpath.normpath(folder.lstrip("/") or ".")
-    r, n = _col(root), _col(name)
-    prefix = F.when(r == "/", F.lit("")).otherwise(r)
-    if inner == ".":
-        return F.concat(prefix, F.lit("/"), n)
-    plain = F.concat(prefix, F.lit(f"/{inner}/"), n)
-    return clean_path(plain) if inner.split("/")[0] == ".." else plain
+
+def root_prefix(root: Column | str) -> Column:
+    """The cleaned root without a slash at its end, to put ``/...`` behind."""
+    clean = clean_path(root)
+    return F.when(clean == "/", F.lit("")).otherwise(clean)
 
 
 def quarantine_path(root: Column | str, path: Column | str, content_hash: Column | str) -> Column:

@@ -17,6 +17,14 @@ def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def failing_on(problem: Column) -> Column:
+    """A filter condition that is true, or fails the job where ``problem`` is not null.
+
+    A filter is evaluated whatever columns are read; a failing column could be pruned.
+    """
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
+
+
 def numbered_lines(df, text: str, keys: list[str]):
     """One row per line, numbered from 1; a carriage return before the break goes."""
     line = F.col("line")

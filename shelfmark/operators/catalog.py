@@ -78,7 +78,9 @@ def write_by_folder(catalog: DataFrame, path: str) -> None:
 
 
 def _in_quarantine() -> Column:
-    return F.col("source_path").startswith(F.concat("root_dir", F.lit(f"/{paths.QUARANTINE}/")))
+    return F.col("source_path").startswith(
+        F.concat(paths.root_prefix("root_dir"), F.lit(f"/{paths.QUARANTINE}/"))
+    )
 
 
 def purge_duplicates(catalog: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def directories(catalog: DataFrame) -> DataFrame:
         catalog.select("root_dir", parts.alias("parts"), F.explode(levels).alias("level"))
         .select(
             "root_dir",
-            F.concat("root_dir", F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/")).alias("dir"),
+            F.concat(paths.root_prefix("root_dir"), F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/")).alias("dir"),
         )
         .distinct()
     )

@@ -35,42 +35,35 @@ def _fallback(rules: Sequence[Row]) -> str | None:
     return stars[-1] if stars else None
 
 
-def _hits_by_rule(name: Column, rules: Sequence[Row]) -> list[tuple[str, Column]]:
-    """(folder, any matcher hits) per rule, first rule first."""
-    found: dict[int, tuple[str, Column]] = {}
-    for rule in _in_order(rules):
+def _first_hit(name: Column, rules: Sequence[Row], value) -> Column:
+    """``value(rule)`` of the first matcher that hits, as one flat CASE of any length."""
+    found = None
+    for rule in rules:
         hit = _hit(name, rule)
-        if rule.rule_idx in found:
-            hit = found[rule.rule_idx][1] | hit
-        found[rule.rule_idx] = (rule.folder, hit)
-    return list(found.values())
+        found = F.when(hit, value(rule)) if found is None else found.when(hit, value(rule))
+    return F.lit(None) if found is None else found
 
 
 def _move_or_skip() -> Column:
     return F.when(F.col("dest_path").isNull(), "skip").otherwise("move")
 
 
-def classify_case(manifest: DataFrame, rules: Sequence[Row]) -> DataFrame:
-    """Move plan by rules known when the plan is built: map-only, no shuffle."""
-    name = F.col("_name")
-    fallback = _fallback(rules)
-    dest = F.lit(None).cast("string")
-    if fallback is not None:
-        dest = paths.joined_path("root_dir", fallback, name)
-    for folder, hit in reversed(_hits_by_rule(name, rules)):
-        dest = F.when(hit, paths.joined_path("root_dir", folder, name)).otherwise(dest)
+def _plan(manifest: DataFrame, folder: Column) -> DataFrame:
+    """Move plan from the folder of each file, null for none; the same for both forms."""
+    dest = paths.joined_path("root_dir", F.col("_folder"), paths.base_name("source_path"))
     return (
-        manifest.withColumn("_name", paths.base_name("source_path"))
-        .withColumn("dest_path", dest)
+        manifest.withColumn("_folder", folder)
+        .withColumn("dest_path", F.when(F.col("_folder").isNotNull(), dest))
         .select("root_dir", "source_path", "size", _move_or_skip().alias("op_type"), "dest_path")
     )
 
 
-def _folder_path(folder: Column) -> Column:
-    """``root/<folder>/name`` with a folder from a column."""
-    return paths.clean_path(
-        F.concat(F.col("root_dir"), F.lit("/"), folder, F.lit("/"), paths.base_name("source_path"))
-    )
+def classify_case(manifest: DataFrame, rules: Sequence[Row]) -> DataFrame:
+    """Move plan by rules known when the plan is built: map-only, no shuffle."""
+    name = paths.base_name("source_path")
+    folder = _first_hit(F.col("_name"), _in_order(rules), lambda r: F.lit(r.folder)).cast("string")
+    fallback = F.lit(_fallback(rules)).cast("string")
+    return _plan(manifest.withColumn("_name", name), F.coalesce(folder, fallback))
 
 
 def _first_patterns(names: DataFrame, patterns: DataFrame, hit_type: DataType) -> DataFrame:
@@ -83,10 +76,11 @@ def _first_patterns(names: DataFrame, patterns: DataFrame, hit_type: DataType) -
     rows = patterns.orderBy("rule_idx", "matcher_idx").toLocalIterator()
     passes = 0
     while chunk := list(islice(rows, CASE_LIMIT)):
-        found = F.lit(None).cast(hit_type)
-        for rule in reversed(chunk):
-            here = F.struct(F.lit(rule.rule_idx), F.lit(rule.matcher_idx), F.lit(rule.folder))
-            found = F.when(_hit(F.col("name"), rule), here.cast(hit_type)).otherwise(found)
+        found = _first_hit(
+            F.col("name"),
+            chunk,
+            lambda r: F.struct(F.lit(r.rule_idx), F.lit(r.matcher_idx), F.lit(r.folder)).cast(hit_type),
+        ).cast(hit_type)
         if passes:
             out = materialize(out, "pattern-pass")
         out = out.withColumn("pattern_hit", F.coalesce("pattern_hit", found))
@@ -149,13 +143,10 @@ def classify_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
         ["name"],
         spread_by="source_path",
     )
-    dest = F.when(F.col("folder").isNotNull(), _folder_path(F.col("folder")))
-    return found.withColumn("dest_path", dest).select(
-        "root_dir", "source_path", "size", _move_or_skip().alias("op_type"), "dest_path"
-    )
+    return _plan(found, F.col("folder"))
 
 
 def classify(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pick the form by the checked size of the rule table."""
+    """Pick the form by the checked size of the rule table; both give the same rows."""
     head = rules.limit(CASE_LIMIT + 1).collect()
     return classify_case(manifest, head) if len(head) <= CASE_LIMIT else classify_join(manifest, rules)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.functions.skew import attach_groups
 from shelfmark.operators.filters import is_quarantined
+from shelfmark.functions.text import failing_on
 from shelfmark.session import materialize
 
 PREFIX_BYTES = 4096  # fixed value
@@ -126,11 +127,8 @@ def missing_hashes(files: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def require_hashes(hashed: DataFrame) -> DataFrame:
     """Fail the job on the first file without a hash."""
-    checked = F.coalesce(
-        F.col("sha256"),
-        F.raise_error(F.concat(F.lit("hash missing for "), F.col("source_path"))).cast("string"),
-    )
-    return hashed.withColumn("sha256", checked)
+    problem = F.when(F.col("sha256").isNull(), F.concat(F.lit("hash missing for "), F.coalesce("source_path", F.lit("?"))))
+    return hashed.filter(failing_on(problem))
 
 
 def cached_hashes(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def drop_hidden(manifest: DataFrame) -> DataFrame:
     """Drop files below a hidden directory, hidden files, and hidden roots."""
     below = F.concat(F.lit("/"), paths.relative_path("source_path", "root_dir"))
     return manifest.filter(
-        ~below.contains("/.") & ~paths.base_name("root_dir").rlike("^[.].")
+        ~below.contains("/.") & ~paths.base_name(paths.clean_path("root_dir")).rlike("^[.].")
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import globs, paths
 from shelfmark.functions.skew import attach_groups
+from shelfmark.functions.text import trim_space
 from shelfmark.session import materialize
 
 LITERAL_LIMIT = 1000
@@ -55,7 +56,7 @@ def drop_ignored_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     made distinct first, and their verdict is attached to their files. Patterns
     with glob characters stay literal expressions.
     """
-    rule = rules.select(F.trim("pattern").alias("pattern")).filter("pattern <> ''").distinct()
+    rule = rules.select(trim_space(F.col("pattern")).alias("pattern")).filter("pattern <> ''").distinct()
     is_glob = F.col("pattern").rlike(_GLOB_CHARS)
     glob_patterns = [r.pattern for r in rule.filter(is_glob).collect()]
     inner = F.regexp_replace("pattern", "^/", "")
@@ -107,7 +108,7 @@ def drop_ignored_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def hide(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pick the form by the checked size of the rule table."""
+    """Pick the form by the checked size of the rule table; both give the same rows."""
     head = rules.select("pattern").limit(LITERAL_LIMIT + 1).collect()
     if len(head) <= LITERAL_LIMIT:
         return drop_ignored(manifest, [r.pattern for r in head])
@@ -124,11 +125,12 @@ def explain_ignored(
     """
     rel = paths.relative_path("source_path", "root_dir")
     none = F.lit(None).cast("struct<pattern:string,source:string>")
-    found = none
-    for rule in sorted(rules, key=lambda r: r.ord, reverse=True):
+    found = None  # one flat CASE, however many rules there are
+    for rule in sorted(rules, key=lambda r: r.ord):
         hit = _entry_hit(rel, rule.pattern, is_dir)
         this = F.struct(F.lit(rule.pattern).alias("pattern"), F.lit(rule.source).alias("source"))
-        found = F.when(hit, this).otherwise(found)
+        found = F.when(hit, this) if found is None else found.when(hit, this)
+    found = none if found is None else found
     return entries.withColumn("_rule", found).select(
         *entries.columns, F.col("_rule.pattern").alias("pattern"), F.col("_rule.source").alias("source")
     )

@@ -21,28 +21,32 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.functions.numbering import number_rows
 from shelfmark.functions.skew import attach_groups
-from shelfmark.functions.text import trim_space
+from shelfmark.functions.text import failing_on, trim_space
 from shelfmark.session import materialize
 
 
 def mapped_names(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Attach ``new_name`` by path; both sides must name the same files.
+    """Attach ``new_name`` by path; both sides must name the same files, once each.
 
-    A blank new name keeps the old one.
+    A blank new name keeps the old one. The job fails on an unknown or missing path and on
+    a path that is named or listed twice, whatever columns are read.
     """
-    wanted = names.select(F.col("source_path").alias("_for"), F.col("new_name").alias("_new"))
-    both = files.join(wanted, F.col("source_path") == F.col("_for"), "full")
+    wanted = names.groupBy(F.col("source_path").alias("_for")).agg(
+        F.first("new_name").alias("_new"), F.count("*").alias("_names")
+    )
+    listed = files.groupBy("source_path").agg(F.count("*").alias("_files"))
+    both = listed.withColumnRenamed("source_path", "_path").join(wanted, F.col("_path") == F.col("_for"), "full")
+    problem = (
+        F.when(F.col("_path").isNull(), F.concat(F.lit("name for an unknown file: "), F.col("_for")))
+        .when(F.col("_for").isNull(), F.concat(F.lit("no name for "), F.col("_path")))
+        .when(F.col("_names") > 1, F.concat(F.lit("several names for "), F.col("_path")))
+        .when(F.col("_files") > 1, F.concat(F.lit("listed twice: "), F.col("_path")))
+    )
+    checked = materialize(both.filter(failing_on(problem)).select("_path", "_new"), "mapped-names")
     name = F.when(trim_space(F.col("_new")) == "", None).otherwise(F.col("_new"))
-    checked = (
-        F.when(F.col("source_path").isNull(), _fail("name for an unknown file: ", F.col("_for")))
-        .when(F.col("_for").isNull(), _fail("no name for ", F.col("source_path")))
-        .otherwise(F.coalesce(name, paths.base_name("source_path")))
+    return files.join(checked, F.col("source_path") == F.col("_path")).select(
+        *files.columns, F.coalesce(name, paths.base_name("source_path")).alias("new_name")
     )
-    return both.withColumn("new_name", checked).select(*files.columns, "new_name")
-
-
-def _fail(text: str, path: Column) -> Column:
-    return F.raise_error(F.concat(F.lit(text), path)).cast("string")
 
 
 def rename_plan(named: DataFrame) -> DataFrame:

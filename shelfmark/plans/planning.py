@@ -56,8 +56,9 @@ def numbered(plan: DataFrame) -> DataFrame:
 
 def plan_summary(plan: DataFrame) -> DataFrame:
     """Operations per type, and in total."""
-    return plan.rollup("op_type").agg(F.count("*").alias("n_ops")).select(
-        F.coalesce("op_type", F.lit("total")).alias("op_type"), "n_ops"
+    is_total = F.grouping("op_type") == 1
+    return plan.rollup("op_type").agg(F.count("*").alias("n_ops"), is_total.alias("_total")).select(
+        F.when(F.col("_total"), F.lit("total")).otherwise(F.col("op_type")).alias("op_type"), "n_ops"
     )
 
 
