@@ -144,7 +144,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(line_table(docs), "lines")
     runs = materialize(repeated_runs(lines), "runs")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_key(docs))
-    found = keyed.join(runs, KEY, "left")
+    # The same join at every size: runs grow with the documents.
+    found = keyed.join(runs.hint("merge"), KEY, "left")
     all_lines = _lines(F.col("_row.text"))
     kept = F.filter(
         all_lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
