@@ -416,6 +416,16 @@ oracle(
     """select txn_seq, id, ttype, irreversible, cast(0 as bigint) op_seq, 'move' op_type, root_dir, source_path,
   txn_seq * 10 size, dest_path from v_txn""",
 )
+oracle(
+    "txn_nested",
+    """select * replace (row_number() over (partition by txn_seq order by op_seq, root_dir, source_path, size, dest_path) - 1 as op_seq)
+from v_log""",
+)
+oracle(
+    "history_flat",
+    """select txn_seq, id, replace(id, ' ', '_') compact_id, case when ttype = 1 then 'undo' else 'action' end type,
+  count(*) n_operations, min(root_dir) root_dir from v_log group by all""",
+)
 oracle(
     "history_list",
     """select txn_seq, id, id compact_id, case when ttype = 1 then 'undo' else 'action' end type,

@@ -438,9 +438,9 @@ def error_breakdown(spark, sf_dir):
 def event_log(spark, sf_dir) -> DataFrame:
     """Transactions of one operation each, as nested log rows."""
     ops = view(spark, sf_dir, "v_txn").withColumns(
-        {"op_type": F.lit("move"), "size": F.col("txn_seq") * 10}
+        {"op_type": F.lit("move"), "size": F.col("txn_seq") * 10, "op_seq": F.lit(0)}
     )
-    return txn_log.nest_operation(ops)
+    return txn_log.nest_operations(ops)
 
 
 def written_event_log(spark, sf_dir) -> DataFrame:
@@ -467,6 +467,19 @@ def txn_read(spark, sf_dir):
     return txn_log.flatten_log(written_event_log(spark, sf_dir))
 
 
+@query
+def txn_nested(spark, sf_dir):
+    """Transactions of many operations: nested, written as JSON lines, read and flattened."""
+    path = new_work_path(spark, "txn-json")
+    txn_log.append_json_log(txn_log.nest_operations(view(spark, sf_dir, "v_log"), line_operations=1000), path)
+    return txn_log.flatten_log(txn_log.read_json_log(spark, path))
+
+
+@query
+def history_flat(spark, sf_dir):
+    return history.flat_history_listing(view(spark, sf_dir, "v_log"))
+
+
 @query
 def history_list(spark, sf_dir):
     return history.history_listing(written_event_log(spark, sf_dir))

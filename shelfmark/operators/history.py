@@ -16,9 +16,10 @@ def type_label(ttype: str) -> Column:
 
 
 def history_listing(transactions: DataFrame) -> DataFrame:
-    """One row per transaction of a nested log: id, type, number of operations, root.
+    """One row per line of a nested log: id, type, number of operations, root.
 
-    ``compact_id`` is the id with blanks replaced, for one-line output.
+    ``compact_id`` is the id with blanks replaced, for one-line output. Logs with
+    transactions over several lines are listed by ``flat_history_listing``.
     """
     n_ops = F.coalesce(F.size("Operations"), F.lit(0))
     return transactions.select(
@@ -42,6 +43,18 @@ def transactions(log: DataFrame) -> DataFrame:
     )
 
 
+def flat_history_listing(log: DataFrame) -> DataFrame:
+    """The same listing of a flat log, one row per transaction."""
+    return transactions(log).select(
+        "txn_seq",
+        "id",
+        F.replace("id", F.lit(" "), F.lit("_")).alias("compact_id"),
+        type_label("ttype").alias("type"),
+        "n_operations",
+        F.coalesce("root_dir", F.lit("")).alias("root_dir"),
+    )
+
+
 def last_transactions(headers: DataFrame) -> DataFrame:
     """Last transaction of each root and whether it can be undone."""
     last = F.max_by(F.struct("txn_seq", "id", "ttype", "irreversible", "n_operations"), "txn_seq")

@@ -78,6 +78,7 @@ TXN_JSON = T.StructType(
         ),
         T.StructField("Irreversible", T.BooleanType()),
         T.StructField("txn_seq", T.LongType()),
+        T.StructField("first_op", T.LongType()),  # position of the line's first operation; null: 0
     ]
 )
 

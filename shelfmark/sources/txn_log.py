@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from shelfmark.plans.planning import op_code, op_name
 from shelfmark.schemas import TXN_ACTION, TXN_JSON, TXN_OPS
 
+# Most operations on one line of a nested log written here.
+LINE_OPERATIONS = 10_000
+
 
 def append_json_log(transactions: DataFrame, path: str) -> None:
-    """Append transactions (``schemas.TXN_JSON``); existing files stay untouched."""
+    """Append transactions (``nest_operations``); existing files stay untouched."""
     transactions.select(*TXN_JSON.fieldNames()).write.mode("append").json(path)
 
 
@@ -43,19 +46,23 @@ def import_json_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_log(transactions: DataFrame) -> DataFrame:
-    """Nested log to one row per operation; transactions without operations vanish."""
+    """Nested log to one row per operation; transactions without operations vanish.
+
+    Lines that continue a transaction go on where the line before stopped.
+    """
     return transactions.select(
         "txn_seq",
         F.col("ID").alias("id"),
         F.col("TType").alias("ttype"),
         F.col("Irreversible").alias("irreversible"),
-        F.posexplode("Operations").alias("op_seq", "op"),
+        F.coalesce("first_op", F.lit(0)).alias("first_op"),
+        F.posexplode("Operations").alias("pos", "op"),
     ).select(
         "txn_seq",
         "id",
         "ttype",
         "irreversible",
-        F.col("op_seq").cast("bigint").alias("op_seq"),
+        (F.col("first_op") + F.col("pos")).alias("op_seq"),
         op_name("op.OpType").alias("op_type"),
         F.col("op.File.RootDir").alias("root_dir"),
         F.col("op.File.SourcePath").alias("source_path"),
@@ -64,8 +71,13 @@ def flatten_log(transactions: DataFrame) -> DataFrame:
     )
 
 
-def nest_operation(ops: DataFrame) -> DataFrame:
-    """Flat rows as JSON transactions of one operation each."""
+def nest_operations(log: DataFrame, line_operations: int = LINE_OPERATIONS) -> DataFrame:
+    """Flat log as JSON transactions, their operations in order of ``op_seq``.
+
+    A transaction is one line up to ``line_operations``; larger ones continue on further
+    lines with the same id, so that no task has to hold a whole transaction. Reading
+    back counts operations from 0; if they were counted so, without gaps, ``op_seq`` returns.
+    """
     op = F.struct(
         op_code("op_type").alias("OpType"),
         F.struct(
@@ -76,12 +88,19 @@ def nest_operation(ops: DataFrame) -> DataFrame:
         F.col("dest_path").alias("DestPath"),
         F.col("size").alias("Size"),
     )
-    return ops.select(
-        F.col("id").alias("ID"),
-        F.col("ttype").alias("TType"),
-        F.array(op).alias("Operations"),
-        F.col("irreversible").alias("Irreversible"),
-        "txn_seq",
+    line = F.floor(F.col("op_seq") / line_operations)
+    ordered = F.array_sort(F.collect_list(F.struct("op_seq", op.alias("op"))))
+    return (
+        log.groupBy("txn_seq", "id", "ttype", "irreversible", line.alias("line"))
+        .agg(F.transform(ordered, lambda x: x["op"]).alias("Operations"))
+        .select(
+            F.col("id").alias("ID"),
+            F.col("ttype").alias("TType"),
+            "Operations",
+            F.col("irreversible").alias("Irreversible"),
+            "txn_seq",
+            (F.col("line") * line_operations).cast("bigint").alias("first_op"),
+        )
     )
 
 

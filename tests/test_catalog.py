@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import catalog, filters, history, report
 from shelfmark.plans import planning
+from shelfmark.schemas import TXN_OPS
 from shelfmark.sources import txn_log
 from tests.conftest import paths_of
 
@@ -140,6 +141,18 @@ def test_import_of_a_log_without_positions(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("line_operations", [1, 3, 100])
+def test_nested_log_of_long_transactions(spark, tmp_path, line_operations):
+    rows = [(t, f"t {t}", t % 2, False, i, "move", "/r", f"/r/{i}", 9 - i, f"/r/x/{i}") for t in range(3) for i in range(8)]
+    log = spark.createDataFrame(rows, TXN_OPS)
+    path = str(tmp_path / "log")
+    txn_log.append_json_log(txn_log.nest_operations(log, line_operations), path)
+    back = txn_log.flatten_log(txn_log.read_json_log(spark, path))
+    assert sorted(map(tuple, back.collect())) == rows
+    listed = history.flat_history_listing(back).orderBy("txn_seq").collect()
+    assert [(r.compact_id, r.type, r.n_operations) for r in listed] == [("t_0", "action", 8), ("t_1", "undo", 8), ("t_2", "action", 8)]
+
+
 def test_malformed_log_line_fails(spark, tmp_path):
     (tmp_path / "log.json").write_text(json_line("a", 0, ["/r"]) + "\n{broken\n")
     with pytest.raises(Exception, match="(?i)malformed"):
