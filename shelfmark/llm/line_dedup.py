@@ -6,11 +6,20 @@ Wherever lines repeat the same grams are chosen, as the choice depends on nothin
 them: a repeated line of LONG words, or a repeated run of GRAM + WINDOW - 1 lines, is
 sure to be found, and shorter runs of at least GRAM lines may be. A fingerprint's first
 place is looked up; from there the match is extended line by line both ways, and the
-later place of the run is deleted. Everything is a DataFrame expression or join.
+later place of the run is deleted (``dedup_lines``).
+
+``dedup_passages`` leaves nothing to the choice of fingerprints. Its grams are the
+shortest runs of WORDS words or of LINES lines, from each line on and back from each
+line. Each line of a longer run is in a gram within that run, and grams depend on nothing
+but their lines. So a line is in a repeated run of that size just if one of its grams has
+an earlier place, whatever stands around either place. No match needs extending.
+Everything is a DataFrame expression or join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +30,8 @@ from shelfmark.session import materialize
 LONG = 30
 GRAM = 3
 WINDOW = 4
+WORDS = 25
+LINES = 6
 NO_ID = -(1 << 63)
 # Later places that share one copy of the lines of the first.
 MEMBERS = 1_000
@@ -131,6 +142,71 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     return runs.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
+def passage_grams(hashes: Column, words: Column) -> Column:
+    """Shortest runs of WORDS words or LINES lines from and up to each line: structs (hash, start, end)."""
+
+    def length(i: Column, step: int) -> Column:
+        total = F.get(words, i)
+        found = F.when(total >= WORDS, 1)
+        for k in range(1, LINES):
+            total = total + F.get(words, i + step * k)  # null beyond the lines
+            found = found.when(total >= WORDS, k + 1)
+        return found.when(total.isNotNull(), LINES)
+
+    def grams(step: int) -> Column:
+        start = lambda n, i: i if step > 0 else i - n + 1
+        return F.transform(
+            F.transform(words, lambda _, i: length(i, step)),
+            lambda n, i: F.when(
+                n.isNotNull(),
+                F.struct(
+                    F.xxhash64(F.slice(hashes, start(n, i) + 1, n)).alias("hash"),
+                    start(n, i).alias("start"),
+                    (start(n, i) + n - 1).alias("end"),
+                ),
+            ),
+        )
+
+    return F.filter(F.array_distinct(F.concat(grams(1), grams(-1))), lambda g: g.isNotNull())
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines in runs of WORDS words or LINES lines that repeat earlier ones: KEY, gone (counted from 0)."""
+    lines = docs.select(*_key(docs), _lines(docs["text"]).alias("lines")).select(
+        *KEY,
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform("lines", lambda x: word_count(x)).alias("words"),
+    )
+    places = lines.select(*KEY, F.explode(passage_grams(F.col("hashes"), F.col("words"))).alias("gram"))
+    places = materialize(places.select(*KEY, "gram.hash", "gram.start", "gram.end"), "places")
+    # Rows that repeat a document have equal places, of which none comes after the other.
+    firsts = places.groupBy("hash").agg(
+        F.min(F.struct(*KEY, "start")).alias("first"), F.count("*").alias("n_files")
+    )
+    firsts = materialize(firsts.filter("n_files > 1"), "firsts")
+    later = attach_groups(places, firsts, ["hash"], spread_by=F.struct(*KEY, "start"), how="inner")
+    later = later.filter(F.struct(*KEY, "start") > F.col("first"))
+    return later.groupBy(*KEY).agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end")))).alias("gone")
+    )
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """The documents without repeated passages of whole lines; ``n_lines`` and ``n_removed`` added.
+
+    A line goes just if it is in a run of lines with at least WORDS words, or of at least
+    LINES lines, that also stands at an earlier place. Columns, order of documents, nulls,
+    empty lines and repeated rows are as in ``dedup_lines``.
+    """
+    gone = materialize(repeated_lines(docs), "gone")
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.transform(left, lambda i: F.get(lines, i))
+
+    return _cleaned(docs, gone, "gone", kept)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without repeated runs of lines; ``n_lines`` and ``n_removed`` added.
 
@@ -143,18 +219,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     lines = materialize(line_table(docs), "lines")
     runs = materialize(repeated_runs(lines), "runs")
+
+    def kept(lines: Column) -> Column:
+        return F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
+
+    return _cleaned(docs, runs, "runs", kept)
+
+
+def _cleaned(docs: DataFrame, found: DataFrame, name: str, kept: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with only the lines ``kept`` leaves where ``found`` has a row; n_lines, n_removed added."""
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_key(docs))
-    # The same join at every size: runs grow with the documents.
-    found = keyed.join(runs.hint("merge"), KEY, "left")
+    # The same join at every size: what is found grows with the documents.
+    both = keyed.join(found.hint("merge"), KEY, "left")
+    some = F.col(name).isNotNull()
     all_lines = _lines(F.col("_row.text"))
-    kept = F.filter(
-        all_lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
-    )
-    text = F.when(F.col("runs").isNull(), F.col("_row.text")).otherwise(F.array_join(F.col("_kept"), "\n"))
+    text = F.when(~some, F.col("_row.text")).otherwise(F.array_join(F.col("_kept"), "\n"))
     n_lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(all_lines))
-    n_kept = F.when(F.col("runs").isNull(), n_lines).otherwise(F.size("_kept"))
+    n_kept = F.when(~some, n_lines).otherwise(F.size("_kept"))
     added = ("n_lines", "n_removed")
-    return found.withColumn("_kept", F.when(F.col("runs").isNotNull(), kept)).select(
+    return both.withColumn("_kept", F.when(some, kept(all_lines))).select(
         *[text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in added],
         n_lines.alias("n_lines"),
         (n_lines - n_kept).alias("n_removed"),

@@ -77,7 +77,7 @@ def op6_length_histogram(spark, sf_dir):
 
 @query
 def op7_line_dedup(spark, sf_dir):
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 

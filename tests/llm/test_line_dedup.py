@@ -101,3 +101,57 @@ def test_one_first_document_for_all(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert ld.dedup_lines(documents(spark, [])).collect() == []
+
+
+def all_repeats(rows, words, lines):
+    """Lines left of each distinct (doc_id, text): all runs of lines of that size, in order of place."""
+    docs = sorted({(i, t) for i, t, *_ in rows}, key=lambda d: d[0])  # ids are distinct
+    first, left = {}, {}
+    for n, (i, text) in enumerate(docs):
+        split = (text or "").split("\n")
+        counts = [len(WORD.findall(x)) for x in split]
+        gone = set()
+        for a in range(len(split)):
+            for b in range(a, len(split)):
+                if sum(counts[a : b + 1]) >= words or b - a + 1 >= lines:
+                    if first.setdefault(tuple(split[a : b + 1]), (n, a)) < (n, a):
+                        gone |= set(range(a, b + 1))
+        left[i] = (None if text is None else "\n".join(x for k, x in enumerate(split) if k not in gone), len(gone))
+    return left
+
+
+def check_passages(spark, rows):
+    out = ld.dedup_passages(documents(spark, rows))
+    got = {r.doc_id: (r.text, r.n_removed) for r in out.select("doc_id", "text", "n_removed").collect()}
+    assert got == all_repeats(rows, ld.WORDS, ld.LINES)
+    return got
+
+
+def line(rnd, n):
+    return prose(rnd, n).replace("\n", " ")
+
+
+def test_every_passage_of_50_words_goes(spark):
+    """Also runs of few lines, none of them long, as in the reviewer's examples."""
+    rnd = random.Random(11)
+    sizes = [(29, 28), (18, 21, 28), (7, 28, 29), (24, 29, 7), (10,) * 5, (25, 25), (13, 13, 13, 13), (50,)]
+    passages = [[line(rnd, n) for n in some] for some in sizes]
+    rows = []
+    for n in range(40):
+        lines = [line(rnd, rnd.randint(1, 20)) for _ in range(4)]
+        at = rnd.randint(0, 4)
+        rows.append((n, "\n".join(lines[:at] + passages[n % len(passages)] + lines[at:]), "en", "s"))
+    got = check_passages(spark, rows)
+    for n in range(40):
+        passage = passages[n % len(passages)]
+        assert got[n][1] == (0 if n < len(passages) else len(passage))
+
+
+def test_passages_of_odd_documents(spark):
+    rows = [(1, "\n".join(["same"] * 50), "en", "s"), (2, "\n" * 30, None, None), (3, None, None, None), (4, "", None, None)]
+    got = check_passages(spark, rows)
+    assert got[1][0] == "same" and got[3] == (None, 0)
+    repeated = [(7, "x\n" + "y " * 30, "en", "s")] * 2 + [(None, "y " * 30, "en", "s")]
+    out = ld.dedup_passages(documents(spark, repeated)).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == [(7, "x"), (7, "x"), (None, "y " * 30)]
+    assert ld.dedup_passages(documents(spark, [])).collect() == []
