@@ -155,3 +155,14 @@ def test_passages_of_odd_documents(spark):
     out = ld.dedup_passages(documents(spark, repeated)).select("doc_id", "text").collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == [(7, "x"), (7, "x"), (None, "y " * 30)]
     assert ld.dedup_passages(documents(spark, [])).collect() == []
+
+
+def test_shorter_variant_first(spark):
+    """A first document with part of a passage does not keep the rest in all later copies."""
+    rnd = random.Random(12)
+    passage = [line(rnd, n) for n in (4, 79, 1, 1, 17, 5, 7)]
+    rows = [(0, "\n".join([*passage[:3], line(rnd, 9)]), "en", "s"), (1, "\n".join([line(rnd, 3), *passage]), "en", "s")]
+    rows += [(n, "\n".join([line(rnd, 3), *passage, line(rnd, 4)]), "en", "s") for n in range(2, 8)]
+    rows += [(8, "\n".join([line(rnd, 9), *passage[2:]]), "en", "s")]
+    got = check_passages(spark, rows)
+    assert [got[n][1] for n in range(9)] == [0, 3] + [7] * 6 + [5]
