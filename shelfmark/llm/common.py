@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,72 +80,60 @@ def chained(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x5851F42D4C957F2D
 # Bytes hashed at once; texts are cut at white space.
 STRETCH = 1 << 16
+# Words of more bytes are hashed one by one.
+LONG_WORD = 128
+# What 8 bytes read from a place keep of a word that has 0 to 8 more.
+_OWN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordHashes:
     """64-bit hashes of the words of a text, all words of a stretch at once.
 
-    A word is a polynomial in its bytes, taken from running sums: the powers of the
-    base only depend on the place, so a sum between two places, divided by the power
-    of the first, is the hash of what lies between.
+    A word is its length and its bytes in chunks of 8. Each chunk is joined to the hash of
+    what is before it by exclusive or and goes through a bijection that mixes all bits. So
+    words of one length up to 8 never share a hash; others do with the chance of random 64
+    bits: two of ``n`` distinct words with about n * n / 2 ** 65 (3 % for 10 ** 9 words).
     """
 
-    def __init__(self) -> None:
-        self._powers(STRETCH + 1)
-
-    def _powers(self, n: int) -> None:
-        one = np.ones(1, np.uint64)
-        base = np.full(n - 1, _BASE, np.uint64)
-        inverse = np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        self.power = np.concatenate([one, np.cumprod(base)])
-        self.inverse = np.concatenate([one, np.cumprod(inverse)])
-
     def _stretches(self, text: bytes):
         start = 0
         while len(text) - start > STRETCH:
             data = np.frombuffer(text, np.uint8, STRETCH, start)
             spaces = np.flatnonzero(_SPACE[data])
             if len(spaces):
-                yield start, data[: spaces[-1] + 1]
+                yield data[: spaces[-1] + 1]
                 start += int(spaces[-1]) + 1
                 continue
             end = start + STRETCH  # one long word: the stretch ends where the word does
             while end < len(text) and not _SPACE[text[end]]:
                 end += 1
-            yield start, np.frombuffer(text, np.uint8, end - start, start)
+            yield np.frombuffer(text, np.uint8, end - start, start)
             start = end
         if start < len(text):
-            yield start, np.frombuffer(text, np.uint8, len(text) - start, start)
+            yield np.frombuffer(text, np.uint8, len(text) - start, start)
 
     def of(self, text: bytes) -> np.ndarray:
-        parts = [self._words(data)[0] for _, data in self._stretches(text)]
+        parts = [self._words(data) for data in self._stretches(text)]
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
-    def located(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hashes of the words, and where each starts and ends."""
-        hashes, starts, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at, data in self._stretches(text):
-            found = self._words(data)
-            hashes.append(found[0])
-            starts.append(found[1] + at)
-            ends.append(found[2] + at)
-        return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
-
-    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _words(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
-        if n >= len(self.power):
-            self._powers(n + 1)
         word = ~_SPACE[data]
         edges = np.flatnonzero(word[1:] != word[:-1]) + 1
         edges = np.concatenate([[0] if word[0] else [], edges, [n] if word[-1] else []]).astype(np.int64)
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverse[starts]), starts, ends
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        chunks = np.ndarray(n + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        out = mixed(lengths.astype(np.uint64) * _MIX)
+        place, left, those = starts, lengths, np.arange(len(starts))
+        while len(those):
+            out[those] = mixed(out[those] ^ (chunks[place] & _OWN[np.minimum(left, 8)]))
+            more = (left > 8) & (lengths[those] <= LONG_WORD)
+            place, left, those = place[more] + 8, left[more] - 8, those[more]
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+        return out
 
 
 def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,63 +12,105 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import as_bytes
-from shelfmark.llm.tokens import encoder
+from shelfmark.llm.tokens import AT_ONCE, encoder
 
 # doc_id and piece say where a row is; at is the number of ids before it in its piece.
 SCHEMA = "doc_id long, piece int, at long, n_tokens long, ids array<int>"
 OPTIONS = {
     "orc.compress": "ZSTD",
-    "orc.stripe.size": str(64 << 20),
+    "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
+# Bytes of text in a piece, which is one task and one file.
+PIECE_BYTES = 64 << 20
+# Rows that go to and come from a Python worker at once.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _row_groups(sizes: np.ndarray):
+    """Stretches of rows with at most AT_ONCE bytes, or of one row."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > AT_ONCE:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _encoded(tokenizer: str, end_id: int):
     def run(batches):
         encode, at = encoder(tokenizer), 0
         for batch in batches:
-            ids, counts = encode.encode(as_bytes(batch.column("text")))
-            ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, end_id)
-            counts = counts + 1
-            ends = np.cumsum(counts)
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("piece"),
-                    pa.array(at + ends - counts),
-                    pa.array(counts),
-                    pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))),
-                ],
-                names=["doc_id", "piece", "at", "n_tokens", "ids"],
-            )
-            at += int(counts.sum())
+            texts = as_bytes(batch.column("text"))
+            sizes = np.array([len(t or b"") for t in texts], np.int64)
+            for start, end in _row_groups(sizes):
+                ids, counts = encode.encode(texts[start:end])
+                ends = np.cumsum(counts + 1)
+                whole = np.empty(len(ids) + len(counts), np.int32)
+                is_end = np.zeros(len(whole), bool)
+                is_end[ends - 1] = True
+                whole[is_end] = end_id
+                whole[~is_end] = ids
+                some = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("doc_id"),
+                        some.column("piece"),
+                        pa.array(at + ends - counts - 1),
+                        pa.array(counts + 1),
+                        pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), whole),
+                    ],
+                    names=["doc_id", "piece", "at", "n_tokens", "ids"],
+                )
+                at += int(ends[-1])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2) -> None:
-    """Write the ids of every whole text, with ``end_id`` after each, in ascending doc_id order.
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, order_by: Sequence[str] = ("doc_id",)
+) -> None:
+    """Write the ids of every whole text, with ``end_id`` after each, in ascending order of ``order_by``.
 
-    ``docs`` has doc_id and text; other columns are not read. Null texts are empty texts,
-    so each document has at least its end id. Rows without doc_id come first; rows that
-    repeat a doc_id are in the order of the hash of their text, equal ones in any. An
-    empty table makes files without rows. A piece is a range of doc_id and one file,
-    except that Spark may retry a task: only committed files count.
+    ``docs`` has doc_id, text and the columns of ``order_by``; others are not read. Null texts
+    are empty texts, so each document has at least its end id. Nulls come first; rows equal
+    in ``order_by`` are in the order of the hash of their text, equal texts in any. An
+    empty table makes files without rows. A piece is a range of the order, holds about
+    PIECE_BYTES of text and is one file (Spark may retry a task: only committed files
+    count). Rows that repeat a doc_id and text may be in several pieces.
     """
-    pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order_by)]
+    )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
+    order = [*[f"_by_{i}" for i in range(len(order_by))], "_tie", "_row"]
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(pieces, "doc_id")
-        .sortWithinPartitions("doc_id", tie)
-        .withColumn("piece", F.spark_partition_id())
+        rows.withColumn("_tie", F.xxhash64("text"))
+        .withColumn("_row", F.monotonically_increasing_id())  # parts even rows that are all alike
+        .repartitionByRange(pieces, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text", F.spark_partition_id().alias("piece"))
     )
-    encoded = ordered.mapInArrow(_encoded(tokenizer, end_id), SCHEMA)
-    encoded.write.options(**OPTIONS).orc(path)
+    with _small_batches(spark):
+        encoded = ordered.mapInArrow(_encoded(tokenizer, end_id), SCHEMA)
+        encoded.write.options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +124,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def find_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of some documents: files and stripes that cannot hold them are not read.
+
+    Spark passes the ids to the ORC reader, which asks row indexes (least and largest id of
+    a thousand rows) and Bloom filters. Ids that no row has give no row.
+    """
+    rows = spark.read.schema(SCHEMA).orc(path)
+    return rows.filter(F.col("doc_id").isin([int(i) for i in doc_ids])).select("doc_id", "n_tokens", "ids")
+
+
 def _digests(batches):
     for batch in batches:
         ids = batch.column("ids")

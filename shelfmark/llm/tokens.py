@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
-from shelfmark.llm.common import WordHashes
-
-# Parts of words remembered in a worker; then the memory starts anew.
-PIECES = 1_000_000
-# Bytes of text encoded at once, unless one text is longer.
+# Memory for remembered words in a worker, and what a word takes besides its bytes.
+# Words beyond it are encoded anew in each group of texts.
+KEPT_BYTES = 96 << 20
+PER_WORD = 180
+# Bytes of text encoded at once; longer texts are cut at white space.
 AT_ONCE = 4_000_000
+# New words that go through the tokenizer in one call.
+IN_A_CALL = 500
 
-# Lower-case Latin letters that are one precomposed letter each, and the
-# punctuation the word pattern of the tokenizer keeps together. "'" may start a contraction.
-LETTERS = "a-zß-öø-ÿ"
-MARKS = r"!-&(-/:-@\[-`{-~"
-_SIMPLE = re.compile(rf"([{LETTERS}]*)([{MARKS}]*)")
+# White space that ends a word (as in bytes.split).
+SPACE = b" \t\n\x0b\x0c\r"
 
 
 def _drops_space(spec: dict) -> bool:
@@ -43,145 +43,148 @@ def _steps(part: dict | None, inner: str) -> list[dict]:
 
 
 class _Grown:
-    """An array that grows at its end."""
+    """An array that grows at its end; its memory doubles when it is full."""
 
     def __init__(self, kind: type):
-        self.data, self.used = np.empty(1 << 16, kind), 0
+        self.data, self.used = np.empty(1 << 12, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         need = self.used + len(values)
         if need > len(self.data):
-            self.data = np.concatenate([self.data, np.empty(need, self.data.dtype)])
+            grown = np.empty(max(need, 2 * len(self.data)), self.data.dtype)
+            grown[: self.used] = self.data[: self.used]
+            self.data = grown
         self.data[self.used : need] = values
         self.used = need
 
 
+class _Numbers(dict):
+    """Words, as bytes, by number; a word not seen before gets the next one and is listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about AT_ONCE bytes that end between words."""
+    start = 0
+    while len(text) - start > AT_ONCE:
+        end = start + AT_ONCE
+        last = max(text.rfind(SPACE[i : i + 1], start, end) for i in range(len(SPACE)))
+        if last < 0:
+            ends = [text.find(SPACE[i : i + 1], end) for i in range(len(SPACE))]
+            last = min((i for i in ends if i >= 0), default=len(text))
+        yield text[start : last + 1]
+        start = last + 1
+    yield text[start:]
+
+
 class Encoder:
-    """Ids of texts. Words seen before are looked up, new ones encoded together.
+    """Ids of texts. A word seen before, byte by byte, is looked up; new ones are encoded together.
 
     Files whose splitting is not known to end words at white space encode text by text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             self.by_word = _drops_space(json.load(file))
         self.whole = Tokenizer.from_file(path)
-        if self.by_word:
-            self.joined = Tokenizer.from_file(path)
-            self.joined.normalizer = None
-            self.joined.pre_tokenizer = pre_tokenizers.Sequence(
-                [
-                    pre_tokenizers.WhitespaceSplit(),
-                    pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-                ]
-            )
-            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
-            for token, i in self.whole.get_vocab().items():
-                self.ends[i] = token.endswith("</w>")
-        self.hashes = WordHashes()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words = np.empty(0, np.uint64)  # hashes of known words, sorted
-        self.halves = np.empty((0, 2), np.int32)  # their pieces
-        self.pieces: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
-        self._add_pieces([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
-
-    def _add_pieces(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces))))
-        self.starts.add(self.flat.used + np.cumsum(lengths) - lengths)
-        self.lengths.add(lengths)
-        self.flat.add(ids)
-
-    def _pieces_of(self, words: list[bytes]) -> np.ndarray:
-        """A word is two pieces: letters and marks, or the whole word and nothing."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        parts = [_SIMPLE.fullmatch(t.lower()) for t in texts]
-        pairs = [m.groups() if m and len(m[0]) == len(t) else (t, "") for m, t in zip(parts, texts)]
-        simple = list({p for m, pair in zip(parts, pairs) if m for p in pair if p not in self.pieces})
-        for i in range(0, len(simple), 200):
-            some = simple[i : i + 200]
-            ids = np.array(self.joined.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a word without an end")
-            self._add_pieces(some, ids, np.diff(ends, prepend=0))
-        odd = list({pair[0] for pair in pairs if pair[0] not in self.pieces})
-        if odd:
-            found = [e.ids for e in self.whole.encode_batch(odd, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], np.int64)
-            self._add_pieces(odd, np.array([i for x in found for i in x], np.uint32), lengths)
-        number = self.pieces.__getitem__
-        flat = map(number, itertools.chain.from_iterable(pairs))
-        return np.fromiter(flat, np.int32, 2 * len(pairs)).reshape(-1, 2)
-
-    def _piece_numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the pieces of the texts, two for each word, and the words of each text.
-
-        Known words are found by a 64-bit hash, new ones are read from the texts.
-        """
-        if len(self.pieces) > PIECES:
-            self._forget()
-        joined = b" ".join(texts)
-        hashes, starts, ends = self.hashes.located(joined)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.words, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.words):
-            known = self.words[np.minimum(at, len(self.words) - 1)] == distinct
-        new = first[~known]
-        if len(new):
-            words = [joined[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
-            halves = self._pieces_of(words)
-            self.words = np.insert(self.words, at[~known], distinct[~known])
-            self.halves = np.insert(self.halves, at[~known], halves, axis=0)
-            at = np.searchsorted(self.words, distinct)
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        counts = np.diff(np.searchsorted(starts, begins))
-        return self.halves[at[place]].ravel(), counts
-
-    def _groups(self, texts: list[bytes | None]):
-        some, size = [], 0
-        for text in texts:
-            some.append(text or b"")
-            size += len(some[-1])
-            if size >= AT_ONCE:
-                yield some
-                some, size = [], 0
-        if some:
-            yield some
+        self.known, self.held = _Numbers(), 0
+        self.ids, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has: the tokens that begin within it."""
+        ids, lengths = [], []
+        for i in range(0, len(words), IN_A_CALL):
+            texts = [w.decode("utf-8", "replace") for w in words[i : i + IN_A_CALL]]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            found = self.whole.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.array([begin for begin, _ in found.offsets], np.int64)
+            ids.append(np.array(found.ids, np.uint32))
+            lengths.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(texts)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of the texts, and how many each text has."""
+        words = [t.split() for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        flat = map(self.known.__getitem__, chain.from_iterable(words))
+        numbers = np.fromiter(flat, np.int64, int(counts.sum()))
+        if self.known.new:
+            ids, lengths = self._encode_words(self.known.new)
+            self.starts.add(self.ids.used + np.cumsum(lengths) - lengths)
+            self.lengths.add(lengths)
+            self.ids.add(ids)
+        return numbers, counts
+
+    def _settle(self) -> None:
+        """Keep the new words if there is room, else forget them."""
+        new = self.known.new
+        if not new:
+            return
+        size = sum(map(len, new)) + PER_WORD * len(new)
+        if self.held + size <= KEPT_BYTES:
+            self.held += size
+        else:
+            for word in new:
+                del self.known[word]
+            n = len(self.known)
+            self.ids.used = int(self.starts.data[n])
+            self.starts.used = self.lengths.used = n
+        self.known.new = []
+
+    def _groups(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[int]]]:
+        """Parts of the texts to be worked on at once, and the text each is from."""
+        parts, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in _cut(text or b"") if self.by_word else [text or b""]:
+                if parts and size + len(part) > AT_ONCE:
+                    yield parts, owners
+                    parts, owners, size = [], [], 0
+                parts.append(part)
+                owners.append(i)
+                size += len(part)
+        if parts:
+            yield parts, owners
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; null is the empty text."""
-        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for some in self._groups(texts):
-            if not self.by_word:
-                found = [self.whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in some]
-                ids += [np.array(x, np.uint32) for x in found]
-                counts.append(np.array([len(x) for x in found], np.int64))
-                continue
-            numbers, words = self._piece_numbers(some)
-            lengths = self.lengths.data[numbers]
-            first = np.cumsum(lengths) - lengths
-            place = np.arange(int(lengths.sum())) + np.repeat(self.starts.data[numbers] - first, lengths)
-            ids.append(self.flat.data[place])
-            counts.append(_sums(lengths, 2 * words))
-        return np.concatenate(ids), np.concatenate(counts)
+        ids, counts = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for parts, owners in self._groups(texts):
+            if self.by_word:
+                numbers, words = self._numbers(parts)
+                lengths = self.lengths.data[numbers]
+                first = np.cumsum(lengths) - lengths
+                place = np.arange(int(lengths.sum())) + np.repeat(self.starts.data[numbers] - first, lengths)
+                ids.append(self.ids.data[place])
+                found = _sums(lengths, words)
+                self._settle()
+            else:
+                some = [self.whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in parts]
+                ids += [np.array(x, np.uint32) for x in some]
+                found = np.array([len(x) for x in some], np.int64)
+            np.add.at(counts, owners, found)
+        return np.concatenate(ids), counts
 
     def count(self, texts: list[bytes | None]) -> np.ndarray:
         """Number of ids of each text."""
-        counts = [np.empty(0, np.int64)]
-        for some in self._groups(texts):
-            if self.by_word:
-                numbers, words = self._piece_numbers(some)
-                counts.append(_sums(self.lengths.data[numbers], 2 * words))
-            else:
-                counts.append(self.encode(some)[1])
-        return np.concatenate(counts)
+        if not self.by_word:
+            return self.encode(texts)[1]
+        counts = np.zeros(len(texts), np.int64)
+        for parts, owners in self._groups(texts):
+            numbers, words = self._numbers(parts)
+            np.add.at(counts, owners, _sums(self.lengths.data[numbers], words))
+            self._settle()
+        return counts
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

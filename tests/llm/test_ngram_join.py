@@ -5,6 +5,7 @@ import pytest
 from shelfmark.llm import ngram_join
 from shelfmark.llm.common import LOWER_BYTES, WordHashes, components, shingle_set
 from tests.llm.odd import documents, near_copy, odd_rows, prose
+from tests.llm.test_tokens import thue_morse
 
 
 def shingles(text, k):
@@ -69,6 +70,13 @@ def test_bounded_lists_change_nothing(spark, monkeypatch):
     assert found(documents(spark, rows), words=4, num=85, den=100) == linked(rows, 4, 85, 100)
 
 
+def test_words_with_like_hashes(spark):
+    """Long words that no two texts share, though a polynomial modulo 2 ** 64 takes them for one."""
+    one, other = thue_morse(10)
+    rows = [(1, one, "en", "s"), (2, other, "en", "s"), (3, f"{one} a b c {other} d e f", "en", "s")]
+    assert found(documents(spark, rows), words=4, num=85, den=100) == linked(rows, 4, 85, 100)
+
+
 def test_empty_table(spark):
     assert found(documents(spark, [])) == []
     assert found(documents(spark, [(1, None, None, None), (2, "", None, None)])) == [(1, 0, 1), (2, 0, 2)]
@@ -86,6 +94,10 @@ def test_shingle_sets():
     for text in texts:
         for k in (1, 4, 5):
             assert len(shingle_set(text.encode(), k, hashes)) == len(shingles(text, k))
+    # Words told apart by length, by any byte of any chunk, and by bytes that are zero.
+    words = [b"a" * n for n in range(1, 300)] + [b"a" * i + b"b" + b"a" * (200 - i) for i in range(200)]
+    words += [b"\0" * n for n in range(1, 40)] + [w.encode() for w in thue_morse(10)] + [b"ab", b"ba", b"abcdefgh", b"abcdefghi"]
+    assert len(set(hashes.of(b" ".join(words)).tolist())) == len(set(words))
     assert (hashes.of(b"ab cd") == hashes.of(b"\n ab\t\tcd ")).all()
 
 

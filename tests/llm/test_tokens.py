@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import token_counts, token_output
@@ -34,14 +35,31 @@ def test_encoder_equals_library(file):
         assert encode.count([t.encode() for t in texts]).tolist() == counts[:-1].tolist()
 
 
-def test_encoder_forgets(monkeypatch):
+def thue_morse(n):
+    """Two words of 2 ** n letters that have one hash under any polynomial modulo 2 ** 64 (n = 10)."""
+    word = "a"
+    swap = str.maketrans("ab", "ba")
+    for _ in range(n):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_encoder_forgets_and_cuts(monkeypatch):
     from shelfmark.llm import tokens
 
-    monkeypatch.setattr(tokens, "PIECES", 3)
-    monkeypatch.setattr(tokens, "AT_ONCE", 10)
-    encode, plain = Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
-    ids, _ = encode.encode([t.encode() for t in TEXTS])
-    assert ids.tolist() == [i for t in TEXTS for i in plain.encode(t, add_special_tokens=False).ids]
+    plain = Tokenizer.from_file(WORD_BPE)
+    texts = TEXTS + ["one two\nthree four", "a" * 300, "", *thue_morse(10)] + TEXTS[::-1]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept, at_once in ((0, 10), (2_000, 10), (2_000, 50), (100_000, 1_000)):
+        monkeypatch.setattr(tokens, "KEPT_BYTES", kept)
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        encode = Encoder(WORD_BPE)
+        for _ in range(2):
+            ids, counts = encode.encode([t.encode() for t in texts])
+            assert counts.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+            assert encode.count([t.encode() for t in texts]).tolist() == counts.tolist()
+        assert encode.held <= kept
 
 
 def written(spark, rows):
@@ -71,6 +89,59 @@ def test_digests(spark):
     assert [(r.doc_id, r.start) for r in sorted(got, key=lambda r: r.start)][:2] == [(2, 0), (5, 1)]
 
 
+def test_words_with_like_hashes(spark):
+    """Long words that differ in every letter, in one text and in two."""
+    one, other = thue_morse(10)
+    rows = [(1, one, None, None), (2, other, None, None), (3, f"{other} {one}", None, None)]
+    plain = Tokenizer.from_file(WORD_BPE)
+    got = {r.doc_id: list(r.ids) for r in token_output.read_tokens(spark, written(spark, rows)).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t, *_ in rows}
+    lengths = token_counts.encoded_lengths(documents(spark, rows), WORD_BPE).collect()
+    assert {r.doc_id: r.n_tokens + 1 for r in lengths} == {i: len(ids) for i, ids in got.items()}
+
+
+def test_one_id_for_most_rows(spark, monkeypatch):
+    """Rows of one doc_id, most of them alike, are dealt to many pieces and keep their order."""
+    monkeypatch.setattr(token_output, "BATCH_ROWS", 7)
+    rows = [(5, "same words", "en", "s")] * 300 + [(5, f"word {i}", "en", "s") for i in range(100)]
+    rows += [(i, "x y", "en", "s") for i in (1, 9, None)]
+    path = written(spark, rows)
+    sizes = [r["count"] for r in spark.read.orc(path).groupBy("piece").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < len(rows) / 3
+    got = token_output.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1] + [5] * 400 + [9]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_other_order(spark):
+    rows = [(i, f"text {i}", "en", f"s{(7 * i) % 10}") for i in range(10)]
+    path = new_work_path(spark, "tokens")
+    token_output.write_tokens(documents(spark, rows), path, WORD_BPE, order_by=["source", "doc_id"])
+    got = token_output.read_tokens(spark, path).orderBy("start").collect()
+    assert [(7 * r.doc_id) % 10 for r in got] == list(range(10))
+
+
+def rows_read(df):
+    """Rows that the scan of a query gave, by Spark's own count."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    leaf = leaf.executedPlan().collectLeaves().head() if "Adaptive" in leaf.nodeName() else leaf
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_lookup_reads_little(spark):
+    """Row indexes leave other stretches of rows out, Bloom filters ids that lie between those there are."""
+    path = new_work_path(spark, "tokens")
+    docs = spark.range(0, 80_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    token_output.write_tokens(docs, path, WORD_BPE)
+    found = token_output.find_documents(spark, path, [30_004])
+    assert [r.doc_id for r in found.collect()] == [30_004]
+    assert 0 < rows_read(found) <= 2_000
+    absent = [token_output.find_documents(spark, path, [i]) for i in range(20_001, 20_041, 2)]
+    assert sum(rows_read(df) > 0 for df in absent) <= 4
+
+
 def test_empty_output(spark):
     assert token_output.token_digests(token_output.read_tokens(spark, written(spark, []))).collect() == []
 
