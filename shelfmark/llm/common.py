@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -97,43 +99,69 @@ class WordHashes:
     bits: two of ``n`` distinct words with about n * n / 2 ** 65 (3 % for 10 ** 9 words).
     """
 
-    def _stretches(self, text: bytes):
-        start = 0
-        while len(text) - start > STRETCH:
-            data = np.frombuffer(text, np.uint8, STRETCH, start)
-            spaces = np.flatnonzero(_SPACE[data])
-            if len(spaces):
-                yield data[: spaces[-1] + 1]
-                start += int(spaces[-1]) + 1
-                continue
-            end = start + STRETCH  # one long word: the stretch ends where the word does
-            while end < len(text) and not _SPACE[text[end]]:
-                end += 1
-            yield np.frombuffer(text, np.uint8, end - start, start)
-            start = end
-        if start < len(text):
-            yield np.frombuffer(text, np.uint8, len(text) - start, start)
-
     def of(self, text: bytes) -> np.ndarray:
-        parts = [self._words(data) for data in self._stretches(text)]
+        parts = [hash_words(data)[0] for data in stretches(text)]
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
-    def _words(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
-        word = ~_SPACE[data]
-        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
-        edges = np.concatenate([[0] if word[0] else [], edges, [n] if word[-1] else []]).astype(np.int64)
-        starts, lengths = edges[::2], edges[1::2] - edges[::2]
-        chunks = np.ndarray(n + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-        out = mixed(lengths.astype(np.uint64) * _MIX)
-        place, left, those = starts, lengths, np.arange(len(starts))
-        while len(those):
-            out[those] = mixed(out[those] ^ (chunks[place] & _OWN[np.minimum(left, 8)]))
-            more = (left > 8) & (lengths[those] <= LONG_WORD)
-            place, left, those = place[more] + 8, left[more] - 8, those[more]
-        for i in np.flatnonzero(lengths > LONG_WORD):
-            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
-        return out
+
+def stretches(text: bytes) -> Iterator[np.ndarray]:
+    """The text in parts of STRETCH bytes or less, or of one long word, cut at white space."""
+    start = 0
+    while len(text) - start > STRETCH:
+        data = np.frombuffer(text, np.uint8, STRETCH, start)
+        spaces = np.flatnonzero(_SPACE[data])
+        if len(spaces):
+            yield data[: spaces[-1] + 1]
+            start += int(spaces[-1]) + 1
+            continue
+        end = start + STRETCH  # one long word: the stretch ends where the word does
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        yield np.frombuffer(text, np.uint8, end - start, start)
+        start = end
+    if start < len(text):
+        yield np.frombuffer(text, np.uint8, len(text) - start, start)
+
+
+def chunks_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as integers; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def own_bytes(chunks: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """What of each chunk belongs to a word that has ``left`` more bytes."""
+    return chunks & _OWN[np.minimum(left, 8)]
+
+
+def hash_words(
+    data: np.ndarray, splits: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, where they start, how long they are, and the chunks of the data.
+
+    ``splits`` marks places within words where another word begins.
+    """
+    n = len(data)
+    word = ~_SPACE[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    if splits is not None:
+        begins |= splits
+        ends[:-1] |= splits[1:]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    chunks = chunks_of(data)
+    first = own_bytes(chunks[starts], lengths)
+    out = mixed(mixed(lengths.astype(np.uint64) * _MIX) ^ first)
+    those = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    done = 8
+    while len(those):
+        out[those] = mixed(out[those] ^ own_bytes(chunks[starts[those] + done], lengths[those] - done))
+        done += 8
+        those = those[lengths[those] > done]
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+    return out, starts, lengths, chunks
 
 
 def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:

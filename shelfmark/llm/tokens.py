@@ -6,14 +6,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
-# Memory for remembered words in a worker, and what a word takes besides its bytes.
-# Words beyond it are encoded anew in each group of texts.
-KEPT_BYTES = 96 << 20
-PER_WORD = 180
+from shelfmark.llm.common import LONG_WORD, LOWER_BYTES, hash_words, own_bytes, stretches
+
+# Words remembered in a worker, some 60 bytes each; words beyond are encoded anew in each group.
+KEPT_WORDS = 1 << 20
 # Bytes of text encoded at once; longer texts are cut at white space.
 AT_ONCE = 4_000_000
 # New words that go through the tokenizer in one call.
@@ -21,6 +20,14 @@ IN_A_CALL = 500
 
 # White space that ends a word (as in bytes.split).
 SPACE = b" \t\n\x0b\x0c\r"
+# Lower-case Latin letters that are one precomposed letter each, ASCII marks.
+LETTERS = "a-zß-öø-ÿ"
+MARKS = r"!-/:-@\[-`{-~"
+_SIMPLE = re.compile(rf"[{LETTERS}]+|[{MARKS}]+")
+_SPLIT = re.compile(rf"[a-z0-9][{MARKS}]")
+_IS_MARK, _IS_ALNUM = (
+    np.array([bool(re.match(f"[{kind}]", chr(i))) for i in range(256)]) for kind in (MARKS, "a-z0-9")
+)
 
 
 def _drops_space(spec: dict) -> bool:
@@ -34,7 +41,8 @@ def _drops_space(spec: dict) -> bool:
         and split.get("invert") is True
         and split["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         and spec["model"].get("end_of_word_suffix") == "</w>"
-        and not any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+        # Cut in words, a text never holds an added token by chance.
+        and all(_SPLIT.search(t["content"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
     )
 
 
@@ -58,18 +66,74 @@ class _Grown:
         self.used = need
 
 
-class _Numbers(dict):
-    """Words, as bytes, by number; a word not seen before gets the next one and is listed."""
+class _Words:
+    """Known words by number: an open hash table; a hit counts if all bytes are equal.
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+    A slot holds 31 bits of the hash and the number, or -1.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
+    def __init__(self):
+        self.slots = np.full(1 << 12, -1, np.int64)
+        self.hashes, self.bytes = _Grown(np.uint64), _Grown(np.uint8)
+        # Begin in the bytes and length, in one number; the first 8 bytes.
+        self.places, self.firsts = _Grown(np.int64), _Grown(np.uint64)
+
+    def __len__(self) -> int:
+        return self.hashes.used
+
+    def find(self, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for unknown ones and those over LONG_WORD bytes."""
+        if not len(self):
+            return np.full(len(hashes), -1, np.int64)
+        last = len(self.slots) - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
+        tag = (hashes >> np.uint64(33)).astype(np.int64)
+        entry = self.slots[slot]
+        those = np.flatnonzero(((entry >> 32) != tag) & (entry >= 0))
+        while len(those):
+            slot[those] = (slot[those] + 1) & last
+            entry[those] = some = self.slots[slot[those]]
+            those = those[((some >> 32) != tag[those]) & (some >= 0)]
+        number = entry & 0xFFFFFFFF
+        number[entry < 0] = 0
+        place = self.places.data[number]
+        same = (entry >= 0) & ((place & 0xFFFF) == lengths)
+        same &= self.firsts.data[number] == own_bytes(chunks[starts], lengths)
+        those = np.flatnonzero(same & (lengths > 8))
+        known = np.ndarray(len(self.bytes.data) - 7, "<u8", self.bytes.data, strides=(1,))
+        done = 8
+        while len(those):
+            theirs = known[(place[those] >> 16) + done]
+            differs = own_bytes(theirs ^ chunks[starts[those] + done], lengths[those] - done) != 0
+            same[those[differs]] = False
+            done += 8
+            those = those[lengths[those] > done]
+        number[~same] = -1
         return number
 
+    def add(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Words of at most LONG_WORD bytes that are not there yet get the next numbers."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        first, begins = len(self), self.bytes.used + np.cumsum(sizes) - sizes
+        self.bytes.add(np.frombuffer(b"".join(words) + bytes(8), np.uint8))
+        self.bytes.used -= 8
+        known = np.ndarray(len(self.bytes.data) - 7, "<u8", self.bytes.data, strides=(1,))
+        self.firsts.add(own_bytes(known[begins], sizes))
+        self.places.add((begins << 16) | sizes)
+        self.hashes.add(hashes)
+        if 2 * len(self) > len(self.slots):
+            self.slots = np.full(1 << (4 * len(self)).bit_length(), -1, np.int64)
+            first = 0
+        last = len(self.slots) - 1
+        left = np.arange(first, len(self))
+        slot = (self.hashes.data[left] & np.uint64(last)).astype(np.int64)
+        entry = ((self.hashes.data[left] >> np.uint64(33)).astype(np.int64) << 32) | left
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]  # of several for a slot one stays
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], (slot[left] + 1) & last
+
 
 def _cut(text: bytes) -> Iterator[bytes]:
     """The text in parts of about AT_ONCE bytes that end between words."""
@@ -93,54 +157,120 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             self.by_word = _drops_space(json.load(file))
         self.whole = Tokenizer.from_file(path)
-        self.known, self.held = _Numbers(), 0
+        if self.by_word:
+            self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+            self.simple = Tokenizer.from_file(path)
+            self.simple.normalizer = None
+            self.simple.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+            for token, i in self.whole.get_vocab().items():
+                self.ends[i] = token.endswith("</w>")
+        self.known = _Words()
         self.ids, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
 
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, and how many each has: the tokens that begin within it."""
-        ids, lengths = [], []
-        for i in range(0, len(words), IN_A_CALL):
-            texts = [w.decode("utf-8", "replace") for w in words[i : i + IN_A_CALL]]
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            found = self.whole.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.array([begin for begin, _ in found.offsets], np.int64)
-            ids.append(np.array(found.ids, np.uint32))
-            lengths.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(texts)))
-        return np.concatenate(ids), np.concatenate(lengths)
+    def _simple_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one kind of letters or marks, which are one part for the tokenizer."""
+        ids = np.array(self.simple.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        lengths = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if len(lengths) != len(words):
+            raise ValueError("a word without an end")
+        return ids, lengths
+
+    def _other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words: a token belongs to the word it begins in."""
+        ends = np.cumsum([len(w) + 1 for w in words])
+        found = self.whole.encode(" ".join(words), add_special_tokens=False)
+        begins = np.array([begin for begin, _ in found.offsets], np.int64)
+        lengths = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(words))
+        return np.array(found.ids, np.uint32), lengths
+
+    def _add_ids(self, words: list[bytes]) -> None:
+        """Encode the words: their ids come after the ids there are, those of long words last."""
+        simple, other, long = [], [], []
+        for i, word in enumerate(words):
+            text = word.decode("utf-8", "replace")
+            low = text.lower()
+            if len(word) > LONG_WORD:
+                long.append((i, text))
+            elif len(low) == len(text) and _SIMPLE.fullmatch(low):
+                simple.append((i, low))
+            else:
+                other.append((i, text))
+        order, first, self.ids_before = [], self.starts.used, self.ids.used
+        for some, encode in ((simple, self._simple_ids), (other, self._other_ids), (long, self._other_ids)):
+            if some is long:
+                self.ids_kept = self.ids.used
+            for i in range(0, len(some), IN_A_CALL):
+                ids, lengths = encode([w for _, w in some[i : i + IN_A_CALL]])
+                self.starts.add(self.ids.used + np.cumsum(lengths) - lengths)
+                self.lengths.add(lengths)
+                self.ids.add(ids)
+            order += [i for i, _ in some]
+        # In the order of the words, so that their numbers are places in the arrays.
+        back = first + np.argsort(np.array(order, np.int64))
+        for of in (self.starts, self.lengths):
+            of.data[first : of.used] = of.data[back]
 
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of the texts, and how many each text has."""
-        words = [t.split() for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        flat = map(self.known.__getitem__, chain.from_iterable(words))
-        numbers = np.fromiter(flat, np.int64, int(counts.sum()))
-        if self.known.new:
-            ids, lengths = self._encode_words(self.known.new)
-            self.starts.add(self.ids.used + np.cumsum(lengths) - lengths)
-            self.lengths.add(lengths)
-            self.ids.add(ids)
-        return numbers, counts
+        """Numbers of the words of the texts, and how many each text has.
+
+        Words end at white space, and at marks that follow an ASCII letter or digit (not in
+        texts with an added token). New words get numbers after the known ones; ``_settle``
+        then keeps or forgets them.
+        """
+        counts, numbers = [], []
+        new: dict[bytes, int] = {}
+        new_hashes: list[int] = []
+        for text in texts:
+            counts.append(0)
+            raw = any(token in text for token in self.added)
+            for data in stretches(text if raw else text.translate(LOWER_BYTES)):
+                if raw:
+                    hashes, starts, lengths, _ = hash_words(data)
+                    found = np.full(len(hashes), -1, np.int64)
+                else:
+                    splits = np.zeros(len(data), bool)
+                    splits[1:] = _IS_MARK[data[1:]] & _IS_ALNUM[data[:-1]]
+                    hashes, starts, lengths, chunks = hash_words(data, splits)
+                    found = self.known.find(hashes, starts, lengths, chunks)
+                    found[lengths > LONG_WORD] = -1
+                unknown = np.flatnonzero(found < 0)
+                if len(unknown):
+                    whole = data.tobytes()
+                    begin, end = starts[unknown].tolist(), (starts + lengths)[unknown].tolist()
+                    for at, i, j, of in zip(unknown.tolist(), begin, end, hashes[unknown].tolist()):
+                        number = new.setdefault(whole[i:j], len(new))
+                        if number == len(new_hashes):
+                            new_hashes.append(of)
+                        found[at] = len(self.known) + number
+                counts[-1] += len(found)
+                numbers.append(found)
+        self.new, self.new_hashes = list(new), new_hashes
+        if new:
+            self._add_ids(self.new)
+        return np.concatenate([np.empty(0, np.int64), *numbers]), np.array(counts, np.int64)
 
     def _settle(self) -> None:
-        """Keep the new words if there is room, else forget them."""
-        new = self.known.new
-        if not new:
-            return
-        size = sum(map(len, new)) + PER_WORD * len(new)
-        if self.held + size <= KEPT_BYTES:
-            self.held += size
-        else:
-            for word in new:
-                del self.known[word]
-            n = len(self.known)
-            self.ids.used = int(self.starts.data[n])
-            self.starts.used = self.lengths.used = n
-        self.known.new = []
+        """Keep the new words if there is room, but no long ones, or forget them."""
+        n, kept = len(self.known), np.empty(0, np.int64)
+        if n + len(self.new) <= KEPT_WORDS:
+            kept = np.flatnonzero([len(w) <= LONG_WORD for w in self.new])
+        if len(kept):
+            for of in (self.starts, self.lengths):
+                of.data[n : n + len(kept)] = of.data[n + kept]
+            self.known.add([self.new[i] for i in kept], np.array(self.new_hashes, np.uint64)[kept])
+            self.ids.used = self.ids_kept
+        elif self.new:
+            self.ids.used = self.ids_before
+        self.starts.used = self.lengths.used = n + len(kept)
+        self.new = []
 
     def _groups(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[int]]]:
         """Parts of the texts to be worked on at once, and the text each is from."""

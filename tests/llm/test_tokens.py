@@ -18,6 +18,8 @@ TEXTS = [
     "x y​z 日本語テスト 12345 a1b2 a!b ... !a a\x1cb \x85 ﻿a",
     "",
     "  \n",
+    "Foo.bar foo, FOO; (foo) x.'s don't.'t \"A1b2\" 3.14 a…. b.… c.\u0301d É. É, e\u0301. !a'll'",
+    "before <|ENDOFTEXT|> x<|endoftext|>y. Foo. <|endoftext| > foo.",
 ]
 
 
@@ -50,8 +52,8 @@ def test_encoder_forgets_and_cuts(monkeypatch):
     plain = Tokenizer.from_file(WORD_BPE)
     texts = TEXTS + ["one two\nthree four", "a" * 300, "", *thue_morse(10)] + TEXTS[::-1]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    for kept, at_once in ((0, 10), (2_000, 10), (2_000, 50), (100_000, 1_000)):
-        monkeypatch.setattr(tokens, "KEPT_BYTES", kept)
+    for kept, at_once in ((0, 10), (20, 10), (20, 50), (100_000, 1_000)):
+        monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
         monkeypatch.setattr(tokens, "AT_ONCE", at_once)
         encode = Encoder(WORD_BPE)
         for _ in range(2):
@@ -59,7 +61,7 @@ def test_encoder_forgets_and_cuts(monkeypatch):
             assert counts.tolist() == [len(x) for x in want]
             assert ids.tolist() == [i for x in want for i in x]
             assert encode.count([t.encode() for t in texts]).tolist() == counts.tolist()
-        assert encode.held <= kept
+        assert len(encode.known) <= kept
 
 
 def written(spark, rows):
