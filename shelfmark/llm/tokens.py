@@ -324,11 +324,15 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker, kept from task to task.
 
+    Functions travel to the workers with each task, and module variables of this package with
+    them. What outlives a task hangs on a module that the worker itself imports.
+    """
+    import tokenizers
 
-def encoder(path: str) -> Encoder:
-    """One encoder for a worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
