@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,18 @@ def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it holds, so many rows at most go to a Python worker at once; for rows of many bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes
+from shelfmark.llm.common import arrow_rows, as_bytes
 from shelfmark.llm.tokens import AT_ONCE, encoder
 
 # doc_id and piece say where a row is; at is the number of ids before it in its piece.
@@ -29,17 +28,6 @@ PIECE_BYTES = 64 << 20
 BATCH_ROWS = 1_000
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _row_groups(sizes: np.ndarray):
     """Stretches of rows with at most AT_ONCE bytes, or of one row."""
     start, held = 0, 0
@@ -108,7 +96,7 @@ def write_tokens(
         .sortWithinPartitions(*order)
         .select("doc_id", "text", F.spark_partition_id().alias("piece"))
     )
-    with _small_batches(spark):
+    with arrow_rows(spark, BATCH_ROWS):
         encoded = ordered.mapInArrow(_encoded(tokenizer, end_id), SCHEMA)
         encoded.write.options(**OPTIONS).orc(path)
 
