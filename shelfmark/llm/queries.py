@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, token_counts, token_output, top_inner
+from shelfmark.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, spelling, token_counts, token_output, top_inner
 from shelfmark.llm.common import table
 from shelfmark.session import new_work_path
 
@@ -109,6 +109,11 @@ def op10_tool_call_links(spark, sf_dir):
     return chat_format.link_calls(calls, results, spark.sql(f"select * from {CHAT_SCHEMAS}"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_exact_top_k(spark, sf_dir):
     return top_inner.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, every=50)
