@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, spelling, token_counts, token_output, top_inner
+from shelfmark.llm import chat_format, conversation_trie, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, spelling, token_counts, token_output, top_inner
 from shelfmark.llm.common import table
 from shelfmark.session import new_work_path
 
@@ -134,3 +134,8 @@ ORACLES["op12_exact_top_k"] = """
     )
     select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
 """
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
