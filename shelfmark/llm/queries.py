@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import chat_format, conversation_trie, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, spelling, token_counts, token_output, top_inner
 from shelfmark.llm.common import table
+from shelfmark.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 from shelfmark.session import new_work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -119,23 +119,6 @@ def op12_exact_top_k(spark, sf_dir):
     return top_inner.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-ORACLES["op12_exact_top_k"] = """
-    with vectors as (
-        select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as ints
-        from embeddings
-        where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-    ), scored as (
-        select q.vec_id as query_id, v.vec_id, list_inner_product(q.ints, v.ints)::bigint as score
-        from vectors q, vectors v
-        where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id
-    ), ranked as (
-        select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score
-        from scored
-    )
-    select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
-"""
-
-
 @query
 def op13_conversation_trie(spark, sf_dir):
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
