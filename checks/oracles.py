@@ -326,6 +326,14 @@ where not regexp_matches(rel, '(^|/)[.]') and not regexp_matches(rel, '(^|/)buil
   and not starts_with(rel, 'src1/') and not regexp_matches(rel, '^src2/[^/]*[.]txt$')""",
 )
 ORACLES["sort_files"] = ORACLES["plan_planners"]
+oracle(
+    "plan_pipeline",
+    f"""
+with f as (select *, {rel()} rel, {base()} name from v_mix),
+k as (select 1 from f where not regexp_matches(rel, '(^|/)[.]') and not regexp_matches(rel, '(^|/)build[^/]*/')
+  and not starts_with(rel, 'src1/') and not regexp_matches(rel, '^src2/[^/]*[.]txt$'))
+select 'move' op_type, count(*) n_ops from k union all select 'total', count(*) from k""",
+)
 oracle(
     "plan_apply",
     f"""with {LINE_MOVED}
@@ -349,6 +357,15 @@ where starts_with(source_path, '/data/duplicates/') group by 1""",
 )
 
 
+oracle(
+    "apply_summary_purged",
+    f"""with {MIX_AFTER}
+select cast(0 as bigint) moved, cast(0 as bigint) renamed, (select count(*) from r where not q and rn > 1) deduped,
+  count(distinct split_part(source_path, '/', 4)) filter (starts_with(source_path, '/data/duplicates/')) deleted,
+  (select count(*) from r where q or rn = 1) skipped from a""",
+)
+
+
 def dirs_of(source):
     return f"""(select distinct root_dir, root_dir || '/' || array_to_string(ps[1:i], '/') dir
   from (select root_dir, string_split({rel()}, '/') ps from {source}),
@@ -421,6 +438,25 @@ oracle(
     """select * replace (row_number() over (partition by txn_seq order by op_seq, root_dir, source_path, size, dest_path) - 1 as op_seq)
 from v_log""",
 )
+oracle(
+    "txn_import",
+    """select row_number() over (order by txn_seq) - 1
+    + count(*) filter (txn_seq % 5 = 0) over (order by txn_seq rows between unbounded preceding and 1 preceding) txn_seq,
+  id, ttype, irreversible, cast(0 as bigint) op_seq, 'move' op_type, root_dir, source_path, txn_seq * 10 size, dest_path from v_txn""",
+)
+oracle(
+    "txn_commit",
+    f"""with {PART_MOVED}
+select cast(case when dest_path is null then 0 else 1 end as bigint) txn_seq, case when dest_path is null then 'first' else 'second' end id,
+  0 ttype, dest_path is not null irreversible,
+  row_number() over (order by source_path, coalesce(dest_path, '.'), case when dest_path is null then 4 else 0 end, size) op_seq,
+  case when dest_path is null then 'skip' else 'move' end op_type, root_dir, source_path, size, dest_path from p""",
+)
+oracle(
+    "history_nested",
+    """select txn_seq, id, replace(id, ' ', '_') compact_id, case when ttype = 1 then 'undo' else 'action' end type,
+  count(*) n_operations, min(root_dir) root_dir from v_log group by all""",
+)
 oracle(
     "history_flat",
     """select txn_seq, id, replace(id, ' ', '_') compact_id, case when ttype = 1 then 'undo' else 'action' end type,
@@ -429,7 +465,7 @@ oracle(
 oracle(
     "history_list",
     """select txn_seq, id, id compact_id, case when ttype = 1 then 'undo' else 'action' end type,
-  cast(1 as int) n_operations, root_dir from v_txn""",
+  cast(1 as bigint) n_operations, root_dir from v_txn""",
 )
 LAST = """t as (select distinct txn_seq, id, ttype, irreversible, root_dir, count(*) over (partition by txn_seq) n_operations from v_log),
 lt as (select root_dir, txn_seq, id, ttype, irreversible, n_operations,

@@ -340,6 +340,14 @@ def plan_planners(spark, sf_dir):
     return filters.effective(planning.plan(ignore_some(visible), planner))
 
 
+@query
+def plan_pipeline(spark, sf_dir):
+    """From scan to the counts of what is to be done: filters, planner, order, no-ops left out."""
+    visible = ignore_some(filters.drop_hidden(manifest(spark, sf_dir, "v_mix")))
+    plan = planning.plan(visible, lambda files: classify.classify(files, fixture_rules(spark)))
+    return planning.plan_summary(filters.effective(plan))
+
+
 @query
 def sort_files(spark, sf_dir):
     """Rule file with ignore lines, from scan to effective plan."""
@@ -354,7 +362,7 @@ def ignore_some(files: DataFrame) -> DataFrame:
 
 @query
 def plan_apply(spark, sf_dir):
-    files = materialize(manifest(spark, sf_dir, "v_line"), "files")
+    files = manifest(spark, sf_dir, "v_line")
     return catalog.apply_plan(files, materialize(line_plan(spark, files), "plan"))
 
 
@@ -374,12 +382,19 @@ def dup_purge_count(spark, sf_dir):
     return catalog.purge_count(deduped_mix(spark, sf_dir))
 
 
+@query
+def apply_summary_purged(spark, sf_dir):
+    """Duplicates are moved to quarantine and purged with what was there before."""
+    hashes = hashed(spark, sf_dir, "v_mix")
+    plan = materialize(dedupe.dedupe_full_plan(hashes), "plan")
+    after = catalog.apply_plan(hashes.select("root_dir", "source_path", "size"), plan)
+    return planning.apply_summary(plan, catalog.purge_count(after))
+
+
 @query
 def dirs_emptied(spark, sf_dir):
     """Turns and pages move to one folder; conversations and sites may lose all their files."""
-    files = materialize(
-        manifest(spark, sf_dir, "v_conv").unionByName(manifest(spark, sf_dir, "v_pages")), "files"
-    )
+    files = manifest(spark, sf_dir, "v_conv").unionByName(manifest(spark, sf_dir, "v_pages"))
     pattern = "^[0-3]_|^page_[0-9]*[0-4][.]html$"
     rules = [Row(rule_idx=0, matcher_idx=0, folder="moved", raw=pattern, is_regex=True)]
     own_name = F.concat(F.sha1("source_path"), F.lit("_"), paths.base_name("source_path"))
@@ -475,6 +490,35 @@ def txn_nested(spark, sf_dir):
     return txn_log.flatten_log(txn_log.read_json_log(spark, path))
 
 
+@query
+def txn_import(spark, sf_dir):
+    """JSON lines without positions, blank lines among them; the order of lines is all there is."""
+    path = new_work_path(spark, "txn-text")
+    line = F.to_json(F.struct("ID", "TType", "Operations", "Irreversible"))
+    blank = F.when(F.col("txn_seq") % 5 == 0, F.lit("\n")).otherwise("")
+    log = event_log(spark, sf_dir).orderBy("txn_seq").select(F.concat(line, blank).alias("value"))
+    log.write.text(path)
+    return txn_log.flatten_log(txn_log.import_json_log(spark, path))
+
+
+@query
+def txn_commit(spark, sf_dir):
+    """Two plans appended one after the other, each under a number of its own."""
+    path = new_work_path(spark, "txn-log")
+    plan = planning.numbered(part_plan(spark, sf_dir))
+    txn_log.append_transaction(spark, path, plan.filter("op_type = 'skip'"), "first")
+    txn_log.append_transaction(spark, path, plan.filter("op_type = 'move'"), "second", irreversible=True)
+    return txn_log.read_log(spark, path)
+
+
+@query
+def history_nested(spark, sf_dir):
+    """Transactions cut into lines of two operations are listed as one each."""
+    path = new_work_path(spark, "txn-json")
+    txn_log.append_json_log(txn_log.nest_operations(view(spark, sf_dir, "v_log"), line_operations=2), path)
+    return history.history_listing(txn_log.read_json_log(spark, path))
+
+
 @query
 def history_flat(spark, sf_dir):
     return history.flat_history_listing(view(spark, sf_dir, "v_log"))

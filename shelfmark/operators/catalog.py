@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.functions.text import failing_on
 from shelfmark.operators.filters import effective
 
 MOVES = ("move", "rename", "dedupe")
 
 
-class PlanConflict(ValueError):
-    """The plan cannot be applied as a set of independent operations."""
-
-
-def _after(catalog: DataFrame, plan: DataFrame) -> DataFrame:
-    ops = effective(plan).select(
-        "source_path",
-        F.col("op_type").alias("_op"),
-        F.col("dest_path").alias("_dest"),
-    )
-    # Paths are unique on both sides, so no key is hot.
-    return (
-        catalog.join(ops, "source_path", "left")
-        .filter("_op is null or _op <> 'delete'")
-        .withColumn("_path", F.coalesce(F.when(F.col("_op").isin(*MOVES), F.col("_dest")), "source_path"))
-    )
+def _problem(n_files: Column, n_sources: Column, n_targets: Column) -> list[Column]:
+    """What is wrong with a path, by the number of files, sources and destinations it is."""
+    stays = (n_files > 0) & (n_sources == 0)
+    return [
+        F.when((n_targets > 1) | ((n_targets > 0) & stays), "destination_taken"),
+        F.when((n_targets > 0) & (n_sources > 0), "chained"),
+        F.when(n_sources > 1, "several_operations"),
+        F.when((n_sources > 0) & (n_files == 0), "no_such_file"),
+    ]
 
 
 def plan_conflicts(catalog: DataFrame, plan: DataFrame) -> DataFrame:
@@ -50,24 +44,47 @@ def plan_conflicts(catalog: DataFrame, plan: DataFrame) -> DataFrame:
         .groupBy("path")
         .agg(*[F.sum(r).alias(r) for r in ("n_files", "n_sources", "n_targets")])
     )
-    stays = (F.col("n_files") > 0) & (F.col("n_sources") == 0)
-    problems = F.array(
-        F.when((F.col("n_targets") > 1) | ((F.col("n_targets") > 0) & stays), "destination_taken"),
-        F.when((F.col("n_targets") > 0) & (F.col("n_sources") > 0), "chained"),
-        F.when(F.col("n_sources") > 1, "several_operations"),
-        F.when((F.col("n_sources") > 0) & (F.col("n_files") == 0), "no_such_file"),
-    )
+    problems = F.array(*_problem(F.col("n_files"), F.col("n_sources"), F.col("n_targets")))
     return roles.select("path", F.explode(F.array_compact(problems)).alias("problem"))
 
 
-def apply_plan(catalog: DataFrame, plan: DataFrame, check: bool = True) -> DataFrame:
-    """The catalog after the plan: moved files carry their new path, deleted ones go."""
-    if check:
-        found = plan_conflicts(catalog, plan).limit(5).collect()
-        if found:
-            raise PlanConflict(", ".join(f"{r.path}: {r.problem}" for r in found))
-    columns = [F.col("_path").alias(c) if c == "source_path" else F.col(c) for c in catalog.columns]
-    return _after(catalog, plan).select(*columns)
+def apply_plan(catalog: DataFrame, plan: DataFrame) -> DataFrame:
+    """The catalog after the plan: moved files carry their new path, deleted ones go.
+
+    Files, sources and destinations meet by path in one shuffle, and both tables are read
+    once. A conflict (see ``plan_conflicts``) fails the job that reads the result, whatever
+    columns it reads.
+    """
+    kind = "struct<path:string,op:string,dest:string,file:int,source:int,target:int>"
+    files = catalog.select(
+        F.col("source_path").alias("_path"),
+        F.struct(*catalog.columns).alias("_row"),
+        *[F.lit(v).alias(c) for c, v in (("_file", 1), ("_source", 0), ("_target", 0))],
+        F.lit(None).cast("struct<op:string,dest:string>").alias("_op"),
+    )
+    one = lambda path, op, source, target: F.struct(path, *op, F.lit(0), F.lit(source), F.lit(target)).cast(kind)
+    roles = F.array_compact(
+        F.array(
+            one(F.col("source_path"), (F.col("op_type"), F.col("dest_path")), 1, 0),
+            F.when(F.col("op_type").isin(*MOVES), one(F.col("dest_path"), (F.lit(None), F.lit(None)), 0, 1)),
+        )
+    )
+    ops = effective(plan).select(F.explode(roles).alias("r")).select(
+        F.col("r.path").alias("_path"),
+        F.lit(None).cast(catalog.schema).alias("_row"),
+        *[F.col(f"r.{c}").alias(f"_{c}") for c in ("file", "source", "target")],
+        F.when(F.col("r.source") == 1, F.struct("r.op", "r.dest")).alias("_op"),
+    )
+    same = Window.partitionBy("_path")
+    counts = [F.sum(c).over(same) for c in ("_file", "_source", "_target")]
+    met = files.unionByName(ops).select(
+        "_path", "_row", "_file", *[n.alias(f"_n{i}") for i, n in enumerate(counts)], F.max("_op").over(same).alias("_op")
+    )
+    problem = F.coalesce(*_problem(F.col("_n0"), F.col("_n1"), F.col("_n2")))
+    told = F.concat(F.lit("plan conflict: "), F.coalesce("_path", F.lit("no path")), F.lit(": "), problem)
+    stays = met.filter(failing_on(told)).filter("_file = 1 and (_op is null or _op.op <> 'delete')")
+    moved = F.coalesce(F.when(F.col("_op.op").isin(*MOVES), F.col("_op.dest")), F.col("_path"))
+    return stays.select(*[moved.alias(c) if c == "source_path" else F.col(f"_row.`{c}`") for c in catalog.columns])
 
 
 def write_by_folder(catalog: DataFrame, path: str) -> None:

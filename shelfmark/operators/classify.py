@@ -44,17 +44,16 @@ def _first_hit(name: Column, rules: Sequence[Row], value) -> Column:
     return F.lit(None) if found is None else found
 
 
-def _move_or_skip() -> Column:
-    return F.when(F.col("dest_path").isNull(), "skip").otherwise("move")
-
-
 def _plan(manifest: DataFrame, folder: Column) -> DataFrame:
     """Move plan from the folder of each file, null for none; the same for both forms."""
     dest = paths.joined_path("root_dir", F.col("_folder"), paths.base_name("source_path"))
-    return (
-        manifest.withColumn("_folder", folder)
-        .withColumn("dest_path", F.when(F.col("_folder").isNotNull(), dest))
-        .select("root_dir", "source_path", "size", _move_or_skip().alias("op_type"), "dest_path")
+    moves = F.col("_folder").isNotNull()
+    return manifest.withColumn("_folder", folder).select(
+        "root_dir",
+        "source_path",
+        "size",
+        F.when(moves, "move").otherwise("skip").alias("op_type"),
+        F.when(moves, dest).alias("dest_path"),
     )
 
 

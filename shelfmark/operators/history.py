@@ -16,19 +16,35 @@ def type_label(ttype: str) -> Column:
 
 
 def history_listing(transactions: DataFrame) -> DataFrame:
-    """One row per line of a nested log: id, type, number of operations, root.
+    """One row per transaction of a nested log: id, type, number of operations, root.
 
-    ``compact_id`` is the id with blanks replaced, for one-line output. Logs with
-    transactions over several lines are listed by ``flat_history_listing``.
+    Lines of one ``txn_seq`` are one transaction; its root is that of its first operation.
+    Lines without ``txn_seq`` stand for themselves. ``compact_id`` is the id with blanks
+    replaced, for one-line output.
     """
-    n_ops = F.coalesce(F.size("Operations"), F.lit(0))
-    return transactions.select(
-        "txn_seq",
-        F.col("ID").alias("id"),
-        F.replace("ID", F.lit(" "), F.lit("_")).alias("compact_id"),
-        type_label("TType").alias("type"),
-        F.greatest(n_ops, F.lit(0)).alias("n_operations"),
-        F.coalesce(F.get("Operations", F.lit(0))["File"]["RootDir"], F.lit("")).alias("root_dir"),
+    alone = F.when(F.col("txn_seq").isNull(), F.monotonically_increasing_id())
+    n_ops = F.greatest(F.coalesce(F.size("Operations"), F.lit(0)), F.lit(0)).cast("bigint")
+    root = F.get("Operations", F.lit(0))["File"]["RootDir"]
+    lines = transactions.select(
+        "txn_seq", alone.alias("_alone"), F.col("ID").alias("id"), "TType", n_ops.alias("n"), root.alias("root"),
+        F.coalesce("first_op", F.lit(0)).alias("first_op"),
+    )
+    return (
+        lines.groupBy("txn_seq", "_alone")
+        .agg(
+            F.any_value("id").alias("id"),
+            F.any_value("TType").alias("ttype"),
+            F.sum("n").alias("n_operations"),
+            F.min_by("root", "first_op").alias("root"),
+        )
+        .select(
+            "txn_seq",
+            "id",
+            F.replace("id", F.lit(" "), F.lit("_")).alias("compact_id"),
+            type_label("ttype").alias("type"),
+            "n_operations",
+            F.coalesce("root", F.lit("")).alias("root_dir"),
+        )
     )
 
 

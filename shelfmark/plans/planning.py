@@ -62,17 +62,27 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     )
 
 
-def apply_summary(plan: DataFrame) -> DataFrame:
-    """What applying the plan does, in one row. Moves onto themselves do not count."""
+def apply_summary(plan: DataFrame, purged: DataFrame | None = None) -> DataFrame:
+    """What applying the plan does, in one row. Moves onto themselves do not count.
+
+    ``purged`` (root_dir, n_entries; see ``catalog.purge_count``) counts as deleted, if
+    quarantine folders are purged after the plan.
+    """
     changes = ~F.col("dest_path").eqNullSafe(F.col("source_path"))
 
     def done(op_type: str, name: str) -> Column:
         return F.count_if((F.col("op_type") == op_type) & changes).alias(name)
 
-    return plan.agg(
+    counts = plan.agg(
         done("move", "moved"),
         done("rename", "renamed"),
         done("dedupe", "deduped"),
         F.count_if(F.col("op_type") == "delete").alias("deleted"),
         F.count_if(F.col("op_type") == "skip").alias("skipped"),
     )
+    if purged is None:
+        return counts
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("moved", "renamed", "deduped")]
+    gone = purged.select(*none, F.col("n_entries").alias("deleted"), F.lit(0).cast("bigint").alias("skipped"))
+    both = counts.unionByName(gone)
+    return both.agg(*[F.sum(c).alias(c) for c in counts.columns])

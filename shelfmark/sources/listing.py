@@ -61,3 +61,33 @@ def sha256_of(path: str, first_bytes: int | None = None) -> str:
             if left is not None:
                 left -= len(chunk)
     return digest.hexdigest()
+
+
+def put_if_absent(spark, path: str) -> bool:
+    """Create an empty file; False if it is there already. Of several callers one succeeds.
+
+    Called on the driver. Local paths rely on the operating system, others on the Hadoop
+    file system, whose ``create`` without overwriting is atomic on HDFS and on object stores
+    with conditional writes.
+    """
+    local = local_path(path)
+    if local is not None:
+        import os
+
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    from py4j.protocol import Py4JJavaError
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        system.create(target, False).close()
+    except Py4JJavaError as err:
+        if "AlreadyExists" not in err.java_exception.getClass().getName():
+            raise
+        return False
+    return True

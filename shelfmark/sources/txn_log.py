@@ -6,11 +6,14 @@ table with one row per operation, which is what operators work on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.plans.planning import op_code, op_name
 from shelfmark.schemas import TXN_ACTION, TXN_JSON, TXN_OPS
+from shelfmark.session import materialize
+from shelfmark.sources.listing import put_if_absent
 
 # Most operations on one line of a nested log written here.
 LINE_OPERATIONS = 10_000
@@ -27,21 +30,30 @@ def read_json_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_json_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read one log file whose lines carry no ``txn_seq``: position is order.
+    """Read a log whose lines carry no ``txn_seq``: the line number (from 0, blank lines
+    count) is the order. ``path`` is a file, or a folder of files that follow each other by name.
 
-    Such a file is rewritten whole on every append, so it is small; it is read as
-    one value to number its lines.
+    A file is read in splits by many tasks. A split knows where in the file it begins, and
+    gives its lines in order; how many lines the splits before it have makes the number.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", "\n", -1)).alias("pos", "line")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
     )
+    lines = materialize(lines, "log-lines")  # else the numbers of a second reading need not be the same
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
     parsed = F.from_json("line", TXN_JSON, {"mode": "FAILFAST"})
     return (
         lines.filter("trim(line) <> ''")
-        .select("pos", parsed.alias("txn"))
-        .select("txn.*", "pos")
-        .withColumn("txn_seq", F.coalesce("txn_seq", F.col("pos").cast("bigint")))
-        .drop("pos")
+        .join(offsets, ["file", "block"])
+        .select((F.col("at") + F.col("offset")).alias("line_no"), parsed.alias("txn"))
+        .select("txn.*", "line_no")
+        .withColumn("txn_seq", F.coalesce("txn_seq", "line_no"))
+        .drop("line_no")
     )
 
 
@@ -75,8 +87,9 @@ def nest_operations(log: DataFrame, line_operations: int = LINE_OPERATIONS) -> D
     """Flat log as JSON transactions, their operations in order of ``op_seq``.
 
     A transaction is one line up to ``line_operations``; larger ones continue on further
-    lines with the same id, so that no task has to hold a whole transaction. Reading
-    back counts operations from 0; if they were counted so, without gaps, ``op_seq`` returns.
+    lines with the same txn_seq, so that no task has to hold a whole transaction. They still
+    are one transaction: ``history.history_listing`` and ``flatten_log`` put them together.
+    Reading back counts operations from 0; if they were counted so, without gaps, ``op_seq`` returns.
     """
     op = F.struct(
         op_code("op_type").alias("OpType"),
@@ -133,4 +146,35 @@ def append_log(ops: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TXN_OPS).parquet(path)
+    return spark.read.schema(TXN_OPS).option("recursiveFileLookup", "true").parquet(path)
+
+
+def claim_txn_seq(spark: SparkSession, path: str) -> int:
+    """The next free sequence number of a log, claimed for the caller alone.
+
+    Writers may append at the same time: a number is taken by creating a file that must not
+    be there yet, and who comes second tries the next one. A writer that fails afterwards
+    leaves its number unused. Claims lie in a folder that readers of the log skip.
+    """
+    try:
+        seq = next_txn_seq(read_log(spark, path))
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        seq = 0
+    while not put_if_absent(spark, f"{path.rstrip('/')}/_claims/{seq:019d}"):
+        seq += 1
+    return seq
+
+
+def append_transaction(
+    spark: SparkSession, path: str, numbered_plan: DataFrame, txn_id: str, irreversible: bool = False
+) -> int:
+    """Append one applied plan (with ``op_seq``) under a number of its own; returns the number.
+
+    It goes to a folder of its own: jobs that write to one folder at the same time would
+    clear away each other's temporary files.
+    """
+    seq = claim_txn_seq(spark, path)
+    append_log(transaction(numbered_plan, txn_id, seq, irreversible), f"{path.rstrip('/')}/{seq:019d}")
+    return seq
