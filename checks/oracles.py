@@ -585,6 +585,17 @@ select source_path, size, (doc_id - 60 * toxic) * 1000000,
 from v_docs join documents using (doc_id) join labels using (doc_id) where lang <> 'en'""",
 )
 
+oracle(
+    "cache_deltas",
+    """
+with o as (select doc_id, toxic from labels),
+d as (select source_path, size, doc_id, sha256(text) sha256, toxic,
+    case when doc_id % 10 = 0 or (doc_id % 3 = 0 and doc_id % 5 <> 0) then 'fresh'
+      when doc_id % 5 <> 0 and toxic is not null then 'old' end kind from v_docs left join o using (doc_id))
+select source_path, size, case kind when 'fresh' then doc_id else doc_id - 60 * toxic end * 1000000 mtime_us,
+  case when kind = 'fresh' or toxic = 0 then sha256 else 'stale' end sha256 from d where kind is not null""",
+)
+
 # --- files ----------------------------------------------------------------
 
 SCANNED = """select concat('source=', source, '/lang=', lang) folder, cast(sum(strlen(text) + 1) as bigint) n_bytes

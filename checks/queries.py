@@ -606,8 +606,8 @@ def incremental(spark, sf_dir) -> DataFrame:
     texts = docs_with_mtime(spark, sf_dir)
 
     def hash_misses(misses: DataFrame) -> DataFrame:
-        done = texts.select("source_path", dedupe.content_hash(F.col("text").cast("binary")).alias("sha256"))
-        return done.join(misses.select("source_path"), "source_path", "left_semi")
+        content = texts.select("source_path", F.col("text").cast("binary").alias("content"))
+        return misses.join(content, "source_path").select(*misses.columns, dedupe.content_hash("content").alias("sha256"))
 
     files = texts.select(
         "root_dir",
@@ -643,6 +643,22 @@ def cache_upsert(spark, sf_dir):
     )
 
 
+@query
+def cache_deltas(spark, sf_dir):
+    """A cache, a delta over it, tombstones, compaction, and a delta on top."""
+    path = new_work_path(spark, "hash-cache")
+    docs = docs_with_mtime(spark, sf_dir)
+    fresh = docs.select("source_path", "size", "mtime", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "doc_id")
+    hash_cache.save_cache(spark, path, older_cache(spark, sf_dir))
+    hash_cache.save_cache(spark, path, fresh.filter("doc_id % 3 = 0"))
+    hash_cache.drop_from_cache(spark, path, fresh.filter("doc_id % 5 = 0"))
+    hash_cache.compact_cache(spark, path)
+    hash_cache.save_cache(spark, path, fresh.filter("doc_id % 10 = 0"))
+    return hash_cache.read_cache(spark, path).select(
+        "source_path", "size", F.unix_micros("mtime").alias("mtime_us"), "sha256"
+    )
+
+
 # --- files ----------------------------------------------------------------
 
 

@@ -132,9 +132,17 @@ def require_hashes(hashed: DataFrame) -> DataFrame:
 
 
 def cached_hashes(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Left join of the cache: a hit needs the same path, size and mtime."""
-    entry = cache.select("source_path", "size", "mtime", F.col("sha256").alias("cached_sha256"))
-    return files.join(entry, ["source_path", "size", "mtime"], "left")
+    """Left join of the cache: a hit needs the same path, size and mtime.
+
+    The join is by path alone, as the cache is bucketed; the rest is compared on the pairs.
+    """
+    entry = cache.select(
+        F.col("source_path").alias("_path"), F.struct("size", "mtime").alias("_print"), F.col("sha256").alias("_cached")
+    )
+    same = F.struct("size", "mtime") == F.col("_print")
+    return files.join(entry, files["source_path"] == F.col("_path"), "left").select(
+        *files.columns, F.when(same, F.col("_cached")).alias("cached_sha256")
+    )
 
 
 def resolve_hashes(
@@ -142,14 +150,13 @@ def resolve_hashes(
 ) -> DataFrame:
     """Add ``sha256`` and ``from_cache``; only cache misses reach ``hash_files``.
 
-    ``hash_files`` maps files to (source_path, sha256).
+    ``hash_files`` adds ``sha256`` to the rows it is given.
     """
     looked_up = materialize(cached_hashes(files, cache), "cache-lookup")
     hits = looked_up.filter("cached_sha256 is not null").withColumnRenamed("cached_sha256", "sha256")
     misses = looked_up.filter("cached_sha256 is null").drop("cached_sha256")
-    hashed = misses.join(hash_files(misses), "source_path", "left")
     return hits.withColumn("from_cache", F.lit(True)).unionByName(
-        require_hashes(hashed).withColumn("from_cache", F.lit(False))
+        require_hashes(hash_files(misses)).withColumn("from_cache", F.lit(False))
     )
 
 

@@ -31,11 +31,8 @@ def hash_candidates(manifest: DataFrame, cache_path: str | None = None) -> DataF
             "from_cache", F.lit(False)
         )
 
-    def hash_misses(misses: DataFrame) -> DataFrame:
-        return with_content_hash(misses.select("source_path"))
-
     hashed = materialize(
-        dedupe.resolve_hashes(same_prefix, read_cache(spark, cache_path), hash_misses), "hashed"
+        dedupe.resolve_hashes(same_prefix, read_cache(spark, cache_path), with_content_hash), "hashed"
     )
     save_cache(spark, cache_path, hashed.filter("not from_cache"))
     return hashed

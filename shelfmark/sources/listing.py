@@ -91,3 +91,17 @@ def put_if_absent(spark, path: str) -> bool:
             raise
         return False
     return True
+
+
+def subfolders(spark, path: str) -> list[str]:
+    """Names of the folders directly in a folder, none if it is missing. Called on the driver."""
+    local = local_path(path)
+    if local is not None:
+        import os
+
+        return [e.name for e in os.scandir(local) if e.is_dir()] if os.path.isdir(local) else []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return [e.getPath().getName() for e in system.listStatus(target) if e.isDirectory()]

@@ -1,10 +1,11 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.skew import HOT_GROUPS, attach_groups
 from shelfmark.operators import dedupe
 from shelfmark.session import materialize
-from shelfmark.sources.hash_cache import read_cache, save_cache
+from shelfmark.sources.hash_cache import compact_cache, drop_from_cache, read_cache, save_cache
 from tests.conftest import paths_of
 
 
@@ -106,7 +107,7 @@ def test_cache_needs_the_whole_fingerprint(spark):
 
     def hash_files(misses):
         asked.extend(r.source_path for r in misses.collect())
-        return misses.select("source_path", F.upper("source_path").alias("sha256"))
+        return misses.withColumn("sha256", F.upper("source_path"))
 
     got = {r.source_path: (r.sha256, r.from_cache) for r in dedupe.resolve_hashes(files, cache, hash_files).collect()}
     assert got == {"a": ("ha", True), "b": ("B", False), "c": ("C", False), "d": ("D", False)}
@@ -122,10 +123,61 @@ def test_cache_table(spark, tmp_path):
     two = one.withColumn("sha256", F.lit("y")).unionByName(one.withColumn("source_path", F.lit("b")))
     assert save_cache(spark, path, two)
     assert {r.source_path: r.sha256 for r in read_cache(spark, path).collect()} == {"a": "y", "b": "x"}
-    assert len(list((tmp_path / "cache").iterdir())) == 2
+
+
+def entry(spark, paths, sha):
+    return spark.createDataFrame([(p,) for p in paths], "source_path string").selectExpr(
+        "source_path", "1L size", "timestamp'2024-01-01' mtime", f"'{sha}' sha256"
+    )
+
+
+def test_cache_deltas(spark, tmp_path):
+    path = str(tmp_path / "cache")
+
+    def entries():
+        return {r.source_path: r.sha256 for r in read_cache(spark, path).collect()}
+
+    def rows():
+        return sum(pq.read_metadata(f).num_rows for f in (tmp_path / "cache").rglob("*.parquet"))
+
+    assert not compact_cache(spark, path)
+    save_cache(spark, path, entry(spark, [f"p{i}" for i in range(1000)], "a"))
+    save_cache(spark, path, entry(spark, ["p3", "new"], "b"))
+    assert rows() == 1002  # a delta is as large as what is fresh
+    drop_from_cache(spark, path, entry(spark, ["p4", "p4", "unknown"], ""))
+    assert rows() == 1004
+    want = {f"p{i}": "a" for i in range(1000) if i != 4} | {"p3": "b", "new": "b"}
+    assert entries() == want
+    assert compact_cache(spark, path) and entries() == want
+    save_cache(spark, path, entry(spark, ["p4"], "c"))
+    assert entries() == want | {"p4": "c"}
+    # A generation that was not completely written is not read.
+    (tmp_path / "cache" / "generation=9-8").mkdir()
+    assert entries() == want | {"p4": "c"}
+
+
+def test_lookup_does_not_shuffle_the_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for sha in "ab":
+        save_cache(spark, path, entry(spark, [f"p{i}" for i in range(100)], sha))
+    files = entry(spark, ["p1", "x"], "").drop("sha256")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = dedupe.cached_hashes(files, read_cache(spark, path))
+        assert {r.source_path: r.cached_sha256 for r in found.collect()} == {"p1": "b", "x": None}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    assert plan.count("Exchange hashpartitioning") == 1  # that of the files
 
 
 def test_corrupt_cache_is_empty(spark, tmp_path):
-    (tmp_path / "cache" / "snapshot=0").mkdir(parents=True)
-    (tmp_path / "cache" / "snapshot=0" / "part-0.parquet").write_bytes(b"junk")
-    assert read_cache(spark, str(tmp_path / "cache")).count() == 0
+    path = str(tmp_path / "cache")
+    save_cache(spark, path, entry(spark, ["a"], "x"))
+    for file in (tmp_path / "cache").rglob("*.parquet"):
+        file.write_bytes(b"junk")
+        (file.parent / f".{file.name}.crc").unlink()
+    assert read_cache(spark, path).count() == 0
+    assert save_cache(spark, path, entry(spark, ["b"], "y"))
+    assert [r.source_path for r in read_cache(spark, path).collect()] == ["b"]
