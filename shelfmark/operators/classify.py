@@ -7,15 +7,17 @@ wins; a name that itself contains ``*`` hits it like any keyword.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql import types as T
 
 from shelfmark.functions import paths
+from shelfmark.functions.fragments import regex_fragments
 from shelfmark.functions.regexes import to_java
 from shelfmark.functions.skew import attach_groups
+from shelfmark.operators import matching
 from shelfmark.session import materialize
 
 CASE_LIMIT = 500
@@ -65,84 +67,51 @@ def classify_case(manifest: DataFrame, rules: Sequence[Row]) -> DataFrame:
     return _plan(manifest.withColumn("_name", name), F.coalesce(folder, fallback))
 
 
-def _first_patterns(names: DataFrame, patterns: DataFrame, hit_type: DataType) -> DataFrame:
-    """Add the first pattern that hits each name.
-
-    Patterns run as literals, a bounded number per pass; with more of them the
-    names are written between passes.
-    """
-    out = names.withColumn("pattern_hit", F.lit(None).cast(hit_type))
-    rows = patterns.orderBy("rule_idx", "matcher_idx").toLocalIterator()
-    passes = 0
-    while chunk := list(islice(rows, CASE_LIMIT)):
-        found = _first_hit(
-            F.col("name"),
-            chunk,
-            lambda r: F.struct(F.lit(r.rule_idx), F.lit(r.matcher_idx), F.lit(r.folder)).cast(hit_type),
-        ).cast(hit_type)
-        if passes:
-            out = materialize(out, "pattern-pass")
-        out = out.withColumn("pattern_hit", F.coalesce("pattern_hit", found))
-        passes += 1
-    return out
+@F.pandas_udf(
+    T.StructType([T.StructField("regex", T.StringType()), T.StructField("fragments", T.ArrayType(T.StringType()))])
+)
+def _translated(patterns: pd.Series) -> pd.DataFrame:
+    """Patterns as Java's, with their fragments."""
+    return pd.DataFrame(
+        {"regex": patterns.map(to_java), "fragments": patterns.map(regex_fragments)}, columns=["regex", "fragments"]
+    )
 
 
 def classify_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     """Move plan by a rule table of any size.
 
-    Keywords meet names by equality: each distinct name yields its substrings of
-    the lengths that occur among the keywords, and those join the keyword table.
-    There is no nested loop over rules and no pair that is not a hit. Regex
-    matchers cannot be joined by equality and stay literal expressions.
+    Distinct names meet keywords and regular expressions by fragments they must hold
+    (``matching.matches``): no nested loop over rules, except for patterns without any
+    certain character, and no rule passes the driver.
     """
-    spark = manifest.sparkSession
     rules = rules.filter("raw is not null")
     hit = F.struct("rule_idx", "matcher_idx", "folder")
-    keywords = rules.filter(~F.col("is_regex"))
-    first_hit = keywords.groupBy(F.col("raw").alias("piece")).agg(F.min(hit).alias("hit"))
-    facts = keywords.agg(
-        F.array_sort(F.collect_set(F.length("raw"))).alias("lengths"),
-        F.max(F.when(F.col("raw") == "*", hit)).alias("star"),
-    ).first()
-
-    names = materialize(
-        manifest.groupBy(paths.base_name("source_path").alias("name")).agg(
-            F.count("*").alias("n_files")
-        ),
-        "names",
+    by_raw = materialize(
+        rules.groupBy("raw", F.coalesce("is_regex", F.lit(False)).alias("is_regex")).agg(F.min(hit).alias("hit")), "matchers"
+    )
+    star = rules.filter("raw = '*' and not is_regex").agg(F.max(hit).alias("hit")).first().hit
+    keywords = by_raw.filter("not is_regex").select(
+        "hit", F.lit(matching.CONTAINS).alias("test"), F.col("raw").alias("fragment"), F.lit(None).cast("string").alias("regex")
     )
-    # Every substring of a keyword length; a name's pieces stay in its partition.
-    at, name = F.col("at"), F.col("name")
-    piece = F.array(
-        *[F.when(at + (n - 1) <= F.length(name), F.substring(name, at, F.lit(n))) for n in facts.lengths]
-    ).cast("array<string>")
-    by_keyword = (
-        names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
-        .select("name", F.explode(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))).alias("at"))
-        .select("name", F.explode(piece).alias("piece"))
-        .filter("piece is not null")
-        .join(first_hit, "piece")
-        .groupBy("name")
-        .agg(F.min("hit").alias("keyword_hit"))
+    patterns = by_raw.filter("is_regex").select("hit", _translated("raw").alias("t"))
+    patterns = patterns.select(
+        "hit", F.lit(matching.REGEX).alias("test"), F.explode_outer("t.fragments").alias("fragment"), "t.regex"
     )
-    fallback = F.lit(facts.star.folder if facts.star else None).cast("string")
-    hit_type = first_hit.schema["hit"].dataType
-    by_pattern = _first_patterns(names, rules.filter("is_regex"), hit_type)
+    names = materialize(
+        manifest.groupBy(paths.base_name("source_path").alias("text")).agg(F.count("*").alias("n_files")), "names"
+    )
+    hits = matching.matches(names.select("text"), materialize(keywords.unionByName(patterns), "patterns"))
+    first = hits.groupBy("text").agg(F.min("hit").alias("hit"))
+    fallback = F.lit(star.folder if star else None).cast("string")
     folders = materialize(
-        by_pattern.join(by_keyword, "name", "left").select(
-            "name",
-            "n_files",
-            F.coalesce(F.least("keyword_hit", "pattern_hit")["folder"], fallback).alias("folder"),
+        names.join(first, "text", "left").select(
+            F.col("text").alias("_name"), "n_files", F.coalesce(F.col("hit.folder"), fallback).alias("_to")
         ),
         "name-folders",
     )
-    found = attach_groups(
-        manifest.withColumn("name", paths.base_name("source_path")),
-        folders,
-        ["name"],
-        spread_by="source_path",
-    )
-    return _plan(found, F.col("folder"))
+    named = manifest.withColumn("_name", paths.base_name("source_path"))
+    found = attach_groups(named, folders, ["_name"], spread_by="source_path")
+    return _plan(found, F.col("_to"))
 
 
 def classify(manifest: DataFrame, rules: DataFrame) -> DataFrame:

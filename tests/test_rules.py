@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from shelfmark.functions.fragments import glob_fragments, regex_fragments
 from shelfmark.functions.regexes import PatternError, to_java
 from shelfmark.operators.classify import classify, classify_case, classify_join
 from shelfmark.sources.rule_files import load_rules, parse_inline, parse_rule_files, rule_listing
@@ -87,6 +88,65 @@ def test_more_patterns_than_one_pass(spark, manifest):
     assert folders(classify(files, table)) == {"n3": "f3", "n777": "f777", "n1199": "f1199", "n1200": None}
 
 
+def test_many_regex_rules_as_rows(spark, manifest):
+    """Fifty thousand patterns: none is sent to the driver or put in the plan."""
+    n = 50_000
+    table = spark.range(n).selectExpr(
+        "cast(id as int) rule_idx", "0 matcher_idx", "concat('f', id) folder",
+        "concat('^(?:x|y)[a-z]*', id, '_?(?:end|fin)[.]t.t$') raw", "true is_regex",
+    )
+    files = manifest(["/r/xab777_end.txt", "/r/y49999fin.tat", "/r/x12end.txt", "/r/x777.txt", "/r/none"])
+    plan = classify_join(files, table)
+    assert folders(plan) == {"xab777_end.txt": "f777", "y49999fin.tat": "f49999", "x12end.txt": "f12", "x777.txt": None, "none": None}
+    assert "f49998" not in plan._jdf.queryExecution().toString()
+
+
+FRAGMENTS = {
+    "abc": ["abc"], "^abc$": ["abc"], "a.c": ["a"], "ab*c": ["a"], "ab+c": ["ab"], "ab{2,}c": ["ab"], "ab{0,3}cde": ["cde"],
+    "foo|bar": ["bar", "foo"], "foo|.*": None, "(foo|bar)x": ["bar", "foo"], "(foo)?x": ["x"], "(?:ab|cd)+efg": ["efg"],
+    "[.]pdf": [".pdf"], "[a-z]+": None, ".*": None, "": None, "(?i)abc": None, "a(?i:b)c": None, r"\Qa.b\E+c": ["a.b"],
+    r"\d+[.]tar[.]gz": [".tar.gz"], r"x\.y": ["x.y"], r"\x41bc": ["bc"], "[]a]bc": ["bc"], "[[:alpha:]]x": ["x"], "x{,2}": ["x{,2}"],
+    "(a|b|)cd": ["cd"], r"\pNab": ["ab"], r"\p{Greek}ab": ["ab"], "(?P<n>ab)c": ["ab"], r"a\bb": ["a"], "ab??c": ["a"],
+}
+
+
+def test_fragments():
+    assert {p: regex_fragments(p) for p in FRAGMENTS} == FRAGMENTS
+    assert glob_fragments("a*bcd?e[xy]") == ["bcd"] and glob_fragments(r"\*ab[]]") == ["*ab"]
+    assert glob_fragments("*?") is None and glob_fragments("[^a]*") is None
+
+
+def test_every_match_holds_a_fragment():
+    import re
+
+    rnd = random.Random(11)
+    parts = ["a", "b", "ab", "c*", "b+", "(a|bc)", "(ab)?", "[ab]", "[c]", ".", "a{2}", "(b|c)*", "c??", "(?:ca|b+)"]
+    for _ in range(3000):
+        pattern = "|".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.choice([1, 1, 2])))
+        fragments = regex_fragments(pattern)
+        for _ in range(8):
+            text = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7)))
+            if fragments and re.search(pattern, text):
+                assert any(f in text for f in fragments), (pattern, text, fragments)
+
+
+def test_both_forms_agree_on_patterns(spark, manifest):
+    """Patterns with and without fragments, several slices of the latter."""
+    from shelfmark.operators import matching
+
+    rnd = random.Random(12)
+    pieces = ["a", "b", "ab", "c*", "(a|bc)", "[ab]", ".", "^", "$", "b+", "[.]"]
+    rules = [(i, 0, f"f{i}", "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 5))), True) for i in range(60)]
+    rules = [r for r in rules if "^*" not in r[3] and "$*" not in r[3]]
+    table = spark.createDataFrame(rules, "rule_idx int, matcher_idx int, folder string, raw string, is_regex boolean")
+    files = manifest([f"/r/{i}_" + "".join(rnd.choice("abc.") for _ in range(rnd.randint(1, 8))) for i in range(200)])
+    before, matching.SLICE = matching.SLICE, 7
+    try:
+        assert folders(classify_join(files, table)) == folders(classify_case(files, table.collect()))
+    finally:
+        matching.SLICE = before
+
+
 def test_comma_inside_a_pattern(spark):
     found = parsed(spark, "F=regex(a{1,2})")
     assert [(r.folder, r.raw, r.is_regex) for r in found.rules.collect()] == [("F", "2})", False)]
