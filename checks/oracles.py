@@ -216,20 +216,34 @@ oracle(
     f"""select root_dir, source_path, size from v_line
 where not starts_with({rel()}, 'A/F/') and not regexp_matches({rel()}, '^R/[^/]*/li_1[^/]*[.]dat(/|$)')""",
 )
+RULE_PARTS = """select ord, pattern, source, regexp_replace(pattern, '^/', '') lit,
+  starts_with(pattern, '/') or contains(pattern, '/') is_path,
+  concat('^', replace(replace(replace(regexp_replace(pattern, '^/', ''), '.', '[.]'), '*', '[^/]*'), '?', '[^/]'), '$') rx from v_mixrules"""
+RULE_HIT = """case when is_path then regexp_matches(rel, rx) or (is_dir and (rel = lit or starts_with(rel, lit || '/')))
+    else regexp_matches(name, rx) or (is_dir and starts_with(name, lit)) end"""
+
 oracle(
     "filter_ignore_join",
     f"""
 with f as (select root_dir, source_path, size, string_split({rel()}, '/') ps from v_mix),
 e as (select source_path, array_to_string(ps[1:i], '/') rel, ps[i] name, i < len(ps) is_dir
   from f, lateral (select unnest(range(1, len(ps) + 1)) i)),
-p as (select pattern, regexp_replace(pattern, '^/', '') lit,
-  starts_with(pattern, '/') or contains(pattern, '/') is_path,
-  concat('^', replace(replace(replace(pattern, '.', '[.]'), '*', '[^/]*'), '?', '[^/]'), '$') rx from v_mixrules),
-hidden as (select distinct source_path from e, p where case
-  when is_path then rel = lit or (is_dir and starts_with(rel, lit || '/'))
-  else regexp_matches(name, rx) or (is_dir and starts_with(name, lit)) end)
+d as (select distinct rel, name, is_dir from e),
+p as (select distinct lit, is_path, rx from ({RULE_PARTS})),
+hit as (select distinct rel, is_dir from d, p where {RULE_HIT}),
+hidden as (select distinct source_path from e join hit using (rel, is_dir))
 select root_dir, source_path, size from f where source_path not in (select source_path from hidden)""",
 )
+oracle(
+    "ignore_explain_table",
+    f"""
+with f as (select source_path, string_split({rel()}, '/') ps from v_mix),
+e as (select distinct array_to_string(ps[1:i], '/') rel, ps[i] name, i < len(ps) is_dir
+  from f, lateral (select unnest(range(1, len(ps) + 1)) i)),
+p as ({RULE_PARTS}),
+hit as (select rel, is_dir, arg_min(pattern, ord) pattern, arg_min(source, ord) source from e, p where {RULE_HIT} group by all)
+select '/data' root_dir, '/data/' || rel source_path, is_dir, pattern, source from e left join hit using (rel, is_dir)""",
+)
 ORACLES["ignore_auto"] = in_both_forms("filter_ignore_join")
 oracle(
     "roots_quarantine",

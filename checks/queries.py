@@ -232,7 +232,7 @@ def filter_ignore(spark, sf_dir):
 
 @query
 def filter_ignore_join(spark, sf_dir):
-    """Rules from data: the folders and file names of flagged documents, and two globs."""
+    """Rules from data, one of each document: names, paths and folders, plain and as globs."""
     rules = view(spark, sf_dir, "v_mixrules")
     return ignore.drop_ignored_join(manifest(spark, sf_dir, "v_mix"), rules)
 
@@ -245,6 +245,15 @@ def ignore_explain(spark, sf_dir):
     return ignore.explain_ignored(entries, rules)
 
 
+@query
+def ignore_explain_table(spark, sf_dir):
+    """Files and the directories above them against the rules of all documents."""
+    files = manifest(spark, sf_dir, "v_mix").select("root_dir", "source_path", F.lit(False).alias("is_dir"))
+    dirs = catalog.directories(files).select("root_dir", F.col("dir").alias("source_path"), F.lit(True).alias("is_dir"))
+    rules = view(spark, sf_dir, "v_mixrules")
+    return ignore.explain_ignored_table(files.unionByName(dirs), rules, F.col("is_dir"))
+
+
 def document_ignores(spark, sf_dir) -> DataFrame:
     """Each document is an ignore file; its lines are patterns."""
     docs = table(spark, sf_dir, "documents").select(

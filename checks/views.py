@@ -64,10 +64,11 @@ union all select distinct cast(p_size as bigint), 0, concat('by_size/',p_size),
 from part
 union all select p_partkey+1000000000000, 0, concat('rest/',lower(p_type)), '*', false
 from part""",
-    # Ignore rules from data: folders, names and paths of some documents.
-    "v_mixrules": """select distinct case when n_chars<=6000 then concat('gone_',doc_id,'.txt') else case doc_id%5 when 0 then concat('/',source) when 1 then concat(source,'/',lang)
-    when 2 then concat('doc_',doc_id,'.txt') when 3 then concat(source,'/doc_',doc_id,'.txt')
-    else concat('doc_',doc_id%97,'?.t*') end end pattern
+    # Ignore rules from data: every document gives one, of six kinds that can match.
+    "v_mixrules": """select doc_id ord, concat(source,'-',lang) source, case doc_id%6 when 0 then concat('/',source,'/doc_',doc_id%89,'?.txt')
+    when 1 then concat(source,'/doc_',doc_id,'.txt') when 2 then concat('doc_',doc_id,'.txt')
+    when 3 then concat('build-out/?/y/',source,'/*',doc_id%83,'.txt') when 4 then concat('doc_',doc_id%97,'?.t*')
+    else case doc_id%7 when 0 then concat('/build-out/x/y/',source) when 1 then concat('buil',doc_id%5) when 2 then 'build-' else concat('doc_?',doc_id,'*') end end pattern
 from documents""",
     # Roots with a scheme, with a slash at the end, and the root of all.
     "v_roots": """select case doc_id%3 when 0 then '/data/' when 1 then 's3://bkt/data' else '/' end root_dir,

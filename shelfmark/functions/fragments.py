@@ -1,7 +1,8 @@
-"""Fragments of patterns: literals of which every match holds at least one.
+"""Fragments of patterns: every match holds at least one of them.
 
-They let a table of patterns meet a table of texts by equality. What cannot be told has
-no fragments; a pattern is never given one that a match could lack.
+A fragment is one or more literals, joined by BETWEEN, all of which the match holds. They
+let a table of patterns meet a table of texts by equality. What cannot be told has no
+fragments; a pattern is never given one that a match could lack.
 """
 
 from __future__ import annotations
@@ -10,21 +11,22 @@ import re
 
 # More alternatives than this, and a pattern counts as having none.
 MOST = 16
+BETWEEN = "\0"
 
 _REPEAT = re.compile(r"\{(\d+)(,\d*)?\}")
 _FLAGS = re.compile(r"\(\?[imsU-]*i")
 
 
 def _better(one: list[str] | None, other: list[str] | None) -> list[str] | None:
-    """The list whose shortest literal is longer."""
+    """The list whose shortest fragment is longer, by the longest literal of each."""
     if one is None or other is None:
         return one or other
-    return max(one, other, key=lambda x: (min(map(len, x)), -len(x)))
+    return max(one, other, key=lambda x: (min(max(map(len, f.split(BETWEEN))) for f in x), -len(x)))
 
 
 def regex_fragments(pattern: str) -> list[str] | None:
     """Fragments of a valid pattern of the dialect of ``regexes.to_java``, or None."""
-    if _FLAGS.search(pattern):  # case does not matter somewhere
+    if _FLAGS.search(pattern) or BETWEEN in pattern:  # case does not matter somewhere
         return None
     found, end = _alternatives(pattern, 0)
     return sorted(set(found)) if found and len(found) <= MOST and end >= len(pattern) else None
@@ -74,18 +76,25 @@ def _alternatives(pattern: str, at: int) -> tuple[list[str] | None, int]:
     """Fragments of what stands from ``at`` to the end of the group, and where that is."""
     branches: list[list[str] | None] = []
     best: list[str] | None = None
-    run = ""
+    run, runs = "", []
 
     def flush() -> None:
-        nonlocal best, run
-        best, run = _better(best, [run] if run else None), ""
+        nonlocal run
+        runs.extend([run] if run else [])
+        run = ""
+
+    def end_branch() -> None:
+        nonlocal best
+        flush()
+        branches.append(_better([BETWEEN.join(runs)] if runs else None, best))
+        best = None
+        runs.clear()
 
     while at < len(pattern) and pattern[at] != ")":
         ch, text = pattern[at], None
         if ch == "|":
-            flush()
-            branches.append(best)
-            best, at = None, at + 1
+            end_branch()
+            at += 1
             continue
         if pattern.startswith("\\Q", at):
             end = pattern.find("\\E", at)
@@ -121,15 +130,14 @@ def _alternatives(pattern: str, at: int) -> tuple[list[str] | None, int]:
         else:
             run += text if least else ""
             flush()
-    flush()
-    branches.append(best)
+    end_branch()
     if any(b is None for b in branches):
         return None, at
     return [x for b in branches for x in b], at
 
 
 def glob_fragments(glob: str) -> list[str] | None:
-    """The longest run of plain characters of a well-formed glob, or None."""
+    """The runs of plain characters of a well-formed glob as one fragment, or None."""
     runs, run, at = [], "", 0
     while at < len(glob):
         ch = glob[at]
@@ -148,5 +156,5 @@ def glob_fragments(glob: str) -> list[str] | None:
                 at += 2 if glob[at] == "\\" else 1
                 first = False
             at += 1
-    longest = max([*runs, run], key=len)
-    return [longest] if longest else None
+    runs = [r for r in [*runs, run] if r]
+    return [BETWEEN.join(runs)] if runs and BETWEEN not in glob else None

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from shelfmark.functions.fragments import glob_fragments
 from shelfmark.functions.regexes import quote
 from shelfmark.functions.text import SPACES
 
@@ -112,3 +113,29 @@ def entry_regex(pattern: str, is_dir: bool) -> str | None:
     if not choices:
         return None
     return f"{'^' if is_path else '(^|/)'}(?:{'|'.join(choices)})"
+
+
+def parsed(pattern: str | None) -> tuple | None:
+    """A pattern as a row of a rule table, or None for a blank one.
+
+    (is_path, literal, name_regex, fragments, folder, folder_fragments, last): the literal
+    that directories match; for name patterns the regex of a whole name. Path patterns are
+    cut at their last slash: ``folder`` is the regex of the path above it ("" for the root),
+    ``last`` the glob of the name. Path patterns with classes, which may stand for a slash,
+    are not cut: their ``name_regex`` is that of the whole path. Malformed globs have no regex.
+    """
+    pattern = (pattern or "").strip(SPACES)
+    if not pattern:
+        return None
+    inner = pattern.removeprefix("/")
+    is_path = "/" in inner or pattern.startswith("/")
+    regex = glob_regex(inner)
+    if regex is None:
+        return is_path, inner, None, None, None, None, None
+    if not is_path or "[" in inner:
+        return is_path, inner, f"^{regex}\\z", glob_fragments(inner), None, None, None
+    # An escaped slash is a slash.
+    folder, _, last = inner.replace("\\/", "/").rpartition("/")
+    return (
+        True, inner, None, glob_fragments(last), f"^{glob_regex(folder)}\\z" if folder else "", glob_fragments(folder), last
+    )

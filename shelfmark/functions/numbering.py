@@ -85,3 +85,25 @@ def _running(ranged: DataFrame, groups: list[str], name: str) -> DataFrame:
         .join(offsets, same)
         .select(*columns, (F.col("_so_far") + F.col("_offset")).alias(name))
     )
+
+
+def running_max(df: DataFrame, order_by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the largest ``value`` of all rows up to and including this one, in order.
+
+    As in ``number_rows``: one range partitioning and sort, a window within each piece, and
+    what earlier pieces reached, one row for each piece. Null values count for nothing.
+    """
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        df.repartitionByRange(pieces, *order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id()),
+        "ranged",
+    ).withColumn("_piece", F.shiftright("_at", POSITION_BITS))
+    up_to = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    reached = ranged.groupBy("_piece").agg(F.max(value).alias("_m"))
+    reached = reached.select(F.col("_piece").alias("_of_piece"), F.max("_m").over(up_to).alias("_before"))
+    within = Window.partitionBy("_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_in_piece", F.max(value).over(within))
+        .join(F.broadcast(reached), F.col("_piece") == F.col("_of_piece"))  # one row per partition
+        .select(*df.columns, F.greatest("_in_piece", "_before").alias(name))
+    )

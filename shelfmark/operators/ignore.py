@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import globs, paths
+from shelfmark.functions.numbering import running_max
 from shelfmark.functions.skew import attach_groups
 from shelfmark.functions.text import trim_space
+from shelfmark.operators import matching
 from shelfmark.session import materialize
 
 LITERAL_LIMIT = 1000
@@ -36,8 +40,118 @@ def drop_ignored(manifest: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return manifest.filter(~is_ignored(rel, patterns))
 
 
+_PARSED = T.StructType(
+    [
+        T.StructField("is_path", T.BooleanType()),
+        *[T.StructField(n, T.StringType()) for n in ("literal", "regex")],
+        T.StructField("fragments", T.ArrayType(T.StringType())),
+        T.StructField("folder", T.StringType()),
+        T.StructField("folder_fragments", T.ArrayType(T.StringType())),
+        T.StructField("last", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(_PARSED)
+def _parsed(patterns: pd.Series) -> pd.DataFrame:
+    nothing = (None,) * len(_PARSED)
+    return pd.DataFrame([globs.parsed(p) or nothing for p in patterns], columns=_PARSED.names)
+
+
+@F.pandas_udf(T.StringType())
+def _name_regex(last: pd.Series) -> pd.Series:
+    return last.map(lambda glob: f"^{globs.glob_regex(glob)}\\z")
+
+
+def _rule_table(rules: DataFrame) -> DataFrame:
+    """Rules in their parts, with ``rule`` (ord, pattern, source), the first of each pattern only."""
+    first = rules.select(trim_space(F.col("pattern")).alias("trimmed"), F.struct("ord", "pattern", "source").alias("rule"))
+    first = first.filter("trimmed <> ''").groupBy("trimmed").agg(F.min("rule").alias("rule"))
+    return materialize(first.select("rule", _parsed("trimmed").alias("p")).select("rule", "p.*"), "ignore-rules")
+
+
+def _least(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.min("rule").alias("rule"))
+
+
+def _regex_rows(rows: DataFrame, regex: str, fragments: str, *values: str) -> DataFrame:
+    return rows.select(
+        F.lit(matching.REGEX).alias("test"), F.explode_outer(fragments).alias("fragment"), F.col(regex).alias("regex"), *values
+    )
+
+
+def _name_hits(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """_name, _is_dir and the first name rule: a glob of the name, or how a directory's name begins."""
+    names = materialize(entries.select(F.col("_name").alias("text")).distinct(), "entry-names")
+    of_all = rules.filter("regex is not null").withColumn("only_dirs", F.lit(False))
+    begin = rules.select(
+        F.lit(matching.PREFIX).alias("test"),
+        F.col("literal").alias("fragment"),
+        F.lit(None).cast("string").alias("regex"),
+        "rule",
+        F.lit(True).alias("only_dirs"),
+    )
+    patterns = _regex_rows(of_all, "regex", "fragments", "rule", "only_dirs").unionByName(begin)
+    hits = _least(matching.matches(names, patterns), "text", "only_dirs")
+    both = F.when(F.col("only_dirs"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    return _least(hits.select(F.col("text").alias("_name"), F.explode(both).alias("_is_dir"), "rule"), "_name", "_is_dir")
+
+
+def _path_hits(entries: DataFrame, rules: DataFrame, kinds: Row, deep: bool) -> DataFrame:
+    """_rel, _is_dir and the first path rule of entries that have one.
+
+    With ``deep``, directories below one that a rule names are hit too.
+    """
+    rel, is_dir = F.col("_rel"), F.col("_is_dir")
+    above = F.array_append(_ancestors(rel), rel) if deep else F.array(rel)
+    dirs = entries.filter(is_dir).select("_rel", F.explode(above).alias("literal"))
+    found = [dirs.join(_least(rules, "literal"), "literal").select("_rel", F.lit(True).alias("_is_dir"), "rule")]
+
+    # Patterns that cannot be cut at a slash are matched with whole paths.
+    odd = rules.filter("regex is not null")
+    if kinds.odd:
+        whole = materialize(entries.select(F.col("_rel").alias("text"), "_is_dir").distinct(), "paths")
+        hits = matching.matches(whole.select("text").distinct(), _regex_rows(odd, "regex", "fragments", "rule"))
+        found.append(whole.join(_least(hits, "text"), "text").select(F.col("text").alias("_rel"), "_is_dir", "rule"))
+
+    cut = rules.filter("last is not null").select("rule", "folder", "folder_fragments", "last", "fragments")
+    below = cut.filter("folder <> ''")
+    if not kinds.below:
+        placed = cut.select(F.lit("").alias("_dir"), "rule", "last", "fragments")
+    else:
+        texts = entries.filter("_dir <> ''").select(F.col("_dir").alias("text")).distinct()
+        texts = materialize(texts, "folder-paths")
+        values = ["rule", "last", "fragments"]
+        patterns = _regex_rows(below, "folder", "folder_fragments", *values)
+        placed = matching.matches(texts, patterns).select(F.col("text").alias("_dir"), *values)
+        placed = cut.filter("folder = ''").select(F.lit("").alias("_dir"), *values).unionByName(placed)
+    placed = materialize(_least(placed, "_dir", "last", "fragments"), "placed-patterns")
+
+    full = F.when(F.col("_dir") == "", F.col("name")).otherwise(F.concat("_dir", F.lit("/"), "name"))
+    plain = placed.filter(~F.col("last").rlike(_GLOB_CHARS)).withColumn("name", F.col("last"))
+    plain = _least(plain.select(full.alias("_rel"), "rule"), "_rel")
+    found.append(entries.join(plain, "_rel").select("_rel", "_is_dir", "rule"))
+    # Any name: one rule for a folder.
+    if kinds.any_name:
+        hit = entries.join(_least(placed.filter("last = '*'"), "_dir"), "_dir")
+        found.append(hit.select("_rel", "_is_dir", "rule"))
+    other = placed.filter(F.col("last").rlike(_GLOB_CHARS) & (F.col("last") != "*"))
+    if kinds.other:
+        there = entries.join(other.select("_dir").distinct(), "_dir", "left_semi")
+        globs_ = other.select("last", "fragments").distinct().withColumn("regex", _name_regex("last"))
+        names = materialize(there.select(F.col("_name").alias("text")).distinct(), "folder-names")
+        fits = matching.matches(names, materialize(_regex_rows(globs_, "regex", "fragments", "last"), "last-patterns"))
+        fits = fits.distinct().select(F.col("text").alias("_name"), "last")
+        hit = there.join(fits, "_name").join(other.select("_dir", "last", "rule"), ["_dir", "last"])
+        found.append(hit.select("_rel", "_is_dir", "rule"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return _least(out, "_rel", "_is_dir")
+
+
 def _ancestors(rel: Column) -> Column:
-    """Relative paths of the directories above a file."""
+    """Relative paths of the directories above an entry."""
     parts = F.split(rel, "/", -1)
     return F.transform(
         F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(
@@ -47,64 +161,103 @@ def _ancestors(rel: Column) -> Column:
     )
 
 
-def drop_ignored_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keep files no rule of a table hides, for rule tables of any size.
+def _with_parts(entries: DataFrame, is_dir: Column) -> DataFrame:
+    rel = F.col("_rel")
+    return entries.withColumns({"_is_dir": is_dir, "_name": paths.base_name(rel)}).withColumn(
+        "_dir",
+        F.when(rel.contains("/"), F.substr(rel, F.lit(1), F.length(rel) - F.length("_name") - 1)).otherwise(""),
+    )
 
-    Patterns without glob characters are joined by equality: directories against
-    the prefixes of their names (a literal name hides directories it begins) or
-    their whole path, and files against their name or path. Directories are
-    made distinct first, and their verdict is attached to their files. Patterns
-    with glob characters stay literal expressions.
-    """
-    rule = rules.select(trim_space(F.col("pattern")).alias("pattern")).filter("pattern <> ''").distinct()
-    is_glob = F.col("pattern").rlike(_GLOB_CHARS)
-    glob_patterns = [r.pattern for r in rule.filter(is_glob).collect()]
-    inner = F.regexp_replace("pattern", "^/", "")
-    literal = rule.filter(~is_glob).select(
-        inner.alias("literal"),
-        (F.col("pattern").startswith("/") | inner.contains("/")).alias("is_path"),
-    ).distinct()
 
+def _rules_of(entries: DataFrame, rules: DataFrame, deep: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """First name rule by (_name, _is_dir), and first path rule by (_rel, _is_dir), written; None: no such rules."""
+    last = F.col("last")
+    kinds = rules.agg(
+        F.count_if(~F.col("is_path")).alias("names"),
+        F.count_if("is_path").alias("paths"),
+        F.count_if(F.col("is_path") & F.col("regex").isNotNull()).alias("odd"),
+        F.count_if(F.col("folder") != "").alias("below"),
+        F.count_if(last == "*").alias("any_name"),
+        F.count_if(last.rlike(_GLOB_CHARS) & (last != "*")).alias("other"),
+    ).first()
+    by_name = by_path = None
+    if kinds.names:
+        by_name = materialize(_name_hits(entries, rules.filter("not is_path")), "name-hits")
+    if kinds.paths:
+        by_path = materialize(_path_hits(entries, rules.filter("is_path"), kinds, deep), "path-hits")
+    return by_name, by_path
+
+
+def explain_ignored_table(entries: DataFrame, rules: DataFrame, is_dir: Column | None = None) -> DataFrame:
+    """``explain_ignored`` with a rule table of any size (ord, pattern, source).
+
+    Distinct names meet name patterns, and folders and names meet the two parts of path
+    patterns, by fragments; the least ``ord`` of what hits is the first rule. Names that many
+    entries share are spread (``skew.attach_groups``).
+    """
     rel = paths.relative_path("source_path", "root_dir")
-    files = manifest.withColumns({"_rel": rel, "_name": paths.base_name("source_path")}).withColumn(
-        "_dir",
-        F.when(
-            F.col("_rel").contains("/"),
-            F.substr("_rel", F.lit(1), F.length("_rel") - F.length("_name") - 1),
-        ).otherwise(""),
+    whole = F.struct(*entries.columns).alias("_row")
+    flag = F.lit(False) if is_dir is None else F.coalesce(is_dir, F.lit(False))
+    rows = _with_parts(entries.select(whole, rel.alias("_rel"), flag.alias("_flag")), F.col("_flag"))
+    rows = materialize(rows.drop("_flag"), "entries")
+    by_name, by_path = _rules_of(rows, _rule_table(rules), deep=True)
+    best = F.lit(None).cast("struct<ord:bigint,pattern:string,source:string>")
+    found = rows.withColumn("_best", best)
+    if by_name is not None:
+        counts = rows.groupBy("_name", "_is_dir").agg(F.count("*").alias("n_files"))
+        named = materialize(counts.join(by_name, ["_name", "_is_dir"]), "named-rules")
+        found = attach_groups(found, named, ["_name", "_is_dir"], spread_by="_rel")
+        found = found.withColumn("_best", F.col("rule")).drop("rule", "n_files")
+    if by_path is not None:
+        path_rule = by_path.select(F.col("_rel").alias("_of"), F.col("_is_dir").alias("_kind"), F.col("rule").alias("_path_rule"))
+        found = found.join(path_rule, (F.col("_rel") == F.col("_of")) & (F.col("_is_dir") == F.col("_kind")), "left")
+        found = found.withColumn("_best", F.least("_best", F.col("_path_rule")))
+    return found.select(
+        *[F.col(f"_row.`{c}`") for c in entries.columns], F.col("_best.pattern").alias("pattern"), F.col("_best.source").alias("source")
     )
 
-    dirs = materialize(files.groupBy("_dir").agg(F.count("*").alias("n_files")), "dirs")
-    above = dirs.filter("_dir <> ''").select(
-        "_dir",
-        F.explode(F.concat(_ancestors(F.col("_dir")), F.array("_dir"))).alias("path"),
-    )
-    name = paths.base_name("path")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n)
-    )
-    probes = above.select("_dir", F.col("path").alias("literal"), F.lit(True).alias("is_path")).unionByName(
-        above.select("_dir", F.explode(prefixes).alias("literal"), F.lit(False).alias("is_path"))
-    )
-    hidden_dirs = probes.join(literal, ["literal", "is_path"], "left_semi").select("_dir").distinct()
-    verdicts = materialize(
-        dirs.join(hidden_dirs.withColumn("hidden", F.lit(True)), "_dir", "left"), "hidden-dirs"
-    )
 
-    # A file in a kept directory can still be named itself, by name or by path.
-    names = materialize(files.groupBy("_name").agg(F.count("*").alias("n_files")), "file-names")
-    hidden_names = names.join(
-        literal.filter("not is_path").withColumnRenamed("literal", "_name"), "_name", "left_semi"
-    ).withColumn("name_hidden", F.lit(True))
-    by_path = literal.filter("is_path").select(F.col("literal").alias("_rel"))
-
-    kept = attach_groups(files, verdicts, ["_dir"], spread_by="source_path").filter("hidden is null")
-    kept = kept.drop("n_files", "hidden")
-    kept = attach_groups(
-        kept, materialize(hidden_names, "hidden-names"), ["_name"], spread_by="source_path"
-    ).filter("name_hidden is null")
-    kept = kept.join(by_path, "_rel", "left_anti")
-    return kept.filter(~is_ignored(F.col("_rel"), glob_patterns)).select(*manifest.columns)
+def drop_ignored_join(manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """Keep files no rule of a table hides, for rule tables of any size.
+
+    Directories are made distinct; those a rule hits hide all below them: an interval in
+    walk order. So a directory is hidden just if the furthest end of the intervals that
+    began up to it is beyond it, which is a running maximum, whatever the tree looks like.
+    The verdict is attached to the directory's files; files can still be hit themselves.
+    """
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ord", "bigint"), ("source", "string"))]
+    table = _rule_table(rules.select("pattern", *none))
+    rel = paths.relative_path("source_path", "root_dir")
+    rows = _with_parts(manifest.select(F.struct(*manifest.columns).alias("_row"), rel.alias("_rel")), F.lit(False))
+    folders = materialize(rows.groupBy("_dir").agg(F.count("*").alias("n_files")), "dirs")
+    chain = F.array_append(_ancestors(F.col("_dir")), F.col("_dir"))
+    dirs = folders.filter("_dir <> ''").select(F.explode(chain).alias("_rel")).distinct()
+    dirs = materialize(_with_parts(dirs, F.lit(True)), "all-dirs")
+    files = rows.select("_rel", "_is_dir", "_name", "_dir")
+    by_name, by_path = _rules_of(files.unionByName(dirs.select(files.columns)), table, deep=False)
+
+    hit = dirs.select("_rel", "_is_dir", "_name")
+    is_hit = F.lit(False)
+    if by_name is not None:
+        hit = hit.join(by_name.select("_name", "_is_dir", F.lit(True).alias("_n")), ["_name", "_is_dir"], "left")
+        is_hit = is_hit | F.col("_n").isNotNull()
+    if by_path is not None:
+        hit = hit.join(by_path.select("_rel", "_is_dir", F.lit(True).alias("_p")), ["_rel", "_is_dir"], "left")
+        is_hit = is_hit | F.col("_p").isNotNull()
+    # A directory's key, the separator and more is what all below it begin with.
+    key = paths.walk_key("_rel")
+    marked = hit.select("_rel", key.alias("_key"), F.when(is_hit, F.concat(key, F.lit("\1"))).alias("_end"))
+    reached = running_max(marked, ["_key"], "_end", "_reach")
+    hidden = reached.filter("_reach > _key").select(F.col("_rel").alias("_dir"), F.lit(True).alias("hidden"))
+    verdicts = materialize(folders.join(hidden, "_dir", "left"), "hidden-dirs")
+    kept = attach_groups(rows, verdicts, ["_dir"], spread_by="_rel").filter("hidden is null").drop("n_files", "hidden")
+    if by_name is not None:
+        counts = files.groupBy("_name").agg(F.count("*").alias("n_files"))
+        named = counts.join(by_name.filter("not _is_dir").select("_name", F.lit(True).alias("hidden")), "_name")
+        kept = attach_groups(kept, materialize(named, "hidden-names"), ["_name"], spread_by="_rel").filter("hidden is null")
+    if by_path is not None:
+        kept = kept.join(by_path.filter("not _is_dir").select("_rel"), "_rel", "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`") for c in manifest.columns])
 
 
 def hide(manifest: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Texts against a table of patterns, by equality on fragments.
 
-A pattern's fragment (see ``functions.fragments``) is looked up by one of its grams of up
-to three characters: the one that the fewest texts hold. A fragment with a gram that no
+A pattern's fragment (see ``functions.fragments``) is looked up by one gram of its literals,
+of up to three characters: the one that the fewest texts hold. A fragment with a gram that no
 text holds matches nothing and is dropped. Texts yield their grams, join the chosen ones,
 and the pairs are verified: first by the fragment, then by the pattern itself, as a column.
 Patterns stay rows: none passes the driver, and none becomes part of the plan.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.fragments import BETWEEN
 from shelfmark.functions.numbering import number_rows
 from shelfmark.session import materialize
 
@@ -28,8 +29,13 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last >= 1, some).otherwise(F.array().cast("array<string>"))
 
 
+def _literals(fragment: str) -> Column:
+    return F.split(fragment, BETWEEN)
+
+
 def _size(fragment: str) -> Column:
-    return F.least(F.char_length(fragment), F.lit(GRAM))
+    """Length of the grams a fragment is looked up by."""
+    return F.least(F.array_max(F.transform(_literals(fragment), F.char_length)), F.lit(GRAM))
 
 
 def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -37,22 +43,24 @@ def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
     ``texts`` has ``text``, each once. ``patterns`` has ``test`` and ``fragment``, and
     ``regex`` for tests that are regular expressions (of Java); ``fragment`` is null if there
-    is none. One row for each fragment of a pattern. Texts match if they hold the fragment
+    is none. One row for each fragment of a pattern. Texts match if they hold the fragment's literals
     (``contains``), begin with it (``prefix``), or hold it and match (``regex``). The result
     has ``text`` and all other columns of ``patterns``. Both tables are read several times.
     """
     values = [c for c in patterns.columns if c not in ("test", "fragment", "regex")]
-    known = patterns.filter("fragment <> ''")
-    sizes = sorted(r[0] for r in known.select(_size("fragment")).distinct().collect())  # at most GRAM
-    loose = patterns.filter("fragment is null or fragment = ''")
-    found = [_tried(texts, loose, values)]
+    is_known = F.coalesce(F.col("fragment") != "", F.lit(False))
+    known = patterns.filter(is_known)
+    facts = patterns.agg(F.collect_set(F.when(is_known, _size("fragment"))), F.count_if(~is_known)).first()
+    sizes = sorted(facts[0])  # at most GRAM
+    found = [_tried(texts, patterns.filter(~is_known), facts[1], values)]
     if sizes:
         grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in sizes])))
         pieces = texts.select("text", F.explode(grams).alias("gram"))
         counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
-        own = F.when(_size("fragment") == sizes[0], _grams(F.col("fragment"), sizes[0]))
+        of_size = lambda n: F.flatten(F.transform(_literals("fragment"), lambda x: _grams(x, n)))
+        own = F.when(_size("fragment") == sizes[0], of_size(sizes[0]))
         for n in sizes[1:]:
-            own = own.when(_size("fragment") == n, _grams(F.col("fragment"), n))
+            own = own.when(_size("fragment") == n, of_size(n))
         asked = known.select("fragment").distinct().select("fragment", F.explode(own).alias("gram"))
         chosen = (
             asked.join(counts, "gram", "left")
@@ -66,16 +74,16 @@ def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         pairs = pieces.join(index, "gram")
         begins = (F.col("test") != PREFIX) | F.startswith("text", "fragment")
         fits = (F.col("test") != REGEX) | F.expr("text rlike regex")
-        found.append(pairs.filter(F.contains("text", "fragment") & begins & fits).select("text", *values))
+        holds = F.forall(_literals("fragment"), lambda x: F.contains("text", x))
+        found.append(pairs.filter(holds & begins & fits).select("text", *values))
     out = found[0]
     for more in found[1:]:
         out = more if out is None else out.unionByName(more)
     return texts.select("text", *[F.lit(None).cast(patterns.schema[v].dataType).alias(v) for v in values]).limit(0) if out is None else out
 
 
-def _tried(texts: DataFrame, loose: DataFrame, values: list[str]) -> DataFrame | None:
-    """Pairs for patterns without fragment: every text is tried, SLICE patterns at a time."""
-    n = loose.count()
+def _tried(texts: DataFrame, loose: DataFrame, n: int, values: list[str]) -> DataFrame | None:
+    """Pairs for the ``n`` patterns without fragment: every text is tried, SLICE patterns at a time."""
     if not n:
         return None
     numbered = materialize(number_rows(loose.select("regex", *values), ["regex"], name="_no"), "loose")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import globs
 from shelfmark.operators import filters
-from shelfmark.operators.ignore import drop_ignored, drop_ignored_join, explain_ignored
+from shelfmark.operators.ignore import drop_ignored, drop_ignored_join, explain_ignored, explain_ignored_table
 from shelfmark.sources.ignore_files import load_ignore_rules
 from tests.conftest import paths_of
 
@@ -76,6 +76,61 @@ def test_both_forms_agree_with_a_walk(spark, manifest):
         assert paths_of(drop_ignored_join(files, rules)) == want, patterns
 
 
+def test_explain_by_table_equals_explain(spark, manifest):
+    """Files and directories, names and paths, classes, escapes, malformed globs, repeated patterns."""
+    rnd = random.Random(8)
+
+    def word(chars, low, high):
+        return "".join(rnd.choice(chars) for _ in range(rnd.randint(low, high)))
+
+    rels = sorted({"/".join(word("ab.", 1, 3) for _ in range(rnd.randint(1, 4))) for _ in range(300)})
+    rels = [r for r in rels if all(p.strip(".") for p in r.split("/"))]
+    entries = spark.createDataFrame([("/r", f"/r/{r}", i % 3 == 0, "x") for i, r in enumerate(rels)], "root_dir string, source_path string, d boolean, rule string")
+    fixed = ["a[", "a/[b", "[ab]", "a/[!b]*", "a/[^b]*", r"a/\*", r"a\/b", "/", "//", " ", "*", "/*", "a/*", "*/b*", "?", "/a?", "\u00a0a.\t", "a", "a", "aa/"]
+    for round_ in range(3):
+        chars = ["ab", "ab*?", "ab.*"][round_]
+        patterns = fixed[round_::2] + [("/" if rnd.random() < 0.3 else "") + "/".join(word(chars, 1, 3) for _ in range(rnd.randint(1, 3))) for _ in range(15)]
+        rnd.shuffle(patterns)
+        rows = [Row(ord=10 * i, pattern=p, source=f"s{i % 2}") for i, p in enumerate(patterns)]
+        table = spark.createDataFrame(rows, "ord bigint, pattern string, source string")
+        want = explain_ignored(entries, rows, F.col("d"))
+        got = explain_ignored_table(entries, table, F.col("d"))
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), patterns
+
+
+def test_class_that_stands_for_a_slash(spark, manifest):
+    files = manifest(["/r/x/z/w", "/r/xyz/w", "/r/x/q", "/r/a/b/c"])
+    rules = spark.createDataFrame([("x[^y]z/w",), ("a/b[^b]c",)], "pattern string")
+    want = paths_of(drop_ignored(files, [r.pattern for r in rules.collect()]))
+    assert paths_of(drop_ignored_join(files, rules)) == want == ["/r/x/q", "/r/xyz/w"]
+
+
+def test_top_folder_over_most_rows(spark, manifest):
+    """One hidden folder above most directories, with nested hidden ones, and one like it beside it."""
+    files = manifest([f"/r/top/d{i}/e{i % 7}/f" for i in range(2000)] + [f"/r/top.x/d{i}/f" for i in range(20)] + ["/r/top", "/r/t/top/a"])
+    rules = spark.createDataFrame([("/top",), ("/top/d5",), ("/top/d5/e5",), ("top.x/d3",)], "pattern string")
+    want = [f"/r/top.x/d{i}/f" for i in range(20) if i != 3] + ["/r/t/top/a"]
+    assert paths_of(drop_ignored_join(files, rules)) == sorted(want)
+
+
+def test_many_glob_rules_as_rows(spark, manifest):
+    n = 20_000
+    rules = spark.range(n).selectExpr(
+        "id ord", "case id % 3 when 0 then concat('f*_', id, '.t?t') when 1 then concat('/d?', id, '/*.log') else concat('name', id) end pattern", "'s' source"
+    )
+    files = manifest(["/r/fab_9999.txt", "/r/dx10000/a.log", "/r/dx10000/b/a.log", "/r/name20x", "/r/name20x/y", "/r/q/name17", "/r/z"])
+    got = {r.source_path: r.pattern for r in explain_ignored_table(files, rules).collect()}
+    assert got == {
+        "/r/fab_9999.txt": "f*_9999.t?t", "/r/dx10000/a.log": "/d?10000/*.log", "/r/dx10000/b/a.log": None,
+        "/r/name20x": None, "/r/name20x/y": None, "/r/q/name17": "name17", "/r/z": None,
+    }
+    plan = explain_ignored_table(files, rules)._jdf.queryExecution().toString()
+    assert "name19997" not in plan
+    kept = paths_of(drop_ignored_join(files, rules))
+    assert kept == ["/r/dx10000/b/a.log", "/r/name20x", "/r/z"]  # the directory name20x begins with a rule
+
+
 def test_class_and_escape_globs():
     import re
 

@@ -102,17 +102,17 @@ def test_many_regex_rules_as_rows(spark, manifest):
 
 
 FRAGMENTS = {
-    "abc": ["abc"], "^abc$": ["abc"], "a.c": ["a"], "ab*c": ["a"], "ab+c": ["ab"], "ab{2,}c": ["ab"], "ab{0,3}cde": ["cde"],
+    "abc": ["abc"], "^abc$": ["abc"], "a.c": ["a\0c"], "ab*c": ["a\0c"], "ab+c": ["ab\0c"], "ab{2,}c": ["ab\0c"], "ab{0,3}cde": ["a\0cde"],
     "foo|bar": ["bar", "foo"], "foo|.*": None, "(foo|bar)x": ["bar", "foo"], "(foo)?x": ["x"], "(?:ab|cd)+efg": ["efg"],
-    "[.]pdf": [".pdf"], "[a-z]+": None, ".*": None, "": None, "(?i)abc": None, "a(?i:b)c": None, r"\Qa.b\E+c": ["a.b"],
+    "[.]pdf": [".pdf"], "[a-z]+": None, ".*": None, "": None, "(?i)abc": None, "a(?i:b)c": None, r"\Qa.b\E+c": ["a.b\0c"],
     r"\d+[.]tar[.]gz": [".tar.gz"], r"x\.y": ["x.y"], r"\x41bc": ["bc"], "[]a]bc": ["bc"], "[[:alpha:]]x": ["x"], "x{,2}": ["x{,2}"],
-    "(a|b|)cd": ["cd"], r"\pNab": ["ab"], r"\p{Greek}ab": ["ab"], "(?P<n>ab)c": ["ab"], r"a\bb": ["a"], "ab??c": ["a"],
+    "(a|b|)cd": ["cd"], r"\pNab": ["ab"], r"\p{Greek}ab": ["ab"], "(?P<n>ab)c": ["ab"], r"a\bb": ["a\0b"], "ab??c": ["a\0c"], "ab|c.d": ["ab", "c\0d"],
 }
 
 
 def test_fragments():
     assert {p: regex_fragments(p) for p in FRAGMENTS} == FRAGMENTS
-    assert glob_fragments("a*bcd?e[xy]") == ["bcd"] and glob_fragments(r"\*ab[]]") == ["*ab"]
+    assert glob_fragments("a*bcd?e[xy]") == ["a\0bcd\0e"] and glob_fragments(r"\*ab[]]") == ["*ab"]
     assert glob_fragments("*?") is None and glob_fragments("[^a]*") is None
 
 
@@ -127,7 +127,7 @@ def test_every_match_holds_a_fragment():
         for _ in range(8):
             text = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7)))
             if fragments and re.search(pattern, text):
-                assert any(f in text for f in fragments), (pattern, text, fragments)
+                assert any(all(x in text for x in f.split("\0")) for f in fragments), (pattern, text, fragments)
 
 
 def test_both_forms_agree_on_patterns(spark, manifest):
