@@ -41,7 +41,7 @@ def number_rows(
         "ranged",
     )
     if counting is not None:
-        return _running(ranged, groups, name)
+        return _running(ranged, groups, name, F.col("_counts").cast("long"))
     ranged = ranged.withColumn("_piece", F.shiftright("_at", POSITION_BITS))
     before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -61,10 +61,27 @@ def number_rows(
     return ranged.join(offsets, same).select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))
 
 
-def _running(ranged: DataFrame, groups: list[str], name: str) -> DataFrame:
-    """Running count of the flagged rows: in the piece by a window, plus what earlier pieces counted."""
+def running_sum(
+    df: DataFrame, order_by: Sequence[str], value: str, *, group_by: Sequence[str] = (), name: str = "so_far"
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group up to and including this one.
+
+    As in ``number_rows``: no task holds a whole hot group, if ``order_by`` tells its rows apart.
+    """
+    groups = list(group_by)
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        df.repartitionByRange(pieces, *groups, *order_by)
+        .sortWithinPartitions(*groups, *order_by)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "ranged",
+    )
+    return _running(ranged, groups, name, F.col(value))
+
+
+def _running(ranged: DataFrame, groups: list[str], name: str, flag: Column) -> DataFrame:
+    """Running sum of ``flag``: in the piece by a window, plus what earlier pieces have."""
     keys = [*groups, "_piece"]
-    flag = F.col("_counts").cast("long")
     ranged = ranged.withColumn("_piece", F.shiftright("_at", POSITION_BITS))
     before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
