@@ -8,9 +8,11 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.skew import attach_groups
 from shelfmark.session import materialize
 
 # A word is a run of anything but ASCII white space.
@@ -18,10 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes.maketrans(UPPER_ASCII.encode(), UPPER_ASCII.lower().encode())
 
-# Slots of a hashed order within one key: a window sorts one slot, never a whole key.
-SLOTS = 4096
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,30 +38,34 @@ def shuffled_key(*columns: Column) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
 
 
-def slot_of(shuffled: Column) -> Column:
-    """First 12 bits of an MD5 in hex: equal slices of the order, whatever the rows are."""
-    return F.conv(F.substring(shuffled, 1, 3), 16, 10).cast("int")
-
-
 def source_key(source: Column) -> Column:
     """Sources as a key without nulls; sorts by code point, null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def slot_sums(rows: DataFrame, keys: list[str], amount: str) -> DataFrame:
-    """For each key and slot, the amount in the slots before it (``_before``) and in the key (``_total``).
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a long that tells them apart, whatever they hold, and its name.
 
-    The result has at most SLOTS rows for a key, so its windows are small.
+    It is the row's place in its file and the number of the file by name, so it grows in the
+    order of the files and stays the same whenever they are read. Rows that are not read
+    from Parquet files are written first.
     """
-    sums = rows.groupBy(*keys, "_slot").agg(F.sum(amount).alias("_amount"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(
-        *keys,
-        "_slot",
-        F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias("_before"),
-        F.sum("_amount").over(whole).alias("_total"),
+    place = [F.col("_metadata.file_path").alias("_of_file"), F.col("_metadata.row_index").alias("_in_file")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        docs = materialize(docs, "keyed")
+    name = "_row_key"
+    while name in docs.columns:
+        name += "_"
+    files = docs.select(place[0]).distinct()
+    files = files.select(
+        F.col("_of_file").alias("_file"), F.row_number().over(Window.orderBy("_of_file")).cast("long").alias("_file_no")
     )
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), *place)
+    both = rows.join(F.broadcast(files), F.col("_of_file") == F.col("_file"))  # one row a file, which the driver lists anyway
+    key = F.shiftleft("_file_no", 40) + F.col("_in_file")
+    return both.select(*[F.col(f"_all.`{c}`") for c in docs.columns], key.alias(name)), name
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -199,13 +201,22 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def _hung(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (u, w) with ``m``, the least of u and all its neighbours by ``edges`` (u, v).
+
+    A node may have most of the edges: its rows are spread (``skew.attach_groups``).
+    """
+    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n_files"))
+    return attach_groups(rows, materialize(least, "least"), ["u"], spread_by="w")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label every node of the edges ``a``, ``b`` (long) by the smallest node it reaches.
 
     Alternating stars: each node hangs its larger neighbours, then its smaller
     ones, on the smallest; a logarithmic number of rounds in practice. A round is
-    aggregations with map-side combine and equi-joins, which adaptive execution
-    may split; its result is written to the shared folder.
+    aggregations with map-side combine and joins that spread hot nodes; its result is
+    written to the shared folder.
     """
     current = materialize(
         edges.filter("a <> b")
@@ -222,17 +233,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         print_before = print_now
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (
-            current.select(F.col("v").alias("u"), F.col("u").alias("v"))
-            .join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(least.select("u", "m"))
+        turned = current.select(F.col("v").alias("u"), F.col("u").alias("w"))
+        large = _hung(turned, both).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "edges")
+        small = _hung(large.select("u", F.col("v").alias("w")), large)
+        small = small.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        small = small.union(large.groupBy("u").agg(F.min("v").alias("v")))
         current = materialize(
             small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
             "edges",

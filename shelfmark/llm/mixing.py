@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import shuffled_key, slot_of, slot_sums, source_key, word_count
+from shelfmark.functions.numbering import number_rows, running_sum
+from shelfmark.functions.skew import attach_groups
+from shelfmark.llm.common import shuffled_key, source_key, word_count
 from shelfmark.session import materialize
 
 # Weights in turn, and first and last weight relative to the mean.
@@ -91,41 +93,37 @@ def targets(sources: DataFrame, repeats: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, schedules=cyclic_schedules, *, repeats: int = 3) -> DataFrame:
+def mix(docs: DataFrame, schedules=cyclic_schedules, *, repeats: int = 3, key: str | None = None) -> DataFrame:
     """Training positions of the documents: doc_id, size, source_size, target, positions, ``_tie``, ``_key``.
 
     ``docs`` has doc_id, text, source; ``schedules`` maps a table of source keys
     (``_key``, see common.source_key) to ``_key``, ``points`` (array of t, w). One row
-    for each input row. size is the number of words, 0 for null. A document has one
-    position in 0 to 1 for each time it is taken, so ``positions`` may be empty.
-    A copy is taken if its middle word is within the target: a source's words differ
-    from its target by less than half a document. Documents without words are taken once
-    at most. Null sources are one source, the last. Rows that repeat a doc_id are separate
-    documents; ``_tie`` (hash of the text) and ``_key`` (source) tell them apart, equal ones are alike.
+    for each input row; ``key`` names a column that tells rows apart and is returned too.
+    size is the number of words, 0 for null. A document has one position in 0 to 1 for each
+    time it is taken, so ``positions`` may be empty. A copy is taken if its middle word is
+    within the target: a source's words differ from its target by less than half a document.
+    Documents without words are taken once at most. Null sources are one source, the last.
+    Rows that repeat a doc_id are separate documents, put in order by the hash of their text
+    (``_tie``), equal ones in any order. The table may be empty.
     """
-    sizes = materialize(
-        docs.select(
-            "doc_id",
-            source_key(F.col("source")).alias("_key"),
-            word_count(F.col("text")).alias("size"),
-            shuffled_key(F.col("doc_id")).alias("_order"),
-            F.xxhash64("text").alias("_tie"),
-        ).withColumn("_slot", slot_of(F.col("_order"))),
-        "sizes",
+    sizes = docs.select(
+        "doc_id",
+        source_key(F.col("source")).alias("_key"),
+        word_count(F.col("text")).alias("size"),
+        shuffled_key(F.col("doc_id")).alias("_order"),
+        F.xxhash64("text").alias("_tie"),
+        (F.monotonically_increasing_id() if key is None else F.col(key)).alias("_row"),
     )
-    sums = slot_sums(sizes, ["_key"], "size")
-    totals = sizes.groupBy("_key").agg(F.sum("size").alias("_total"))
+    sizes = materialize(sizes, "sizes")
+    totals = sizes.groupBy("_key").agg(F.sum("size").alias("_total"), F.count("*").alias("n_files"))
     weighed = schedules(totals.select("_key")).join(totals, "_key").select(
-        "_key", "_total", integral(F.col("points")).alias("weight"), segments(F.col("points")).alias("_pieces")
-    )
-    plan = targets(weighed, repeats).drop("_total")
-    offsets = materialize(sums.join(plan, "_key"), "offsets")
-    within = Window.partitionBy("_key", "_slot").orderBy("_order", "doc_id", "_tie", "size")
-    placed = (
-        sizes.withColumn("_in_slot", F.sum("size").over(within) - F.col("size"))
-        .join(offsets, ["_key", "_slot"])
-        .withColumn("_middle", F.col("_before") + F.col("_in_slot") + F.col("size") / 2.0)
+        "_key", "_total", "n_files", integral(F.col("points")).alias("weight"), segments(F.col("points")).alias("_pieces")
     )
+    plan = materialize(targets(weighed, repeats), "targets")
+    order = ["_order", "doc_id", "_tie", "_row"]
+    placed = running_sum(sizes, order, "size", group_by=["_key"], name="_up_to")
+    placed = attach_groups(placed, plan, ["_key"], spread_by="_row", how="inner")
+    placed = placed.withColumn("_middle", F.col("_up_to") - F.col("size") + F.col("size") / 2.0)
     middles = F.transform(
         F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(repeats - 1)).otherwise(F.lit(0))),
         lambda e: F.col("_middle") + e * F.col("_total"),
@@ -142,36 +140,35 @@ def mix(docs: DataFrame, schedules=cyclic_schedules, *, repeats: int = 3) -> Dat
         positions.alias("positions"),
         "_tie",
         "_key",
+        *([] if key is None else [F.col("_row").alias(key)]),
     )
 
 
-def training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def training_places(plan: DataFrame, key: str) -> DataFrame:
+    """``plan`` (of ``mix`` with ``key``) with first_place and last_place in training order.
+
+    All copies of all documents are range-sorted by position, then doc_id, and numbered
+    from 1. Documents that are not taken have no place (null).
+    """
+    copies = plan.select(key, "doc_id", "_tie", F.explode("positions").alias("_position"))
+    numbered = number_rows(copies, ["_position", "doc_id", "_tie", key], name="_place")
+    places = numbered.groupBy(F.col(key).alias("_of")).agg(F.min("_place").alias("first_place"), F.max("_place").alias("last_place"))
+    return plan.join(places, F.col(key) == F.col("_of"), "left").drop("_of")
+
+
+def training_order(docs: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """The documents in training order, each as often as it is taken.
 
-    ``plan`` is the result of ``mix`` for ``docs``. All columns of ``docs`` stay;
-    ``training_position`` is added (or replaced). A range sort by position, then doc_id.
-    Rows that repeat a doc_id and text share out the plan's rows for them.
+    ``plan`` is the result of ``mix`` for ``docs`` with ``key``, which is left out of the
+    result. All other columns of ``docs`` stay; ``training_position`` is added (or replaced).
+    A range sort by position, then doc_id.
     """
-    alike = Window.partitionBy("_id", "_tie")
-    left = docs.select(
-        F.col("doc_id").alias("_id"),
-        F.xxhash64("text").alias("_tie"),
-        F.struct(*[c for c in docs.columns if c != "training_position"]).alias("_row"),
-    ).withColumn("_nth", F.row_number().over(alike.orderBy(source_key(F.col("_row.source")))))
-    right = plan.select(
-        F.col("doc_id").alias("_plan_id"),
-        F.col("_tie").alias("_plan_tie"),
-        "positions",
-        F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("_key", "positions")).alias("_plan_nth"),
-    )
-    same = (
-        F.col("_id").eqNullSafe(F.col("_plan_id"))
-        & (F.col("_tie") == F.col("_plan_tie"))
-        & (F.col("_nth") == F.col("_plan_nth"))
-    )
+    columns = [c for c in docs.columns if c not in ("training_position", key)]
+    left = docs.select(F.col(key).alias("_of"), F.struct(*columns).alias("_row"))
+    right = plan.select(F.col(key).alias("_plan_of"), "positions").filter(F.size("positions") > 0)
     return (
-        left.join(right, same)
-        .select("_id", "_row", F.explode("positions").alias("_position"))
-        .orderBy("_position", "_id")
+        left.join(right, F.col("_of") == F.col("_plan_of"))
+        .select("_of", "_row", F.explode("positions").alias("_position"))
+        .orderBy("_position", "_row.doc_id", "_of")
         .select("_row.*", F.col("_position").alias("training_position"))
     )

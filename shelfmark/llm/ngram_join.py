@@ -168,7 +168,7 @@ def _signatures(words: int, num: int, den: int, bits: int, frequent, copies):
             np.repeat(np.array(x, np.int64), counts) for x in list(zip(*parts))[:3]
         )
         sigs = np.concatenate([sigs for *_, sigs in parts])
-        bucket = (sigs >> np.uint64(52)).astype(np.int64) * 2 + kinds
+        bucket = (sigs >> np.uint64(64 - bits)).astype(np.int64) * 2 + kinds
         order = np.lexsort((sigs, bucket))
         bucket = bucket[order]
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))

@@ -50,7 +50,8 @@ ORACLES = {
         from documents
     ), sources as (
         select source, last, sum(size)::bigint as total,
-            [5.0, 2.0, 1.0][(row_number() over (order by last, source) - 1) % 3 + 1]::double as weight
+            [5.0, 2.0, 1.0][(row_number() over (order by last, source) - 1) % 3 + 1]::double as weight,
+            [1.5, 1.0, 0.5][(row_number() over (order by last, source) - 1) % 3 + 1]::double as slope
         from sizes group by source, last
     ), ordered as (
         select *, (3 * total)::double as most, sum(total) over ()::double as all_words,
@@ -64,13 +65,23 @@ ORACLES = {
         select *, most <= share * weight as is_full, max(case when most > share * weight then share end) over () as final
         from shares
     ), placed as (
-        select s.*, t.total, case when t.is_full then t.most else t.final * t.weight end as target,
+        select s.*, t.total, t.weight, t.slope, case when t.is_full then t.most else t.final * t.weight end as target,
             sum(s.size) over (partition by s.source, s.last order by s.place, s.doc_id) - s.size + s.size / 2.0 as middle
         from sizes s join targets t on s.source = t.source and s.last = t.last
+    ), copies as (
+        select *, middle + e * total as at_word from placed, (select unnest([0, 1, 2]) as e)
+        where middle + e * total < target and (size > 0 or e = 0)
+    ), timed as (  -- the schedule goes from slope to 2 - slope, times the weight; its integral is inverted
+        select doc_id, at_word / target * weight as area, weight * slope as a, weight * (2 - slope) as b from copies
+    ), positions as (
+        select doc_id, case when area > 0 then least(2.0::double * area / (a + sqrt(greatest(a * a + 2.0::double * ((b - a) / 1.0::double) * area, 0))), 1) else 0 end as position
+        from timed
+    ), places as (
+        select doc_id, count(*) as n, min(place) as first_place, max(place) as last_place
+        from (select doc_id, row_number() over (order by position, doc_id) as place from positions) group by doc_id
     )
-    select doc_id, size, total as source_size, target,
-        (size * ((middle < target)::int + (middle + total < target)::int + (middle + 2 * total < target)::int))::bigint as taken
-    from placed
+    select doc_id, size, total as source_size, target, (size * coalesce(n, 0))::bigint as taken, first_place, last_place
+    from placed left join places using (doc_id)
     """,
     "op4_stratified_shards": f"""
     with ranked as (

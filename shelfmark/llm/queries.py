@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import chat_format, conversation_trie, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, sharding, spelling, token_counts, token_output, top_inner
-from shelfmark.llm.common import table
+from shelfmark.llm.common import table, with_row_key
 from shelfmark.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
-from shelfmark.session import new_work_path
+from shelfmark.session import materialize, new_work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,13 +35,16 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 @query
 def op2_source_mixture(spark, sf_dir):
-    plan = mixing.mix(table(spark, sf_dir, "documents"))
-    return plan.select(
+    docs, key = with_row_key(table(spark, sf_dir, "documents"))
+    plan = materialize(mixing.mix(docs, key=key), "mixture")
+    return mixing.training_places(plan, key).select(
         "doc_id",
         "size",
         "source_size",
         "target",
         (F.col("size") * F.size("positions")).cast("long").alias("taken"),
+        "first_place",
+        "last_place",
     )
 
 
@@ -77,7 +80,7 @@ def op6_length_histogram(spark, sf_dir):
 
 @query
 def op7_line_dedup(spark, sf_dir):
-    cleaned = line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
@@ -95,10 +98,10 @@ def op9_exact_dedup(spark, sf_dir):
 
 # What user and system turns must hold: the tools that conversations call.
 CHAT_SCHEMAS = """
-    (values ('user', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', 300),
-                          named_struct('name', 'turn', 'type', 'integer', 'required', true, 'max_length', null))),
-           ('system', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', null),
-                            named_struct('name', 'turn', 'type', 'integer', 'required', false, 'max_length', null)))
+    (values ('user', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', 300, 'minimum', null, 'maximum', null),
+                          named_struct('name', 'turn', 'type', 'integer', 'required', true, 'max_length', null, 'minimum', 0, 'maximum', 6))),
+           ('system', array(named_struct('name', 'content', 'type', 'string', 'required', true, 'max_length', null, 'minimum', null, 'maximum', null),
+                            named_struct('name', 'turn', 'type', 'integer', 'required', false, 'max_length', null, 'minimum', 0, 'maximum', 0)))
     ) as schemas(tool, fields)
 """
 

@@ -7,11 +7,12 @@ proportion, so equal cuts give shards that match the mixture.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.numbering import number_rows
-from shelfmark.llm.common import shuffled_key, slot_of, slot_sums, source_key
+from shelfmark.functions.skew import attach_groups
+from shelfmark.llm.common import shuffled_key, source_key
 from shelfmark.session import materialize
 
 
@@ -32,19 +33,18 @@ def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
             shuffled_key(F.col("doc_id")).alias("_order"),
             F.xxhash64("text").alias("_tie"),
-            F.lit(1).alias("_one"),
-        ).withColumn("_slot", slot_of(F.col("_order"))),
+        ).withColumn("_row", F.monotonically_increasing_id()),
         "rows",
     )
-    within = Window.partitionBy("_key", "_slot").orderBy("_order", "doc_id", "_tie")
-    rank = F.col("_before") + F.col("_in_slot")
+    rank = F.col("_rank")
+    totals = materialize(rows.groupBy("_key").agg(F.count("*").alias("n_files")), "source-rows")
+    numbered = number_rows(rows, ["_order", "doc_id", "_tie", "_row"], group_by=["_key"], name="_rank")
     ranked = (
-        rows.withColumn("_in_slot", F.row_number().over(within))
-        .join(slot_sums(rows, ["_key"], "_one"), ["_key", "_slot"])
-        .withColumn("_fraction", (2 * rank - 1) / (2.0 * F.col("_total")))
-        .select("doc_id", "size", "text_crc32", "_fraction", "_key", "_order", "_tie")
+        attach_groups(numbered, totals, ["_key"], spread_by="_row")
+        .withColumn("_fraction", (2 * rank - 1) / (2.0 * F.col("n_files")))
+        .select("doc_id", "size", "text_crc32", "_fraction", "_key", "_order", "_tie", "_row")
     )
-    placed = number_rows(ranked, ["_fraction", "_key", "_order", "doc_id", "_tie"], name="_place")
+    placed = number_rows(ranked, ["_fraction", "_key", "_order", "doc_id", "_tie", "_row"], name="_place")
     total = rows.count()
     place = F.col("_place") - 1
     shard = F.floor(place * shards / F.lit(max(total, 1)))

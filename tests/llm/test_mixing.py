@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import mixing
-from shelfmark.llm.common import source_key
+from shelfmark.llm.common import source_key, with_row_key
 from tests.llm.odd import documents, odd_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,18 +99,38 @@ def test_positions_follow_the_schedule(spark):
 
 def test_training_order(spark):
     rows = odd_rows()
-    docs = documents(spark, rows)
-    plan = mixing.mix(docs)
-    out = mixing.training_order(docs.withColumn("training_position", F.lit("old")), plan)
-    assert out.columns == [*docs.columns, "training_position"]
+    docs, key = with_row_key(documents(spark, rows).withColumn("training_position", F.lit("old")))
+    plan = mixing.mix(docs, key=key)
+    out = mixing.training_order(docs, plan, key)
+    assert out.columns == [c for c in docs.columns if c not in ("training_position", key)] + ["training_position"]
     got = out.collect()
     places = [r.training_position for r in got]
     assert places == sorted(places)
-    assert len(got) == sum(len(r.positions) for r in plan.collect())
-    want = sorted(p for r in plan.collect() for p in r.positions)
-    assert places == want
-    texts = {(i, t) for i, t, *_ in rows}
-    assert {(r.doc_id, r.text) for r in got} <= texts
+    want = sorted((p, str(r.doc_id), r._key) for r in plan.collect() for p in r.positions)
+    assert sorted((r.training_position, str(r.doc_id), "1" if r.source is None else "0" + r.source) for r in got) == want
+    assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, *_ in rows}
+    counted = mixing.training_places(plan, key).collect()
+    numbers = sorted(n for r in counted for n in {r.first_place, r.last_place} if n is not None)
+    assert numbers[0] == 1 and numbers[-1] == len(got)
+    assert all((r.first_place is None) == (not r.positions) for r in counted)
+    order = sorted((r.positions[0], r.first_place) for r in counted if r.positions)
+    assert [n for _, n in order] == sorted(n for _, n in order)
+
+
+def test_one_id_for_most_rows(spark):
+    """Rows of one doc_id, most of them alike, are not one task's: their places differ all the same."""
+    rows = [(7, "same words here", "en", "s")] * 300 + [(None, "x y", "en", "s")] * 200 + [(i, "a b c", "en", "t") for i in range(20)]
+    got = check(rows, mixing.mix(documents(spark, rows)))
+    assert len({p for r in got if r.doc_id == 7 for p in r.positions}) >= 300
+
+
+def test_row_keys(spark):
+    docs, key = with_row_key(documents(spark, odd_rows()).withColumn("_row_key", F.lit("taken")))
+    assert key != "_row_key"
+    first = {(r[key], r.doc_id, r.text) for r in docs.collect()}
+    assert len({k for k, *_ in first}) == len(odd_rows())
+    assert first == {(r[key], r.doc_id, r.text) for r in docs.repartition(3).collect()}
+    assert with_row_key(documents(spark, []))[0].collect() == []
 
 
 def test_source_key_order(spark):
