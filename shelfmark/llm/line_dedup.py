@@ -1,25 +1,23 @@
 """Line deduplication by winnowing over line hashes.
 
-A gram is a line of at least LONG words, or GRAM lines in a row. Of WINDOW consecutive
-grams the one with the least hash is a fingerprint, and so is every single-line gram.
-Wherever lines repeat the same grams are chosen, as the choice depends on nothing but
-them: a repeated line of LONG words, or a repeated run of GRAM + WINDOW - 1 lines, is
-sure to be found, and shorter runs of at least GRAM lines may be. A fingerprint's first
-place is looked up; from there the match is extended line by line both ways, and the
-later place of the run is deleted (``dedup_lines``).
-
-``dedup_passages`` leaves nothing to the choice of fingerprints. Its grams are the
-shortest runs of WORDS words or of LINES lines, from each line on and back from each
-line. Each line of a longer run is in a gram within that run, and grams depend on nothing
-but their lines. So a line is in a repeated run of that size just if one of its grams has
-an earlier place, whatever stands around either place. No match needs extending.
+Passages are runs of whole lines. A line weighs as many as it has words, but LEAST at
+least, and 1 without words. A gram is the shortest run of lines from a line on that weighs
+GRAM. The grams that start at the lines of a gram are its window, and the one with the
+least hash is a fingerprint. Any run that weighs 2 * GRAM holds the whole window of its
+first line, whatever stands around it, so wherever it stands the same fingerprint of it is
+chosen: all repeated runs of that weight, and so all of 50 words, share one.
+
+Fingerprints are joined by hash. From each that also stands elsewhere the match is extended
+line by line both ways, against every other place: each longer run that starts, or ends,
+with the fingerprint is looked up by its own hash, and counts if it has an earlier place.
+Two fingerprints of a run are at most GRAM apart, and lie at most GRAM from its beginning
+and twice that from its end. So no run has to be extended further than that, and all lines
+of a repeated run are reached from one of its fingerprints. Later places are deleted.
 Everything is a DataFrame expression or join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +25,11 @@ from shelfmark.functions.skew import attach_groups
 from shelfmark.llm.common import word_count
 from shelfmark.session import materialize
 
-LONG = 30
-GRAM = 3
-WINDOW = 4
-WORDS = 25
-LINES = 6
+# Weight of a gram, and the least of a line with words.
+GRAM, LEAST = 25, 4
 NO_ID = -(1 << 63)
-# Later places that share one copy of the lines of the first.
-MEMBERS = 1_000
 
 KEY = ["_id", "_tie"]
-FIRST = ["_first_id", "_first_tie"]
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -51,193 +43,142 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Distinct documents as lines: _id, _tie, hashes (of the lines), long (LONG words or more)."""
-    lines = docs.select(*_key(docs), _lines(docs["text"]).alias("lines"))
-    return lines.select(
-        *KEY,
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform("lines", lambda x: word_count(x) >= LONG).alias("long"),
-    ).distinct()
-
-
-def fingerprints(hashes: Column, long: Column) -> Column:
-    """Chosen grams as structs (hash, line), lines counted from 0."""
-    n = F.size(hashes)
-    whole = F.filter(
-        F.sequence(F.lit(0), n - 1), lambda i: F.get(long, i) | (i + GRAM <= n)
-    )
-    grams = F.transform(
-        whole,
-        lambda i: F.struct(
-            F.xxhash64(F.slice(hashes, i + 1, F.when(F.get(long, i), 1).otherwise(GRAM))).alias("hash"),
-            i.alias("line"),
+def line_weight(line: Column) -> Column:
+    words = word_count(line)
+    return F.when(words == 0, 1).otherwise(F.greatest(words, F.lit(LEAST))).cast("int")
+
+
+def _reach(weights: Column, at: Column, weight: int, step: int, most: int) -> Column:
+    """How many lines from ``at`` on (or back) weigh less than ``weight`` together."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(most - 1)),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")),
+        lambda so_far, k: F.struct(
+            F.when(
+                (so_far["n"] == k) & (so_far["sum"] + F.coalesce(F.get(weights, at + step * k), F.lit(weight)) < weight),
+                k + 1,
+            )
+            .otherwise(so_far["n"])
+            .alias("n"),
+            (so_far["sum"] + F.coalesce(F.get(weights, at + step * k), F.lit(weight))).alias("sum"),
         ),
+        lambda end: end["n"],
     )
 
-    def larger(g: Column, at: Column, step: int) -> Column:
-        """Grams next to this one, up to WINDOW - 1 on one side, that come after it by hash."""
-        ahead = lambda d: F.coalesce(F.get(grams, at + step * d) > g, F.lit(False))
-        count = F.lit(0)
-        for d in range(WINDOW - 1, 0, -1):
-            count = F.when((at + step * d >= 0) & ahead(d), 1 + count).otherwise(F.lit(0))
-        return count
 
-    is_least = lambda g, at: (
-        larger(g, at, -1) + larger(g, at, 1) + 1 >= F.least(F.lit(WINDOW), F.size(grams))
-    )
-    return F.filter(grams, lambda g, at: F.get(long, g["line"]) | is_least(g, at))
+def grams(hashes: Column, weights: Column) -> Column:
+    """For each line the gram that starts there as a struct (hash, start, n), null if the text ends before."""
 
+    def length(i: Column) -> Column:
+        total = F.get(weights, i)
+        found = F.when(total >= GRAM, 1)
+        for k in range(1, GRAM):  # a line weighs 1 at least
+            total = total + F.get(weights, i + k)  # null beyond the lines
+            found = found.when(total >= GRAM, k + 1)
+        return found
 
-def _matches(lines: DataFrame) -> DataFrame:
-    """Later places of fingerprints: KEY, FIRST (document of the first place), shift, at (lines)."""
-    places = lines.select(*KEY, F.explode_outer(fingerprints(F.col("hashes"), F.col("long"))).alias("gram"))
-    places = materialize(
-        places.filter(F.col("gram").isNotNull()).select(*KEY, "gram.hash", "gram.line"), "places"
-    )
-    firsts = places.groupBy("hash").agg(
-        F.min(F.struct(*KEY, "line")).alias("first"), F.count("*").alias("n_files")
-    )
-    firsts = materialize(firsts.filter("n_files > 1"), "firsts")
-    later = attach_groups(places, firsts, ["hash"], spread_by="_id", how="inner")
-    later = later.filter(F.struct(*KEY, "line") > F.col("first"))
-    return later.groupBy(
-        *KEY,
-        F.col("first._id").alias("_first_id"),
-        F.col("first._tie").alias("_first_tie"),
-        (F.col("line") - F.col("first.line")).alias("shift"),
-    ).agg(F.collect_list("line").alias("at"))  # lines of one document
-
-
-def repeated_runs(lines: DataFrame) -> DataFrame:
-    """Runs of lines that repeat earlier ones: KEY, runs (array of start, end, counted from 0)."""
-    matches = materialize(_matches(lines), "matches")
-    firsts = matches.groupBy(*FIRST).agg(F.count("*").alias("n_files"))
-    firsts = firsts.withColumn("copies", F.ceil(F.col("n_files") / MEMBERS))
-    firsts = materialize(firsts, "first-documents")
-    dealt = attach_groups(matches, firsts, FIRST, spread_by="_id").withColumn(
-        "copy", F.pmod(F.xxhash64(*KEY), F.col("copies"))
-    )
-    texts = (
-        firsts.join(lines.select(F.col("_id").alias("_first_id"), F.col("_tie").alias("_first_tie"), F.col("hashes").alias("first")), FIRST)
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-        .select(*FIRST, "copy", "first")
-    )
-    both = dealt.join(texts, [*FIRST, "copy"]).join(lines.select(*KEY, "hashes"), KEY)
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("hashes"), F.size("first") + F.col("shift")) - 1
-    differs = F.filter(
-        F.sequence(low, high), lambda i: F.get("hashes", i) != F.get("first", i - F.col("shift"))
-    )
-    around = F.array_distinct(
-        F.transform(
-            "at",
-            lambda p: F.struct(
-                (F.coalesce(F.array_max(F.filter("differs", lambda i: i < p)), low - 1) + 1).alias("start"),
-                (F.coalesce(F.array_min(F.filter("differs", lambda i: i > p)), high + 1) - 1).alias("end"),
-            ),
-        )
+    lengths = F.transform(weights, lambda _, i: length(i))
+    return F.transform(
+        lengths,
+        lambda n, i: F.when(
+            n.isNotNull(),
+            F.struct(F.xxhash64(F.slice(hashes, i + 1, n)).alias("hash"), i.alias("start"), n.alias("n")),
+        ),
     )
-    runs = both.withColumn("differs", differs).select(*KEY, around.alias("runs"))
-    return runs.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-
-
-def passage_grams(hashes: Column, words: Column) -> Column:
-    """Shortest runs of WORDS words or LINES lines from and up to each line: structs (hash, start, end)."""
-
-    def length(i: Column, step: int) -> Column:
-        total = F.get(words, i)
-        found = F.when(total >= WORDS, 1)
-        for k in range(1, LINES):
-            total = total + F.get(words, i + step * k)  # null beyond the lines
-            found = found.when(total >= WORDS, k + 1)
-        return found.when(total.isNotNull(), LINES)
-
-    def grams(step: int) -> Column:
-        start = lambda n, i: i if step > 0 else i - n + 1
-        return F.transform(
-            F.transform(words, lambda _, i: length(i, step)),
-            lambda n, i: F.when(
-                n.isNotNull(),
-                F.struct(
-                    F.xxhash64(F.slice(hashes, start(n, i) + 1, n)).alias("hash"),
-                    start(n, i).alias("start"),
-                    (start(n, i) + n - 1).alias("end"),
-                ),
-            ),
-        )
-
-    return F.filter(F.array_distinct(F.concat(grams(1), grams(-1))), lambda g: g.isNotNull())
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines in runs of WORDS words or LINES lines that repeat earlier ones: KEY, gone (counted from 0)."""
+def fingerprints(all_grams: Column) -> Column:
+    """The least gram of each window, once each."""
+    window = lambda g: F.filter(F.slice(all_grams, g["start"] + 1, g["n"]), lambda x: x.isNotNull())
+    chosen = F.transform(F.filter(all_grams, lambda g: g.isNotNull()), lambda g: F.array_min(window(g)))
+    return F.array_distinct(chosen)
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """Fingerprints that stand in several places: KEY, start, n, low, around.
+
+    ``around`` are the hashes of the lines from ``low`` on: those that a match of the
+    fingerprint may extend over.
+    """
     lines = docs.select(*_key(docs), _lines(docs["text"]).alias("lines")).select(
         *KEY,
         F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform("lines", lambda x: word_count(x)).alias("words"),
-    )
-    places = lines.select(*KEY, F.explode(passage_grams(F.col("hashes"), F.col("words"))).alias("gram"))
-    places = materialize(places.select(*KEY, "gram.hash", "gram.start", "gram.end"), "places")
-    # Rows that repeat a document have equal places, of which none comes after the other.
-    firsts = places.groupBy("hash").agg(
-        F.min(F.struct(*KEY, "start")).alias("first"), F.count("*").alias("n_files")
+        F.transform("lines", line_weight).alias("weights"),
     )
-    firsts = materialize(firsts.filter("n_files > 1"), "firsts")
-    later = attach_groups(places, firsts, ["hash"], spread_by=F.struct(*KEY, "start"), how="inner")
-    later = later.filter(F.struct(*KEY, "start") > F.col("first"))
-    return later.groupBy(*KEY).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end")))).alias("gone")
+    chosen = lines.withColumn("grams", grams(F.col("hashes"), F.col("weights")))
+    chosen = chosen.select(*KEY, "hashes", "weights", F.explode(fingerprints(F.col("grams"))).alias("g"))
+    before = _reach(F.col("weights"), F.col("g.start") - 1, GRAM, -1, GRAM)
+    behind = _reach(F.col("weights"), F.col("g.start") + 1, 2 * GRAM, 1, 2 * GRAM)
+    low = F.col("g.start") - before
+    high = F.greatest(F.col("g.start") + behind, F.col("g.start") + F.col("g.n") - 1)
+    places = materialize(
+        chosen.select(
+            *KEY, "g.hash", "g.start", "g.n", low.alias("low"), F.slice("hashes", low + 1, high - low + 1).alias("around")
+        ),
+        "places",
     )
+    # Rows that repeat a document have the same places, of which none comes after the other.
+    shared = materialize(places.groupBy("hash").agg(F.count("*").alias("n_files")).filter("n_files > 1"), "shared")
+    found = attach_groups(places, shared, ["hash"], spread_by=F.struct(*KEY, "start"), how="inner")
+    return found.select(*KEY, "start", "n", "low", "around")
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """The documents without repeated passages of whole lines; ``n_lines`` and ``n_removed`` added.
+def _runs(found: DataFrame) -> DataFrame:
+    """Runs that start or end with a fingerprint: KEY, start (of the fingerprint), hash, first, last (lines)."""
+    start, low, around = F.col("start"), F.col("low"), F.col("around")
+    end = start + F.col("n") - 1
+    high = low + F.size(around) - 1
 
-    A line goes just if it is in a run of lines with at least WORDS words, or of at least
-    LINES lines, that also stands at an earlier place. Columns, order of documents, nulls,
-    empty lines and repeated rows are as in ``dedup_lines``.
-    """
-    gone = materialize(repeated_lines(docs), "gone")
+    def run(first: Column, last: Column) -> Column:
+        hash_ = F.xxhash64(F.slice(around, first - low + 1, last - first + 1))
+        return F.struct(hash_.alias("hash"), first.alias("first"), last.alias("last"))
 
-    def kept(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-        return F.transform(left, lambda i: F.get(lines, i))
+    ahead = F.transform(F.sequence(end, high), lambda k: run(start, k))
+    back = F.when(low < start, F.transform(F.sequence(low, start - 1), lambda k: run(k, end)))
+    runs = F.concat(ahead, F.coalesce(back, F.array().cast("array<struct<hash:bigint,first:int,last:int>>")))
+    return found.select(*KEY, "start", F.explode(runs).alias("run")).select(*KEY, "start", "run.*")
 
-    return _cleaned(docs, gone, "gone", kept)
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines in runs that also stand at an earlier place: KEY, gone (counted from 0)."""
+    runs = materialize(_runs(_occurrences(docs)), "runs")
+    firsts = runs.groupBy("hash").agg(F.min(F.struct(*KEY, "first")).alias("earliest"), F.count("*").alias("n_files"))
+    firsts = materialize(firsts.filter("n_files > 1"), "firsts")
+    later = attach_groups(runs, firsts, ["hash"], spread_by=F.struct(*KEY, "start", "last"), how="inner")
+    later = later.filter(F.struct(*KEY, "first") > F.col("earliest"))
+    # The longest match of each fingerprint ahead and back; shorter ones are within.
+    longest = later.groupBy(*KEY, "start").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return longest.groupBy(*KEY).agg(
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("gone")  # lines of one document
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated runs of lines; ``n_lines`` and ``n_removed`` added.
+    """The documents without repeated passages of whole lines; ``n_lines`` and ``n_removed`` added.
 
     ``docs`` has doc_id and text; all columns stay (n_lines and n_removed are replaced).
-    The order of documents is that of doc_id, null first, so the smallest id keeps a run;
-    within a document the first place does. Null texts stay null and have no lines that
-    repeat; empty lines are lines. A text may become empty. Rows that repeat both doc_id
-    and text count as one document and get the same result; rows with one doc_id and other
-    texts are told apart by the hash of the text.
+    Every line goes that is in a run of lines weighing 2 * GRAM (so of 50 words or more) that
+    also stands at an earlier place; no line goes that is not in such a run weighing GRAM. In
+    between it depends on the fingerprints. The order of documents is that of doc_id, null
+    first, so the smallest id keeps a run; within a document the first place does. Lines are
+    equal if their 64-bit hashes are. Null texts stay null; empty lines are lines. A text
+    may become empty. Rows that repeat both doc_id and text count as one document and get
+    the same result; rows with one doc_id and other texts are told apart by the hash of the
+    text. An empty table gives no rows.
     """
-    lines = materialize(line_table(docs), "lines")
-    runs = materialize(repeated_runs(lines), "runs")
-
-    def kept(lines: Column) -> Column:
-        return F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
-
-    return _cleaned(docs, runs, "runs", kept)
-
-
-def _cleaned(docs: DataFrame, found: DataFrame, name: str, kept: Callable[[Column], Column]) -> DataFrame:
-    """``docs`` with only the lines ``kept`` leaves where ``found`` has a row; n_lines, n_removed added."""
+    gone = materialize(repeated_lines(docs), "gone")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_key(docs))
     # The same join at every size: what is found grows with the documents.
-    both = keyed.join(found.hint("merge"), KEY, "left")
-    some = F.col(name).isNotNull()
+    both = keyed.join(gone.hint("merge"), KEY, "left")
+    some = F.col("gone").isNotNull()
     all_lines = _lines(F.col("_row.text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
+    kept = F.transform(left, lambda i: F.get(all_lines, i))
     text = F.when(~some, F.col("_row.text")).otherwise(F.array_join(F.col("_kept"), "\n"))
     n_lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(all_lines))
     n_kept = F.when(~some, n_lines).otherwise(F.size("_kept"))
     added = ("n_lines", "n_removed")
-    return both.withColumn("_kept", F.when(some, kept(all_lines))).select(
+    return both.withColumn("_kept", F.when(some, kept)).select(
         *[text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in added],
         n_lines.alias("n_lines"),
         (n_lines - n_kept).alias("n_removed"),

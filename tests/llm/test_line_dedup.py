@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import line_dedup as ld
@@ -9,122 +10,47 @@ from tests.llm.odd import documents, odd_rows, prose
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(spark, rows):
-    """Lines left of each distinct (doc_id, text), by walking over the documents in order."""
-    df = spark.createDataFrame(list({(i, t) for i, t, *_ in rows}), "doc_id long, text string")
-    keyed = df.select("doc_id", "text", *ld._key(df), F.transform(ld._lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    docs = {(r._id, r._tie): (r.doc_id, r.text, r.h) for r in keyed.collect()}
-    grams = {}
-    for key, (_, text, h) in docs.items():
-        long = [len(WORD.findall(x)) >= ld.LONG for x in (text or "").split("\n")]
-        grams[key] = [
-            (i, tuple(h[i : i + 1] if long[i] else h[i : i + ld.GRAM]), long[i])
-            for i in range(len(h))
-            if long[i] or i + ld.GRAM <= len(h)
-        ]
-    every = list({g for v in grams.values() for _, g, _ in v})
-    hashed = spark.createDataFrame([(list(g),) for g in every] or [([],)], "a array<long>")
-    value = {tuple(r.a): r.v for r in hashed.select("a", F.xxhash64("a").alias("v")).collect()}
-    first, left = {}, {}
-    chosen = {}
-    for key in sorted(docs):
-        found = [(value[g], i) for i, g, _ in grams[key]]
-        picked = {min(found[s : s + ld.WINDOW]) for s in range(max(len(found) - ld.WINDOW, 0) + 1) if found}
-        picked |= {(value[g], i) for i, g, long in grams[key] if long}
-        chosen[key] = picked
-        for v, i in sorted(picked, key=lambda x: x[1]):
-            first.setdefault(v, (key, i))
-    for key, (doc_id, text, h) in docs.items():
-        gone = set()
-        for v, i in chosen[key]:
-            of, j = first[v]
-            if (of, j) == (key, i):
-                continue
-            other = docs[of][2]
-            for step in (-1, 1):
-                a, b = i, j
-                while 0 <= a < len(h) and 0 <= b < len(other) and h[a] == other[b]:
-                    gone.add(a)
-                    a, b = a + step, b + step
-        lines = (text or "").split("\n")
-        kept = [x for n, x in enumerate(lines) if n not in gone]
-        left[(doc_id, text)] = (None if text is None else "\n".join(kept), len(gone))
-    return left
+def weight(line):
+    n = len(WORD.findall(line))
+    return max(n, ld.LEAST) if n else 1
 
 
-def check(spark, rows):
-    docs = documents(spark, rows)
+def repeated(rows, least):
+    """Lines of each distinct (doc_id, text) in runs of that weight that also stand earlier: all runs are tried."""
+    docs = sorted({(i, t) for i, t, *_ in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
+    first, gone = {}, {}
+    for n, (i, text) in enumerate(docs):
+        lines = (text or "").split("\n")
+        weights = [weight(x) for x in lines]
+        found = gone.setdefault((i, text), set())
+        for a in range(len(lines)):
+            for b in range(a, min(len(lines), a + least)):  # a longer run is made of such
+                if sum(weights[a : b + 1]) >= least:
+                    if first.setdefault(tuple(lines[a : b + 1]), (n, a)) < (n, a):
+                        found |= set(range(a, b + 1))
+    return gone
+
+
+def check(spark, rows, parts=3):
+    """Ids are distinct but for repeated rows. Returns the numbers of lines that went, by id."""
+    docs = documents(spark, rows).repartition(parts)
     out = ld.dedup_lines(docs)
     assert out.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_removed"]
-    want = brute(spark, rows)
-    got = out.select("doc_id", "text", "n_lines", "n_removed").collect()
-    expected = [(i, *want[(i, t)], 0 if t is None else t.count("\n") + 1) for i, t, *_ in rows]
-    assert sorted(((r.doc_id, r.text, r.n_removed, r.n_lines) for r in got), key=str) == sorted(expected, key=str)
-    return got
-
-
-def test_passages(spark):
-    rnd = random.Random(4)
-    passages = [[prose(rnd, rnd.randint(2, 60)).replace("\n", " ") for _ in range(rnd.randint(1, 9))] for _ in range(8)]
-    rows = []
-    for n in range(80):
-        lines = [prose(rnd, rnd.randint(0, 40)).replace("\n", " ") for _ in range(rnd.randint(0, 8))]
-        for _ in range(rnd.randint(0, 2)):
-            at = rnd.randint(0, len(lines))
-            lines[at:at] = rnd.choice(passages)[rnd.randint(0, 1) :]
-        rows.append((n, "\n".join(lines), "en", "s"))
-    got = check(spark, rows)
-    assert sum(r.n_removed for r in got) > 50
-    texts = "\n".join(r.text for r in got)
-    for passage in passages:
-        for line in passage:
-            if len(line.split()) >= ld.LONG:  # long lines are kept exactly once, if they occur
-                assert texts.count(line) <= 1
-
-
-def test_odd_documents(spark):
-    check(spark, odd_rows())
-
-
-def test_periodic_lines(spark):
-    rows = [(1, "\n".join(["same"] * 50), "en", "s"), (2, "\n".join(["a", "b"] * 20 + ["end"]), "en", "s"), (3, "\n" * 30, None, None)]
-    got = {r.doc_id: r.text for r in check(spark, rows)}
-    assert got[1].count("same") <= 3 and got[2].endswith("end")
-
-
-def test_one_first_document_for_all(spark, monkeypatch):
-    monkeypatch.setattr(ld, "MEMBERS", 4)
-    rnd = random.Random(6)
-    passage = "\n".join(prose(rnd, 12).replace("\n", " ") for _ in range(8))
-    check(spark, [(n, f"{prose(rnd, 5)}\n{passage}\n{prose(rnd, 5)}", "en", "s") for n in range(40)])
-
-
-def test_empty_table(spark):
-    assert ld.dedup_lines(documents(spark, [])).collect() == []
-
-
-def all_repeats(rows, words, lines):
-    """Lines left of each distinct (doc_id, text): all runs of lines of that size, in order of place."""
-    docs = sorted({(i, t) for i, t, *_ in rows}, key=lambda d: d[0])  # ids are distinct
-    first, left = {}, {}
-    for n, (i, text) in enumerate(docs):
-        split = (text or "").split("\n")
-        counts = [len(WORD.findall(x)) for x in split]
-        gone = set()
-        for a in range(len(split)):
-            for b in range(a, len(split)):
-                if sum(counts[a : b + 1]) >= words or b - a + 1 >= lines:
-                    if first.setdefault(tuple(split[a : b + 1]), (n, a)) < (n, a):
-                        gone |= set(range(a, b + 1))
-        left[i] = (None if text is None else "\n".join(x for k, x in enumerate(split) if k not in gone), len(gone))
-    return left
-
-
-def check_passages(spark, rows):
-    out = ld.dedup_passages(documents(spark, rows))
-    got = {r.doc_id: (r.text, r.n_removed) for r in out.select("doc_id", "text", "n_removed").collect()}
-    assert got == all_repeats(rows, ld.WORDS, ld.LINES)
-    return got
+    got = out.select("doc_id", "text", "n_lines", "n_removed", "source").collect()
+    assert len(got) == len(rows)
+    keys = {(r._id, r._tie): (r.doc_id, r.text) for r in docs.select("doc_id", "text", *ld._key(docs)).collect()}
+    gone = {keys[(r._id, r._tie)]: set(r.gone) for r in ld.repeated_lines(docs).collect()}
+    sure, possible = repeated(rows, 2 * ld.GRAM), repeated(rows, ld.GRAM)
+    for key, lines in sure.items():
+        assert lines <= gone.get(key, set()) <= possible[key], key
+    texts = {i: t for i, t, *_ in rows}
+    for r in got:
+        text = texts[r.doc_id]
+        lines = (text or "").split("\n")
+        removed = gone.get((r.doc_id, text), set())
+        assert (r.n_lines, r.n_removed) == (0 if text is None else len(lines), len(removed))
+        assert r.text == (None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in removed))
+    return {r.doc_id: r.n_removed for r in got}
 
 
 def line(rnd, n):
@@ -132,29 +58,54 @@ def line(rnd, n):
 
 
 def test_every_passage_of_50_words_goes(spark):
-    """Also runs of few lines, none of them long, as in the reviewer's examples."""
+    """Also runs of few lines, none of them long."""
     rnd = random.Random(11)
-    sizes = [(29, 28), (18, 21, 28), (7, 28, 29), (24, 29, 7), (10,) * 5, (25, 25), (13, 13, 13, 13), (50,)]
+    sizes = [(29, 28), (18, 21, 28), (7, 28, 29), (24, 29, 7), (10,) * 5, (25, 25), (13, 13, 13, 13), (50,), (1,) * 50, (49, 1), (24, 2, 24)]
     passages = [[line(rnd, n) for n in some] for some in sizes]
     rows = []
-    for n in range(40):
+    for n in range(44):
         lines = [line(rnd, rnd.randint(1, 20)) for _ in range(4)]
         at = rnd.randint(0, 4)
         rows.append((n, "\n".join(lines[:at] + passages[n % len(passages)] + lines[at:]), "en", "s"))
-    got = check_passages(spark, rows)
-    for n in range(40):
-        passage = passages[n % len(passages)]
-        assert got[n][1] == (0 if n < len(passages) else len(passage))
-
-
-def test_passages_of_odd_documents(spark):
-    rows = [(1, "\n".join(["same"] * 50), "en", "s"), (2, "\n" * 30, None, None), (3, None, None, None), (4, "", None, None)]
-    got = check_passages(spark, rows)
-    assert got[1][0] == "same" and got[3] == (None, 0)
-    repeated = [(7, "x\n" + "y " * 30, "en", "s")] * 2 + [(None, "y " * 30, "en", "s")]
-    out = ld.dedup_passages(documents(spark, repeated)).select("doc_id", "text").collect()
+    got = check(spark, rows)
+    for n in range(44):
+        assert got[n] == (0 if n < len(passages) else len(passages[n % len(passages)]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_passages(spark, seed):
+    """Parts of passages in many places, next to each other and next to other lines."""
+    rnd = random.Random(seed)
+    passages = [[line(rnd, rnd.choice([0, 1, 3, 8, 20, 40])) for _ in range(rnd.randint(2, 14))] for _ in range(6)]
+    rows = []
+    for n in range(70):
+        lines = [line(rnd, rnd.randint(0, 30)) for _ in range(rnd.randint(0, 4))]
+        for _ in range(rnd.randint(0, 3)):
+            at, some = rnd.randint(0, len(lines)), rnd.choice(passages)
+            low = rnd.randint(0, len(some) - 1)
+            lines[at:at] = some[low : rnd.randint(low, len(some)) + 1]
+        rows.append((n, "\n".join(lines), "en", "s"))
+    assert sum(check(spark, rows, 5).values()) > 60
+
+
+def test_odd_documents(spark):
+    rows = [r for r in odd_rows() if r[0] is not None]
+    got = check(spark, rows + [(None, odd_rows()[3][1], "en", "s2")])
+    assert got[None] == 0
+
+
+def test_periodic_and_empty_lines(spark):
+    rows = [(1, "\n".join(["same"] * 50), "en", "s"), (2, "\n".join(["a", "b"] * 20 + ["end"]), "en", "s")]
+    rows += [(3, "\n" * 60, None, None), (4, "\n" * 60, None, None), (5, None, None, None), (6, "", None, None), (7, "x " * 30, "en", "s")]
+    got = check(spark, rows)
+    assert got[1] >= 30 and got[4] == 61
+
+
+def test_repeated_rows(spark):
+    rows = [(7, "x\n" + "y " * 30, "en", "s")] * 2 + [(None, "y " * 30, "en", "s")]
+    out = ld.dedup_lines(documents(spark, rows)).select("doc_id", "text").collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == [(7, "x"), (7, "x"), (None, "y " * 30)]
-    assert ld.dedup_passages(documents(spark, [])).collect() == []
+    assert ld.dedup_lines(documents(spark, [])).collect() == []
 
 
 def test_shorter_variant_first(spark):
@@ -164,5 +115,26 @@ def test_shorter_variant_first(spark):
     rows = [(0, "\n".join([*passage[:3], line(rnd, 9)]), "en", "s"), (1, "\n".join([line(rnd, 3), *passage]), "en", "s")]
     rows += [(n, "\n".join([line(rnd, 3), *passage, line(rnd, 4)]), "en", "s") for n in range(2, 8)]
     rows += [(8, "\n".join([line(rnd, 9), *passage[2:]]), "en", "s")]
-    got = check_passages(spark, rows)
-    assert [got[n][1] for n in range(9)] == [0, 3] + [7] * 6 + [5]
+    got = check(spark, rows)
+    assert [got[n] for n in range(2, 8)] == [7] * 6
+
+
+def test_one_passage_in_all_documents(spark):
+    """The passage stays once, whatever stands around it."""
+    rnd = random.Random(6)
+    passage = [line(rnd, 12) for _ in range(8)]
+    rows = [(n, "\n".join([line(rnd, 5), *passage, line(rnd, 5)]), "en", "s") for n in range(300)]
+    got = check(spark, rows)
+    assert got[0] == 0 and all(got[n] == 8 for n in range(1, 300))
+
+
+def test_windows_depend_on_their_lines_only(spark):
+    """The fingerprints of a run of weight 2 * GRAM include one that any other place of it has too."""
+    rnd = random.Random(3)
+    run = [line(rnd, rnd.randint(1, 12)) for _ in range(12)]
+    texts = ["\n".join([line(rnd, 9) for _ in range(rnd.randint(0, 5))] + run + [line(rnd, 9) for _ in range(rnd.randint(0, 5))]) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lines = F.split("t", "\n", -1)
+    marks = ld.fingerprints(ld.grams(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, ld.line_weight)))
+    found = [{g["hash"] for g in r.m} for r in df.select(marks.alias("m")).collect()]
+    assert set.intersection(*found)
