@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.functions.numbering import number_rows
 from shelfmark.functions.skew import attach_groups
 from shelfmark.session import materialize
 
@@ -72,71 +74,109 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def argument_errors(arguments: Column, fields: Column) -> Column:
-    """What is wrong with the arguments, sorted; ``fields``: array of name, type, required, max_length."""
-    entries = F.from_json(arguments, "map<string,variant>")
+def _fits(kind: Column, wanted: Column) -> Column:
+    fits = F.lit(False)
+    for name, pattern in TYPES.items():
+        fits = fits | ((wanted == name) & F.coalesce(kind.rlike(f"^({pattern})$"), F.lit(False)))
+    return fits
+
+
+def _field_errors(entries: Column, fields: Column, of: T.StructType, prefix: Column) -> Column:
+    """What is wrong with the values of an object (a map of variants), fields within fields included."""
+    has = set(of.names)
     keys = F.map_keys(entries)
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
+    as_type = lambda value, kind: F.try_variant_get(value, F.lit("$"), kind)
 
     def wrong(f: Column) -> Column:
-        value = F.element_at(entries, f["name"])
+        value, name = F.element_at(entries, f["name"]), F.concat(prefix, f["name"])
         kind = F.schema_of_variant(value)
-        fits = F.lit(False)
-        for name, pattern in TYPES.items():
-            fits = fits | ((f["type"] == name) & F.coalesce(kind.rlike(f"^({pattern})$"), F.lit(False)))
-        text = F.try_variant_get(value, F.lit("$"), "string")
+        told = lambda what, when: F.when(when, F.concat(F.lit(what + ": "), name))
+        found = [told("length", (kind == "STRING") & (F.char_length(as_type(value, "string")) > f["max_length"]))]
+        if "minimum" in has:
+            found.append(told("below", as_type(value, "double") < f["minimum"]))
+        if "maximum" in has:
+            found.append(told("above", as_type(value, "double") > f["maximum"]))
+        if "enum" in has:
+            found.append(told("not one of", ~F.array_contains(f["enum"], as_type(value, "string"))))
+        if "items" in has:
+            other = F.exists(as_type(value, "array<variant>"), lambda x: ~_fits(F.schema_of_variant(x), f["items"]))
+            found.append(told("items", f["items"].isNotNull() & other))
+        deeper = F.array().cast("array<string>")
+        if "fields" in has:
+            inner = _field_errors(as_type(value, "map<string,variant>"), f["fields"], of["fields"].dataType.elementType, F.concat(name, F.lit(".")))
+            deeper = F.when(f["fields"].isNotNull() & (f["type"] == "object"), inner).otherwise(deeper)
         return (
-            F.when(~F.array_contains(keys, f["name"]), F.when(f["required"], F.concat(F.lit("missing: "), f["name"])))
-            .when(~fits, F.concat(F.lit("type: "), f["name"]))
-            .when((kind == "STRING") & (F.char_length(text) > f["max_length"]), F.concat(F.lit("length: "), f["name"]))
+            F.when(~F.array_contains(keys, f["name"]), F.array(told("missing", f["required"])))
+            .when(~_fits(kind, f["type"]), F.array(told("type", F.lit(True))))
+            .otherwise(F.concat(F.array(*found), deeper))
         )
 
     unknown = F.transform(
-        F.array_except(keys, F.transform(fields, lambda f: f["name"])), lambda k: F.concat(F.lit("unknown: "), k)
+        F.array_except(keys, F.transform(fields, lambda f: f["name"])), lambda k: F.concat(F.lit("unknown: "), prefix, k)
     )
-    found = F.array_sort(F.filter(F.concat(F.transform(fields, wrong), unknown), lambda e: e.isNotNull()))
+    return F.concat(F.flatten(F.transform(fields, wrong)), unknown)
+
+
+def argument_errors(arguments: Column, fields: Column, of: T.StructType) -> Column:
+    """What is wrong with the arguments, sorted; ``fields`` is an array of structs ``of``.
+
+    A struct has name, type, required, max_length, and may have minimum and maximum (of
+    numbers), enum (array of strings), items (type of an array's elements) and fields (of an
+    object, again such an array). Null means no limit. Values are only checked further if
+    their type fits.
+    """
+    entries = F.from_json(arguments, "map<string,variant>")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
+    found = _field_errors(entries, fields, of, F.lit(""))
     return (
         F.when(fields.isNull(), F.array(F.lit("tool")))
         .when(~is_object, F.array(F.lit("not an object")))
-        .otherwise(found)
+        .otherwise(F.array_sort(F.filter(found, lambda e: e.isNotNull())))
     )
 
 
-def _first_of_each(records: DataFrame, values: list[str]) -> DataFrame:
-    """One record for each id, the least by its values; ``copies`` counts the records."""
-    return (
-        records.filter(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.min(F.struct(*values)).alias("_least"), F.count("*").alias("copies"))
-        .select("id", *[F.col(f"_least.{v}").alias(v) for v in values], "copies")
-    )
+def _numbered(records: DataFrame, values: list[str]) -> DataFrame:
+    """Records numbered from 1 among those of their id, by a hash of their values; none is left out."""
+    rows = records.select("id", *values, F.xxhash64(*values).alias("_tie"))
+    return materialize(number_rows(rows, ["_tie"], group_by=["id"], name="number"), "records").drop("_tie")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Linked, ordered, validated and serialised calls and results.
+    """Linked, ordered, validated and serialised calls and results; every record is in one row.
 
     ``calls``: id, parent, tool, arguments (JSON text). ``results``: id (of the call they
-    answer), content. ``schemas``: tool, fields (array of name, type, required, max_length),
-    one row for each tool. Other columns are not read. Returns one row for each id:
-    id, status (``linked``, ``no result``, ``no call``), root, depth (a call's place in the
-    topological order; null without call), copies (records that share the id beyond one call
-    and one result; the least by value stands for them), errors (sorted; null without call)
-    and json. Records without id cannot be linked and are left out. A tool without schema
+    answer), content. ``schemas``: tool, fields (see ``argument_errors``), one row for each
+    tool. Other columns are not read. Returns id, status, number, root, depth, errors, json.
+    An id normally has one call and one result; if it has more, they are numbered in a fixed
+    order (equal ones in any), and the n-th result belongs to the n-th call. status is
+    ``linked`` for a call with its result, ``no result`` for a call and ``no call`` for a
+    result that is left over, ``no id`` for records without id, which are linked with
+    nothing. root and depth say where the id is in the topological order of its first call
+    (null without call or id); errors are sorted, null without call. A tool without schema
     gives the error ``tool``, null or malformed arguments ``not an object``, and malformed
     arguments are null in the JSON. Empty tables are fine.
     """
-    one_call = materialize(_first_of_each(calls, ["parent", "tool", "arguments"]), "calls")
-    one_result = _first_of_each(results, ["content"]).select(
-        F.col("id").alias("_id"), "content", F.col("copies").alias("_copies")
+    every_call = _numbered(calls, ["parent", "tool", "arguments"])
+    every_result = _numbered(results, ["content"])
+    order = topological(every_call.filter("id is not null and number = 1").select("id", "parent"))
+    counts = every_call.filter("id is not null").groupBy("id").agg(F.count("*").alias("n_files"))
+    placed = attach_groups(every_call, materialize(order.join(counts, "id"), "order"), ["id"], spread_by="number").drop("n_files")
+    per_tool = every_call.groupBy("tool").agg(F.count("*").alias("n_files")).join(schemas.select("tool", "fields"), "tool")
+    checked = attach_groups(placed, materialize(per_tool, "tools"), ["tool"], spread_by=F.struct("id", "number"))
+    of = schemas.schema["fields"].dataType.elementType
+    checked = checked.withColumn("errors", argument_errors(F.col("arguments"), F.col("fields"), of)).drop("n_files", "fields")
+
+    answers = every_result.select(F.col("id").alias("_id"), F.col("number").alias("_number"), "content")
+    # An id and a number are one call and one result at most, so no key is hot. Null ids meet nothing.
+    same = (F.col("id") == F.col("_id")) & (F.col("number") == F.col("_number"))
+    both = checked.join(answers, same, "full")
+    has_call, has_result = F.col("number").isNotNull(), F.col("_number").isNotNull()
+    status = (
+        F.when(F.coalesce("id", "_id").isNull(), "no id")
+        .when(has_call & has_result, "linked")
+        .when(has_call, "no result")
+        .otherwise("no call")
     )
-    order = topological(one_call.select("id", "parent"))
-    per_tool = one_call.groupBy("tool").agg(F.count("*").alias("n_files")).join(schemas.select("tool", "fields"), "tool")
-    checked = attach_groups(one_call, materialize(per_tool, "tools"), ["tool"], spread_by="id")
-    checked = checked.withColumn("errors", argument_errors(F.col("arguments"), F.col("fields"))).drop("n_files", "fields")
-    placed = checked.join(order, "id")
-    linked = placed.join(one_result.hint("shuffle_hash"), F.col("id") == F.col("_id"), "full")
-    has_call, has_result = F.col("id").isNotNull(), F.col("_id").isNotNull()
-    status = F.when(has_call & has_result, "linked").when(has_call, "no result").otherwise("no call")
     record = F.to_json(
         F.struct(  # fields in the order of their names; null ones are left out
             F.try_parse_json("arguments").alias("arguments"),
@@ -148,13 +188,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
             F.col("tool"),
         )
     )
-    extra = F.coalesce("copies", F.lit(1)) + F.coalesce("_copies", F.lit(1)) - 2
-    return linked.select(
+    return both.select(
         F.coalesce("id", "_id").alias("id"),
         status.alias("status"),
+        F.coalesce("number", "_number").alias("number"),
         "root",
         "depth",
-        extra.alias("copies"),
         "errors",
         record.alias("json"),
     )
@@ -166,17 +205,17 @@ def conversation_records(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``turns`` has conv_id, turn, role, text. A user or system turn is a call of the tool
     named like its role, with the id ``conv_id:turn``, replying to the turn before; an
     assistant turn is the result of the turn before it. Turns of other or no roles are
-    calls of a tool that has no schema.
+    calls of a tool that has no schema. Turns without conv_id or turn have no id.
     """
-    name = lambda back: F.concat_ws(":", F.col("conv_id"), F.col("turn") - back)
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    name = lambda back: F.when(whole, F.concat_ws(":", F.col("conv_id"), F.col("turn") - back))
     is_result = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    calls = turns.filter(whole & ~is_result).select(
+    calls = turns.filter(~is_result).select(
         name(0).alias("id"),
         # The turn before is the answer to the one before that, or a system turn.
         F.when(F.col("turn") > 1, name(2)).when(F.col("turn") == 1, name(1)).alias("parent"),
         F.coalesce("role", F.lit("")).alias("tool"),
         F.to_json(F.struct(F.col("text").alias("content"), F.col("turn").alias("turn"))).alias("arguments"),
     )
-    results = turns.filter(whole & is_result).select(name(1).alias("id"), F.col("text").alias("content"))
+    results = turns.filter(is_result).select(name(1).alias("id"), F.col("text").alias("content"))
     return calls, results

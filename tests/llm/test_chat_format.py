@@ -37,12 +37,11 @@ def test_links_and_errors(spark):
         ("1", None, "weather", '{"zzz": 2}'),
     ]
     answers = [("1", "sunny"), ("2", None), ("9", "lost"), (None, "nobody"), ("9", "found")]
-    got = {r.id: r for r in cf.link_calls(calls(spark, rows), results(spark, answers), schemas(spark, WEATHER)).collect()}
-    assert {i: r.status for i, r in got.items()} == {
-        **dict.fromkeys("12", "linked"), **dict.fromkeys("345678", "no result"), "9": "no call"
-    }
+    every = cf.link_calls(calls(spark, rows), results(spark, answers), schemas(spark, WEATHER)).collect()
+    check_records(every, rows, answers)
+    got = {r.id: r for r in every if r.number == 1 and r.id and r.id not in "19"}
+    assert {i: r.status for i, r in got.items()} == {"2": "linked", **dict.fromkeys("345678", "no result")}
     assert {i: r.errors for i, r in got.items()} == {
-        "1": [],
         "2": ["length: city", "type: days", "unknown: sea"],
         "3": ["not an object"],
         "4": ["not an object"],
@@ -50,18 +49,74 @@ def test_links_and_errors(spark):
         "6": ["not an object"],
         "7": ["tool"],
         "8": ["type: city"],
-        "9": None,
     }
     assert {i: (r.root, r.depth) for i, r in got.items()} == {
-        "1": ("1", 0), "2": ("1", 1), "3": ("1", 2), "4": ("4", 0), "5": ("1", 1), "6": ("1", 2), "7": ("7", 0), "8": ("1", 1), "9": (None, None)
+        "2": ("1", 1), "3": ("1", 2), "4": ("4", 0), "5": ("1", 1), "6": ("1", 2), "7": ("7", 0), "8": ("1", 1)
     }
-    assert {i: r.copies for i, r in got.items() if r.copies} == {"1": 1, "9": 1}
-    for r in got.values():
+    ones = sorted((r.number, r.status, r.root, r.depth) for r in every if r.id == "1")
+    assert ones == [(1, "linked", "1", 0), (2, "no result", "1", 0)]
+    assert sorted(map(str, (r.errors for r in every if r.id == "1"))) == ["['missing: city', 'unknown: zzz']", "[]"]
+    assert sorted(json.loads(r.json)["content"] for r in every if r.id == "9") == ["found", "lost"]
+    for r in every:
         assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert '"arguments":{"a":"ü/\\nA","b":{"a":[1.5,100.0,true,null],"z":1}}' in got["7"].json
-    assert json.loads(got["1"].json) == {
-        "arguments": {"city": "Rome", "days": 2}, "content": "sunny", "depth": 0, "errors": [], "id": "1", "root": "1", "tool": "weather"
+    assert json.loads(got["5"].json) == {"arguments": {}, "depth": 1, "errors": ["tool"], "id": "5", "root": "1", "tool": "other"}
+
+
+def check_records(got, call_rows, result_rows):
+    """Every record is in one row: statuses, numbers and contents by brute force."""
+    ids = {i for i, *_ in call_rows} | {i for i, _ in result_rows}
+    want = []
+    for i in ids:
+        n, m = sum(r[0] == i for r in call_rows), sum(r[0] == i for r in result_rows)
+        if i is None:
+            want += [(None, "no id")] * (n + m)
+        else:
+            want += [(i, "linked")] * min(n, m) + [(i, "no result")] * (n - m) + [(i, "no call")] * (m - n)
+    assert sorted(((r.id, r.status) for r in got), key=str) == sorted(want, key=str)
+    contents = [json.loads(r.json).get("content") for r in got if r.status in ("linked", "no call", "no id")]
+    assert sorted(c for c in contents if c is not None) == sorted(c for _, c in result_rows if c is not None)
+    assert sum(r.errors is not None for r in got) == len(call_rows)
+    tools = sorted(json.loads(r.json).get("tool", "") for r in got if r.errors is not None)
+    assert tools == sorted(r[2] or "" for r in call_rows)
+
+
+def test_every_record_stays(spark):
+    """Ids that repeat, one id with most records, no ids, equal records."""
+    rnd = random.Random(21)
+    name = lambda: rnd.choice([None, "hot", "hot", "hot", "a", "b", *map(str, range(40))])
+    rows = [(name(), rnd.choice([None, "a", "hot", "b"]), rnd.choice(["weather", "x", None]), rnd.choice(["{}", "bad", '{"city":"R"}'])) for _ in range(400)]
+    answers = [(name(), rnd.choice(["x", "y", None, "z"])) for _ in range(400)]
+    got = cf.link_calls(calls(spark, rows), results(spark, answers), schemas(spark, WEATHER)).collect()
+    check_records(got, rows, answers)
+    for i in ("hot", "a", None):
+        for kinds in (("linked", "no result", "no id"), ("linked", "no call")):
+            numbers = sorted(r.number for r in got if r.id == i and r.status in kinds and (i is not None or r.errors is not None))
+            assert numbers == list(range(1, len(numbers) + 1)) or i is None
+    again = cf.link_calls(calls(spark, rows[::-1]).repartition(7), results(spark, answers), schemas(spark, WEATHER)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_fuller_schemas(spark):
+    inner = "array<struct<name:string,type:string,required:boolean,max_length:int,maximum:double>>"
+    fields = f"array<struct<name:string,type:string,required:boolean,max_length:int,minimum:double,maximum:double,enum:array<string>,items:string,fields:{inner}>>"
+    tool = [
+        ("unit", "string", True, None, None, None, ["C", "F"], None, None),
+        ("days", "integer", False, None, 1.0, 7.0, None, None, None),
+        ("tags", "array", False, None, None, None, None, "string", None),
+        ("place", "object", False, None, None, None, None, None, [("city", "string", True, 5, None), ("lat", "number", False, None, 90.0)]),
+    ]
+    known = spark.createDataFrame([("weather", tool)], f"tool string, fields {fields}")
+    cases = {
+        '{"unit":"C","days":7,"tags":["a"],"place":{"city":"Rome","lat":41.9}}': [],
+        '{"unit":"K","days":0,"tags":["a",1]}': ["below: days", "items: tags", "not one of: unit"],
+        '{"unit":"F","days":8,"place":{"lat":91,"x":1}}': ["above: days", "above: place.lat", "missing: place.city", "unknown: place.x"],
+        '{"unit":"F","place":{"city":"Florence"},"tags":[]}': ["length: place.city"],
+        '{"unit":5,"place":[],"tags":{}}': ["type: place", "type: tags", "type: unit"],
     }
+    rows = [(str(i), None, "weather", text) for i, text in enumerate(cases)]
+    got = cf.link_calls(calls(spark, rows), results(spark, []), known).collect()
+    assert {r.id: r.errors for r in got} == {str(i): errors for i, errors in enumerate(cases.values())}
 
 
 def test_topological_order(spark):
@@ -102,11 +157,13 @@ def test_conversations(spark):
         "conv_id long, turn long, role string, text string, id string",
     )
     known = [(t, [("content", "string", True, None), ("turn", "integer", True, None)], "x") for t in ("user", "system")]
-    got = {r.id: r for r in cf.link_calls(*cf.conversation_records(turns), schemas(spark, known)).collect()}
+    every = cf.link_calls(*cf.conversation_records(turns), schemas(spark, known)).collect()
+    got = {r.id: r for r in every if r.id}
     assert {i: (r.status, r.depth) for i, r in got.items()} == {
         "1:0": ("no result", 0), "1:1": ("linked", 1), "1:3": ("no result", 2), "2:0": ("linked", 0), "3:-1": ("no call", None), "4:0": ("no result", 0)
     }
     assert got["2:0"].errors == ["missing: content"] and got["4:0"].errors == ["tool"] and got["1:1"].errors == []
+    assert [(r.status, json.loads(r.json)["arguments"]["content"]) for r in every if not r.id] == [("no id", "x")] * 2
 
 
 def test_canonical(spark):
