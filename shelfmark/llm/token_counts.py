@@ -73,18 +73,23 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For any context limits: limit, docs_longer, tokens_truncated, from the histogram alone."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    fits = F.col("n_tokens") <= F.col("limit")
-    at = F.max(F.when(fits, F.struct("n_tokens", "docs_longer", "tokens_up_to")))
+    """For any context limits: limit, docs_longer, tokens_truncated, from the histogram alone.
+
+    One aggregation over the histogram for all limits; an empty histogram gives no rows.
+    """
     least = F.min(F.struct("n_tokens", (F.col("docs") + F.col("docs_longer")).alias("docs")))
-    found = histogram.join(F.broadcast(asked), F.col("n_tokens") >= 0).groupBy("limit")
-    found = found.agg(at.alias("_at"), least.alias("_least"))
-    longer = F.coalesce("_at.docs_longer", "_least.docs")
+    last = F.struct("n_tokens", "docs_longer", "tokens_up_to")
+    asked = [
+        F.struct(F.lit(int(x)).cast("long").alias("limit"), F.max(F.when(F.col("n_tokens") <= int(x), last)).alias("at"))
+        for x in limits
+    ]
+    found = histogram.agg(least.alias("_least"), F.array(*asked).alias("_asked")).filter("_least is not null")
+    found = found.select("_least", F.explode("_asked").alias("_a"))
+    longer = F.coalesce("_a.at.docs_longer", "_least.docs")
     return found.select(
-        "limit",
+        F.col("_a.limit").alias("limit"),
         longer.alias("docs_longer"),
-        (F.coalesce("_at.tokens_up_to", F.lit(0)) + longer * F.col("limit")).alias("tokens_truncated"),
+        (F.coalesce("_a.at.tokens_up_to", F.lit(0)) + longer * F.col("_a.limit")).alias("tokens_truncated"),
     )
 
 

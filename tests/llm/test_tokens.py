@@ -175,4 +175,7 @@ def test_histogram(spark):
 
 def test_histogram_of_nothing(spark):
     lengths = token_counts.encoded_lengths(documents(spark, []), WORD_BPE)
-    assert token_counts.length_histogram(lengths).collect() == []
+    histogram = token_counts.length_histogram(lengths)
+    assert histogram.collect() == []
+    assert token_counts.totals_at(histogram, [1, 5]).collect() == []
+    assert token_counts.quantile(histogram, 0.5).first().n_tokens is None
