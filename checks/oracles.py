@@ -138,6 +138,7 @@ oracle(
     f"""with {rule_ctes('v_rulefiles')}
 select file_key, line_no, {trimmed('line[2:]')} pattern from l where bang""",
 )
+# The wording of warnings, and of error classes further down.
 oracle(
     "rules_warnings",
     f"""with src as (select file_key, text from v_rulefiles union all select -doc_id-1, text from documents),
@@ -539,6 +540,7 @@ def replaced(x, *steps):
     return x
 
 
+# Words, abbreviations and patterns of the naming rules, here and below.
 TOKENS = replaced(
     "stem",
     (r"(\p{Ll})(\p{Lu})", r"\1_\2"),

@@ -110,6 +110,7 @@ def parse_rule_files(files: DataFrame, text: str = "text", keys: list[str] | Non
     )
     ignores = lines.filter("kind = 'ignore'").select(*keys, "line_no", "pattern")
 
+    # The wording of warnings.
     line_no = F.col("line_no").cast("string")
     skipped = lines.filter("kind in ('no_equals', 'no_folder')").select(
         *keys,
