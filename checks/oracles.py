@@ -287,6 +287,17 @@ a as (select 0 file_ord, line_no, regexp_replace({trimmed('line[2:]')}, '/$', ''
   from l where bang and {trimmed('line[2:]')} <> '' union all select * from d)
 {FIRST.format(src='a')}""",
 )
+oracle(
+    "ignore_sources",
+    f"""with {rule_ctes('v_rulefiles')},
+g as (select ord, pattern, lang from v_mixrules join documents on doc_id = ord),
+i as (select *, sum(case when ord % 7 = 0 and ord % 13 <> 0 then 2 else 1 end) over (partition by lang order by ord)
+    - case when ord % 7 = 0 and ord % 13 <> 0 then 1 else 0 end line_no, dense_rank() over (order by lang) + 1 file_ord from g),
+a as (select 0 file_ord, line_no, regexp_replace({trimmed('line[2:]')}, '/$', '') pattern, 'config' source
+  from l where bang and {trimmed('line[2:]')} <> ''
+  union all select file_ord, line_no, pattern, 'lang=' || lang from i where ord % 13 <> 0)
+{FIRST.format(src='a')}""",
+)
 ORACLES["ignore_dedupe"] = f"with {ignore_lines()} {FIRST.format(src='d')}"
 
 # --- plans and catalogs ---------------------------------------------------
@@ -618,6 +629,12 @@ SCANNED = """select concat('source=', source, '/lang=', lang) folder, cast(sum(s
 from documents where not starts_with(source, 'src1') and not (source = 'src2' and lang = 'en') group by 1"""
 ORACLES["manifest_scan"] = SCANNED
 ORACLES["manifest_scan_tree"] = SCANNED
+ORACLES["manifest_scan_filters"] = """
+with f as (select concat('plain/source=', source, '/lang=', lang) folder, 3 depth, false hidden, text from documents
+  union all select concat('.cache/source=', source), 2, true, text from documents
+  union all select concat('place/lang=', lang, '/source=', source, '/kind=', doc_id % 3), 4, false, text from documents),
+g as (select folder, cast(depth as bigint) depth, hidden, cast(sum(strlen(text) + 1) as bigint) n_bytes from f group by all)
+select *, 'whole' form from g union all select *, 'some' from g where depth = 3"""
 FOLDER = "concat('source=', source, '/lang=', lang, '/doc_id=', doc_id)"
 ORACLES["hash_files"] = f"""
 select {FOLDER} folder, strlen(text) + 1 size, sha256(encode(text || chr(10))[1:4096]) partial_sha256,

@@ -14,7 +14,7 @@ from shelfmark.plans import duplicates, planning, sorting
 from shelfmark.session import materialize, new_work_path
 from shelfmark.sources import content, hash_cache, txn_log
 from shelfmark.sources import manifest as scanning
-from shelfmark.sources.ignore_files import config_ignores, first_occurrences, parse_ignore_files
+from shelfmark.sources.ignore_files import config_ignores, first_occurrences, load_ignore_rules, parse_ignore_files
 from shelfmark.sources.rule_files import parse_inline, parse_rule_files, rule_listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +275,23 @@ def ignore_dedupe(spark, sf_dir):
     return first_occurrences(document_ignores(spark, sf_dir))
 
 
+@query
+def ignore_sources(spark, sf_dir):
+    """A rule file, then ignore files on disk, one a language, and one that is not there."""
+    root = new_work_path(spark, "ignore-files")
+    rules = view(spark, sf_dir, "v_mixrules").withColumn("lang", F.regexp_extract("source", "-(.*)$", 1))
+    text = F.when(F.col("ord") % 13 == 0, F.concat(F.lit("# "), "pattern")).otherwise(
+        F.concat(F.lit("\t"), "pattern", F.when(F.col("ord") % 7 == 0, F.lit("/ \r\n\r")).otherwise(F.lit(" ")))
+    )
+    lines = rules.repartitionByRange("lang", "ord").sortWithinPartitions("lang", "ord")
+    lines.select("lang", text.alias("value")).write.partitionBy("lang").text(root)
+    langs = sorted(r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().collect())
+    files = [f"{root}/none", *[f"{root}/lang={lang}" for lang in langs]]
+    found = parse_rule_files(view(spark, sf_dir, "v_rulefiles"), keys=["file_key"]).ignores
+    loaded = load_ignore_rules(spark, files, found)
+    return loaded.withColumn("source", paths.base_name("source"))
+
+
 # --- plans and catalogs ---------------------------------------------------
 
 LINE_RULES = """\
@@ -702,12 +719,38 @@ def manifest_scan_tree(spark, sf_dir):
     return bytes_per_folder(scanning.scan_tree(spark, root, ignored))
 
 
+@query
+def manifest_scan_filters(spark, sf_dir):
+    """What the scan itself leaves out: by depth, hidden names and the start of the path.
+
+    Plain folders, hidden ones, and deeper ones side by side; the same tree whole and filtered.
+    """
+    scanning.register(spark)
+    root = new_work_path(spark, "tree")
+    for top, folders in {"plain": ["source", "lang"], ".cache": ["source"], "place": ["lang", "source", "kind"]}.items():
+        docs = table(spark, sf_dir, "documents").select("text", "source", "lang", (F.col("doc_id") % 3).alias("kind"))
+        docs.select("text", *folders).repartition(8, *folders).write.partitionBy(*folders).text(f"{root}/{top}")
+    options = {"details": True, "partitions": 8, "ignore": '["_SUCCESS", "*.crc"]'}
+    reader = spark.read.format("file_manifest").options(**options)
+    files = reader.option("hidden", True).load(root)
+    some = reader.option("hidden", False).option("prefix", f"{root}/pla").option("maxDepth", 3).load(root)
+    folder = paths.parent_dir(paths.relative_path("source_path", "root_dir"))
+
+    def sums(df: DataFrame, form: str) -> DataFrame:
+        grouped = df.groupBy(folder.alias("folder"), F.col("depth").cast("bigint").alias("depth"), "hidden")
+        return grouped.agg(F.sum("size").cast("bigint").alias("n_bytes")).withColumn("form", F.lit(form))
+
+    # Checksum files that the writer leaves beside its own are hidden, and no part of the table.
+    whole = files.filter(~paths.base_name("source_path").startswith("."))
+    return sums(whole, "whole").unionByName(sums(some, "some"))
+
+
 @query
 def hash_files(spark, sf_dir):
     """Every document a file; hashes of the files by folder."""
     root = written_tree(spark, sf_dir, "source", "lang", "doc_id")
     files = scanning.scan_tree(spark, root, ["_SUCCESS"])
-    hashes = content.with_content_hash(content.with_prefix_hash(files))
+    hashes = content.with_hashes(files)
     folder = paths.parent_dir(paths.relative_path("source_path", "root_dir"))
     return hashes.select(folder.alias("folder"), "size", "partial_sha256", "sha256")
 

@@ -25,11 +25,15 @@ def failing_on(problem: Column) -> Column:
     return F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)
 
 
+def without_return(line: Column) -> Column:
+    """A line without the carriage return before its break."""
+    return F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
+
+
 def numbered_lines(df, text: str, keys: list[str]):
     """One row per line, numbered from 1; a carriage return before the break goes."""
-    line = F.col("line")
     return df.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("_pos", "line")).select(
         *keys,
         (F.col("_pos") + 1).alias("line_no"),
-        F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line).alias("line"),
+        without_return(F.col("line")).alias("line"),
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import numbered_lines, trim_space
+from shelfmark.functions.text import numbered_lines, trim_space, without_return
 from shelfmark.schemas import IGNORE_RULES
+from shelfmark.sources.lines import file_lines, with_line_numbers
 
 CONFIG_SOURCE = "config"  # fixed value: source of patterns from a rule file
 
@@ -25,10 +27,12 @@ def parse_ignore_files(files: DataFrame, text: str = "text") -> DataFrame:
 
     Order is (file, line); blank lines and comments are dropped.
     """
-    lines = numbered_lines(files, text, ["file_ord", "source"])
-    pattern = trim_space(F.col("line"))
+    return _rules_of(numbered_lines(files, text, ["file_ord", "source"]))
+
+
+def _rules_of(lines: DataFrame) -> DataFrame:
     return (
-        lines.withColumn("pattern", pattern)
+        lines.withColumn("pattern", trim_space(F.col("line")))
         .filter("pattern <> '' and not startswith(pattern, '#') and not startswith(pattern, '//')")
         .select(
             _ord(F.col("file_ord"), F.col("line_no")).alias("ord"),
@@ -59,30 +63,29 @@ def first_occurrences(rules: DataFrame) -> DataFrame:
 def load_ignore_rules(
     spark: SparkSession, files: Sequence[str], config: DataFrame | None = None
 ) -> DataFrame:
-    """Rules of the rule file first, then of each existing file in the given order."""
-    found = [] if config is None else [config_ignores(config)]
+    """Rules of the rule file first, then of each existing file in the given order.
+
+    A file may be as large as it likes: it is read in splits (``lines.with_line_numbers``),
+    and may be a folder of files that follow each other by name.
+    """
+    present = None
     for i, path in enumerate(files, start=1):
-        text = _read_if_present(spark, path)
-        if text is not None:
-            found.append(
-                parse_ignore_files(
-                    text.select(F.lit(i).cast("bigint").alias("file_ord"), F.lit(path).alias("source"), "value"),
-                    "value",
-                )
-            )
-    if not found:
-        return spark.createDataFrame([], IGNORE_RULES)
-    rules = found[0]
-    for more in found[1:]:
-        rules = rules.unionByName(more)
-    return first_occurrences(rules)
-
-
-def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+        lines = _lines_if_present(spark, path)
+        if lines is not None:
+            lines = lines.select(F.lit(i).cast("bigint").alias("file_ord"), F.lit(path).alias("source"), "*")
+            present = lines if present is None else present.unionByName(lines)
+    found = None if config is None else config_ignores(config)
+    if present is not None:
+        lines = with_line_numbers(present, ["file_ord", "source"]).withColumns(
+            {"line_no": F.col("line_no") + 1, "line": without_return(F.col("line"))}
+        )
+        found = _rules_of(lines) if found is None else found.unionByName(_rules_of(lines))
+    return spark.createDataFrame([], IGNORE_RULES) if found is None else first_occurrences(found)
+
 
+def _lines_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.text(path, wholetext=True)
+        return file_lines(spark, path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None

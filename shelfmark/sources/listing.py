@@ -46,12 +46,14 @@ def open_stream(path: str):
     return system.open_input_stream(inner)
 
 
-def sha256_of(path: str, first_bytes: int | None = None) -> str:
-    """SHA-256 of a file, or of its first bytes, in fixed-size chunks."""
+def hashes_of(path: str, prefix: int | None, whole: bool) -> tuple[str | None, str | None]:
+    """SHA-256 of the first ``prefix`` bytes and of the whole file, in one pass of fixed-size chunks.
+
+    Either is None if not asked for; without ``whole`` nothing after the prefix is read.
+    """
     import hashlib
 
-    digest = hashlib.sha256()
-    left = first_bytes
+    digest, first, left = hashlib.sha256(), None, prefix
     with open_stream(path) as stream:
         while left is None or left > 0:
             chunk = stream.read(CHUNK if left is None else min(CHUNK, left))
@@ -60,7 +62,12 @@ def sha256_of(path: str, first_bytes: int | None = None) -> str:
             digest.update(chunk)
             if left is not None:
                 left -= len(chunk)
-    return digest.hexdigest()
+                if left == 0:
+                    first = digest.hexdigest()
+                    left = None if whole else 0
+    if prefix is not None and first is None:  # the file ends before
+        first = digest.hexdigest()
+    return first, digest.hexdigest() if whole else None
 
 
 def put_if_absent(spark, path: str) -> bool:

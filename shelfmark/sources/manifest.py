@@ -8,11 +8,14 @@ tree keeps every executor busy. The data source ``file_manifest`` is the plain
 
 from __future__ import annotations
 
+import itertools
 import json
+import zlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shelfmark.functions import globs, paths
@@ -21,6 +24,8 @@ from shelfmark.schemas import MANIFEST
 from shelfmark.session import materialize
 from shelfmark.sources.listing import entries
 
+LOOK = 10_000  # entries of one directory that are read while planning
+
 _LISTED = "source_path string, is_dir boolean, size bigint, mtime_us bigint"
 
 
@@ -51,7 +56,7 @@ def scan_tree(
     """Manifest of the files below ``root``; hidden, ignored and too deep
     directories are never listed."""
     root = root.rstrip("/") or "/"
-    if not hidden and len(_base(root)) > 1 and _base(root).startswith("."):
+    if not hidden and _hidden_root(root):
         return spark.createDataFrame([], MANIFEST)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rel = paths.relative_path("source_path", F.lit(root))
@@ -87,20 +92,55 @@ def _base(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-class Subtree(InputPartition):
-    """A directory to walk, or (``deep`` false) only its own files."""
+def _hidden_root(root: str) -> bool:
+    return len(_base(root)) > 1 and _base(root).startswith(".")
+
+
+def _is_true(option: object) -> bool:
+    return str(option).lower() == "true"
+
+
+def _schema(details: bool) -> T.StructType:
+    more = [T.StructField("depth", T.IntegerType()), T.StructField("hidden", T.BooleanType())]
+    return T.StructType(MANIFEST.fields + more * details)
 
-    def __init__(self, directory: str, depth: int, deep: bool):
+
+class Place:
+    """A directory to list: with all below it (``deep``) or only its own files.
+
+    Of a directory with very many entries a place is one of ``shares`` parts, told by a
+    hash of the entry's name.
+    """
+
+    def __init__(self, directory: str, depth: int, deep: bool, share: int = 0, shares: int = 1):
         self.directory, self.depth, self.deep = directory, depth, deep
+        self.share, self.shares = share, shares
+
+    def holds(self, name: str) -> bool:
+        return self.shares == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % self.shares == self.share
+
+
+class Places(InputPartition):
+    def __init__(self, places: list[Place]):
+        self.places = places
 
 
 class FileManifestReader(DataSourceReader):
+    """Directories that cannot hold a wanted file are not listed.
+
+    What is wanted is told by options, not by ``pushFilters``: Spark 4.1 keeps one read plan
+    for a loaded DataFrame, so a filter pushed by one query on it would also be in force in
+    the next, and in every other branch of the same query.
+    """
+
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/") or "/"
         self.max_depth = max(int(options.get("maxdepth", DEFAULT_MAX_DEPTH)), 0)
-        self.hidden = str(options.get("hidden", "false")).lower() == "true"
-        self.target = int(options.get("partitions", 64))
+        self.hidden = _is_true(options.get("hidden"))
+        self.details = _is_true(options.get("details"))
+        self.target = max(int(options.get("partitions", 64)), 1)
         self.patterns = json.loads(options.get("ignore", "[]"))
+        self.prefix = options.get("prefix", "")
 
     def _pruner(self):
         import re
@@ -115,57 +155,62 @@ class FileManifestReader(DataSourceReader):
         def pruned(path: str, is_dir: bool) -> bool:
             if not self.hidden and _base(path).startswith("."):
                 return True
+            inside = f"{path}/" if is_dir else path
+            if not inside.startswith(self.prefix) and not (is_dir and self.prefix.startswith(inside)):
+                return True
             return any(rx.search(path[skip:]) for rx in rules[is_dir])
 
         return pruned
 
-    def _subdirs(self, directory: str, depth: int, pruned) -> list[tuple[str, int]]:
-        if depth >= self.max_depth:
-            return []
-        below = (f"{directory.rstrip('/')}/{n}" for n, is_dir, _, _ in entries(directory) if is_dir)
-        return [(d, depth + 1) for d in below if not pruned(d, True)]
-
     def partitions(self) -> Sequence[InputPartition]:
-        """Split the tree until there are enough subtrees. Only directory names
-        are kept here; files are listed by the tasks."""
-        if not self.hidden and len(_base(self.root)) > 1 and _base(self.root).startswith("."):
-            return []
+        """At most ``partitions`` groups of places. The tree is split from the top until there
+        are enough places; of a directory no more than ``LOOK`` entries are read here, one with
+        more is listed by several tasks, each for its share."""
+        if not self.hidden and _hidden_root(self.root):
+            return [Places([])]  # a source without partitions would be read once, without a place
         pruned = self._pruner()
-        level, parts = [(self.root, 0)], []
-        while level and len(level) < self.target:
-            parts += [Subtree(d, depth, False) for d, depth in level]
-            level = [sub for d, depth in level for sub in self._subdirs(d, depth, pruned)]
-        return parts + [Subtree(d, depth, True) for d, depth in level]
-
-    def read(self, partition: Subtree) -> Iterator:
+        level, done = [Place(self.root, 0, True)], []
+        while level and len(level) + len(done) < self.target:
+            below = []
+            for place in level:
+                found = list(itertools.islice(entries(place.directory), LOOK + 1))
+                if len(found) > LOOK:
+                    done += [Place(place.directory, place.depth, True, i, self.target) for i in range(self.target)]
+                    continue
+                done.append(Place(place.directory, place.depth, False))
+                if place.depth < self.max_depth:
+                    paths_below = (f"{place.directory.rstrip('/')}/{name}" for name, is_dir, _, _ in found if is_dir)
+                    below += [Place(d, place.depth + 1, True) for d in paths_below if not pruned(d, True)]
+            level = below
+        places = level + done  # the deep ones first, so that every group gets its part of them
+        return [Places(places[i :: self.target]) for i in range(min(self.target, len(places)))]
+
+    def read(self, partition: Places) -> Iterator:
         import pyarrow as pa
 
         pruned = self._pruner()
-        schema = pa.schema(
-            [
-                ("root_dir", pa.string()),
-                ("source_path", pa.string()),
-                ("size", pa.int64()),
-                ("mtime", pa.timestamp("us", "UTC")),
-            ]
-        )
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.int32(), pa.bool_()]
+        schema = pa.schema(list(zip(_schema(self.details).names, kinds)))
 
         def batch(rows: list):
-            columns = list(zip(*rows))
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+        skip = len(self.root.rstrip("/"))
         rows: list = []
-        stack = [(partition.directory, partition.depth)]
+        stack = list(partition.places)
         while stack:
-            directory, depth = stack.pop()
-            for name, is_dir, size, mtime in entries(directory):
-                path = f"{directory.rstrip('/')}/{name}"
+            place = stack.pop()
+            for name, is_dir, size, mtime in entries(place.directory):
+                if not place.holds(name):
+                    continue
+                path = f"{place.directory.rstrip('/')}/{name}"
                 if is_dir:
-                    if partition.deep and depth < self.max_depth and not pruned(path, True):
-                        stack.append((path, depth + 1))
+                    if place.deep and place.depth < self.max_depth and not pruned(path, True):
+                        stack.append(Place(path, place.depth + 1, True))
                 elif not pruned(path, False):
-                    rows.append((self.root, path, size, mtime))
+                    more = (place.depth, _hidden_root(self.root) or "/." in path[skip:]) if self.details else ()
+                    rows.append((self.root, path, size, mtime, *more))
                     if len(rows) == 10_000:
                         yield batch(rows)
                         rows = []
@@ -176,8 +221,9 @@ class FileManifestReader(DataSourceReader):
 class FileManifestSource(DataSource):
     """``spark.read.format("file_manifest").load(root)``.
 
-    Options: ``maxDepth``, ``hidden``, ``ignore`` (JSON list of patterns) and
-    ``partitions`` (how many subtrees to aim for).
+    Options: ``maxDepth``, ``hidden``, ``prefix`` (what paths begin with), ``ignore`` (JSON list
+    of patterns), ``partitions`` (how many at most) and ``details`` (adds the columns ``depth``, directories between root
+    and file, and ``hidden``, whether a name from the root on begins with a dot).
     """
 
     @classmethod
@@ -185,7 +231,7 @@ class FileManifestSource(DataSource):
         return "file_manifest"
 
     def schema(self):
-        return MANIFEST
+        return _schema(_is_true({k.lower(): v for k, v in self.options.items()}.get("details")))
 
     def reader(self, schema) -> FileManifestReader:
         return FileManifestReader({k.lower(): v for k, v in self.options.items()})

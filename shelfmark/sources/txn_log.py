@@ -7,12 +7,12 @@ table with one row per operation, which is what operators work on.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.plans.planning import op_code, op_name
 from shelfmark.schemas import TXN_ACTION, TXN_JSON, TXN_OPS
-from shelfmark.session import materialize
+from shelfmark.sources.lines import file_lines, with_line_numbers
 from shelfmark.sources.listing import put_if_absent
 
 # Most operations on one line of a nested log written here.
@@ -33,24 +33,13 @@ def import_json_log(spark: SparkSession, path: str) -> DataFrame:
     """Read a log whose lines carry no ``txn_seq``: the line number (from 0, blank lines
     count) is the order. ``path`` is a file, or a folder of files that follow each other by name.
 
-    A file is read in splits by many tasks. A split knows where in the file it begins, and
-    gives its lines in order; how many lines the splits before it have makes the number.
+    A file is read in splits by many tasks (``lines.with_line_numbers``).
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
-    )
-    lines = materialize(lines, "log-lines")  # else the numbers of a second reading need not be the same
-    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
-    offsets = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
     parsed = F.from_json("line", TXN_JSON, {"mode": "FAILFAST"})
     return (
-        lines.filter("trim(line) <> ''")
-        .join(offsets, ["file", "block"])
-        .select((F.col("at") + F.col("offset")).alias("line_no"), parsed.alias("txn"))
+        with_line_numbers(file_lines(spark, path), [])
+        .filter("trim(line) <> ''")
+        .select("line_no", parsed.alias("txn"))
         .select("txn.*", "line_no")
         .withColumn("txn_seq", F.coalesce("txn_seq", "line_no"))
         .drop("line_no")

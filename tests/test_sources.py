@@ -67,6 +67,56 @@ def test_scan_prunes(spark, tree):
         assert {".hid/x", ".hidden"} < set(got)
 
 
+def test_options_reach_the_scan(spark, tree):
+    manifest.register(spark)
+    reader = spark.read.format("file_manifest").option("details", True).option("hidden", True)
+    files = reader.load(str(tree))
+    every = {r.source_path.removeprefix(f"{tree}/"): (r.depth, r.hidden) for r in files.collect()}
+    assert every[".hid/x"] == (1, True) and every[".hidden"] == (0, True) and every["a/c/d/e"] == (3, False)
+    cases = [
+        ({"hidden": False}, lambda p, d, h: not h),
+        ({"hidden": False, "maxDepth": 0}, lambda p, d, h: not h and d < 1),
+        ({"maxDepth": 1}, lambda p, d, h: d <= 1),
+        ({"prefix": f"{tree}/a"}, lambda p, d, h: p.startswith("a")),
+        ({"prefix": f"{tree}/a/c/d"}, lambda p, d, h: p.startswith("a/c/d")),
+        ({"prefix": f"{tree}/a/", "maxDepth": 1}, lambda p, d, h: p == "a/b"),
+        ({"prefix": "/elsewhere"}, lambda p, d, h: False),
+    ]
+    for options, keeps in cases:
+        some = spark.read.format("file_manifest").options(details=True, **{"hidden": True, **options}).load(str(tree))
+        both = some.selectExpr("source_path", "1 n").unionByName(files.selectExpr("source_path", "0 n"))
+        got = {(r.source_path.removeprefix(f"{tree}/"), r.n) for r in both.collect()}
+        assert got == {(p, 0) for p in every} | {(p, 1) for p, (d, h) in every.items() if keeps(p, d, h)}, options
+    assert {r.depth for r in files.filter("depth > 1 or hidden").collect()} == {0, 1, 3}
+
+
+def test_hidden_root(spark, tree):
+    for got in scans(spark, tree / ".hid"):
+        assert got == {}
+
+
+def test_ruled_out_folders_are_not_listed(tree):
+    reader = manifest.FileManifestReader({"path": str(tree), "prefix": f"{tree}/a/c", "partitions": "64"})
+    listed = {place.directory.removeprefix(str(tree)) for group in reader.partitions() for place in group.places}
+    assert listed == {"", "/a", "/a/c", "/a/c/d"}
+
+
+@pytest.mark.parametrize("look", [3, 10_000])
+@pytest.mark.parametrize("parts", [1, 2, 5, 100])
+def test_partitions_are_bounded(spark, tmp_path, monkeypatch, parts, look):
+    monkeypatch.setattr(manifest, "LOOK", look)
+    for i in range(7):
+        for j in range(i):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f").write_bytes(b"1")
+        (tmp_path / f"f{i}").write_bytes(b"")
+    reader = manifest.FileManifestReader({"path": str(tmp_path), "partitions": str(parts)})
+    groups = reader.partitions()
+    assert 0 < len(groups) <= parts
+    found = [p for g in groups for b in reader.read(g) for p in b.column(1).to_pylist()]
+    assert sorted(found) == sorted(str(p) for p in tmp_path.rglob("f*") if p.is_file())
+
+
 def test_missing_root_fails(spark, tmp_path):
     with pytest.raises(Exception, match="No such file"):
         manifest.scan_tree(spark, str(tmp_path / "nowhere")).collect()
@@ -80,6 +130,29 @@ def test_hashes(spark, tree):
         assert r.partial_sha256 == hashlib.sha256(data[:4096]).hexdigest()
 
 
+def test_both_hashes_from_one_read(spark, tree):
+    files = manifest.scan_tree(spark, str(tree), ["link"])
+    key = lambda df: sorted((r.source_path, r.partial_sha256, r.sha256) for r in df.collect())
+    assert key(content.with_hashes(files)) == key(content.with_content_hash(content.with_prefix_hash(files)))
+
+
+@pytest.mark.parametrize("sizes", [[10 << 30] + [1 << 20] * 999, [1 << 30] * 40, [], [0], [None, 5, None]])
+def test_bytes_are_shared_evenly(spark, sizes):
+    from pyspark.sql import functions as F
+
+    rows = [(f"/r/{i:04d}", s) for i, s in enumerate(sizes)]
+    files = spark.createDataFrame(rows, "source_path string, size bigint")
+    dealt = content.in_shares(files, F.col("size"), share_bytes=1 << 30).withColumn("task", F.spark_partition_id())
+    got = dealt.collect()
+    assert sorted(r.source_path for r in got) == [p for p, _ in rows]
+    cost = {r.source_path: (r.size or 0) + content.OPEN_BYTES for r in got}
+    share = max(sum(cost.values()) / dealt.rdd.getNumPartitions(), 1)
+    for task in {r.task for r in got}:
+        mine = [cost[r.source_path] for r in got if r.task == task]
+        assert sum(mine) <= share + max(mine)
+        assert max(mine) < 2 * share or len(mine) == 1  # a huge file meets no other
+
+
 def test_unreadable_file_fails(spark, tree):
     files = manifest.scan_tree(spark, str(tree), ["link"])
     files = dedupe.materialize(files, "files")
