@@ -13,7 +13,7 @@ and everything else is counting.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right, insort
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from shelfmark.functions import paths
 from shelfmark.functions.numbering import number_rows
 from shelfmark.functions.skew import attach_groups
 from shelfmark.functions.text import failing_on, trim_space
-from shelfmark.session import materialize
+from shelfmark.session import materialize, new_work_path
 
 
 def mapped_names(files: DataFrame, names: DataFrame) -> DataFrame:
@@ -178,13 +178,7 @@ def _settle(rows: DataFrame, busy: DataFrame, below: DataFrame) -> tuple[DataFra
     )
 
     sizes = busy.select("_name", (F.col("n_files") - 1 + F.col("claimed")).alias("turns"))
-    versions = materialize(
-        marked.join(sizes, "_name")
-        .repartition("_name")
-        .sortWithinPartitions("_name", "version")
-        .mapInPandas(_walk_versions, "_name string, version bigint, turns bigint, skipped boolean, skips bigint"),
-        "versions",
-    )
+    versions = materialize(_walked_versions(marked.join(sizes, "_name")), "versions")
     claimed = (
         versions.filter("not skipped and version - skips <= turns")
         .select(_versioned("_name", F.col("version")).alias("_name"), F.lit(1).alias("claimed"))
@@ -229,22 +223,97 @@ def _versioned(name: str, version: Column) -> Column:
     return F.concat(paths.stem(name), F.lit("_v"), version.cast("string"), paths.extension(name))
 
 
-def _walk_versions(batches: Iterator) -> Iterator:
-    """Which explicit versions are taken when the numbering reaches them.
+VERSION_BLOCK = 1 << 17  # explicit versions that one task walks
+
+
+def _walked_versions(marks: DataFrame) -> DataFrame:
+    """Which explicit versions are taken when the numbering reaches them: ``skipped``, and
+    ``skips``, the number of versions of the name skipped before.
+
+    ``marks`` has _name, version, turns and ``before``, the number of overflows before the
+    version's own first proposal. With s versions skipped so far, version v falls to overflow
+    v - s unless it was proposed before that one: it is skipped if s < v - before.
+
+    All versions in order are cut into blocks of equal length, whatever the names. A name that
+    goes on in the next block hands its count over. What a block adds to a count s is the number
+    of thresholds above s, so a block's thresholds are found without knowing s; then the counts
+    at the starts of blocks follow, one small aggregation for each block of the longest name.
+    """
+    spark = marks.sparkSession
+    limit = F.col("version") - F.col("before")
+    numbered = number_rows(marks, ["_name", "version"], name="_no")
+    blocks = materialize(
+        numbered.withColumns({"_block": F.floor((F.col("_no") - 1) / VERSION_BLOCK), "_limit": limit}), "version-blocks"
+    )
+    spans = blocks.groupBy("_name").agg(F.min("_block").alias("_from"), F.max("_block").alias("_to"))
+    spans = spans.filter("_from < _to")  # one row at most for each end of a block
+    reach = [(r["_from"], r["_to"]) for r in spans.select("_from", "_to").collect()]
+    starts: list[tuple[int, int]] = []
+    if reach:
+        handed_on = blocks.join(F.broadcast(spans), "_name").filter("_block < _to").select("_block", "_no", "_limit")
+        path = new_work_path(spark, "thresholds")
+        found = handed_on.groupBy("_block").applyInPandas(_thresholds, "_block bigint, above bigint")
+        found.write.partitionBy("_block").parquet(path)
+        thresholds = spark.read.schema("above bigint, _block bigint").parquet(path)
+        counts = [(at, 0, to) for at, to in reach]
+        while counts:
+            now = spark.createDataFrame([(at, s) for at, s, _ in counts], "_at bigint, s bigint")
+            added = (
+                thresholds.filter(F.col("_block").isin([at for at, _, _ in counts]))
+                .join(F.broadcast(now), F.col("_block") == F.col("_at"))
+                .groupBy("_block")
+                .agg(F.count_if(F.col("above") > F.col("s")).alias("n"))
+            )
+            more = {r["_block"]: r["n"] for r in added.collect()}
+            counts = [(at + 1, s + more.get(at, 0), to) for at, s, to in counts]
+            starts += [(at, s) for at, s, _ in counts]
+            counts = [c for c in counts if c[0] < c[2]]
+    start = spark.createDataFrame(starts, "_at bigint, _start bigint")
+    with_start = blocks.join(F.broadcast(start), F.col("_block") == F.col("_at"), "left").drop("_at")
+    return with_start.groupBy("_block").applyInPandas(
+        _walk_block, "_name string, version bigint, turns bigint, skipped boolean, skips bigint"
+    )
+
+
+def _walk_block(block):
+    """The only state is the name and its count, which ``_start`` gives for the first name of a
+    block if it began in an earlier one."""
+    block = block.sort_values("_no")
+    first = block["_start"].iloc[0]
+    current, skips = block["_name"].iloc[0], 0 if first != first or first is None else int(first)
+    flags, counts = [], []
+    for name, limit in zip(block["_name"], block["_limit"]):
+        if name != current:
+            current, skips = name, 0
+        counts.append(skips)
+        flags.append(skips < limit)
+        skips += skips < limit
+    return block.assign(skipped=flags, skips=counts)[["_name", "version", "turns", "skipped", "skips"]]
+
+
+def _thresholds(block):
+    import pandas as pd
+
+    above = added_above(block.sort_values("_no")["_limit"].tolist())
+    return pd.DataFrame({"_block": block["_block"].iloc[0], "above": pd.Series(above, dtype="int64")})
+
+
+def added_above(limits: list[int]) -> list[int]:
+    """Thresholds of the steps "add 1 to s if s < limit", done in order: from s >= 0 they add
+    as many as there are thresholds greater than s.
 
-    Rows come sorted by (name, version); ``before`` is the number of overflows
-    before the version's own first proposal. With s versions skipped so far,
-    version v falls to overflow v - s unless it was proposed before that one.
-    The only state kept between rows is (name, s).
+    What steps give together never falls as s grows, so one more step adds 1 below some point,
+    which becomes its threshold, and nothing from there on.
     """
-    current, skips = None, 0
-    for batch in batches:
-        flags, counts = [], []
-        for name, version, before in zip(batch["_name"], batch["version"], batch["before"]):
-            if name != current:
-                current, skips = name, 0
-            skipped = version - skips > before
-            counts.append(skips)
-            flags.append(skipped)
-            skips += skipped
-        yield batch.assign(skipped=flags, skips=counts)[["_name", "version", "turns", "skipped", "skips"]]
+    found: list[int] = []
+    for limit in limits:
+        low, high = 0, limit
+        while low < high:
+            s = (low + high) // 2
+            if s + len(found) - bisect_right(found, s) < limit:
+                low = s + 1
+            else:
+                high = s
+        if low > 0:
+            insort(found, low)
+    return found

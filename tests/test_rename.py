@@ -4,6 +4,7 @@ import re
 import pytest
 
 from shelfmark.functions import names, numbering
+from shelfmark.operators import rename
 from shelfmark.operators.rename import mapped_names, rename_plan, resolve_collisions
 
 
@@ -64,6 +65,30 @@ def test_one_name_holds_most_files(spark):
     assert resolved(spark, proposed) == greedy(proposed)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_thresholds_stand_for_the_walk(seed):
+    rnd = random.Random(seed)
+    limits = [rnd.randint(-3, rnd.choice([5, 40, 10**12])) for _ in range(rnd.randint(0, 60))]
+    above = rename.added_above(limits)
+    assert above == sorted(above)
+    for start in range(70):
+        s = start
+        for limit in limits:
+            s += s < limit
+        assert s - start == sum(t > start for t in above)
+
+
+@pytest.mark.parametrize("block", [1, 7, 60])
+def test_versions_of_a_name_over_many_tasks(spark, monkeypatch, block):
+    """One name has most explicit versions; they are walked in blocks that cut it anywhere."""
+    monkeypatch.setattr(rename, "VERSION_BLOCK", block)
+    rnd = random.Random(block)
+    names = ["n"] * 150 + [f"n_v{rnd.randint(1, 250)}" for _ in range(20 * min(block, 6) + 5)]
+    names += [f"m{i % 3}_v{rnd.randint(1, 9)}" for i in range(12)] + [f"m{i % 3}" for i in range(20)]
+    rnd.shuffle(names)
+    assert resolved(spark, names) == greedy(names)
+
+
 def test_numbering_without_groups(spark):
     df = spark.range(5000).selectExpr("id", "reverse(cast(id as string)) as k")
     got = numbering.number_rows(df, ["k", "id"]).collect()
