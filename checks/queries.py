@@ -12,7 +12,7 @@ from shelfmark.functions import names, paths
 from shelfmark.operators import catalog, classify, dedupe, filters, history, ignore, rename, report
 from shelfmark.plans import duplicates, planning, sorting
 from shelfmark.session import materialize, new_work_path
-from shelfmark.sources import content, hash_cache, txn_log
+from shelfmark.sources import content, hash_cache, listing, txn_log
 from shelfmark.sources import manifest as scanning
 from shelfmark.sources.ignore_files import config_ignores, first_occurrences, load_ignore_rules, parse_ignore_files
 from shelfmark.sources.rule_files import parse_inline, parse_rule_files, rule_listing
@@ -688,12 +688,25 @@ def cache_deltas(spark, sf_dir):
 # --- files ----------------------------------------------------------------
 
 
+def write_tree(rows: DataFrame, root: str, folders: list[str]) -> None:
+    """Write ``text`` as files of lines, one folder level per column, named as ``partitionBy`` does.
+
+    Rows are dealt in ranges of folder and document, so tasks are equal in size however few the
+    folders are, and a folder lies in few tasks; documents that share all folders and the number
+    share a file. Spark's own writer commits file by file, which is too slow for a folder per document.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(dict.fromkeys([*folders, "doc_id"]))
+    dealt = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys, "text")
+    named = [F.concat(F.lit(f"{c}="), listing.folder_name(F.col(c).cast("string"))) for c in folders]
+    files = dealt.select(F.concat_ws("/", F.lit(root.rstrip("/")), *named).alias("folder"), "text")
+    files.mapInArrow(listing.write_lines, "n_files bigint").agg(F.sum("n_files")).first()
+
+
 def written_tree(spark, sf_dir, *folders: str) -> str:
     """Write the documents as text files, one folder level per column."""
     root = new_work_path(spark, "tree")
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("text", *folders).repartition(16, *folders)
-    rows.write.partitionBy(*folders).text(root)
+    write_tree(table(spark, sf_dir, "documents"), root, list(folders))
     return root
 
 

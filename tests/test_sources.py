@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from checks import queries
 from shelfmark.operators import dedupe
 from shelfmark.plans.duplicates import duplicates_plan, hash_candidates
 from shelfmark.session import work_dir
@@ -186,3 +187,27 @@ def test_statistics(spark, tree):
 
 def test_work_dir_is_shared_or_refused(spark):
     assert os.path.isdir(work_dir(spark))
+
+
+def test_tree_is_written_as_by_partition_by(spark, tmp_path):
+    """Odd values as folders, rows that share a folder, null and empty texts."""
+    odd = ["a", "", None, "x=y/z", "50%", "é ü", "[{^}]", "q\"'#*:?\\", "a\tb\x7f", "..."]
+    rows = [(i // 2, None if i % 5 == 0 else f"t{i % 3}" * (i % 4), odd[i % len(odd)]) for i in range(40)] + [(None, "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    queries.write_tree(docs, str(tmp_path / "mine"), ["source", "doc_id"])
+    docs.repartition(3, "source", "doc_id").write.partitionBy("source", "doc_id").text(str(tmp_path / "spark"))
+
+    def lines(root):
+        files = [p for p in root.rglob("*.txt") if not p.name.startswith(".")]
+        assert len({p.parent for p in files}) == len(files)
+        return {str(p.parent.relative_to(root)): sorted(p.read_bytes().split(b"\n")) for p in files}
+
+    assert lines(tmp_path / "mine") == lines(tmp_path / "spark")
+    assert not list((tmp_path / "mine").rglob(".*"))
+
+
+def test_one_folder_is_written_by_many_tasks(spark, tmp_path):
+    docs = spark.range(1000).selectExpr("id doc_id", "repeat('x', 100) text", "'s' source")
+    queries.write_tree(docs, str(tmp_path / "t"), ["source"])
+    sizes = [p.stat().st_size for p in (tmp_path / "t" / "source=s").iterdir()]
+    assert sum(sizes) == 101_000 and len(sizes) == 8 and max(sizes) < 2 * 101_000 / 8
