@@ -741,8 +741,8 @@ def manifest_scan_filters(spark, sf_dir):
     scanning.register(spark)
     root = new_work_path(spark, "tree")
     for top, folders in {"plain": ["source", "lang"], ".cache": ["source"], "place": ["lang", "source", "kind"]}.items():
-        docs = table(spark, sf_dir, "documents").select("text", "source", "lang", (F.col("doc_id") % 3).alias("kind"))
-        docs.select("text", *folders).repartition(8, *folders).write.partitionBy(*folders).text(f"{root}/{top}")
+        docs = table(spark, sf_dir, "documents").withColumn("kind", F.col("doc_id") % 3)
+        write_tree(docs, f"{root}/{top}", folders)
     options = {"details": True, "partitions": 8, "ignore": '["_SUCCESS", "*.crc"]'}
     reader = spark.read.format("file_manifest").options(**options)
     files = reader.option("hidden", True).load(root)
