@@ -80,21 +80,23 @@ def _regex_rows(rows: DataFrame, regex: str, fragments: str, *values: str) -> Da
     )
 
 
+def _literal_rows(rows: DataFrame, test: str, literal: Column, *values: str) -> DataFrame:
+    return rows.select(F.lit(test).alias("test"), literal.alias("fragment"), F.lit(None).cast("string").alias("regex"), *values)
+
+
 def _name_hits(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """_name, _is_dir and the first name rule: a glob of the name, or how a directory's name begins."""
-    names = materialize(entries.select(F.col("_name").alias("text")).distinct(), "entry-names")
-    of_all = rules.filter("regex is not null").withColumn("only_dirs", F.lit(False))
-    begin = rules.select(
-        F.lit(matching.PREFIX).alias("test"),
-        F.col("literal").alias("fragment"),
-        F.lit(None).cast("string").alias("regex"),
-        "rule",
-        F.lit(True).alias("only_dirs"),
-    )
-    patterns = _regex_rows(of_all, "regex", "fragments", "rule", "only_dirs").unionByName(begin)
-    hits = _least(matching.matches(names, patterns), "text", "only_dirs")
-    both = F.when(F.col("only_dirs"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
-    return _least(hits.select(F.col("text").alias("_name"), F.explode(both).alias("_is_dir"), "rule"), "_name", "_is_dir")
+    names = materialize(entries.groupBy(F.col("_name").alias("text")).agg(F.max("_is_dir").alias("of_dir")), "entry-names")
+    is_glob = F.col("literal").rlike(_GLOB_CHARS)
+    globs_ = rules.filter(F.col("regex").isNotNull() & is_glob)
+    plain = rules.filter(F.col("regex").isNotNull() & ~is_glob)
+    of_all = _regex_rows(globs_, "regex", "fragments", "rule").unionByName(_literal_rows(plain, matching.EQUALS, F.col("literal"), "rule"))
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("_is_dir")
+    hits = _least(matching.matches(names.select("text"), of_all), "text").select(F.col("text").alias("_name"), both, "rule")
+    begin = _literal_rows(rules, matching.PREFIX, F.col("literal"), "rule")
+    of_dirs = _least(matching.matches(names.filter("of_dir").select("text"), begin), "text")
+    of_dirs = of_dirs.select(F.col("text").alias("_name"), F.lit(True).alias("_is_dir"), "rule")
+    return _least(hits.unionByName(of_dirs), "_name", "_is_dir")
 
 
 def _path_hits(entries: DataFrame, rules: DataFrame, kinds: Row, deep: bool) -> DataFrame:
@@ -114,7 +116,7 @@ def _path_hits(entries: DataFrame, rules: DataFrame, kinds: Row, deep: bool) ->
         hits = matching.matches(whole.select("text").distinct(), _regex_rows(odd, "regex", "fragments", "rule"))
         found.append(whole.join(_least(hits, "text"), "text").select(F.col("text").alias("_rel"), "_is_dir", "rule"))
 
-    cut = rules.filter("last is not null").select("rule", "folder", "folder_fragments", "last", "fragments")
+    cut = rules.filter("last is not null").select("rule", "literal", "folder", "folder_fragments", "last", "fragments")
     below = cut.filter("folder <> ''")
     if not kinds.below:
         placed = cut.select(F.lit("").alias("_dir"), "rule", "last", "fragments")
@@ -122,7 +124,11 @@ def _path_hits(entries: DataFrame, rules: DataFrame, kinds: Row, deep: bool) ->
         texts = entries.filter("_dir <> ''").select(F.col("_dir").alias("text")).distinct()
         texts = materialize(texts, "folder-paths")
         values = ["rule", "last", "fragments"]
-        patterns = _regex_rows(below, "folder", "folder_fragments", *values)
+        # What stands before the last slash, if that is plain, is the folder's path itself.
+        path = F.expr("left(literal, length(literal) - instr(reverse(literal), '/'))")
+        is_glob = path.rlike(_GLOB_CHARS) | F.contains("literal", F.lit("\\"))
+        patterns = _regex_rows(below.filter(is_glob), "folder", "folder_fragments", *values)
+        patterns = patterns.unionByName(_literal_rows(below.filter(~is_glob), matching.EQUALS, path, *values))
         placed = matching.matches(texts, patterns).select(F.col("text").alias("_dir"), *values)
         placed = cut.filter("folder = ''").select(F.lit("").alias("_dir"), *values).unionByName(placed)
     placed = materialize(_least(placed, "_dir", "last", "fragments"), "placed-patterns")

@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from shelfmark.functions import globs
-from shelfmark.operators import filters
+from shelfmark.operators import filters, matching
 from shelfmark.operators.ignore import drop_ignored, drop_ignored_join, explain_ignored, explain_ignored_table
 from shelfmark.sources.ignore_files import load_ignore_rules
 from tests.conftest import paths_of
@@ -175,3 +176,24 @@ def test_hidden_depth_and_quarantine(manifest):
     assert paths_of(filters.limit_depth(files, -3)) == ["/r/.b", "/r/a"]
     kept = filters.drop_quarantined(manifest(["/r/duplicates/a", "/r/duplicates/s/a", "/r/x/duplicates/a"]))
     assert paths_of(kept) == ["/r/duplicates/s/a", "/r/x/duplicates/a"]
+
+
+def test_names_that_count_up_meet_few_patterns(spark):
+    """Whole names, beginnings and literals, each against a loop; grams are as long as literals allow."""
+    texts = [f"doc_{i}.txt" for i in range(300)] + ["", "doc_", "x"]
+    rows = [("equals", f"doc_{i}.txt", None, f"e{i}") for i in range(0, 400, 7)]
+    rows += [("prefix", f"doc_{i}", None, f"p{i}") for i in range(0, 400, 11)] + [("prefix", "x" * 300, None, "long")]
+    rows += [("contains", f"c_{i}", None, f"c{i}") for i in range(0, 400, 13)] + [("contains", "t", None, "t")]
+    rows += [("regex", f"_\0{i}.t", f"^doc_[0-9]{i}[.]txt$", f"r{i}") for i in range(0, 99, 5)]
+    patterns = spark.createDataFrame(rows, "test string, fragment string, regex string, name string")
+    got = {(r.text, r.name) for r in matching.matches(spark.createDataFrame([(t,) for t in texts], "text string"), patterns).collect()}
+
+    def fits(test, fragment, regex, text):
+        if test == "regex":
+            return bool(re.search(regex, text))
+        return text == fragment if test == "equals" else text.startswith(fragment) if test == "prefix" else fragment in text
+
+    assert got == {(t, name) for t in texts for test, f, rx, name in rows if fits(test, f, rx, t)}
+    sizes = F.transform(matching._held("f"), lambda x: F.array_max(F.transform(matching._own_grams(x), F.char_length)))
+    asked = spark.createDataFrame([("doc_\0" + "1234567.txt",), ("ab\0" + "1234",), ("a",)], "f string").select("f", sizes.alias("n"))
+    assert [r.n for r in asked.collect()] == [[4, 8], [4], [1]]
