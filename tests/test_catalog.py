@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -218,3 +219,20 @@ def test_type_codes(spark):
     coded = df.select("op_type", planning.op_code("op_type").alias("c"))
     assert {r.op_type: r.c for r in coded.collect()} == {"move": 0, "skip": 4, "undo": 5}
     assert coded.filter(planning.op_name("c") != F.col("op_type")).count() == 0
+
+
+def test_json_log_is_written_compressed(spark, tmp_path):
+    """Gzipped lines, whatever reads them; the same rows return, and an import finds their numbers."""
+    log = spark.range(4000).selectExpr(
+        "id div 4 txn_seq", "concat('txn ', id div 4) id", "0 ttype", "false irreversible", "id % 4 op_seq", "'move' op_type",
+        "'/u/1' root_dir", "concat('/u/1/in/', id) source_path", "id size", "concat('/u/1/out/', id) dest_path",
+    )
+    path = str(tmp_path / "log")
+    txn_log.append_json_log(txn_log.nest_operations(log, line_operations=2), path)
+    files = list((tmp_path / "log").glob("part-*"))
+    lines = [x for f in files for x in gzip.decompress(f.read_bytes()).splitlines()]
+    assert len(lines) == 2000 and all(len(json.loads(x)["Operations"]) == 2 for x in lines)
+    assert sum(f.stat().st_size for f in files) * 4 < sum(map(len, lines))
+    key = lambda df: sorted(map(tuple, df.select(log.columns).collect()))
+    assert key(txn_log.flatten_log(txn_log.read_json_log(spark, path))) == key(log)
+    assert key(txn_log.flatten_log(txn_log.import_json_log(spark, path))) == key(log)
