@@ -185,18 +185,42 @@ def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+# Bytes that go to or come from a Python worker at once, one row more or less. Both sides keep
+# what their largest batch took: the worker while it lives, the JVM outside its heap.
+BATCH_BYTES = 2 << 20
+
+
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """While it holds, so many rows at most go to a Python worker at once; for rows of many bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _arrow(spark: SparkSession, limit: str, value: int):
+    key = f"spark.sql.execution.arrow.{limit}"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it holds, so many rows at most go to a Python worker at once; for rows of many bytes."""
+    return _arrow(spark, "maxRecordsPerBatch", rows)
+
+
+def arrow_bytes(spark: SparkSession, size: int = BATCH_BYTES):
+    """While it holds, a batch for a Python worker ends with the row that reaches so many bytes.
+
+    For texts of any length. It counts when a query runs, not when it is built.
+    """
+    return _arrow(spark, "maxBytesPerBatch", size)
+
+
+def in_batches(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about BATCH_BYTES."""
+    step = max(1, rows.num_rows * BATCH_BYTES // max(rows.nbytes, 1))
+    for start in range(0, rows.num_rows, step):
+        yield rows.slice(start, step)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm.common import arrow_bytes, in_batches
+
 # Hashed n-grams of a model: 8 bytes each for a language, in the driver and every worker.
 BUCKET_BITS = 17
 GRAM = 3  # bytes
@@ -86,7 +88,8 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log likelihoods, buckets by languages, from all rows with lang and text."""
     rows = labelled.filter("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInArrow(_count_grams, "lang string, bucket int, n long")
-    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    with arrow_bytes(labelled.sparkSession):
+        found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     table = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)
     place = {x: i for i, x in enumerate(languages)}
@@ -175,7 +178,7 @@ def _predicted(languages: list[str], model):
     """Adds the prediction to rows whose text is a column or a field of the struct ``_row``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_batches(whole)):
             names = [c for c in batch.schema.names if c != "text"]
             inside = "text" not in batch.schema.names
             texts = batch.column("_row").field("text") if inside else batch.column("text")
@@ -216,7 +219,7 @@ def in_known_language(
 ) -> DataFrame:
     """The documents, all columns, of which one language makes up at least ``least_share``.
 
-    What is ``und`` (null text, no letter, nothing learned) goes.
+    What is ``und`` (null text, no letter, nothing learned) goes. The rows stay in their order.
     """
     languages, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)

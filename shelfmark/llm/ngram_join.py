@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.skew import attach_groups
-from shelfmark.llm.common import WordHashes, as_bytes, chained, components, mixed, shingle_set
+from shelfmark.llm.common import WordHashes, arrow_bytes, as_bytes, chained, components, in_batches, mixed, shingle_set
 from shelfmark.session import materialize
 
 # Tokens in at least this many sets can be frequent; of those at most FREQUENT, the
@@ -40,7 +40,7 @@ FREQUENT = 1 << 19
 COPY_GROUPS = 1 << 18
 MATCHES = 3
 # Tokens counted or indexed in a task before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 # Tokens and sets of a block of a cluster.
 BLOCK_TOKENS = 500_000
 BLOCK_SETS = 512
@@ -134,10 +134,11 @@ def _token_counts(words: int, bits: int, copies):
             parts.append(tokens >> np.uint64(32 - bits))
             size += len(tokens)
             if size >= 2 * FLUSH:
-                yield packed(parts)
+                counted = packed(parts)
                 parts, size = [], 0
+                yield from in_batches(counted)
         if parts:
-            yield packed(parts)
+            yield from in_batches(packed(parts))
 
     return run
 
@@ -193,7 +194,7 @@ def _signatures(words: int, num: int, den: int, bits: int, frequent, copies):
                 is_often = often[place] == prints
             rare = tokens[~is_often]
             prefix = n - _least_overlap(n, num, den) + MATCHES
-            parts.append((RARE, node, n, rare[:prefix]))
+            parts.append((RARE, node, n, rare[:prefix].copy()))  # a view would hold the whole set
             held += len(parts[-1][3])
             if len(rare) < prefix:
                 most_apart = (den - num) * n // num
@@ -201,10 +202,11 @@ def _signatures(words: int, num: int, den: int, bits: int, frequent, copies):
                 parts.append((COMBINED, node, n, mixed(chained(first[:-1], first[1:]))))
                 held += len(parts[-1][3])
             if held >= FLUSH:
-                yield packed(parts)
+                entries = packed(parts)
                 parts, held = [], 0
+                yield from in_batches(entries)
         if held:
-            yield packed(parts)
+            yield from in_batches(packed(parts))
 
     return run
 
@@ -351,9 +353,10 @@ def jaccard_groups(
         raise ValueError("similarity must be between 3/4 and 1")
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(
-        base.mapInArrow(_set_rows(words), "doc_id long, n_shingles long, node long"), "sets"
-    )
+    with arrow_bytes(spark):
+        sets = materialize(
+            base.mapInArrow(_set_rows(words), "doc_id long, n_shingles long, node long"), "sets"
+        )
     groups = materialize(
         sets.filter(F.col("node").isNotNull())
         .groupBy("node")
@@ -375,7 +378,8 @@ def jaccard_groups(
         .groupBy("bucket")
         .applyInArrow(_frequent_prints(LEAST_FREQUENT), "print long, df long")
     )
-    counted = materialize(counted, "frequent")
+    with arrow_bytes(spark):
+        counted = materialize(counted, "frequent")
     frequent = spark.sparkContext.broadcast(_bounded(counted, "df", ["print"], FREQUENT)[0])
     pairs = (
         base.mapInArrow(
@@ -386,12 +390,13 @@ def jaccard_groups(
         .applyInArrow(_candidates(num, den), "a long, b long, shared long")
     )
     edges = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    clusters = materialize(
-        components(edges.filter(F.col("shared") >= MATCHES)).join(
-            groups.select("node", "rep", "n_shingles"), "node"
-        ),
-        "clusters",
-    )
+    with arrow_bytes(spark):
+        clusters = materialize(
+            components(edges.filter(F.col("shared") >= MATCHES)).join(
+                groups.select("node", "rep", "n_shingles"), "node"
+            ),
+            "clusters",
+        )
     blocks = clusters.groupBy("label").agg(
         F.count("*").alias("n_files"),
         F.greatest(
@@ -419,7 +424,8 @@ def jaccard_groups(
         .groupBy("cluster", "low", "high")
         .applyInArrow(_verified(num, den), "a long, b long")
     )
-    labels = components(links)
+    with arrow_bytes(spark):
+        labels = components(links)
     reached = groups.join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", F.col("node"))
     )
